@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, packing, poisson_mix, simhash, substring_dedup
 from .common import documents
 
 
@@ -15,5 +15,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.replicate(documents(spark, sf_dir)).drop("rate")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(documents(spark, sf_dir))
+
+
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op4_poisson_mix": op4_poisson_mix,
+    "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_bm25_packing": op10_bm25_packing,
+}
+ORACLES: dict[str, str] = {"op4_poisson_mix": poisson_mix.ORACLE}
