@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fold, small_batches, texts_of
 
@@ -171,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [model.predict(t) for t in texts_of(b.column(names.index("text")))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = frame.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*frame.schema.fields]).add("lang_pred", "string").add("score", "double")
     return frame.mapInArrow(run, schema)
 
 

@@ -82,7 +82,7 @@ WITH s AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {ALPHA}) AS w FRO
 r AS (SELECT source, w / (SELECT sum(w) FROM s) * (SELECT sum(n) FROM s) / n AS rate FROM s),
 u AS (SELECT d.*, r.rate, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, len(list_filter(range(0, 200), k -> list_sum(list_transform(range(0, k + 1), i -> exp(-rate + i * ln(rate) - lgamma(i + 1)))) <= u)) AS copies FROM u),
+k AS (SELECT *, len(list_filter(range(0, 200), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-rate + i * ln(rate) - lgamma(i + 1)))) <= u)) AS copies FROM u),
 c AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM k)
 SELECT doc_id, text, lang, source, n_chars, copies::INT AS copies, copy::INT AS copy,
        md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy::VARCHAR) AS shuffle_key

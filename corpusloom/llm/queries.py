@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, poisson_mix, simhash, substring_dedup
+from . import gif_media, hmm_lm, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers
 from .common import documents
 
 
@@ -15,10 +15,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, sf_dir))
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.replicate(documents(spark, sf_dir)).drop("rate")
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.store_texts(documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labelled(documents(spark, sf_dir))
+
+
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_pairs(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -33,7 +49,11 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_hmm_lm": op3_hmm_lm,
     "op4_poisson_mix": op4_poisson_mix,
+    "op5_gif_media": op5_gif_media,
+    "op6_license_scan": op6_license_scan,
+    "op7_syncmers": op7_syncmers,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bm25_packing": op10_bm25_packing,
