@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, hmm_lm, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers
+from . import gif_media, hmm_lm, html_main, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_main": op2_html_main,
     "op3_hmm_lm": op3_hmm_lm,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_gif_media": op5_gif_media,
