@@ -19,9 +19,9 @@ def last_of_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def first_of_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key: the first by `order`."""
+    """One row a key: the first by `order`, which is not kept."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("s")).select(key, *(F.col(f"s.{c}").alias(c) for c in rest))
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("s")).select(key, *(F.col(f"s.{c}").alias(c) for c in rest if c != order))
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, id_column: str, exclude: bool = False) -> DataFrame:
@@ -92,7 +92,7 @@ def with_lookup(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, ob
 
 def spk2utt(utt2spk: DataFrame, order: str = "uttid") -> DataFrame:
     """(speaker, utts): a speaker's utterances in order."""
-    return utt2spk.groupBy("speaker").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "uttid"))), lambda s: s["uttid"]).alias("utts"))
+    return utt2spk.groupBy("speaker").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "uttid"))), lambda s: s["uttid"]).alias("utts"))
 
 
 def utt2spk(lists: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def read_waves(spark: SparkSession, path: str) -> DataFrame:
                         x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
                         rows.append((name, [list(map(int, s)) for s in x], float(w.getframerate()), None))
                 except Exception as e:  # noqa: BLE001  one bad file is reported, not fatal
-                    rows.append((name, None, None, str(e)))
+                    rows.append((name, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "x", "rate", "error"])
 
     return files.select("path", "content").mapInPandas(decode, "path string, x array<array<int>>, rate double, error string")
