@@ -16,6 +16,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of
 
@@ -115,6 +116,14 @@ class Scanner:
                     out.append(Hit(label, text.count(" ", 0, m.start()), m.group().count(" ") + 1, m.start(), m.end(), wrong, 1 - wrong / len(notice), True))
         return out
 
+    def scan(self, joined: bytes) -> list[Hit]:
+        """All exact places, and fuzzy ones but those that share words with a closer match of another label (versions of one notice differ by a letter)."""
+        kept = self.exact(joined)
+        for h in sorted(self.fuzzy(joined), key=lambda h: (h.edits, h.first_word, h.label)):
+            if not any(k.label != h.label and k.edits < h.edits and k.first_word < h.first_word + h.n_words and h.first_word < k.first_word + k.n_words for k in kept):
+                kept.append(h)
+        return sorted(kept, key=lambda h: (h.first_word, h.fuzzy, h.label, h.n_words))
+
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
@@ -141,8 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 words = normalised(t)
                 joined = b" ".join(words)
                 n.append(len(words))
-                found = sorted([*s.exact(joined), *s.fuzzy(joined)], key=lambda h: (h.first_word, h.fuzzy, h.label))
-                hits.append([{"label": h.label, "first_word": h.first_word, "n_words": h.n_words, "edits": h.edits, "score": h.score, "fuzzy": h.fuzzy, "match": b" ".join(words[h.first_word : h.first_word + h.n_words]).decode("utf-8", "replace")} for h in found])
+                hits.append([{"label": h.label, "first_word": h.first_word, "n_words": h.n_words, "edits": h.edits, "score": h.score, "fuzzy": h.fuzzy, "match": b" ".join(words[h.first_word : h.first_word + h.n_words]).decode("utf-8", "replace")} for h in s.scan(joined)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["doc_id", "n_words", "hits"])
 
     schema = docs.select("doc_id").schema.add("n_words", "long")
@@ -151,8 +159,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score). score: the best match's share of unchanged characters, 1 for an exact phrase, else 0."""
-    from pyspark.sql import functions as F
-
     base = F.filter("hits", lambda h: ~h["fuzzy"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda h: h["label"]))), ",")
     return scan(docs).select(

@@ -50,6 +50,12 @@ def test_fuzzy_notices():
         assert s.fuzzy(text.encode()) == []
 
 
+def test_the_closest_of_like_notices_stays():
+    s = license_scan.scanner()
+    for text, labels in [("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}), ("licensed under cc by sa 4 0", {"cc-by-sa"}), ("licensed under the GNU General Public License, version 3", {"gpl-3"}), ("Released under the MIT License. All rights reserved", {"mit", "all-rights-reserved"})]:
+        assert {h.label for h in s.scan(b" ".join(license_scan.normalised(text.encode())))} == labels
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "CC BY-NC cc by nc ccé by nc", 0), (4, "word " * 50_000 + "under the mit license", 0), (None, "under the mit license", 0), (3, "CC BY-NC cc by nc ccé by nc", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
