@@ -17,7 +17,11 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 
 def applied(df: DataFrame, column: str, kernel: Callable[..., np.ndarray], returns: str, *inputs: Column) -> DataFrame:
-    """df with column replaced by kernel over each row's column and inputs (arrays and scalars); a null one gives null."""
+    """df with column replaced by kernel over each row's column and inputs (arrays and scalars); a null one gives null.
+
+    If df has a column `error`, a row that fails has its reason there and null in column; else the job fails.
+    """
+    isolated = "error" in df.columns
     names = [f"_in{i}" for i in range(len(inputs))]
     given = df.withColumns(dict(zip(names, inputs, strict=True))) if inputs else df
     rest = [f for f in df.schema.fields if f.name != column]
@@ -28,11 +32,19 @@ def applied(df: DataFrame, column: str, kernel: Callable[..., np.ndarray], retur
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for row in zip(*(part[c] for c in [column, *names]), strict=True):
-                y = None if any(x is None for x in row) else kernel(*map(matrix, row))
+            out, errors = [], {}
+            for i, row in zip(part.index, zip(*(part[c] for c in [column, *names]), strict=True), strict=True):
+                try:
+                    y = None if any(x is None for x in row) else kernel(*map(matrix, row))
+                except Exception as e:
+                    if not isolated:
+                        raise
+                    y, errors[i] = None, f"{type(e).__name__}: {e}"
                 out.append(list(y) if y is not None and y.ndim > 1 else y)
-            yield part[kept].assign(**{column: pd.Series(out, index=part.index, dtype=object)})
+            done = part[kept].assign(**{column: pd.Series(out, index=part.index, dtype=object)})
+            if errors:
+                done["error"] = [errors.get(i, e) for i, e in zip(done.index, done["error"], strict=True)]
+            yield done
 
     return given.mapInPandas(run, StructType([*rest, StructField(column, _parsed(returns))])).select(*df.columns)
 

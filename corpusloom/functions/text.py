@@ -38,7 +38,7 @@ def mapped_tokens(text: Column, rule: Callable[[Column], Column], first: int = 1
     return F.array_join(F.transform(fields(text), lambda w, i: F.when((i >= first - 1) & (i <= end - 1), rule(w)).otherwise(w)), " ")
 
 
-# Prompt sentences: A-Z lowered, punctuation but apostrophes gone, apostrophes next to white space gone.
+# Fixed values. Prompt sentences: A-Z lowered, punctuation but apostrophes gone, apostrophes next to white space gone.
 PROMPT_RULES = [(r"[^\p{L}\p{N}_\s']", ""), (r"(\s)'", "$1"), (r"'(\s)", "$1")]
 
 
@@ -76,7 +76,7 @@ def telephone_line(text: Column) -> Column:
     return replaced(text, [(r"(?i)(^|\s)\[SILENCE\](\s|$)", "$2"), (r"(?i)\[VOCALIZED-NOISE\]|\[LAUGHTER\]|\[NOISE\]", NOISE), (r"(?i)<B_ASIDE>", ""), (r"(?i)<E_ASIDE>", "")])
 
 
-# Words of telephone transcripts, in order: laughed words, corrected words, partial words, invented words, variants.
+# Fixed values. Words of telephone transcripts, in order: laughed words, corrected words, partial words, invented words, variants.
 WORD_RULES = [
     (r"(?i)^\[LAUGHTER-(.+)\](|-)$", "$1$2"),
     (r"^\[(.+)/.+\](|-)$", "$1$2"),
@@ -102,6 +102,7 @@ def evaluation_line(text: Column) -> Column:
     return replaced(F.lower(text), [(r" \(%.*\)", ""), (r" <.*>", ""), (r"[()]", ""), (r"\s+", " ")])
 
 
+# Fixed values. Noises of conversations.
 CONVERSATION_NOISES = ["laugh", "laughter", "sigh", "cough", "sneeze", "mn", "breath", "lipsmack", "noise"]
 
 

@@ -11,9 +11,9 @@ from ..functions.text import fields
 from ..schema import SPEAKER_TABLES, UTTERANCE_TABLES, DataDir
 from .tables import first_of_key, keep_ids, spk2utt
 
-#: Symbols that a transcript may not hold.
+#: Symbols that a transcript may not hold.
 ILLEGAL = ["<s>", "</s>", "#0"]
-#: White space that a transcript may not hold besides tab, line feed and space.
+#: White space that a transcript may not hold besides tab, line feed and space.
 WHITE = r"[\r\x0B\x0C\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Positive numbers.
 COUNTED = ("utt2num_frames", "utt2dur", "reco2dur")

@@ -10,8 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays, signal, text
+from corpusloom.functions import arrays, signal, text, tokenizers
 from corpusloom.operators import ordered, quality, stats, tables
+from corpusloom.plans import dump
 from corpusloom.plans.pipeline import Pipeline, Transform
 from corpusloom.schema import DataDir
 from corpusloom.sources import archives, corpora, text_tables
@@ -63,7 +64,7 @@ def test_news(spark, line, want):
 
 def test_other_normalisers(spark):
     assert one(spark, text.prompt_sentence(F.lit("It's 'quoted' words, ÉCOLE!"))) == "it's quoted words École"
-    assert one(spark, text.telephone_line(F.lit("[SILENCE] so [laughter] <b_aside>"))) == "so <noise> "
+    assert one(spark, text.telephone_line(F.lit("[SILENCE] so [laughter] <b_aside>"))) == " so <noise> "
     assert one(spark, text.evaluation_line(F.lit("utt A (%UH) B (c) <X> d"))).strip() == "utt a"
     assert one(spark, text.conversation_line(F.lit("[laugh] so [[skip]] [pause]x"))) == "<noise> so  x"
     assert one(spark, text.conversation_line(F.lit("a (( b ))"))) is None
@@ -286,3 +287,27 @@ def test_loader(spark):
         assert l.epoch == 1
     with pytest.raises(ValueError):
         Loader(index, payload, num_replicas=2, rank=2)
+
+
+def test_dump_skips_what_fails(spark):
+    rows = [("u1", [float(i % 9) for i in range(3200)], 16000.0), ("u2", [0.0] * 10, 16000.0), ("u3", [float(i % 9) for i in range(1600)], 8000.0)]
+    df = spark.createDataFrame(rows, "uttid string, x array<double>, rate double")
+    done, failed = dump.dumped(df, Pipeline([{"type": "fbank", "sample_frequency": 16000, "num_mel_bins": 4}]), 16000.0)
+    assert {r.uttid: (len(r.x), r.rate) for r in done.collect()} == {"u1": (18, 100.0), "u3": (18, 100.0)}
+    assert [(r.uttid, "no frame" in r.error) for r in failed.collect()] == [("u2", True)]
+
+
+def test_subword_tokens(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the cat sat", "", "naïve"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    t = tokenizers.Subwords(path)
+    assert [r.x for r in df.select(t.ids(F.col("text")).alias("x")).collect()] == [model.encode(x) for x in texts]
+    assert [r.x for r in df.select(t.text(t.ids(F.col("text"))).alias("x")).collect()] == texts
+    listed = tokenizers.Subwords(path, ["<blank>", "<unk>", "\u2581the", "\u2581cat", "<sos/eos>"])
+    assert [r.x for r in df.select(listed.ids(F.col("text")).alias("x")).collect()][0] == [2, 3, 1] and len(listed) == 5
+    assert df.select(listed.text(F.expr("array(2L, 3L)")).alias("x")).first().x == "the cat"
