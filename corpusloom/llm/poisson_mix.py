@@ -56,8 +56,9 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "mix_source string, w double")
         weighed = sizes.join(given, sizes["mix_source"].eqNullSafe(given["mix_source"]), "left").select(sizes["mix_source"], "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return weighed.crossJoin(F.broadcast(total)).select("mix_source", (F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).alias("mix_rate"))  # one row of totals
+    weighed = checkpointed(weighed)
+    all_n, all_w = weighed.agg(F.sum("n"), F.sum("w")).first()
+    return weighed.select("mix_source", (F.col("w") / F.lit(all_w or 1.0) * F.lit(all_n or 0) / F.col("n")).alias("mix_rate"))
 
 
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -69,7 +70,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     taken = {"rate", "copies", "copy", "shuffle_key"}
     names = [c for c in docs.columns if c not in taken]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    r = checkpointed(rates(docs, weights, alpha, source_col))
+    r = rates(docs, weights, alpha, source_col)
     r = F.broadcast(r) if r.count() <= MAX_BROADCAST else r
     drawn = docs.select(*names).join(r, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("copies", drawn_count(F.col("mix_rate"), F.lit(seed), key))
     copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
