@@ -717,8 +717,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
     normed = stats.apply_cmvn(f, stats.cmvn_stats(f, "key"), "key", variances=True)
     cells = normed.select("key", F.explode("x").alias("v"))
-    return cells.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
+    return cells.groupBy("key").agg(F.count("*").alias("n"), (F.round(F.avg("v"), 6) + F.lit(0.0)).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
 
 
 QUERIES["speaker_summary"] = flagship
-ORACLES["speaker_summary"] = NORM_SQL + "SELECT c.key, count(*) AS n, round(avg((v + bias) * scale), 6) AS mean, round(stddev_pop((v + bias) * scale), 6) AS std FROM c JOIN p ON c.key = p.key AND c.i = p.i GROUP BY c.key"
+ORACLES["speaker_summary"] = NORM_SQL + "SELECT c.key, count(*) AS n, round(avg((v + bias) * scale), 6) + 0.0::DOUBLE AS mean, round(stddev_pop((v + bias) * scale), 6) AS std FROM c JOIN p ON c.key = p.key AND c.i = p.i GROUP BY c.key"
