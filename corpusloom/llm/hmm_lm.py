@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ HEAD = 1 << 16  # bound of the word counts that every task gets
 SMOOTH = 0.1
 SEED = 11
 _FLUSH = 200_000
-_GROUP = 192  # texts that run through the recursions together
+_CELLS, _BUFFER, _LONGEST = 400_000, 2_000_000, 200_000  # of classes: in a group, held by a task, in a training sequence
 END = CLASSES - 1
 
 
@@ -66,60 +67,65 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Recursions:
     """Scaled forward and backward recursions of one model, over groups of class sequences."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit  # (K,), (K, K), (CLASSES, K)
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind: type = np.float64):
+        self.start, self.move, self.emit = (x.astype(kind) for x in (start, move, emit))  # (K,), (K, K), (CLASSES, K)
+        self.kind = kind
 
     @staticmethod
     def groups(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """(positions, lengths, classes by time) of sequences of like length, the longest first."""
-        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        for i in range(0, len(order), _GROUP):
-            at = order[i : i + _GROUP]
+        """(positions, lengths, classes by time) of sequences of like length, the longest first; a group has _CELLS cells, or one sequence."""
+        order, i = sorted(range(len(seqs)), key=lambda k: -len(seqs[k])), 0
+        while i < len(order):
+            at = order[i : i + max(1, _CELLS // len(seqs[order[i]]))]
+            i += len(at)
             n = np.array([len(seqs[j]) for j in at])
-            x = np.full((n[0], len(at)), END, np.int64)
+            x = np.full((n[0], len(at)), END, np.int16)
             for k, j in enumerate(at):
                 x[: n[k], k] = seqs[j]
             yield at, n, x
 
-    def forward(self, n: np.ndarray, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Natural log-likelihoods; if asked for, the scaled forward variables and scales."""
-        live = np.searchsorted(-n, -np.arange(1, len(x) + 1), side="right")  # sequences that reach each time
-        log, a = np.zeros(len(n)), None
-        alphas, scales = ([], []) if keep else (None, None)
-        for t in range(len(x)):
-            m = live[t]
+    @staticmethod
+    def live(n: np.ndarray, steps: int) -> list[int]:
+        """How many sequences, the longest first, reach each time."""
+        return np.searchsorted(-n, -np.arange(1, steps + 1), side="right").tolist()
+
+    def likelihoods(self, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Natural log-likelihoods."""
+        scale, a = np.ones(x.shape, self.kind), None
+        for t, m in enumerate(self.live(n, len(x))):
             a = (self.start if a is None else a[:m] @ self.move) * self.emit[x[t, :m]]
             s = a.sum(axis=1)
             a /= s[:, None]
-            log[:m] += np.log(s)
-            if keep:
-                alphas.append(a), scales.append(s)
-        return log, alphas, scales
+            scale[t, :m] = s
+        return np.log(scale).sum(axis=0, dtype=np.float64)
 
     def expected(self, n: np.ndarray, x: np.ndarray, totals: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Adds the expected counts of starts, moves and emissions to totals; returns the log-likelihood."""
         starts, moves, emits = totals
-        log, alphas, scales = self.forward(n, x, keep=True)
-        k = len(self.start)
-        beta = np.ones((len(alphas[-1]), k))
-        for t in range(len(x) - 1, -1, -1):
-            a = alphas[t]
-            m = len(a)
-            if t + 1 < len(x):
-                after = len(alphas[t + 1])
-                back = self.emit[x[t + 1, :after]] * beta / scales[t + 1][:, None]
-                moves += self.move * (a[:after].T @ back)
-                beta = np.ones((m, k))
-                beta[:after] = back @ self.move.T
-            gamma = a * beta
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            if k * m:
-                for s in range(k):
-                    emits[:, s] += np.bincount(x[t, :m], weights=gamma[:, s], minlength=CLASSES) if m > 64 else 0
-                if m <= 64:
-                    np.add.at(emits, x[t, :m], gamma)
-        starts += gamma.sum(axis=0)
-        return float(log.sum())
+        live, k = self.live(n, len(x)), len(self.start)
+        e = self.emit[x]
+        alpha, scale, a = np.zeros((*x.shape, k), self.kind), np.ones(x.shape, self.kind), None
+        for t, m in enumerate(live):
+            a = (self.start if a is None else a[:m] @ self.move) * e[t, :m]
+            s = a.sum(axis=1)
+            a /= s[:, None]
+            alpha[t, :m], scale[t, :m] = a, s
+        e /= scale[..., None]
+        beta, back = np.ones_like(alpha), self.move.T
+        for t in range(len(x) - 2, -1, -1):
+            m = live[t + 1]
+            after = e[t + 1, :m]
+            after *= beta[t + 1, :m]  # from here on e holds what a move to this time is weighed by
+            beta[t, :m] = after @ back
+        for t, m in enumerate(live):
+            e[t, m:] = 0
+        moves += self.move * (alpha[:-1].reshape(-1, k).T @ e[1:].reshape(-1, k))
+        alpha *= beta
+        at = x.ravel()
+        for s in range(k):
+            emits[:, s] += np.bincount(at, weights=alpha[..., s].ravel(), minlength=CLASSES)
+        starts += alpha[0].sum(axis=0)
+        return float(np.log(scale).sum(dtype=np.float64))
 
 
 def first_guess(states: int = STATES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +136,32 @@ def first_guess(states: int = STATES, seed: int = SEED) -> tuple[np.ndarray, np.
     return np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit
 
 
-def _pieces(classes: np.ndarray, size: int) -> list[np.ndarray]:
-    return [classes[i : i + size] for i in range(0, len(classes), size)]
+def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[np.ndarray]]:
+    """Class sequences of some batches together, _BUFFER classes or so, so that groups have sequences of like length."""
+    held, size = [], 0
+    for b in batches:
+        for raw in b.column(column).to_pylist():
+            held.append(np.frombuffer(raw, "<u2"))
+            size += len(held[-1])
+        if size > _BUFFER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _expectations(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Per task: the sums of expected counts as (index, value) of the tables laid end to end; the log-likelihood comes last."""
+    """Per task: the sums of expected counts as (index, value) of the tables laid end to end; the log-likelihood comes last.
+
+    A sequence over _LONGEST classes trains in pieces, which bounds memory; its likelihood, when scored, is that of the whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Recursions(*model)
+        r = Recursions(*model, kind=np.float32)
         totals = tuple(np.zeros_like(x) for x in model)
         log = 0.0
-        for b in batches:
-            seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
-            for _, n, x in r.groups(seqs):
+        for seqs in _runs(batches):
+            for _, n, x in r.groups([p for s in seqs for p in (s[i : i + _LONGEST] for i in range(0, len(s), _LONGEST))]):
                 log += r.expected(n, x, totals)
         flat = np.concatenate([*(x.ravel() for x in totals), [log]])
         held = np.flatnonzero(flat)
@@ -183,30 +201,30 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
     log_class = np.zeros(CLASSES)  # log10 of n_class + v_class + 1; the end of a text is one word, which is known
     for r in by_class:
         log_class[r["class"]] = math.log10(r.n + r.v + 1)
-    log_class[END] = math.log10(max(1, next((r.n for r in by_class if r["class"] == END), 0)))
-    frequent = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()}
-    ends = frequent.get(b"", 0)
-    table = spark.sparkContext.broadcast(({w: (n, math.log10(n + 1)) for w, n in frequent.items() if w}, log_class))  # at most `head` words
+    top = [r for r in counts.orderBy(F.desc("n"), "word").limit(head).collect() if r.word]
+    ends = next((r.n for r in by_class if r["class"] == END), 0)
+    places = {bytes(r.word): i for i, r in enumerate(top)}
+    table = spark.sparkContext.broadcast((places, np.array([r["class"] for r in top], np.int32), np.array([math.log10(r.n + 1) for r in top]), log_class))  # at most `head` words
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, log_class), classes = table.value, _Classes()
+        (places, head_class, head_log, log_class), classes = table.value, _Classes()
+        place = places.get
         for b in batches:
             out = []
             for t in texts_of(b.column(2)):
                 words = t.lower().split()
-                seq = np.fromiter(map(classes.__getitem__, words), np.uint16, len(words))
-                log, n, tail = 0.0, 0, {}
-                for w, times in Counter(words).items():
-                    hit = known.get(w)
-                    if hit is None:
-                        tail[w] = times
-                    else:
-                        log += times * hit[1]
-                        n += times
-                out.append((np.append(seq, np.uint16(END)).astype("<u2").tobytes(), len(words) + 1, log, n, float(log_class[seq].sum()), list(tail), list(tail.values())))
+                at = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
+                outside = np.flatnonzero(at < 0).tolist()
+                known = at[at >= 0]
+                seq = np.full(len(words) + 1, END, np.uint16)
+                seq[:-1][at >= 0] = head_class[known]
+                rest = [words[i] for i in outside]
+                seq[outside] = [classes[w] for w in rest]
+                tail = Counter(rest)
+                out.append((seq.astype("<u2").tobytes(), len(words) + 1, float(head_log[known].sum()), len(known), float(log_class[seq[:-1]].sum()), list(tail), list(tail.values())))
             if out:
                 c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.list_(pa.binary())), pa.array(c[6], pa.list_(pa.int32()))], ["doc_id", "held_out", "seq", "n_tokens", "head_log", "head_n", "class_log", "tail", "times"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.list_(pa.binary())), pa.array(c[6], pa.list_(pa.int32()))], ["doc_id", "held_out", "seq", "n_tokens", "head_log", "head_n", "class_log", "tail", "times"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     kept = rows.mapInArrow(prepared, f"doc_id {id_type}, held_out boolean, seq binary, n_tokens long, head_log double, head_n long, class_log double, tail array<binary>, times array<int>")
@@ -222,7 +240,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
             seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
             log = np.zeros(len(seqs))
             for at, n, x in r.groups(seqs):
-                log[at] = r.forward(n, x)[0]
+                log[at] = r.likelihoods(n, x)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(log / math.log(10))], ["row", "doc_id", "held_out", "n_tokens", "head_log", "head_n", "class_log", "hmm"])
 
     hmm = kept.select("seq", "row", "doc_id", "held_out", "n_tokens", "head_log", "head_n", "class_log").mapInArrow(likelihoods, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, head_log double, head_n long, class_log double, hmm double")
