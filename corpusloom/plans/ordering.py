@@ -6,6 +6,7 @@ partition plus the rows of the partitions before. Only one count a partition pas
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,7 @@ def reliable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(base)
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint(eager=True)
 
 

@@ -15,10 +15,10 @@ def keyed(line: Column) -> Column:
 
 
 def read_keyed(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """(key, value) of a file or folder; with `ordered`, ord is the number of the line. Blank lines are no rows."""
+    """(key, value) of a file or folder; with `ordered`, ord grows with the line (it has gaps between parts of a file). Blank lines are no rows."""
     lines = spark.read.text(path)
     if ordered:
-        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
+        lines = lines.withColumn("ord", F.monotonically_increasing_id())
     rows = lines.where(F.trim("value") != "").select(keyed(F.col("value")).alias("kv"), *(["ord"] if ordered else []))
     return rows.select("kv.key", "kv.value", *(["ord"] if ordered else []))
 
