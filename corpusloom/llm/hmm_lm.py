@@ -201,7 +201,14 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
     log_class = np.zeros(CLASSES)  # log10 of n_class + v_class + 1; the end of a text is one word, which is known
     for r in by_class:
         log_class[r["class"]] = math.log10(r.n + r.v + 1)
-    top = [r for r in counts.orderBy(F.desc("n"), "word").limit(head).collect() if r.word]
+    # the most frequent words by steps of an eighth of an octave, as many whole steps as the head has room for
+    step = F.floor(F.log2("n") * 8)
+    room, cut = head, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect():  # some hundred rows
+        if r.v > room:
+            break
+        room, cut = room - r.v, r.step
+    top = [] if cut is None else [r for r in counts.where(step >= F.lit(cut)).collect() if r.word]
     ends = next((r.n for r in by_class if r["class"] == END), 0)
     places = {bytes(r.word): i for i, r in enumerate(top)}
     table = spark.sparkContext.broadcast((places, np.array([r["class"] for r in top], np.int32), np.array([math.log10(r.n + 1) for r in top]), log_class))  # at most `head` words
