@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,25 @@ def per_row(make: Callable[[], Callable[..., dict | None]], schema: pa.Schema) -
     return run
 
 
+def packed(df: DataFrame, column: str) -> DataFrame:
+    """df with a text column as zstd-compressed bytes, for joins that move whole texts; unpacked() gives the UTF-8 bytes back."""
+    names = df.columns
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            small = pa.array([None if x is None else z.compress(x) for x in b.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(b.columns)], names)
+
+    return df.mapInArrow(run, StructType([StructField(f.name, BinaryType()) if f.name == column else f for f in df.schema.fields]))
+
+
+def unpacked(column: pa.Array) -> list[bytes | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if x is None else z.decompress(x) for x in column.to_pylist()]
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

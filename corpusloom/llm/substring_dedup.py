@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
+from .common import packed, small_batches, texts_of, unpacked, written
 
 WINDOW, GRAM = 50, 12
 BATCHES, FAN_IN = 3, 2
@@ -106,7 +106,7 @@ def _starts(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, k, t, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for d, k, t, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unpacked(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 w = Words(t, window)
                 at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b, strict=True)]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), k)), pa.array(w.hashes(_B1, at, window).view(np.int64)), pa.array(w.hashes(_B2, at, window).view(np.int64)), pa.array(at.astype(np.int32))], schema=STARTS)
@@ -115,7 +115,7 @@ def _starts(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of first occurrences; add() takes batches of ascending doc_id."""
+    """Sorted immutable runs of first occurrences; add() takes batches of ascending doc_id. A batch that none will follow need not be kept."""
 
     def __init__(self, fan_in: int = FAN_IN):
         self.runs: list[DataFrame] = []
@@ -124,7 +124,7 @@ class FingerprintIndex:
     def history(self) -> DataFrame | None:
         return reduce(DataFrame.unionByName, self.runs) if self.runs else None
 
-    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def add(self, batch: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
         """(repeats, doubtful): spans of the batch that are repeats as a whole; spans, old and new, that share a minimizer and are to be verified."""
         name = ["m", "h1", "h2"]
         first = batch.groupBy(*name).agg(F.min("doc_id").alias("first_id"))
@@ -139,7 +139,8 @@ class FingerprintIndex:
         pool = new if old is None else new.unionByName(old.select(*new.columns))
         shared = pool.groupBy("m", F.xxhash64("m")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
         doubtful = written(pool.join(shared, "m", "left_semi").select(*KEY, "a", "b"), "doubtful")
-        self._append(new)
+        if keep:
+            self._append(new)
         return repeats, doubtful
 
     def _append(self, new: DataFrame) -> None:
@@ -163,10 +164,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     spans = written(keyed.mapInArrow(_spans(window, gram), "doc_id long, text_key long, m long, h1 long, h2 long, a int, b int").withColumn("batch", number), "fingerprints", "batch")
     index, repeats, doubtful = FingerprintIndex(fan_in), [], []
     for i in range(batches):
-        r, d = index.add(spans.where(F.col("batch") == i).drop("batch"))
+        r, d = index.add(spans.where(F.col("batch") == i).drop("batch"), keep=i + 1 < batches)
         repeats.append(r), doubtful.append(d)
     lists = reduce(DataFrame.unionByName, doubtful).distinct().groupBy(*KEY).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    starts = written(keyed.join(lists, KEY).select(*KEY, "text", "a", "b").mapInArrow(_starts(window), "doc_id long, text_key long, w1 long, w2 long, a int"), "windows")
+    starts = written(packed(keyed, "text").join(lists, KEY).select(*KEY, "text", "a", "b").mapInArrow(_starts(window), "doc_id long, text_key long, w1 long, w2 long, a int"), "windows")
     first = starts.groupBy("w1", "w2", F.xxhash64("w1", "w2")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("w1", "w2", "first_id")
     verified = starts.join(first, ["w1", "w2"]).where("first_id < doc_id").select(*KEY, "a", F.col("a").alias("b"))
     return reduce(DataFrame.unionByName, [*repeats, verified]).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -186,7 +187,7 @@ def _with_ranges(docs: DataFrame, **options) -> DataFrame:
     found = repeated_windows(docs, **options)
     names = [c for c in docs.columns if c not in ("text_key", "ranges")]
     keyed = docs.select(*names, F.xxhash64("text").alias("text_key"))
-    return keyed.join(found.withColumnRenamed("doc_id", "found_id").withColumnRenamed("text_key", "found_key"), (F.col("doc_id").cast("long") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left").select(*names, "ranges")
+    return packed(keyed, "text").join(found.withColumnRenamed("doc_id", "found_id").withColumnRenamed("text_key", "found_key"), (F.col("doc_id").cast("long") == F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left").select(*names, "ranges")
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -198,7 +199,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [t.split() for t in texts_of(b.column(1))]
+            words = [(t or b"").split() for t in unpacked(b.column(1))]
             kept = [_kept(w, r, window) for w, r in zip(words, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -218,10 +219,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
         at = names.index("text")
         for b in batches:
             ranges = b.column(len(names)).to_pylist()
-            texts = b.column(at).to_pylist()
-            out = [t if not r else b" ".join(_kept(t.encode().split(), r, window)).decode() for t, r in zip(texts, ranges, strict=True)]
+            out = [t if not r else b" ".join(_kept(t.split(), r, window)) for t, r in zip(unpacked(b.column(at)), ranges, strict=True)]
             live = pa.array([not r or bool(t) for t, r in zip(out, ranges, strict=True)])
-            cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
+            cols = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(cols, names).filter(live)
 
     out = marked.mapInArrow(run, docs.schema)

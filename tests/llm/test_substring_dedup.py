@@ -77,3 +77,19 @@ def test_spans_cover_all_windows_and_name_their_words(words):
     for i in starts:
         for j in starts:
             assert (h[i] == h[j]) == (words[i : i + 8] == words[j : j + 8])
+
+
+def test_index_over_batches_that_arrive(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join(words[d * 7 : d * 7 + 120])) for d in range(40)]
+    spans = substring_dedup._spans(50, 12)
+    index = substring_dedup.FingerprintIndex()
+    seen = set()
+    for part in (rows[:10], rows[10:15], rows[15:16], rows[16:]):
+        df = spark.createDataFrame([(d, d, t) for d, t in part], "doc_id long, text_key long, text string")
+        repeats, doubtful = index.add(df.mapInArrow(spans, "doc_id long, text_key long, m long, h1 long, h2 long, a int, b int"))
+        first = {r.doc_id for r in repeats.collect()} | {r.doc_id for r in doubtful.collect()}
+        assert {d for d, _ in part if d} <= first  # each shares windows with the one before it
+        seen |= {d for d, _ in part}
+        run = index.history().toPandas()
+        assert len(index.runs) == 1 and not run.duplicated(["m", "h1", "h2"]).any() and set(run.doc_id) <= seen
