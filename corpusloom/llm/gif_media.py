@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ def padded(payload: bytes) -> bytes:
     return payload + b"\0" * ((-len(payload)) % WIDTH if payload else WIDTH)
 
 
-def _widths(first: int, bits: int, lag: int) -> np.ndarray:
-    """Bits of the i-th code after a clear code. Each code but the first adds an entry; the width grows when the table has filled it. lag: entries the reader is behind by."""
-    size = first + np.maximum(np.arange(MAX_CODE) - lag, 0)
-    return np.clip(np.floor(np.log2(np.maximum(size, 1))).astype(np.int64) + 1, bits + 1, 12)
+@lru_cache(maxsize=16)
+def _widths(bits: int, full: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of the i-th code after a clear code, where each begins). Each code but the first adds an entry; the width grows when the table has filled it, to 12 bits."""
+    size = (1 << bits) + 2 + np.maximum(np.arange(MAX_CODE) - 1, 0)
+    w = np.full(MAX_CODE, 12, np.int64) if full else np.clip(np.floor(np.log2(size)).astype(np.int64) + 1, bits + 1, 12)
+    return w, np.cumsum(w) - w
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
@@ -42,30 +45,27 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     clear, end = 1 << bits, (1 << bits) + 1
     blocks: list[list[int]] = []
     table: dict[int, int] = {}
-    codes, free, prefix = [], end + 1, -1
+    codes, free = [], end + 1
     get, add = table.get, codes.append
-    for b in data:
-        if prefix < 0:
-            prefix = b
-            continue
+    rest = iter(data)
+    prefix = next(rest, -1)
+    for b in rest:
         key = prefix << 8 | b
-        known = get(key)
-        if known is not None:
-            prefix = known
-            continue
-        add(prefix)
-        table[key] = free
-        free += 1
-        prefix = b
-        if free == MAX_CODE:  # the prefix at hand is still to come, as the first code after the clear code
-            blocks.append(codes)
-            codes, free = [], end + 1
-            add = codes.append
-            table.clear()
+        prefix = get(key)
+        if prefix is None:
+            add(key >> 8)
+            table[key] = free
+            free += 1
+            prefix = b
+            if free == MAX_CODE:  # the prefix at hand is still to come, as the first code after the clear code
+                blocks.append(codes)
+                codes, free = [], end + 1
+                add = codes.append
+                table.clear()
     if prefix >= 0:
         add(prefix)
     blocks.append(codes)
-    widths = _widths(end + 1, bits, 1)
+    widths, _ = _widths(bits)
     out_codes, out_bits = [np.array([clear])], [np.array([bits + 1])]
     for i, block in enumerate(blocks):
         last = end if i == len(blocks) - 1 else clear
@@ -84,50 +84,60 @@ def _pack_bits(codes: np.ndarray, bits: np.ndarray) -> bytes:
     return out[: (at[-1] + 7) // 8].tobytes()
 
 
+def _strings(codes: np.ndarray, clear: int) -> tuple[bytes, bool]:
+    """The indices that a run of codes after a clear code stands for, and whether it is sound up to its end.
+
+    The j-th table entry is the string of the j-th code and the first index of the next one. So each code's string is a chain of
+    entries that ends in a root; chains are followed for all codes at once.
+    """
+    at = np.arange(len(codes))
+    parent = np.where(codes < clear, -1, codes - clear - 2)
+    wrong = np.flatnonzero(parent >= at)
+    if len(wrong):
+        codes, at, parent = codes[: wrong[0]], at[: wrong[0]], parent[: wrong[0]]
+    root, depth = np.where(parent < 0, at, parent), (parent >= 0).astype(np.int64)
+    while (depth[root] > 0).any():
+        depth += depth[root]
+        root = root[root]
+    first = codes[root]
+    last = np.where(parent < 0, codes, first[np.minimum(parent + 1, max(0, len(at) - 1))])
+    end = np.cumsum(depth + 1)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    now, place = at, end - 1
+    while len(now):
+        out[place] = last[now]
+        now = parent[now]
+        more = now >= 0
+        now, place = now[more], place[more] - 1
+    return out.tobytes(), not len(wrong)
+
+
 def lzw_decode(stream: bytes, bits: int) -> bytes:
     """The indices of a code stream. A damaged or short stream gives what it holds up to there."""
     clear, end = 1 << bits, (1 << bits) + 1
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     raw = np.frombuffer(stream + b"\0" * 4, np.uint8).astype(np.uint32)
-    total, at, out = 8 * len(stream), 0, []
-    widths = _widths(end + 1, bits, 1)
-    ends = np.cumsum(widths)
-    full = np.full(MAX_CODE, 12, np.int64)
-    first_block = True
+    total, at, out, run = 8 * len(stream), 0, [], []
     while at < total:
-        # the codes up to the next clear code: their widths follow from their number alone
-        w, stop = widths, at + ends
-        if not first_block:
-            w = full
-            stop = at + np.cumsum(full)
-        n = int(np.searchsorted(stop, total, side="right"))
-        start = stop[:n] - w[:n]
+        # widths follow from the codes' number since the last clear code; a table that is full stays so, at 12 bits
+        w, begin = _widths(bits, bool(run))
+        n = int(np.searchsorted(begin, total - at - bits, side="left"))  # codes that begin before the end; the last may be cut
+        n -= bool(n and at + begin[n - 1] + w[n - 1] > total)
+        w, start = w[:n], at + begin[:n]
         byte = start >> 3
-        codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (start & 7).astype(np.uint32)) & ((1 << w[:n]) - 1).astype(np.uint32)
+        codes = (((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (start & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)).astype(np.int64)
         special = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(special[0]) if len(special) else n
-        if first_block:
-            table, prev = list(roots), b""
-        push, emit = table.append, out.append
-        for code in codes[:upto].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and prev:
-                entry = prev + prev[:1]
-            else:
-                return b"".join(out)
-            emit(entry)
-            if prev and len(table) < MAX_CODE:
-                push(prev + entry[:1])
-            prev = entry
-        if upto == n:
-            if n < MAX_CODE:
-                break
-            at, first_block = int(stop[n - 1]), False  # the table is full and stays: codes of 12 bits go on
+        run.append(codes[:upto])
+        if not len(special) and n == MAX_CODE:
+            at = int(start[-1] + w[-1])
             continue
-        at, first_block = int(stop[upto]), True
-        if codes[upto] == end:
-            break
+        part, sound = _strings(np.concatenate(run), clear)
+        out.append(part)
+        if not sound or not len(special) or codes[upto] == end:
+            return b"".join(out)
+        run, at = [], int(start[upto] + w[upto])
+    if run:
+        out.append(_strings(np.concatenate(run), clear)[0])
     return b"".join(out)
 
 
@@ -135,10 +145,13 @@ def _sub_blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(p := data[i : i + 255])]) + p for i in range(0, len(data), 255)) + b"\0"
 
 
+_GREYS = bytes(v for g in range(256) for v in (g, g, g))
+
+
 def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_cs: int = DELAY_CS) -> bytes:
     """A GIF of 256 greys whose frames hold the payload, a positive multiple of `width` bytes."""
     height = len(payload) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(height, rows), 0xF7, 0, 0), bytes(v for g in range(256) for v in (g, g, g))]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(height, rows), 0xF7, 0, 0), _GREYS]
     for top in range(0, height, rows):
         part = payload[top * width : (top + rows) * width]
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay_cs, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _sub_blocks(lzw_encode(part))]
