@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
+from .common import packed, small_batches, texts_of, unpacked, written
 
 MIN_PAGES = 4  # a template subtree is on so many pages of its host at least,
 MIN_SHARE = 0.02  # and on this share of them
@@ -141,7 +141,7 @@ def subtrees(page: str) -> tuple[int, list[int]]:
         inside = inside or id(n) in own
         if n.tag and id(n) not in own and _may_be_template(n, inside):
             found.add(n.hash)
-        todo.extend((p, inside) for p in n.parts if isinstance(p, Node))
+        todo.extend((p, inside) for p in n.parts if isinstance(p, Node) and p.tag not in _HIDDEN)  # hidden elements go anyhow
     return xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles or [root])), sorted(found)
 
 
@@ -245,15 +245,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     Null or empty html: an empty text. Null url: all such pages are one site. Repeated rows count as pages of their host and each get their text.
     Pages of any length or depth are read as a whole. An empty table gives an empty result. Columns besides page_id, url and html are not read.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession, 200)
     rows = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page_key"), host(F.col("url")).alias("host"))
     found = templates(rows, min_pages, min_share)
     # repeated rows share a key and so their subtrees
-    joined = rows.select("page_id", "url", "html", "page_key").join(found, "page_key", "left").select("page_id", "url", "html", "template")
+    joined = packed(rows.select("page_id", "url", "html", "page_key"), "html").join(found, "page_key", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(t.decode("utf-8", "replace"), {h & (1 << 64) - 1 for h in known or ()}) for t, known in zip(texts_of(b.column(2)), b.column(3).to_pylist(), strict=True)]
+            text = [main_text((t or b"").decode("utf-8", "replace"), {h & (1 << 64) - 1 for h in known or ()}) for t, known in zip(unpacked(b.column(2)), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
