@@ -65,7 +65,7 @@ def test_news(spark, line, want):
 def test_other_normalisers(spark):
     assert one(spark, text.prompt_sentence(F.lit("It's 'quoted' words, ÉCOLE!"))) == "it's quoted words École"
     assert one(spark, text.telephone_line(F.lit("[SILENCE] so [laughter] <b_aside>"))) == " so <noise> "
-    assert one(spark, text.evaluation_line(F.lit("utt A (%UH) B (c) <X> d"))).strip() == "utt a"
+    assert one(spark, text.evaluation_line(F.lit("utt A (%UH) B (c) <X> d"))).strip() == "utt a d"
     assert one(spark, text.conversation_line(F.lit("[laugh] so [[skip]] [pause]x"))) == "<noise> so  x"
     assert one(spark, text.conversation_line(F.lit("a (( b ))"))) is None
     m = F.create_map(*(F.lit(x) for x in ("I", "i.", "B", "b.", "M", "m.", "IBM", "i._b._m.")))
