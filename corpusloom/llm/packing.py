@@ -31,7 +31,8 @@ class Tokenizer:
     """ids of the tokenizers file at `path`.
 
     Byte-level BPE works on one pre-token at a time, so the file's vocabulary is given to tiktoken's merge loop, which
-    does the same merges at a lower cost; equality with the tokenizers library is a test.
+    does the same merges at a lower cost; equality with the tokenizers library is a test. A text that holds one of the
+    file's added tokens is left to the library, which maps the token to its one id.
     """
 
     def __init__(self, path: str):
@@ -41,10 +42,13 @@ class Tokenizer:
 
         file, byte_of = tokenizers.Tokenizer.from_file(path), _byte_alphabet()
         special = file.get_added_tokens_decoder()
+        self.file, self.added = file, [t.content for t in special.values()]
         ranks = {bytes(byte_of[c] for c in t): i for t, i in file.get_vocab(with_added_tokens=False).items() if i not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
 
 

@@ -54,3 +54,9 @@ def test_neighbours_are_ranked_by_bm25():
     assert list(packing.Shard(docs, idf, 4.0).neighbours(0)) == [0, 1, 2]
     order = [d for d, *_ in packing.fill([4, 4, 4, 4], packing.Shard(docs, idf, 4.0).neighbours, 12)]
     assert order == [0, 1, 2, 3]
+
+
+def test_added_tokens_have_one_id(spark):
+    rows = [(1, "first part <|endoftext|> second part"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext| >")]
+    assert whole(rows)[1].tolist().count(50256) == 1
+    check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), whole(rows))
