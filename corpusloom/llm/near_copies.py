@@ -1,0 +1,93 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+80 MinHashes of a text make 20 band keys of four; a pair at 0.8 shares none of them in (1 - 0.8 ** 4) ** 20 = 2.7e-5 of
+cases. Texts with one set are one node. In buckets of up to SMALL nodes all pairs are candidates; in larger ones each
+node meets PIVOTS of the bucket, so that candidates grow with the rows and not with the square of a group. Each
+candidate is verified on the sets themselves. What this may miss are links of a large bucket that no pivot is part of.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches, texts_of, unpacked, written
+from .connected import components
+
+SHINGLE, MIN_JACCARD = 5, 0.8
+BANDS, ROWS = 20, 4
+SMALL, PIVOTS = 16, 4
+_MIX = np.random.RandomState(42).randint(0, 1 << 63, (BANDS * ROWS, 2), np.int64).astype(np.uint64)
+
+
+def shingles(text: bytes) -> set[bytes]:
+    """Word shingles without repeats, words as in simhash.fingerprint; a shorter text is one shingle."""
+    words = text.lower().split()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))) or {b" ".join(words)}
+
+
+def signature(text: bytes) -> tuple[int, list[int]]:
+    """(hash of the set of shingles, band keys), signed."""
+    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.dtype("<u8")))
+    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        np.minimum(least, ((h[None, i : i + (1 << 12)] ^ _MIX[:, :1]) * (_MIX[:, 1:] | np.uint64(1))).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), seed=b) for b, row in enumerate(least.reshape(BANDS, ROWS))]
+    signed = np.array([xxhash.xxh64_intdigest(h.tobytes()), *keys], np.uint64).view(np.int64).tolist()
+    return signed[0], signed[1:]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        texts = texts_of(b.column(1))
+        fps, keys = zip(*map(signature, texts), strict=True) if texts else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(z.compress, texts), pa.binary())], ["doc_id", "fp", "keys", "z"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = lru_cache(maxsize=16)(shingles)
+    for b in batches:
+        found = []
+        for one, two in zip(unpacked(b.column(2)), unpacked(b.column(3)), strict=True):
+            x, y = of(one), shingles(two)
+            both = len(x & y)
+            found.append(both >= MIN_JACCARD * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "other"]).filter(pa.array(found, pa.bool_()))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """Verified links (node, other) between the fp of `rows`, which have fp, keys and z (text, compressed)."""
+    buckets = rows.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
+    buckets = written(buckets, "bands")
+    seeds = [F.struct(F.xxhash64("fp", F.lit(i)).alias("h"), F.col("fp").alias("fp")) for i in range(PIVOTS)]
+    sizes = buckets.groupBy("key", F.xxhash64("key")).agg(F.count("*").alias("n"), *(F.min(s).alias(f"p{i}") for i, s in enumerate(seeds))).where("n > 1")
+    shared = written(sizes.select("key", "n", F.array(*(F.col(f"p{i}.fp") for i in range(PIVOTS))).alias("pivots")), "buckets")
+    small = buckets.join(shared.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    pairs = small.select(F.explode("fps").alias("node"), "fps").select("node", F.explode("fps").alias("other"))
+    large = buckets.join(shared.where(F.col("n") > SMALL).select("key", "pivots"), "key").select(F.col("fp").alias("node"), F.explode("pivots").alias("other"))
+    pairs = pairs.unionAll(large).where("node <> other").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
+    pairs = written(pairs, "pairs")
+    named = pairs.select("node").unionAll(pairs.select("other")).distinct().withColumnRenamed("node", "fp")
+    texts = written(rows.select("fp", "z").join(named, "fp", "left_semi").groupBy("fp").agg(F.first("z").alias("z")), "candidates")
+    joined = pairs.join(texts.select(F.col("fp").alias("other"), F.col("z").alias("zo")), "other").join(texts.select(F.col("fp").alias("node"), F.col("z").alias("zn")), "node")
+    return joined.select("node", "other", "zo", "zn").mapInArrow(_verified, "node long, other long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near copies, joined over links, the row with the smallest id. Rows that repeat a doc_id count once; a row without id stays."""
+    small_batches(docs.sparkSession)
+    named = docs.where(F.col(id_col).isNotNull())
+    rows = named.select(F.col(id_col).cast("long"), text_col).mapInArrow(_signatures, "doc_id long, fp long, keys array<long>, z binary")
+    rows = written(rows, "near")
+    comp = components(links(rows), "node", "other").withColumnRenamed("node", "fp")
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    kept = firsts.join(comp, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias(id_col)).select(id_col).distinct()
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

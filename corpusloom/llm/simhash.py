@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of, written
 from .connected import components
+from .near_copies import keep_one as keep_one  # the pipeline's stage
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 32), (32, 64))
@@ -80,10 +81,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(named, max_bits), "node", "other")
     groups = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their group: one of each group. Rows that repeat a doc_id count once; a row without id stays."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

@@ -1,0 +1,53 @@
+import itertools
+import random
+
+import duckdb
+
+from corpusloom.llm import near_copies
+
+SF = "/root/testdata/sf0.001"
+
+
+def near(x, y):
+    x, y = ({*zip(*(t.lower().split()[i:] for i in range(5)), strict=False)} for t in (x, y))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def kept(spark, rows):
+    return sorted(r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(7)
+    rows = []
+    for d, t in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' where length(text) > 600 order by doc_id limit 60").fetchall():
+        words = t.split()
+        for i in rng.sample(range(len(words)), max(1, len(words) // 100)):
+            words[i] = f"edit{i}"
+        rows += [(d, t), (d + 1_000_000, " ".join(words))]
+    copies = [(a, b) for a, b in zip(rows[::2], rows[1::2], strict=True) if near(a[1], b[1])]
+    assert len(copies) > 50
+    left = kept(spark, rows)
+    assert not {b[0] for _, b in copies} & {*left}
+
+
+def test_table_against_brute_force(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' where len(string_split(text, ' ')) > 5").fetchall()
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        if near(x, y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    assert kept(spark, rows) == sorted(d for d in root if root[d] == d)
+
+
+def test_large_group(spark):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(200)]
+    assert kept(spark, [*rows, (1000, "one two three four five six")]) == [0, 1000]
