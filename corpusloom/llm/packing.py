@@ -23,7 +23,7 @@ from .common import small_batches, texts_of, written
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 12  # a seed's terms of highest weight
+DENSE_SHARE = 8  # terms in more than one document of so many have a column
 K1, B = 1.2, 0.75
 
 
@@ -107,26 +107,39 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         terms, owners, counts = [], [], []
-        self.query = []
         for i, ids in enumerate(docs):
             t, c = np.unique(ids[:-1], return_counts=True)
             terms.append(t), owners.append(np.full(len(t), i, np.int32)), counts.append(c)
-            w = idf[t]
-            self.query.append(t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
-        t, o, c = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
+        self.query = [x.astype(np.int64) for x in terms]
+        t, o, c = np.concatenate(terms).astype(np.int64), np.concatenate(owners), np.concatenate(counts)
         order = np.argsort(t, kind="stable")
-        t, self.owner, c = t[order], o[order], c[order].astype(np.float32)
-        length = np.array([len(x) for x in docs], np.float32)[self.owner]
-        self.weight = idf[t].astype(np.float32) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean_length))
-        self.first = np.searchsorted(t, np.arange(len(idf) + 1))
+        t, o, c = t[order], o[order], c[order].astype(np.float32)
+        length = np.array([len(x) for x in docs], np.float32)[o]
+        weight = idf[t].astype(np.float32) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean_length))
+        df = np.bincount(t, minlength=len(idf))
+        common = df * DENSE_SHARE > len(docs)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        # common terms: a matrix of at most DENSE_SHARE numbers a posting; the others: lists
+        self.dense = np.zeros((len(docs), int(common.sum())), np.float32)
+        held = common[t]
+        self.dense[o[held], self.column[t[held]]] = weight[held]
+        self.owner, self.weight = o[~held], weight[~held]
+        self.first = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
         self.size = len(docs)
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for all terms of the seed."""
+        t = self.query[seed]
+        at = self.column[t]
+        asked = np.zeros(self.dense.shape[1], np.float32)
+        asked[at[at >= 0]] = 1
+        first, n = self.first[t], self.first[t + 1] - self.first[t]
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.dense @ asked + np.bincount(self.owner[places], self.weight[places], self.size)
+
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best first (ties by position)."""
-        score = np.zeros(self.size, np.float32)
-        for t in self.query[seed]:
-            at = slice(self.first[t], self.first[t + 1])
-            score[self.owner[at]] += self.weight[at]
+        """Documents that share a term with the seed, best first (ties by position)."""
+        score = self.scores(seed)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 

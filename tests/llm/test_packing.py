@@ -60,3 +60,30 @@ def test_added_tokens_have_one_id(spark):
     rows = [(1, "first part <|endoftext|> second part"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext| >")]
     assert whole(rows)[1].tolist().count(50256) == 1
     check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), whole(rows))
+
+
+def brute_scores(docs, seed, idf, mean):
+    terms = set(docs[seed][:-1].tolist())
+    out = []
+    for x in docs:
+        t, c = np.unique(x[:-1], return_counts=True)
+        out.append(sum(float(idf[i]) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean)) for i, n in zip(t.tolist(), c.tolist(), strict=True) if i in terms))
+    return np.array(out)
+
+
+def table_ids(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    docs = [np.array(x) for x in whole([tuple(r) for r in rows]).values()]
+    df = np.zeros(1 << 16)
+    for x in docs:
+        df[np.unique(x)] += 1
+    return docs, np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32), sum(map(len, docs)) / len(docs)
+
+
+def test_recall_against_all_terms(spark):
+    docs, idf, mean = table_ids(spark)
+    shard, found, seeds = packing.Shard(docs, idf, mean), 0, [i for i in range(0, len(docs), 5) if len(docs[i]) > 50]
+    for i in seeds:
+        best = [d for d in np.argsort(-brute_scores(docs, i, idf, mean), kind="stable") if d != i][:10]
+        found += len({*best} & {*[d for d in shard.neighbours(i) if d != i][:10]})
+    assert found >= 0.99 * 10 * len(seeds)
