@@ -1,7 +1,8 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-Every document is tokenized once; its ids and an end id are dealt to shards of about SHARD_TOKENS tokens by a hash of
-the row. Each shard builds an inverted index of its documents with BM25 weights, whose document frequencies, number of
+Every document is tokenized once; its ids and an end id are dealt to shards of about SHARD_TOKENS tokens by a tree of
+cuts, so that lexical neighbours meet: the tree is grown on a sample of the documents' weighted terms, projected to DIMS
+numbers, and a leaf that no cut divides (copies) is dealt by a hash of the row. Each shard builds an inverted index of its documents with BM25 weights, whose document frequencies, number of
 documents and mean length are those of the whole corpus. A seed, the next unused document, asks the index for unused
 neighbours; they fill its window greedily, and the last is cut where the window ends. What is left of it is the next
 seed. So only the last window of a shard is not full.
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ WINDOW, END_ID = 2048, 1
 SHARD_TOKENS = 1_000_000
 DENSE_SHARE = 8  # terms in more than one document of so many have a column
 K1, B = 1.2, 0.75
+DIMS = 256
+SAMPLE, SAMPLE_MAX = 64, 60_000  # sampled documents a shard, and in all
 
 
 class Tokenizer:
@@ -175,6 +179,102 @@ def fill(lengths: list[int], neighbours, window: int) -> Iterator[tuple[int, int
             used[d], start = True, 0
 
 
+@lru_cache(maxsize=2)
+def _directions(terms: int) -> np.ndarray:
+    """A random direction for each term."""
+    return np.random.RandomState(3).choice(np.array([-1, 1], np.float32), (terms, DIMS))
+
+
+def vector(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The document's terms, weighted by idf and a damped count, projected and of length one."""
+    t, c = np.unique(ids[:-1], return_counts=True)
+    v = (idf[t] * c * (K1 + 1) / (c + K1)).astype(np.float32) @ _directions(len(idf))[t] if len(t) else np.zeros(DIMS, np.float32)
+    return v / max(1e-9, float(np.linalg.norm(v)))
+
+
+class Tree:
+    """Cuts that divide a weighted sample into leaves of about `limit`; a leaf has parts, which a hash deals."""
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray, limit: float):
+        self.cuts: list[tuple[np.ndarray, float, int, int]] = []  # direction, threshold, below and above: a cut, or ~leaf
+        self.leaves: list[tuple[int, int]] = []  # first shard, parts
+        self.shards = 0
+        self.root = self._grow(points, weights, limit)
+
+    def _grow(self, x: np.ndarray, w: np.ndarray, limit: float) -> int:
+        found = _cut(x, w) if w.sum() > limit else None
+        if found is None:
+            parts = max(1, -(-int(w.sum()) // max(1, int(limit))))
+            self.leaves.append((self.shards, parts))
+            self.shards += parts
+            return ~(len(self.leaves) - 1)
+        direction, at = found
+        low, here = x @ direction <= at, len(self.cuts)
+        self.cuts.append((direction, at, 0, 0))
+        self.cuts[here] = (direction, at, self._grow(x[low], w[low], limit), self._grow(x[~low], w[~low], limit))
+        return here
+
+    def shard(self, x: np.ndarray, row_key: int) -> int:
+        n = self.root
+        while n >= 0:
+            direction, at, below, above = self.cuts[n]
+            n = below if x @ direction <= at else above
+        first, parts = self.leaves[~n]
+        return first + row_key % parts
+
+
+def _cut(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Between two means if each side has a seventh of the weight, else the widest gap in the middle half of it; None if all points are one."""
+    d = x - np.average(x, axis=0, weights=w)
+    if float(np.abs(d).max(initial=0)) < 1e-4:
+        return None
+    side = d @ d[int(np.argmax((d * d).sum(axis=1)))] > 0
+    direction, one, two = np.zeros(x.shape[1], np.float32), x[0], x[0]
+    for _ in range(12):
+        if side.all() or not side.any():
+            break
+        one, two = np.average(x[side], axis=0, weights=w[side]), np.average(x[~side], axis=0, weights=w[~side])
+        direction = (one - two).astype(np.float32)
+        side = x @ direction > (one + two) @ direction / 2
+    p = x @ direction
+    if 1 / 7 <= w[~side].sum() / w.sum() <= 6 / 7:
+        return direction, float((one + two) @ direction / 2)
+    order = np.argsort(p, kind="stable")
+    share, gaps = np.cumsum(w[order]) / w.sum(), np.diff(p[order])
+    middle = np.flatnonzero((share[:-1] >= 0.25) & (share[:-1] <= 0.75))
+    middle = middle if len(middle) and gaps[middle].max() > 1e-6 else np.arange(len(gaps))
+    if not len(middle) or gaps[middle].max() <= 1e-6:
+        return None
+    k = middle[int(np.argmax(gaps[middle]))]
+    return direction, float((p[order[k]] + p[order[k + 1]]) / 2)
+
+
+def deal(ids: DataFrame, idf: np.ndarray, n_docs: int, n_tokens: int, shard_tokens: int) -> DataFrame:
+    """ids with shard."""
+    if n_tokens <= shard_tokens:
+        return ids.withColumn("shard", F.lit(0).cast("long"))
+    spark, wanted = ids.sparkSession, min(SAMPLE_MAX, max(4000, SAMPLE * n_tokens // shard_tokens))
+    given = spark.sparkContext.broadcast(idf)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [vector(_ids(raw, n), given.value).astype("<f2").tobytes() for raw, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], ["row_key", "v", "n"])
+
+    drawn = ids if wanted >= n_docs else ids.where(F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * wanted / n_docs))
+    rows = sorted(map(tuple, drawn.select("row_key", "ids", "n").mapInArrow(vectors, "row_key long, v binary, n long").collect()))  # at most about SAMPLE_MAX
+    w = np.array([r[2] for r in rows], np.float64)
+    tree = spark.sparkContext.broadcast(Tree(np.array([np.frombuffer(r[1], "<f2") for r in rows], np.float32).reshape(-1, DIMS), w * n_tokens / max(1.0, w.sum()), shard_tokens))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(1).to_pylist()
+            at = [tree.value.shard(vector(_ids(raw, n), given.value), xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True))) for k, raw, n in zip(key, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], ["doc_id", "row_key", "ids", "n", "shard"])
+
+    return ids.mapInArrow(dealt, "doc_id long, row_key long, ids binary, n long, shard long")
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -188,7 +288,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     ids = written(tokenized(docs, tokenizer_path or default_tokenizer(), end_id), "ids")
     df = ids.select("ids", "n").mapInArrow(_terms_of, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # bounded by the vocabulary
     n_docs, n_tokens = ids.agg(F.count("*"), F.sum("n")).first()
-    shards = max(1, -(-(n_tokens or 0) // shard_tokens))
     idf = np.zeros(max([1 << 16, *(r.term + 1 for r in df)]), np.float32)
     for r in df:
         idf[r.term] = np.log(1 + (n_docs - r.df + 0.5) / (r.df + 0.5))
@@ -205,4 +304,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             out.append((names[d], start, length, zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes()), len(ids[d]), base + seq, offset))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ids.withColumn("shard", F.pmod(F.xxhash64("row_key", F.lit(3)), F.lit(shards)).cast("long")).groupBy("shard").applyInArrow(run, PIECES)
+    return deal(ids, idf, n_docs, n_tokens or 0, shard_tokens).groupBy("shard").applyInArrow(run, PIECES)

@@ -87,3 +87,18 @@ def test_recall_against_all_terms(spark):
         best = [d for d in np.argsort(-brute_scores(docs, i, idf, mean), kind="stable") if d != i][:10]
         found += len({*best} & {*[d for d in shard.neighbours(i) if d != i][:10]})
     assert found >= 0.99 * 10 * len(seeds)
+
+
+def test_documents_of_a_topic_meet(spark):
+    rng = np.random.RandomState(5)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)] for _ in range(40)]
+    rows = [(d, " ".join(rng.choice(words[d % 40], 50))) for d in range(800)] + [(800 + i, "the same words again " * 30) for i in range(300)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_tokens=15_000).collect()
+    check(pieces, whole(rows), 256)
+    shard = {p.doc_id: p.sequence_id >> 32 for p in pieces}
+    size = defaultdict(int)
+    for p in pieces:
+        size[p.sequence_id >> 32] += p.length
+    assert len(size) > 8 and max(size.values()) < 3 * 15_000
+    met = [shard[a] == shard[b] for t in range(40) for a in range(t, 800, 40) for b in range(a + 40, 800, 40)]
+    assert np.mean(met) > 0.8
