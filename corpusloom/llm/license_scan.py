@@ -8,6 +8,7 @@ edits. The exact phrases (base labels) are found as words that stand consecutive
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -104,16 +105,18 @@ class Scanner:
         out = []
         for i, found in windows.items():
             notice, edits, label = self.notices[i]
-            spans: list[list[int]] = []
-            for a, b in sorted(found):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-            for a, b in spans:
+            # each window by itself: best match looks at one occurrence, not for the best of several; of overlapping ones the closest stays
+            places = {}
+            for a, b in sorted(set(found)):
                 for m in self.patterns[i].finditer(text, a, min(b, len(text))):
-                    wrong = sum(m.fuzzy_counts)
-                    out.append(Hit(label, text.count(" ", 0, m.start()), m.group().count(" ") + 1, m.start(), m.end(), wrong, 1 - wrong / len(notice), True))
+                    places[m.span()] = min(sum(m.fuzzy_counts), places.get(m.span(), edits))
+            taken: list[tuple[int, int]] = []
+            for (a, b), wrong in sorted(places.items(), key=lambda p: (p[1], p[0])):
+                at = bisect.bisect(taken, (a, b))
+                if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+                    continue
+                taken.insert(at, (a, b))
+                out.append(Hit(label, text.count(" ", 0, a), text.count(" ", a, b) + 1, a, b, wrong, 1 - wrong / len(notice), True))
         return out
 
     def scan(self, joined: bytes) -> list[Hit]:

@@ -62,3 +62,9 @@ def test_edge_rows(spark):
     got = [tuple(r) for r in license_scan.labelled(df).collect()]
     assert sorted((r[0] or 0, *r[1:6]) for r in got) == sorted((d or 0, *plain(t)) for d, t, _ in rows)
     assert license_scan.labelled(df.limit(0)).count() == 0
+
+
+def test_adjacent_notices_are_all_found():
+    text = b"licensed under the mit licence licensed under the mit license licensed under the mit licence"
+    found = sorted((h.start, h.end, h.edits) for h in license_scan.Scanner().fuzzy(text) if h.label == "mit" and h.end - h.start == 30)
+    assert [(a, b) for a, b, _ in found][:1] == [(0, 30)] and {(31, 61, 0), (62, 92, 1)} <= {*found}
