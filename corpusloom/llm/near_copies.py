@@ -49,7 +49,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = texts_of(b.column(1))
         fps, keys = zip(*map(signature, texts), strict=True) if texts else ((), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(z.compress, texts), pa.binary())], ["doc_id", "fp", "keys", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(z.compress, texts), pa.binary()), b.column(2)], ["doc_id", "fp", "keys", "z", "row_key"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +82,14 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near copies, joined over links, the row with the smallest id. Rows that repeat a doc_id count once; a row without id stays."""
+    """Of each group of near copies, joined over links, the row with the smallest id (then text hash). Rows with one id and different texts are judged apart; of equal ones the least row stays; a row without id stays."""
     small_batches(docs.sparkSession)
-    named = docs.where(F.col(id_col).isNotNull())
-    rows = named.select(F.col(id_col).cast("long"), text_col).mapInArrow(_signatures, "doc_id long, fp long, keys array<long>, z binary")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_key", F.xxhash64(text_col))
+    rows = named.select(F.col(id_col).cast("long"), text_col, "_key").mapInArrow(_signatures, "doc_id long, fp long, keys array<long>, z binary, row_key long")
     rows = written(rows, "near")
     comp = components(links(rows), "node", "other").withColumnRenamed("node", "fp")
-    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    kept = firsts.join(comp, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias(id_col)).select(id_col).distinct()
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+    firsts = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    kept = firsts.join(comp, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias(id_col), F.col("first.row_key").alias("_key")).distinct()
+    one = named.join(kept, [id_col, "_key"], "left_semi").groupBy(id_col, "_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*").unionAll(docs.where(F.col(id_col).isNull()))

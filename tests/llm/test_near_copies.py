@@ -51,3 +51,9 @@ def test_large_group(spark):
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(200)]
     assert kept(spark, [*rows, (1000, "one two three four five six")]) == [0, 1000]
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "u v w x y z u v w"), (2, "u v w x y z u v w"), (3, "k l m n o p q")]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [rows[0], rows[2], rows[4]]
