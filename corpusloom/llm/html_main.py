@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import packed, small_batches, texts_of, unpacked, written
 
 MIN_PAGES = 4  # a template subtree is on so many pages of its host at least,
-MIN_SHARE = 0.02  # and on this share of them
+MIN_SHARE = 0.02  # and on this share of them,
+ENOUGH_PAGES = 50  # but so many are enough on a host of any size
 MAX_BROADCAST = 20_000  # hosts; with more, their numbers of pages are joined by a shuffle
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -235,7 +236,7 @@ def templates(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     each = trees.select("page_key", "host", "content", F.explode("hashes").alias("hash"))
     different = each.groupBy("host", "hash", "content").agg(F.lit(1))
     counted = different.groupBy("host", "hash", F.xxhash64("host", "hash")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    recurring = counted.join(F.broadcast(pages) if pages.count() <= MAX_BROADCAST else pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    recurring = counted.join(F.broadcast(pages) if pages.count() <= MAX_BROADCAST else pages, "host").where(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(ENOUGH_PAGES)))).select("host", "hash")
     return each.select("page_key", "host", "hash").join(recurring, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("template"))
 
 

@@ -65,3 +65,9 @@ def test_templates_go_and_shared_articles_stay(spark):
     assert all(got[100 + i] == "same text" and got[200 + i] == f"line that recurs\n\n{i}" for i in range(9))
     assert got[300].startswith("Home Welcome") and got[301] == got[302] == "" and got[None] == "a"
     assert html_main.extract(df.limit(0)).count() == 0
+
+
+def test_templates_of_a_large_host_go(spark):
+    rows = [(i, "http://one.example/", f"<body><div>Section menu</div><p>Story {i}</p></body>" if i < 60 else f"<body><p>Story {i}</p></body>") for i in range(4000)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(4000))
