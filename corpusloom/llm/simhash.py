@@ -1,30 +1,69 @@
-"""SimHash near-duplicate groups by multi-index hashing.
-
-Fingerprints are 64 bits in two segments of 32. Two fingerprints differ in at most two bits exactly when balls of
-radius one around them meet, and each point of such a ball changes one bit of one segment. So each distinct
-fingerprint enumerates the radius-one ball of either segment (33 keys each, one shared) and fetches what the table
-holds under the same enumerated segment and the same other segment. A bucket keyed by one segment alone has no bound
-(a third of a corpus may share it); with the other segment in its key it holds at most 65 distinct fingerprints, none
-is lost, and no bucket needs a cap. The complete distance is verified before a link counts.
+"""SimHash near-duplicates by multi-index hashing.
+
+A fingerprint is one or more words of 64 bits, cut into segments. A table holds each distinct fingerprint once for each
+segment, under the segment's number and value. Each fingerprint asks the table for the values in a small Hamming ball
+around each of its own segments, and what it fetches is kept if the complete distance is within bounds.
+
+Two fingerprints whose segments differ in one bit meet once: the one that lacks the bit asks with the bit set. So a ball
+of radius one in w bits is w / 2 rows on average, and equal segments meet in the table itself.
+
+near_duplicates() has one word in two segments of 32 bits. Of two bits that differ, the first segment has one at most or
+the second has none, so radius one there and zero here find every pair. keep_one() says 'near' as word shingles do: five
+words, a Jaccard similarity of 0.8 or more; its fingerprints have more words, and what they find is verified on the
+shingles themselves.
+
+Segment values that more than LIMIT fingerprints hold are hot, and are not joined as they are. Within two bits, each
+member of a hot value names the 65 points within one bit of its whole fingerprint: pairs meet at a point between them,
+and a point has at most 65 fingerprints. For wider balls, members are held against a few pivots of the value first; only
+where a value still has members of different groups are those compared, group against group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
+from .common import free_name, small_batches, texts_of, unpacked, written
 from .connected import components
-from .near_copies import keep_one as keep_one  # the pipeline's stage
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-SEGMENTS = ((0, 32), (32, 64))
+NEAR_SHINGLE, MIN_JACCARD = 5, 0.8
+LIMIT = 200  # fingerprints of a segment value that is joined as it is
+PIVOTS = 4
+
+
+@dataclass(frozen=True)
+class Segments:
+    """words of 64 bits, segments of `bits` bits with the radius of each one's ball, and the largest distance of all words."""
+
+    words: int
+    bits: int
+    radii: tuple[int, ...]
+    max_bits: int
+
+    def places(self) -> list[tuple[int, int, int]]:
+        """(word, shift, radius) of each segment."""
+        each = 64 // self.bits
+        return [(i // each, i % each * self.bits, r) for i, r in enumerate(self.radii)]
+
+    def checked_bits(self) -> int:
+        """The bound of the word that rows hold beside a key: of a part of the words, three deviations more than its share."""
+        share = self.max_bits / self.words
+        return self.max_bits if self.words == 1 else round(share + 3 * (share / 4) ** 0.5)
+
+
+#: Exact for distances of two bits and less.
+TWO_BITS = Segments(1, 32, (1, 0), 2)
+#: For shingle sets of Jaccard 0.8 and more: such a pair differs in 15 % of its bits, and shares a segment but for one bit in 0.97 of cases at 0.8, in 0.999 at 0.9.
+NEAR = Segments(4, 20, (1,) * 12, 56)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -34,11 +73,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.dtype("<u8"))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        part = h[i : i + (1 << 14)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    return int(majority(h[:, None])[0])
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Of rows of words, the words (signed) of the bits that more than half of the rows have."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for i in range(0, len(h), 1 << 13):
+        part = np.ascontiguousarray(h[i : i + (1 << 13)])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,32 +96,171 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (node, other) that join all fingerprints within max_bits (at most two); nodes: distinct fp, node.
+def _held(s: Segments) -> list[tuple[Column, Column, Column, int]]:
+    """For each segment: its value, the key with its number, the word to check, the radius. The word is the next one, which the key does not fix."""
+    out = []
+    for i, (word, shift, radius) in enumerate(s.places()):
+        value = F.shiftrightunsigned(F.col("sig")[word], shift).bitwiseAND(F.lit((1 << s.bits) - 1))
+        out.append((value, F.lit(i << s.bits) + value, F.col("sig")[(word + 1) % s.words], radius))
+    return out
 
-    In each bucket all are linked to the least, which is enough for groups and has no pairs of a whole bucket.
-    """
+
+def table(nodes: DataFrame, s: Segments) -> DataFrame:
+    """The segment tables: (key, node, word) of each fingerprint and segment. nodes: node, sig (array of words)."""
+    rows = F.array(*(F.struct(key.alias("key"), word.alias("word")) for _, key, word, _ in _held(s)))
+    return nodes.select("node", F.explode(rows).alias("s")).select("s.key", "node", "s.word")
+
+
+def asked(nodes: DataFrame, s: Segments) -> DataFrame:
+    """(key, node, word, same): each segment's own value, and those with one bit more that its ball holds."""
+    bits = F.array(*(F.lit(1 << b) for b in range(s.bits)))
+
+    def ball(value: Column, key: Column, word: Column) -> Column:
+        return F.transform(F.filter(bits, lambda b: value.bitwiseAND(b) == 0), lambda b: F.struct((key + b).alias("key"), word.alias("word"), F.lit(False).alias("same")))
+
+    held = _held(s)
+    own = F.array(*(F.struct(key.alias("key"), word.alias("word"), F.lit(True).alias("same")) for _, key, word, _ in held))
+    return nodes.select("node", F.explode(F.concat(own, *(ball(v, key, word) for v, key, word, r in held if r))).alias("s")).select("s.key", "node", "s.word", "s.same")
+
+
+def _pairs(found: DataFrame, s: Segments) -> DataFrame:
+    """Distinct (node, other), the larger first, of what the word beside the key does not reject."""
+    near = found.where((F.col("node") != F.col("other")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("other_word"))) <= s.checked_bits()))
+    return near.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
+
+
+def _other(df: DataFrame) -> DataFrame:
+    return df.select("key", F.col("node").alias("other"), F.col("word").alias("other_word"))
+
+
+def hot_values(nodes: DataFrame, s: Segments, limit: int) -> DataFrame:
+    """(key) of more than limit fingerprints."""
+    return written(table(nodes, s).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key"), "hot-segments")
+
+
+def cold_pairs(nodes: DataFrame, s: Segments, hot: DataFrame) -> DataFrame:
+    """Candidates of the values that are not hot."""
+    fetched = asked(nodes, s).join(_other(table(nodes, s).join(hot, "key", "left_anti")), "key")
+    return _pairs(fetched.where(~F.col("same") | (F.col("node") > F.col("other"))), s)
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
+    """Links (node, other) that join all fingerprints within max_bits (at most two); nodes: distinct fp, node."""
     if not 0 <= max_bits <= 2:
-        raise ValueError("the enumerated balls have radius one: max_bits is 0, 1 or 2")
-    flips = [0, *((1 << b) - (1 << 64 if b == 63 else 0) for lo, hi in SEGMENTS for b in range(lo, hi))]
-    probes = nodes.select("fp", "node", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("bucket"), "fp", "node")
-    first = F.min(F.struct("node", "fp")).over(Window.partitionBy("bucket"))
-    found = probes.withColumn("first", first).where(F.col("node") != F.col("first.node"))
-    verified = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= max_bits)
-    return verified.select("node", F.col("first.node").alias("other"))
+        raise ValueError("max_bits is 0, 1 or 2")
+    s = Segments(1, 32, (1, 0), max_bits)
+    held = nodes.select("node", F.array("fp").alias("sig"))
+    hot = hot_values(held, s, limit)
+    cold = cold_pairs(held, s, hot)
+    if hot.isEmpty():
+        return cold
+    # whoever asks a hot value or holds it: its whole fingerprint, and that with each bit changed, are the keys
+    flips = F.array(*(F.lit(x) for x in [0, *(1 << b for b in range(63)), -(1 << 63)]))
+    members = asked(held, s).join(hot, "key", "left_semi").select("node", "word").distinct()
+    points = members.select(F.explode(F.transform(flips, lambda x: F.col("word").bitwiseXOR(x))).alias("key"), "node", "word")
+    least = points.groupBy("key", F.xxhash64("key")).agg(F.min(F.struct("node", "word")).alias("one")).select("key", F.col("one.node").alias("other"), F.col("one.word").alias("other_word"))
+    return cold.unionByName(_pairs(points.join(least, "key"), s)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
     component_id is the smallest doc_id that can be reached over links of at most max_bits bits.
-    Nulls: null text is empty; a null doc_id gets its group but names none (its component_id is null if no other id is in it).
-    Repeated rows and equal texts share a fingerprint, hence a group. An empty table gives an empty result.
-    Other columns are not read.
+    Nulls: null text is empty; a row with a null doc_id links like any other and gets its group's id, which it does not name
+    (null if no row of the group has one). Repeated rows and equal texts share a fingerprint, hence a group; rows with one
+    doc_id and different texts are in the group of their own text. An empty table gives an empty result. Other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    named = nodes.where("node is not null")
-    comp = components(links(named, max_bits), "node", "other")
-    groups = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    comp = components(links(nodes.select("fp", F.col("fp").alias("node")), max_bits), "node", "other")
+    rooted = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root", F.xxhash64("root")).agg(F.min("first").alias("component_id")).select("root", "component_id")
+    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def shingles(text: bytes, shingle: int = NEAR_SHINGLE) -> set[bytes]:
+    """Word shingles without repeats, words as in fingerprint(); a shorter text is one shingle."""
+    words = text.lower().split()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) or {b" ".join(words)}
+
+
+def near_signature(text: bytes, words: int = NEAR.words) -> tuple[int, list[int]]:
+    """(hash of the set of shingles, SimHash of the set in so many words), signed."""
+    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.dtype("<u8")))
+    x = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0]), majority(x ^ (x >> np.uint64(31))).tolist()
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        texts = texts_of(b.column(1))
+        node, sig = zip(*map(near_signature, texts), strict=True) if texts else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(map(z.compress, texts), pa.binary()), b.column(2)], ["doc_id", "node", "sig", "z", "row_key"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = lru_cache(maxsize=16)(shingles)
+    for b in batches:
+        found = []
+        for one, two in zip(unpacked(b.column(2)), unpacked(b.column(3)), strict=True):
+            x, y = of(one), shingles(two)
+            both = len(x & y)
+            found.append(both >= MIN_JACCARD * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "other"]).filter(pa.array(found, pa.bool_()))
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, s: Segments) -> DataFrame:
+    """The pairs within s.max_bits whose shingles have a Jaccard similarity of MIN_JACCARD or more."""
+
+    def beside(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        one, two = (right.select(F.col("node").alias(n), F.col(column).alias(f"{column}_{n}")) for n in ("node", "other"))
+        return left.join(two, "other").join(one, "node")
+
+    distance = reduce(lambda a, b: a + b, (F.bit_count(F.col("sig_node")[i].bitwiseXOR(F.col("sig_other")[i])) for i in range(s.words)))
+    close = written(beside(pairs, nodes, "sig").where(distance <= s.max_bits).select("node", "other"), "pairs")
+    named = close.select("node").unionAll(close.select("other")).distinct()
+    texts = written(rows.select("node", "z").join(named, "node", "left_semi").groupBy("node").agg(F.first("z").alias("z")), "candidates")
+    return beside(close, texts, "z").select("node", "other", "z_other", "z_node").mapInArrow(_verified, "node long, other long")
+
+
+def near_links(rows: DataFrame, s: Segments = NEAR, limit: int = LIMIT) -> DataFrame:
+    """(node, root) of the nodes that have links; rows: node, sig, z."""
+    nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
+    hot = hot_values(nodes, s, limit)
+    found = cold_pairs(nodes, s, hot)
+    if hot.isEmpty():
+        return components(_similar(found, rows, nodes, s), "node", "other")
+    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "word")) for i in range(PIVOTS)]
+    hot_table = table(nodes, s).join(hot, "key", "left_semi")
+    hot_asked = written(asked(nodes, s).join(hot, "key", "left_semi"), "hot-asked")
+    pivots = hot_table.groupBy("key", F.xxhash64("key")).agg(F.array(*seeds).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.word").alias("other_word"))
+    first = written(_similar(found.unionByName(_pairs(hot_asked.join(pivots, "key"), s)).distinct(), rows, nodes, s), "links")
+    groups = components(first, "node", "other")
+    rooted = hot_asked.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = written(rooted.join(mixed, "key", "left_semi"), "mixed")
+    right = left.where("same").select("key", F.col("node").alias("other"), F.col("word").alias("other_word"), F.col("root").alias("other_root"))
+    rest = _pairs(left.join(right, "key").where((F.col("root") != F.col("other_root")) & (~F.col("same") | (F.col("node") > F.col("other")))), s)
+    return components(first.unionByName(_similar(rest, rows, nodes, s)), "node", "other")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int = LIMIT) -> DataFrame:
+    """Of each group of near copies, joined over links, the row with the smallest id (then text hash).
+
+    Null text is empty. A row without id stays. Rows with one id and different texts are judged apart; of equal ones the
+    least row stays. Texts with one set of shingles are copies, however long. An empty table gives an empty result. The
+    columns are those of docs, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    key = free_name(docs, "text_hash")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.xxhash64(text_col))
+    rows = written(named.select(F.col(id_col).cast("long"), text_col, key).mapInArrow(_near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long"), "near")
+    comp = near_links(rows, s, limit)
+    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    kept = firsts.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias(id_col), F.col("first.row_key").alias(key)).distinct()
+    one = named.join(kept, [id_col, key], "left_semi").groupBy(id_col, key).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*").unionAll(docs.where(F.col(id_col).isNull()))

@@ -3,18 +3,34 @@ import random
 
 import duckdb
 
-from corpusloom.llm import near_copies
+from corpusloom.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
 
 def near(x, y):
-    x, y = ({*zip(*(t.lower().split()[i:] for i in range(5)), strict=False)} for t in (x, y))
+    x, y = ({*zip(*(t.lower().split()[i:] for i in range(5)), strict=False)} or {tuple(t.lower().split())} for t in (x or "", y or ""))
     return len(x & y) >= 0.8 * len(x | y)
 
 
+def brute(rows):
+    """The ids that stay, by all pairs."""
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        if near(x, y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return sorted(d for d in root if root[d] == d)
+
+
 def kept(spark, rows):
-    return sorted(r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_edited_copies_go(spark):
@@ -32,19 +48,8 @@ def test_edited_copies_go(spark):
 
 
 def test_table_against_brute_force(spark):
-    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' where len(string_split(text, ' ')) > 5").fetchall()
-    root = {d: d for d, _ in rows}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for (a, x), (b, y) in itertools.combinations(rows, 2):
-        if near(x, y):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-    assert kept(spark, rows) == sorted(d for d in root if root[d] == d)
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    assert kept(spark, rows) == brute(rows)
 
 
 def test_large_group(spark):
@@ -55,5 +60,26 @@ def test_large_group(spark):
 
 def test_one_id_with_different_texts(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "u v w x y z u v w"), (2, "u v w x y z u v w"), (3, "k l m n o p q")]
-    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [rows[0], rows[2], rows[4]]
+
+
+def test_hot_values(spark):
+    """With a small limit every value of the group is hot: pivots, then group against group, find what the join finds."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for c in range(12):
+            words = list(base)
+            for i in rng.sample(range(300), 3):
+                words[i] = f"e{g}x{c}x{i}"
+            rows.append((100 * g + c, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df, limit=3).collect()) == sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [100 * g for g in range(6)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, "k"), (2, "a b c d e f", 8, "l")], "doc_id long, text string, text_hash long, node string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and list(map(tuple, got.collect())) == [(1, "a b c d e f", 7, "k")]

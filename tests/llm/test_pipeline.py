@@ -1,5 +1,5 @@
+import test_near_pairs
 import test_packing
-import test_simhash
 import test_substring_dedup
 
 import corpus_pipeline
@@ -20,8 +20,8 @@ def test_each_stage_against_brute_force(spark):
         assert name == "bm25_packing" or docs.columns == columns
     identified, single, cut, mixed, packed = frames
     assert {r for r in before if langid.LETTER.search(r[1])} == {*identified}
-    least = {d: c for d, _, c in test_simhash.brute([r[:2] for r in identified])}
-    assert sorted(single) == sorted(r for r in identified if least[r[0]] == r[0])
+    stay = {*test_near_pairs.brute([r[:2] for r in identified])}
+    assert sorted(single) == sorted(r for r in identified if r[0] in stay)
     gone = {d: (n, sha) for d, _, n, sha in test_substring_dedup.brute([r[:2] for r in single])}
     kept = {r[0]: r for r in cut}
     for r in single:

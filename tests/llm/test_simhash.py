@@ -1,6 +1,8 @@
 import itertools
+import random
 
 import duckdb
+import pytest
 import xxhash
 
 from corpusloom.llm import queries, simhash
@@ -56,8 +58,60 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 9]
 
 
-def test_links_follow_chains(spark):
-    fps = [0, 0b11, 0b1111, 1 << 63 | 1, 0x00FF00FF00FF00FF, 0x00FF00FF00FF00FF ^ 0b111]
-    nodes = spark.createDataFrame([((f - (1 << 64)) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
-    comp = {r.node: r.root for r in __import__("corpusloom.llm.connected", fromlist=["x"]).components(simhash.links(nodes), "node", "other").collect()}
-    assert comp == {1: 0, 2: 0, 3: 0}
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def joined(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def clusters(rng, n):
+    """Fingerprints around a few centres, of which many share their first or second half."""
+    half = rng.getrandbits(32)
+    centres = [half, half | rng.getrandbits(32) << 32, rng.getrandbits(64), 1 << 63, 0]
+    out = set()
+    while len(out) < n:
+        f = rng.choice(centres)
+        for b in rng.sample(range(64), rng.choice([0, 1, 2, 2, 3, 5])):
+            f ^= 1 << b
+        out.add(signed(f))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [2, 5, 200])
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_against_all_pairs(spark, limit, bits):
+    fps = clusters(random.Random(limit + bits), 150)
+    nodes = spark.createDataFrame([(f, f) for f in fps], "fp long, node long")
+    got = [tuple(r) for r in simhash.links(nodes, bits, limit).collect()]
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= bits for a, b in got)
+    assert joined(got, fps) == joined(near, fps)
+    if limit == 200:
+        assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in near} and len(got) == len(near)
+
+
+def test_verification_rejects(spark):
+    """Values that meet in a segment are not links yet: the complete distance turns some away."""
+    fps = clusters(random.Random(3), 150)
+    nodes = spark.createDataFrame([(f, [f]) for f in fps], "node long, sig array<long>")
+    s = simhash.TWO_BITS
+    met = simhash.asked(nodes, s).join(simhash._other(simhash.table(nodes, s)), "key").where("node > other").select("node", "other").distinct().count()
+    assert met > simhash.cold_pairs(nodes, s, simhash.hot_values(nodes, s, 200)).count() > 0
+
+
+def test_one_id_with_different_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "q r s t u v w"), (3, "q r s t u v w"), (None, "x y z x y z x")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == [(0, None), (1, 1), (2, 1), (2, 2), (3, 2)]
