@@ -9,6 +9,7 @@ edits. The exact phrases (base labels) are found as words that stand consecutive
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -52,7 +53,7 @@ class Hit:
     label: str
     first_word: int
     n_words: int
-    start: int  # bytes, in the joined words
+    start: int  # characters, in the joined words
     end: int
     edits: int
     score: float
@@ -72,7 +73,7 @@ def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
 
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, notices: list[tuple[str, int, str]] = NOTICES):
-        self.base = [(p.encode(), label) for p, label in base.items()]
+        self.base = list(base.items())
         self.notices = notices
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, edits, _) in enumerate(notices):
@@ -83,77 +84,116 @@ class Scanner:
             self.automaton.add_word(seed, (len(seed), where))
         self.automaton.make_automaton()
         # the least error first; words at the ends are whole
+        self.verified = lru_cache(maxsize=1 << 16)(self._verified)  # notices are often copied with what stands around them
+        longest = [len(n.split()) + e for n, e, _ in notices] + [len(p.split()) for p in base]
+        self.most_words = max(longest, default=1)
         self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={e}}}(?![^ ])") for n, e, _ in notices]
 
-    def exact(self, joined: bytes) -> list[Hit]:
-        out, padded = [], b" " + joined + b" "
+    def exact(self, text: str, starts: list[int]) -> list[Hit]:
+        out, padded = [], f" {text} "
         for phrase, label in self.base:
-            at = padded.find(b" " + phrase + b" ")
+            at = padded.find(f" {phrase} ")
             while at >= 0:
-                out.append(Hit(label, joined.count(b" ", 0, at), phrase.count(b" ") + 1, at, at + len(phrase), 0, 1.0, False))
-                at = padded.find(b" " + phrase + b" ", at + 1)
+                out.append(Hit(label, bisect.bisect_right(starts, at) - 1, phrase.count(" ") + 1, at, at + len(phrase), 0, 1.0, False))
+                at = padded.find(f" {phrase} ", at + 1)
         return out
 
-    def fuzzy(self, joined: bytes) -> list[Hit]:
-        text = joined.decode("utf-8", "replace")
-        windows: dict[int, list[tuple[int, int]]] = {}
+    def _verified(self, i: int, window: str, at: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of what notice i matches in a window, whose first and last characters may only be looked at."""
+        return [(*m.span(), sum(m.fuzzy_counts)) for m in self.patterns[i].finditer(window, at, end)]
+
+    def fuzzy(self, text: str, starts: list[int]) -> list[Hit]:
+        windows: dict[int, set[int]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for i, at in where:
-                notice, edits, _ = self.notices[i]
-                start = last - size + 1 - at
-                windows.setdefault(i, []).append((max(0, start - edits - 1), start + len(notice) + edits + 1))
+                windows.setdefault(i, set()).add(last - size + 1 - at)
         out = []
         for i, found in windows.items():
             notice, edits, label = self.notices[i]
             # each window by itself: best match looks at one occurrence, not for the best of several; of overlapping ones the closest stays
-            places = {}
-            for a, b in sorted(set(found)):
-                for m in self.patterns[i].finditer(text, a, min(b, len(text))):
-                    places[m.span()] = min(sum(m.fuzzy_counts), places.get(m.span(), edits))
-            taken: list[tuple[int, int]] = []
+            places: dict[tuple[int, int], int] = {}
+            for start in sorted(found):
+                a, b = max(0, start - edits - 1), min(len(text), start + len(notice) + edits + 1)
+                before = min(1, a)
+                for x, y, wrong in self.verified(i, text[a - before : b + 1], before, b - a + before):
+                    span = (x + a - before, y + a - before)
+                    places[span] = min(wrong, places.get(span, edits))
+            taken = _Taken(len(notice) + edits)
             for (a, b), wrong in sorted(places.items(), key=lambda p: (p[1], p[0])):
-                at = bisect.bisect(taken, (a, b))
-                if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+                if taken.over(a, b):
                     continue
-                taken.insert(at, (a, b))
-                out.append(Hit(label, text.count(" ", 0, a), text.count(" ", a, b) + 1, a, b, wrong, 1 - wrong / len(notice), True))
+                taken.add(a, b, None)
+                first = bisect.bisect_right(starts, a) - 1
+                out.append(Hit(label, first, bisect.bisect_left(starts, b) - first, a, b, wrong, 1 - wrong / len(notice), True))
         return out
 
-    def scan(self, joined: bytes) -> list[Hit]:
-        """All exact places, and fuzzy ones but those that share words with a closer match of another label (versions of one notice differ by a letter)."""
-        kept = self.exact(joined)
-        for h in sorted(self.fuzzy(joined), key=lambda h: (h.edits, h.first_word, h.label)):
-            if not any(k.label != h.label and k.edits < h.edits and k.first_word < h.first_word + h.n_words and h.first_word < k.first_word + k.n_words for k in kept):
+    def scan(self, words: list[bytes]) -> list[Hit]:
+        """All exact places, and fuzzy ones but those that share words with a closer match of another label (versions of one notice differ by a letter).
+
+        Each place costs the same however many there are.
+        """
+        text, starts = joined(words)
+        kept = self.exact(text, starts)
+        taken = _Taken(self.most_words)
+        for h in kept:
+            taken.add(h.first_word, h.first_word + h.n_words, h)
+        for h in sorted(self.fuzzy(text, starts), key=lambda h: (h.edits, h.first_word, h.label)):
+            if not any(k.label != h.label and k.edits < h.edits for k in taken.over(h.first_word, h.first_word + h.n_words)):
                 kept.append(h)
+                taken.add(h.first_word, h.first_word + h.n_words, h)
         return sorted(kept, key=lambda h: (h.first_word, h.fuzzy, h.label, h.n_words))
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    return Scanner()
+def joined(words: list[bytes]) -> tuple[str, list[int]]:
+    """The words joined by one space, and where each begins."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    return " ".join(texts), [0, *itertools.accumulate(len(w) + 1 for w in texts)][: len(texts)]
+
+
+class _Taken:
+    """Spans of at most `size`, by the cells of that size that they begin in, so that a look-up reads three cells."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.cells: dict[int, list[tuple[int, int, Hit | None]]] = {}
+
+    def add(self, a: int, b: int, what: Hit | None) -> None:
+        self.cells.setdefault(a // self.size, []).append((a, b, what))
+
+    def over(self, a: int, b: int) -> list[Hit | None]:
+        """What shares a place with [a, b)."""
+        return [what for cell in range(a // self.size - 1, (b - 1) // self.size + 1) for x, y, what in self.cells.get(cell, ()) if x < b and a < y]
+
+
+@lru_cache(maxsize=4)
+def scanner(base: tuple[tuple[str, str], ...] = tuple(BASE.items()), notices: tuple[tuple[str, int, str], ...] = tuple(NOTICES)) -> Scanner:
+    """One for each worker process and list of notices."""
+    return Scanner(dict(base), list(notices))
 
 
 _HIT = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int64()), ("score", pa.float64()), ("fuzzy", pa.bool_()), ("match", pa.string())])
 HITS = "array<struct<label:string,first_word:bigint,n_words:bigint,edits:bigint,score:double,fuzzy:boolean,match:string>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str, int, str]] = NOTICES) -> DataFrame:
     """(doc_id, n_words, hits): all exact and fuzzy places in each whole text, in order of their first word.
 
+    base: exact phrases and their labels. notices: (notice, edits, label), words in lower case and joined by one space.
+
     Null text is empty: no words, no hits. Null doc_ids stay null. Repeated rows and copies each get their own hits.
     An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
     small_batches(docs.sparkSession)
+    phrases, fuzzy = tuple(base.items()), tuple(map(tuple, notices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner()
+        s = scanner(phrases, fuzzy)
         for b in batches:
             n, hits = [], []
             for t in texts_of(b.column(1)):
                 words = normalised(t)
-                joined = b" ".join(words)
                 n.append(len(words))
-                hits.append([{"label": h.label, "first_word": h.first_word, "n_words": h.n_words, "edits": h.edits, "score": h.score, "fuzzy": h.fuzzy, "match": b" ".join(words[h.first_word : h.first_word + h.n_words]).decode("utf-8", "replace")} for h in s.scan(joined)])
+                hits.append([{"label": h.label, "first_word": h.first_word, "n_words": h.n_words, "edits": h.edits, "score": h.score, "fuzzy": h.fuzzy, "match": b" ".join(words[h.first_word : h.first_word + h.n_words]).decode("utf-8", "replace")} for h in s.scan(words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["doc_id", "n_words", "hits"])
 
     schema = docs.select("doc_id").schema.add("n_words", "long")
@@ -163,14 +203,14 @@ def scan(docs: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score). score: the best match's share of unchanged characters, 1 for an exact phrase, else 0."""
     base = F.filter("hits", lambda h: ~h["fuzzy"])
-    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda h: h["label"]))), ",")
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda h: h["label"]))), ",")
     return scan(docs).select(
         "doc_id",
         "n_words",
         F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform(base, lambda h: h["first_word"])).alias("first_word"),
         F.array_max(F.transform(base, lambda h: h["first_word"])).alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined(F.col("hits")).alias("labels"),
+        listed(base).alias("base_labels"),
+        listed(F.col("hits")).alias("labels"),
         F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"),
     )

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from corpusloom.llm import license_scan, queries
 
@@ -40,20 +42,20 @@ def test_fuzzy_notices():
     s = license_scan.scanner()
     cases = {"some words Released undr the MlT licence. more": "mit", "Licensed under the Apachee Licence, Versoin 2.0": "apache-2", "Creative Commons Atribution-NonComercial": "cc-by-nc", "licensed under the GNU Genral Public Licence, version 3": "gpl-3"}
     for text, label in cases.items():
-        joined = b" ".join(license_scan.normalised(text.encode()))
-        found = s.fuzzy(joined)
+        joined, starts = license_scan.joined(license_scan.normalised(text.encode()))
+        found = s.fuzzy(joined, starts)
         assert label in {h.label for h in found}
         for h in found:
             notice, most = next((n, e) for n, e, x in license_scan.NOTICES if x == h.label and abs((1 - h.score) * len(n) - h.edits) < 1e-6)
-            assert distance(joined[h.start : h.end].decode(), notice) == h.edits <= most
+            assert distance(joined[h.start : h.end], notice) == h.edits <= most
     for text in ("a plain text about nothing at all", "the public was licensed to play", "under the sea the general version"):
-        assert s.fuzzy(text.encode()) == []
+        assert s.fuzzy(*license_scan.joined(text.encode().split())) == []
 
 
 def test_the_closest_of_like_notices_stays():
     s = license_scan.scanner()
     for text, labels in [("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}), ("licensed under cc by sa 4 0", {"cc-by-sa"}), ("licensed under the GNU General Public License, version 3", {"gpl-3"}), ("Released under the MIT License. All rights reserved", {"mit", "all-rights-reserved"})]:
-        assert {h.label for h in s.scan(b" ".join(license_scan.normalised(text.encode())))} == labels
+        assert {h.label for h in s.scan(license_scan.normalised(text.encode()))} == labels
 
 
 def test_edge_rows(spark):
@@ -66,5 +68,47 @@ def test_edge_rows(spark):
 
 def test_adjacent_notices_are_all_found():
     text = b"licensed under the mit licence licensed under the mit license licensed under the mit licence"
-    found = sorted((h.start, h.end, h.edits) for h in license_scan.Scanner().fuzzy(text) if h.label == "mit" and h.end - h.start == 30)
+    found = sorted((h.start, h.end, h.edits) for h in license_scan.Scanner().fuzzy(*license_scan.joined(text.split())) if h.label == "mit" and h.end - h.start == 30)
     assert [(a, b) for a, b, _ in found][:1] == [(0, 30)] and {(31, 61, 0), (62, 92, 1)} <= {*found}
+
+
+def test_all_places_against_edit_distances():
+    """Each notice with up to its errors, at random places: the hits are those a search of all spans finds, the closest first."""
+    notices = [("released under the mit license", 3, "mit"), ("all rights reserved", 1, "rights")]
+    s, rng = license_scan.Scanner({}, notices), random.Random(4)
+    for _ in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            n = list(rng.choice(notices)[0])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                n[rng.randrange(len(n))] = rng.choice("qxz")
+            text += ["".join(n), *rng.sample(["foo", "some words", "other", "bar"], rng.randrange(3))]
+        words = " ".join(text).split()
+        want = []
+        for notice, most, label in notices:
+            spans, size = [], len(notice.split())
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + size + most) + 1):
+                    span = " ".join(words[a:b])
+                    if abs(len(span) - len(notice)) <= most and (e := distance(span, notice)) <= most:
+                        spans.append((e, a, b))
+            taken = []
+            for e, a, b in sorted(spans):
+                if all(b <= x or y <= a for x, y in taken):
+                    taken.append((a, b))
+                    want.append((label, a, b - a, e))
+        got = [(h.label, h.first_word, h.n_words, h.edits) for h in s.scan([w.encode() for w in words])]
+        assert sorted(got) == sorted(want)
+
+
+def test_many_places_cost_no_more_each():
+    words = license_scan.normalised(b"licensed under cc by nc 4 0 " * 20_000)
+    began = time.monotonic()
+    hits = license_scan.scanner().scan(words)
+    assert len(hits) == 40_000 and time.monotonic() - began < 20
+
+
+def test_own_notices(spark):
+    df = spark.createDataFrame([(1, "Proprietary and confidental, of ACME")], "doc_id long, text string")
+    (row,) = license_scan.scan(df, {"of acme": "acme"}, [("proprietary and confidential", 2, "secret")]).collect()
+    assert [(h.label, h.first_word, h.n_words, h.edits) for h in row.hits] == [("secret", 0, 3, 1), ("acme", 3, 2, 0)]
