@@ -1,10 +1,14 @@
 """Main text of HTML pages by site template removal.
 
-Each page's element subtrees are hashed. Spark counts, for every host, in how many different pages a subtree occurs;
-those that recur in many are the host's template (menus, footers, notices) and are deleted. Pages with the same article
-count once, since a host may show one article at many addresses, and inside an article only recurring boxes of links are
-template: paragraphs that many articles share are text. Then elements that say what they are (nav, footer, forms, advert
-and comment classes, hidden parts) go, and where a page names its article, so does what is left outside of it.
+Each page's element subtrees are hashed, and so is the slot each stands in: its path of tags, class names and places among
+its like. Spark counts, for every host, in how many different pages a slot shows the same subtree. A slot is template where
+at least half of what it shows recurs: menus, adverts from a pool, footers, notices. A paragraph that many articles share
+stands now here, now there, among paragraphs that do not recur, so it is text. Pages with the same article count once, since
+a host may show one article at many addresses.
+
+On hosts of ENOUGH_PAGES different pages the counts decide what is template. What cannot recur is known by its marks there:
+elements of navigation and forms, hidden parts, reader comments; and outside a named article boxes that are mostly links go.
+On smaller hosts, where little can recur, class names and the named article decide besides.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import packed, small_batches, texts_of, unpacked, written
 
-MIN_PAGES = 4  # a template subtree is on so many pages of its host at least,
-MIN_SHARE = 0.02  # and on this share of them,
-ENOUGH_PAGES = 50  # but so many are enough on a host of any size
+MIN_PAGES = 4  # a template slot shows recurring subtrees on so many pages of its host at least, and a subtree that goes for itself is on so many
+MIN_SHARE = 0.5  # of what a template slot shows recurs
+ENOUGH_PAGES = 100  # different pages of a host whose counts decide
 MAX_BROADCAST = 20_000  # hosts; with more, their numbers of pages are joined by a shuffle
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -35,9 +39,17 @@ _HIDDEN = frozenset("head script style noscript template title textarea iframe o
 _BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|replies|disqus|respond|related|widget|login|signup|search|skip|pagination|pager)(?:$|[\s_-])", re.I)
+_WORDS = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
+#: Class and id words of what a page has besides its main text, on hosts that are too small to count.
+_NAMES = re.compile(_WORDS % "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|replies|disqus|respond|related|widget|login|signup|search|skip|pagination|pager", re.I)
+#: Of these, what may stand in an article without being of it.
+_IN_ARTICLE = re.compile(_WORDS % "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|comments?|replies|disqus|respond|newsletter|share|sharing|related|sidebar", re.I)
+#: Of these, what does not recur, on a host of any size.
+_COMMENTS = re.compile(_WORDS % "comments?|comment-list|replies|disqus|respond", re.I)
 _CLOSED_BY = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 _BOXES = frozenset("div section ul ol dl table figure center".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+_DIGITS = re.compile(r"[0-9]+")
 _BARRIER = frozenset("table td th body html article section div ul ol nav aside footer header main".split())
 
 
@@ -50,6 +62,7 @@ class Node:
     size: int = 0  # characters of text
     links: int = 0  # those of them in links
     holds: bool = False  # an article is inside
+    slot: int = 0
 
 
 def parse(page: str) -> Node:
@@ -98,14 +111,20 @@ def parse(page: str) -> Node:
 
 
 def measure(root: Node, articles: list[Node]) -> None:
-    """Sets hash (of tag, attributes, texts with white space made one, and what is below), size, links and holds of each element."""
+    """Sets slot, hash (of tag, attributes, texts with white space made one, and what is below), size, links and holds of each element."""
     own = {id(a) for a in articles}
     # children first, without recursion: pages may be nested as deeply as they like
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
-        todo.extend(p for p in n.parts if isinstance(p, Node))
+        below = [p for p in n.parts if isinstance(p, Node)]
+        seen: dict[str, int] = {}
+        for p in below:
+            like = f"{p.tag} {_DIGITS.sub('', _attributes(p).get('class', '')) if 'class' in p.attributes else ''}"
+            seen[like] = nth = seen.get(like, 0) + 1
+            p.slot = xxhash.xxh64_intdigest(f"{n.slot} {like} {nth}")
+        todo.extend(below)
     for n in reversed(order):
         h = xxhash.xxh64(f"<{n.tag} {_SPACE.sub(' ', n.attributes).strip()}>")
         for p in n.parts:
@@ -118,32 +137,31 @@ def measure(root: Node, articles: list[Node]) -> None:
                 t = _SPACE.sub(" ", p).strip()
                 h.update(b"\0" + t.encode("utf-8", "replace"))
                 n.size += len(t)
+        if n.tag in _RAW or n.tag == "head":
+            n.size = 0
         n.hash = h.intdigest()
         if n.tag == "a":
             n.links = n.size
 
 
-def _may_be_template(n: Node, in_article: bool) -> bool:
-    """Outside of articles whatever has text and holds no article; inside, boxes that are mostly links."""
-    if in_article:
-        return n.tag in _BOXES and n.size > 0 and 2 * n.links >= n.size
-    return n.size > 0 and not n.holds
+def _may_be_template(n: Node) -> bool:
+    """Whatever has text, is no part of a line and holds no article."""
+    return n.size > 0 and not n.holds and n.tag not in _INLINE
 
 
-def subtrees(page: str) -> tuple[int, list[int]]:
-    """(hash of the articles, or of the page without any; hashes of the subtrees that may be template)."""
+def subtrees(page: str) -> tuple[int, list[tuple[int, int]]]:
+    """(hash of the articles, or of the page without any; slot and hash of the subtrees that may be template)."""
     root = parse(page)
     articles = _articles(root)
     measure(root, articles)
     own = {id(a) for a in articles}
-    found, todo = set(), [(root, False)]
+    found, todo = [], [root]
     while todo:
-        n, inside = todo.pop()
-        inside = inside or id(n) in own
-        if n.tag and id(n) not in own and _may_be_template(n, inside):
-            found.add(n.hash)
-        todo.extend((p, inside) for p in n.parts if isinstance(p, Node) and p.tag not in _HIDDEN)  # hidden elements go anyhow
-    return xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles or [root])), sorted(found)
+        n = todo.pop()
+        if n.tag and id(n) not in own and _may_be_template(n):
+            found.append((n.slot, n.hash))
+        todo.extend(p for p in n.parts if isinstance(p, Node) and p.tag not in _HIDDEN)  # hidden elements go anyhow
+    return xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles or [root])), found
 
 
 def _attributes(n: Node) -> dict[str, str]:
@@ -151,13 +169,22 @@ def _attributes(n: Node) -> dict[str, str]:
 
 
 def _marked(n: Node) -> bool:
-    """An element that says it is not main text."""
+    """An element that says by its tag, role or style that it is not main text."""
     if n.tag in _HIDDEN or n.tag in _BOILERPLATE:
         return True
     if not n.attributes or n.tag in ("html", "body", "article", "main"):
         return False
     a = _attributes(n)
-    return a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or bool(_NAMES.search(a.get("class", "")) or _NAMES.search(a.get("id", "")))
+    return a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _named(n: Node, words: re.Pattern, whole: int) -> bool:
+    """A box with one of the words in its class or id. What has half of the page's text is no such box, nor is a header that has a heading."""
+    if not n.attributes or n.tag in ("html", "body", "article", "main") or 2 * n.size > whole:
+        return False
+    a = _attributes(n)
+    found = [m[0].strip(" \t\r\n_-").lower() for k in ("class", "id") for m in words.finditer(a.get(k, ""))]
+    return any(f != "header" for f in found) or bool(found) and not any(isinstance(p, Node) and p.tag == "h1" for p in n.parts)
 
 
 def _articles(root: Node) -> list[Node]:
@@ -168,15 +195,19 @@ def _articles(root: Node) -> list[Node]:
             n = todo.pop()
             if n.tag == kind:
                 found.append(n)
-            elif n is root or n.tag not in _HIDDEN and not (n.tag != "header" and _marked(n)):
+            elif n is root or n.tag not in _HIDDEN and not (n.tag != "header" and (_marked(n) or _named(n, _NAMES, 1 << 62))):
                 todo.extend(p for p in reversed(n.parts) if isinstance(p, Node))
         if found:
             return found
     return []
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the main text, joined by an empty line. template: hashes of subtrees that recur on the host."""
+def main_text(page: str, recurring: set[int] | frozenset[int] = frozenset(), rotating: set[int] | frozenset[int] = frozenset(), counted: bool = False) -> str:
+    """The blocks of the main text, joined by an empty line.
+
+    recurring: template slots whose subtree here recurs on the host. rotating: template slots with one that does not.
+    counted: the host has enough pages for these to decide.
+    """
     root = parse(page)
     articles = _articles(root)
     measure(root, articles)
@@ -190,6 +221,21 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         if text:
             blocks.append(text)
 
+    def goes(n: Node, inside: bool) -> bool:
+        mostly_links = n.tag in _BOXES and n.size > 0 and 2 * n.links >= n.size
+        if _may_be_template(n):
+            if n.slot in recurring and (counted or not inside or mostly_links) or n.slot in rotating and counted and n.tag in _BOXES:
+                return True
+            if counted and articles and not inside and mostly_links:
+                return True
+        if n.holds or n.tag == "header" and inside:
+            return False
+        if _marked(n):
+            return True
+        if inside:
+            return n.tag in _BOXES and _named(n, _COMMENTS if counted else _IN_ARTICLE, root.size)
+        return _named(n, _COMMENTS if counted else _NAMES, root.size)
+
     todo: list = [(p, False) for p in reversed(root.parts)]
     while todo:
         p, inside = todo.pop()
@@ -197,7 +243,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
             flush()
             continue
         if not isinstance(p, Node):
-            if inside or not articles:
+            if inside or counted or not articles:
                 inline.append(html.unescape(p))
             continue
         if p.tag in _BLOCKS:
@@ -205,7 +251,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         elif p.tag in ("br", "wbr"):
             inline.append(" " if p.tag == "br" else "")
         start = id(p) in own
-        if not start and (p.hash in template and _may_be_template(p, inside) or _marked(p) and not p.holds and not (inside and p.tag == "header" and not p.attributes.strip())):
+        if not start and goes(p, inside):
             continue
         if p.tag in _BLOCKS:
             todo.append((None, inside))
@@ -226,21 +272,27 @@ def _signed(h: int) -> int:
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [subtrees(t.decode("utf-8", "replace")) for t in texts_of(b.column(2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_signed(c) for c, _ in rows], pa.int64()), pa.array([list(map(_signed, r)) for _, r in rows], pa.list_(pa.int64()))], ["page_key", "host", "content", "hashes"])
+        slots, hashes = ([[_signed(x[i]) for x in r] for _, r in rows] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_signed(c) for c, _ in rows], pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], ["page_key", "host", "content", "slots", "hashes"])
 
 
-def templates(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_key, template): for each page the hashes of its subtrees that recur on its host. keyed: page_key, host, html."""
-    trees = written(keyed.select("page_key", "host", "html").mapInArrow(_subtrees, "page_key long, host string, content long, hashes array<long>"), "subtrees")
+def templates(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+    """(page_key, recurring, rotating, counted): for each page of a counted host, and each that has any, its template slots. keyed: page_key, host, html."""
+    trees = written(keyed.select("page_key", "host", "html").mapInArrow(_subtrees, "page_key long, host string, content long, slots array<long>, hashes array<long>"), "subtrees")
     pages = trees.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
-    each = trees.select("page_key", "host", "content", F.explode("hashes").alias("hash"))
-    different = each.groupBy("host", "hash", "content").agg(F.lit(1))
-    counted = different.groupBy("host", "hash", F.xxhash64("host", "hash")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    recurring = counted.join(F.broadcast(pages) if pages.count() <= MAX_BROADCAST else pages, "host").where(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(ENOUGH_PAGES)))).select("host", "hash")
-    return each.select("page_key", "host", "hash").join(recurring, ["host", "hash"]).groupBy("page_key").agg(F.collect_set("hash").alias("template"))
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    each = trees.select("page_key", "host", "content", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).select("page_key", "host", "content", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("hash"))
+    different = each.groupBy("host", "slot", "hash", "content").agg(F.lit(1))
+    shown = written(different.groupBy("host", "slot", "hash", F.xxhash64("host", "slot", "hash")).agg(F.count("*").alias("n")).select("host", "slot", "hash", "n"), "shown")
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    slots = shown.groupBy("host", "slot").agg(again.alias("again"), F.sum("n").alias("all")).where((F.col("again") >= min_pages) & (F.col("again") >= min_share * F.col("all"))).select("host", "slot")
+    judged = shown.join(slots, ["host", "slot"]).select("host", "slot", "hash", (F.col("n") >= min_pages).alias("recurs"))
+    of_page = each.select("page_key", "host", "slot", "hash").join(judged, ["host", "slot", "hash"]).groupBy("page_key").agg(F.collect_set(F.when(F.col("recurs"), F.col("slot"))).alias("recurring"), F.collect_set(F.when(~F.col("recurs"), F.col("slot"))).alias("rotating"))
+    large = pages.where(F.col("pages") >= enough_pages).select("host", F.lit(True).alias("counted"))
+    hosts = trees.select("page_key", "host").distinct().join(F.broadcast(large) if large.count() <= MAX_BROADCAST else large, "host", "left")
+    return hosts.join(of_page, "page_key", "left").select("page_key", "recurring", "rotating", F.coalesce("counted", F.lit(False)).alias("counted")).where("counted or recurring is not null")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of each row, from the whole html.
 
     Null or empty html: an empty text. Null url: all such pages are one site. Repeated rows count as pages of their host and each get their text.
@@ -248,13 +300,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """
     small_batches(pages.sparkSession, 200)
     rows = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page_key"), host(F.col("url")).alias("host"))
-    found = templates(rows, min_pages, min_share)
+    found = templates(rows, min_pages, min_share, enough_pages)
     # repeated rows share a key and so their subtrees
-    joined = packed(rows.select("page_id", "url", "html", "page_key"), "html").join(found, "page_key", "left").select("page_id", "url", "html", "template")
+    joined = packed(rows.select("page_id", "url", "html", "page_key"), "html").join(found, "page_key", "left").select("page_id", "url", "html", "recurring", "rotating", "counted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text((t or b"").decode("utf-8", "replace"), {h & (1 << 64) - 1 for h in known or ()}) for t, known in zip(unpacked(b.column(2)), b.column(3).to_pylist(), strict=True)]
+            known = ({h & (1 << 64) - 1 for h in x or ()} for x in b.column(3).to_pylist()), ({h & (1 << 64) - 1 for h in x or ()} for x in b.column(4).to_pylist())
+            text = [main_text((t or b"").decode("utf-8", "replace"), *slots) for t, *slots in zip(unpacked(b.column(2)), *known, map(bool, b.column(5).to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

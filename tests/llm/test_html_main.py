@@ -2,6 +2,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import html_main, queries
 
@@ -32,6 +33,9 @@ CASES = [
     ("<p title='a > b'>q</p><p hidden>h</p><p style='display: none'>h</p><textarea><p>no</p></textarea>", "q"),
     ("a &lt;p&gt; &notanentity; 1 < 2 <", "a <p> ¬anentity; 1 < 2 <"),
     ("<div role=navigation>m</div><div class='shadow advice'>kept</div><aside>s</aside>", "kept"),
+    ("<div class='post-header'><h1>T</h1><p>lead</p></div><p>x</p>", "T\n\nlead\n\nx"),
+    ("<article><p class='notice'>n</p><blockquote class='social'>q</blockquote><div class='comments'>c</div><p>x</p></article>", "n\n\nq\n\nx"),
+    ("<nav>m</nav><div id=search-results><p>all of the text</p></div>", "all of the text"),
     ("", ""),
 ]
 
@@ -68,6 +72,27 @@ def test_templates_go_and_shared_articles_stay(spark):
 
 
 def test_templates_of_a_large_host_go(spark):
-    rows = [(i, "http://one.example/", f"<body><div>Section menu</div><p>Story {i}</p></body>" if i < 60 else f"<body><p>Story {i}</p></body>") for i in range(4000)]
+    """A menu on every page goes, and so do adverts of a pool, even one that is shown once; comments go by their mark, what many articles say stays."""
+    def page(i):
+        said = "<p>As we all know.</p>" * (i % 3 == 0)
+        return f"<body><div>Section menu</div><div>Buy {i % 40 if i else 'once'}</div><div><p>Story {i}</p>{said}<p>More of {i}</p></div><div class=comments>I say {i}</div></body>"
+
+    rows = [(i, "http://one.example/", page(i)) for i in range(400)]
     got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"Story {i}" for i in range(4000))
+    assert all(got[i] == "\n\n".join([f"Story {i}", *["As we all know."] * (i % 3 == 0), f"More of {i}"]) for i in range(400))
+
+
+def test_counts_alone_find_the_text_of_pages_without_marks(spark):
+    """With article, nav and footer made div and class names taken out, on hosts that are counted."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", html_main.host(F.col("url")))
+    large = pages.join(pages.groupBy("host").count().where("count > 120"), "host").cache()
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(article|nav|footer)>", "<$1div>"), ' class="ad"', "")
+    rows = {r.page_id: plain(r.html) for r in large.collect()}
+    got = {r.page_id: r.text for r in html_main.extract(large.select("page_id", "url", bare.alias("html"))).collect()}
+    assert len(rows) > 400 and got == rows
+    assert not any(html_main.main_text(r.html) == rows[r.page_id] for r in large.select("page_id", bare.alias("html")).collect())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.example", "<p>x</p>", "t", 1, "h", 2)], "page_id long, url string, html string, recurring string, page_key int, host string, slots int")
+    assert [tuple(r) for r in html_main.extract(df).collect()] == [(1, "http://a.example", "x", 1)]
