@@ -2,16 +2,19 @@
 
 Every document is tokenized once; its ids and an end id are dealt to shards of about SHARD_TOKENS tokens by a tree of
 cuts, so that lexical neighbours meet: the tree is grown on a sample of the documents' weighted terms, projected to DIMS
-numbers, and a leaf that no cut divides (copies) is dealt by a hash of the row. Each shard builds an inverted index of its documents with BM25 weights, whose document frequencies, number of
+numbers, and a leaf that no cut divides (copies) is dealt by a hash of row and copy, so that no shard grows with the
+number of copies. Each shard builds an inverted index of its documents with BM25 weights, whose document frequencies, number of
 documents and mean length are those of the whole corpus. A seed, the next unused document, asks the index for unused
 neighbours; they fill its window greedily, and the last is cut where the window ends. What is left of it is the next
-seed. So only the last window of a shard is not full.
+seed. So only the last window of a shard is not full. A window takes no second copy of a document (a row with the same
+doc_id) while the shard has anything else.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,7 +79,7 @@ def default_tokenizer() -> str:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row_key, ids, n): little-endian 16-bit ids (32-bit where the vocabulary needs them) and the end id."""
+    """(doc_id, row_key, row, ids, n): little-endian 16-bit ids (32-bit where the vocabulary needs them) and the end id."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +89,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             wide = [x.astype("<u4") if x.max() >= 1 << 16 else x.astype("<u2") for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(map(len, ids), pa.int64())], ["doc_id", "row_key", "ids", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, ids binary, n long")
+    ids = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, ids binary, n long")
+    return ids.select("doc_id", "row_key", F.monotonically_increasing_id().alias("row"), "ids", "n")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -148,35 +152,67 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(lengths: list[int], neighbours, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece: whole windows are cut from long documents, what is left seeds a window that its neighbours fill."""
-    used, seq, turn = np.zeros(len(lengths), bool), 0, iter(range(len(lengths)))
-    seed, start, offset = None, 0, 0
+class _Unused:
+    """Documents in order, less those that are used; what a window could not take is offered first to the next ones."""
+
+    def __init__(self, names: list):
+        self.names, self.used, self.at = names, np.zeros(len(names), bool), 0
+        self.held: dict = {}  # name -> documents passed over, in order
+
+    def next(self, here: set) -> int | None:
+        """The first one whose name is not here; if all are, the first one."""
+        while (name := next((n for n in self.held if n not in here), None)) is not None:
+            waiting = self.held[name]
+            while waiting and self.used[waiting[0]]:
+                waiting.popleft()
+            if waiting:
+                return waiting.popleft()
+            del self.held[name]
+        while self.at < len(self.names):
+            d = self.at
+            self.at += 1
+            if self.used[d]:
+                continue
+            if self.names[d] not in here:
+                return d
+            self.held.setdefault(self.names[d], deque()).append(d)
+        return next((d for waiting in self.held.values() for d in waiting if not self.used[d]), None)
+
+
+def fill(lengths: list[int], neighbours, window: int, names: list | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece: whole windows are cut from long documents, what is left seeds a window that its neighbours fill.
+
+    names: documents of one name share no window while there are others.
+    """
+    names = list(range(len(lengths))) if names is None else names
+    unused, seq = _Unused(names), 0
+    seed, start, offset, here = None, 0, 0, set()
     while True:
         if seed is None:
-            seed = next((i for i in turn if not used[i]), None)
+            seed = unused.next(here)
             if seed is None:
                 return
-            used[seed], start = True, 0
+            unused.used[seed], start = True, 0
         queue = iter(())
         asked, d = seed, seed
         while d is not None:  # one window: the seed, then its neighbours, then whoever is next
             take = min(lengths[d] - start, window - offset)
             yield d, start, take, seq, offset
+            here.add(names[d])
             offset += take
             start += take
             left = d if start < lengths[d] else None
             if offset == window:
-                seq, offset, seed = seq + 1, 0, left
+                seq, offset, seed, here = seq + 1, 0, left, set()
                 break
             if asked is not None:
                 queue, asked = iter(neighbours(asked)), None
-            d = next((i for i in queue if not used[i]), None)
+            d = next((i for i in queue if not unused.used[i] and names[i] not in here), None)
             if d is None:
-                d = next((i for i in turn if not used[i]), None)
+                d = unused.next(here)
             if d is None:
                 return
-            used[d], start = True, 0
+            unused.used[d], start = True, 0
 
 
 @lru_cache(maxsize=2)
@@ -214,13 +250,13 @@ class Tree:
         self.cuts[here] = (direction, at, self._grow(x[low], w[low], limit), self._grow(x[~low], w[~low], limit))
         return here
 
-    def shard(self, x: np.ndarray, row_key: int) -> int:
+    def shard(self, x: np.ndarray, draw: int) -> int:
         n = self.root
         while n >= 0:
             direction, at, below, above = self.cuts[n]
             n = below if x @ direction <= at else above
         first, parts = self.leaves[~n]
-        return first + row_key % parts
+        return first + draw % parts
 
 
 def _cut(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float] | None:
@@ -261,18 +297,18 @@ def deal(ids: DataFrame, idf: np.ndarray, n_docs: int, n_tokens: int, shard_toke
             v = [vector(_ids(raw, n), given.value).astype("<f2").tobytes() for raw, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], ["row_key", "v", "n"])
 
-    drawn = ids if wanted >= n_docs else ids.where(F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * wanted / n_docs))
+    drawn = ids if wanted >= n_docs else ids.where(F.pmod(F.xxhash64("row_key", "row", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * wanted / n_docs))
     rows = sorted(map(tuple, drawn.select("row_key", "ids", "n").mapInArrow(vectors, "row_key long, v binary, n long").collect()))  # at most about SAMPLE_MAX
     w = np.array([r[2] for r in rows], np.float64)
     tree = spark.sparkContext.broadcast(Tree(np.array([np.frombuffer(r[1], "<f2") for r in rows], np.float32).reshape(-1, DIMS), w * n_tokens / max(1.0, w.sum()), shard_tokens))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(1).to_pylist()
-            at = [tree.value.shard(vector(_ids(raw, n), given.value), xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True))) for k, raw, n in zip(key, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], ["doc_id", "row_key", "ids", "n", "shard"])
+            draws = (xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), seed=r) for k, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            at = [tree.value.shard(vector(_ids(raw, n), given.value), draw) for draw, raw, n in zip(draws, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], ["doc_id", "row_key", "row", "ids", "n", "shard"])
 
-    return ids.mapInArrow(dealt, "doc_id long, row_key long, ids binary, n long, shard long")
+    return ids.mapInArrow(dealt, "doc_id long, row_key long, row long, ids binary, n long, shard long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -281,7 +317,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null or empty text: the end id alone. Null doc_id: packed, with a null doc_id. Repeated rows are packed each on its own.
+    Null or empty text: the end id alone. Null doc_id: packed, with a null doc_id. Repeated rows are packed each on its own, in different windows
+    while their shard has other documents.
     A document of any length is cut into whole windows. An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
     spark = docs.sparkSession
@@ -296,11 +333,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
 
     def run(table: pa.Table) -> pa.Table:
         idf, mean = given.value
-        table = table.sort_by([("row_key", "ascending")])
+        table = table.sort_by([("row_key", "ascending"), ("row", "ascending")])
         ids = [_ids(raw, n) for raw, n in zip(table["ids"].to_pylist(), table["n"].to_pylist(), strict=True)]
         shard = Shard(ids, idf, mean)
         names, base, out = table["doc_id"].to_pylist(), table["shard"][0].as_py() << 32, []
-        for d, start, length, seq, offset in fill([len(x) for x in ids], shard.neighbours, window):
+        for d, start, length, seq, offset in fill([len(x) for x in ids], shard.neighbours, window, [f"row {i}" if n is None else n for i, n in enumerate(names)]):
             out.append((names[d], start, length, zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes()), len(ids[d]), base + seq, offset))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 

@@ -102,3 +102,34 @@ def test_documents_of_a_topic_meet(spark):
     assert len(size) > 8 and max(size.values()) < 3 * 15_000
     met = [shard[a] == shard[b] for t in range(40) for a in range(t, 800, 40) for b in range(a + 40, 800, 40)]
     assert np.mean(met) > 0.8
+
+
+def test_copies_share_no_window_and_no_shard_is_theirs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    twice = docs.unionAll(docs)
+    pieces = packing.pack(twice, shard_tokens=20_000).collect()
+    rows = defaultdict(list)
+    for p in pieces:
+        rows[p.doc_id, p.start].append(p.sequence_id)
+    both = sum(len({*s}) < len(s) for s in rows.values())
+    assert both <= 0.05 * len(rows)  # where a shard of ten windows has nothing else left
+    # a third of all rows is one text: its rows are dealt to several shards
+    hot = docs.limit(100).unionAll(spark.range(200).selectExpr("7L as doc_id", "repeat('all the same words ', 60) as text"))
+    sizes = defaultdict(int)
+    for p in packing.pack(hot, shard_tokens=10_000).collect():
+        sizes[p.sequence_id >> 32] += p.length * (p.doc_id == 7)
+    assert sum(n > 0 for n in sizes.values()) >= 4 and max(sizes.values()) < 30_000
+
+
+def test_fill_passes_over_copies():
+    names = ["a", "a", "a", "b", "c", "b"]
+    windows = defaultdict(list)
+    for d, _, _, seq, _ in packing.fill([4] * 6, lambda d: [i for i in range(6) if names[i] == names[d]], 8, names):
+        windows[seq].append(names[d])
+    assert sorted(map(sorted, windows.values())) == [["a", "b"], ["a", "b"], ["a", "c"]]
+    assert sum(n for _, _, n, _, _ in packing.fill([4] * 5, lambda d: range(5), 8, ["a"] * 5)) == 20
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8)], "doc_id long, text string, row_key int, `row` int, ids int, shard int")
+    check(packing.pack(df).collect(), whole([(1, "a b c")]))
