@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,6 +62,9 @@ def test_planted_passages(spark):
         assert order(got) == order(brute(rows))
     out = substring_dedup.remove_repeats(df)
     assert out.columns == df.columns
+    left = {d: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for d, t, x, one in map(tuple, out.collect()) if (x, one) == ("x", 1)}
+    want = {d: sha for d, n, gone, sha in brute(rows) if d != 94 and (gone < n or not n)}
+    assert want.items() <= left.items() and left.keys() <= {*want, 94}
     assert substring_dedup.removal_digests(df.limit(0)).count() == 0
 
 
@@ -79,17 +83,32 @@ def test_spans_cover_all_windows_and_name_their_words(words):
             assert (h[i] == h[j]) == (words[i : i + 8] == words[j : j + 8])
 
 
-def test_index_over_batches_that_arrive(spark):
+def test_index_over_batches_that_arrive(spark, tmp_path):
     words = [f"w{i}" for i in range(400)]
     rows = [(d, " ".join(words[d * 7 : d * 7 + 120])) for d in range(40)]
     spans = substring_dedup._spans(50, 12)
-    index = substring_dedup.FingerprintIndex()
-    seen = set()
-    for part in (rows[:10], rows[10:15], rows[15:16], rows[16:]):
+    seen, parts = set(), (rows[:10], rows[10:15], rows[15:16], rows[16:30], rows[30:])
+    for n, part in enumerate(parts, 1):
+        index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=2)  # each job opens the folder anew
         df = spark.createDataFrame([(d, d, t) for d, t in part], "doc_id long, text_key long, text string")
-        repeats, doubtful = index.add(df.mapInArrow(spans, "doc_id long, text_key long, m long, h1 long, h2 long, a int, b int"))
+        repeats, doubtful = index.add(df.mapInArrow(spans, substring_dedup.RUN))
         first = {r.doc_id for r in repeats.collect()} | {r.doc_id for r in doubtful.collect()}
         assert {d for d, _ in part if d} <= first  # each shares windows with the one before it
         seen |= {d for d, _ in part}
         run = index.history().toPandas()
-        assert len(index.runs) == 1 and not run.duplicated(["m", "h1", "h2"]).any() and set(run.doc_id) <= seen
+        assert not run.duplicated(["m", "h1", "h2"]).any() and set(run.doc_id) <= seen
+        assert sorted(level for _, level in index.runs()) == [b for b in range(4) if n >> b & 1]  # levels of sizes 1, 2, 4: no batch rewrites all
+    with pytest.raises(ValueError, match="up to 39"):
+        index.add(df.mapInArrow(spans, substring_dedup.RUN))
+
+
+def test_two_jobs_on_one_index_are_like_one(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    cut = sorted(r.doc_id for r in docs.select("doc_id").collect())[120]
+    old, new = docs.where(f"doc_id <= {cut}"), docs.where(f"doc_id > {cut}")
+    folder = f"file://{tmp_path}/index"
+    got = [tuple(r) for r in substring_dedup.removal_digests(old, batches=2, index=substring_dedup.FingerprintIndex(spark, folder)).collect()]
+    with pytest.raises(ValueError, match="earlier"):
+        substring_dedup.removal_digests(new, index=substring_dedup.FingerprintIndex(spark, folder))
+    got += [tuple(r) for r in substring_dedup.removal_digests(new, batches=1, index=substring_dedup.FingerprintIndex(spark, folder), earlier=old).collect()]
+    assert order(got) == order(brute([tuple(r) for r in docs.collect()]))
