@@ -31,17 +31,17 @@ HEAD = 1 << 16  # bound of the word counts that every task gets
 SMOOTH = 0.1
 SEED = 11
 _FLUSH = 200_000
-_CELLS, _BUFFER, _LONGEST = 400_000, 2_000_000, 200_000  # of classes: in a group, held by a task, in a training sequence
+_CELLS, _BUFFER = 400_000, 2_000_000  # of classes: in a group and in a block of the recursions, held by a task
 END = CLASSES - 1
 
 
 class _Classes(dict):
-    """word -> class; a word that is new is hashed. Emptied when it has grown to a fixed size."""
+    """word -> class, by its last three letters; a word that is new is hashed. Emptied when it has grown to a fixed size."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _FLUSH:
             self.clear()
-        self[word] = c = xxhash.xxh32_intdigest(word[-3:]) % END
+        self[word] = c = xxhash.xxh32_intdigest(word.decode("utf-8", "replace")[-3:]) % END
         return c
 
 
@@ -67,9 +67,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Recursions:
     """Scaled forward and backward recursions of one model, over groups of class sequences."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind: type = np.float64):
-        self.start, self.move, self.emit = (x.astype(kind) for x in (start, move, emit))  # (K,), (K, K), (CLASSES, K)
-        self.kind = kind
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit  # (K,), (K, K), (CLASSES, K)
 
     @staticmethod
     def groups(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -91,41 +90,63 @@ class Recursions:
 
     def likelihoods(self, n: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Natural log-likelihoods."""
-        scale, a = np.ones(x.shape, self.kind), None
+        scale, a = np.ones(x.shape), None
         for t, m in enumerate(self.live(n, len(x))):
             a = (self.start if a is None else a[:m] @ self.move) * self.emit[x[t, :m]]
             s = a.sum(axis=1)
             a /= s[:, None]
             scale[t, :m] = s
-        return np.log(scale).sum(axis=0, dtype=np.float64)
+        return np.log(scale).sum(axis=0)
 
-    def expected(self, n: np.ndarray, x: np.ndarray, totals: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-        """Adds the expected counts of starts, moves and emissions to totals; returns the log-likelihood."""
-        starts, moves, emits = totals
-        live, k = self.live(n, len(x)), len(self.start)
-        e = self.emit[x]
-        alpha, scale, a = np.zeros((*x.shape, k), self.kind), np.ones(x.shape, self.kind), None
+    def _forward(self, a: np.ndarray | None, e: np.ndarray, live: list[int], alpha: np.ndarray | None, scale: np.ndarray | None) -> np.ndarray | None:
+        """The last row of scaled alphas of a block of times, after the row a before it; alpha and scale get all of them."""
         for t, m in enumerate(live):
             a = (self.start if a is None else a[:m] @ self.move) * e[t, :m]
             s = a.sum(axis=1)
             a /= s[:, None]
-            alpha[t, :m], scale[t, :m] = a, s
-        e /= scale[..., None]
-        beta, back = np.ones_like(alpha), self.move.T
-        for t in range(len(x) - 2, -1, -1):
-            m = live[t + 1]
-            after = e[t + 1, :m]
-            after *= beta[t + 1, :m]  # from here on e holds what a move to this time is weighed by
-            beta[t, :m] = after @ back
-        for t, m in enumerate(live):
-            e[t, m:] = 0
-        moves += self.move * (alpha[:-1].reshape(-1, k).T @ e[1:].reshape(-1, k))
-        alpha *= beta
-        at = x.ravel()
-        for s in range(k):
-            emits[:, s] += np.bincount(at, weights=alpha[..., s].ravel(), minlength=CLASSES)
-        starts += alpha[0].sum(axis=0)
-        return float(np.log(scale).sum(dtype=np.float64))
+            if alpha is not None:
+                alpha[t, :m], scale[t, :m] = a, s
+        return a
+
+    def expected(self, n: np.ndarray, x: np.ndarray, totals: tuple[np.ndarray, np.ndarray, np.ndarray], cells: int = _CELLS) -> float:
+        """Adds the expected counts of starts, moves and emissions to totals; returns the log-likelihood.
+
+        Times are worked on in blocks of about `cells` cells, the last first: a first pass keeps the alphas each block begins
+        after, from which they are computed again. So memory does not grow with the length of a sequence, and no sequence is cut.
+        """
+        starts, moves, emits = totals
+        live, k, log = self.live(n, len(x)), len(self.start), 0.0
+        step = max(1, cells // x.shape[1])
+        blocks, before = range(0, len(x), step), [None]
+        for lo in blocks[:-1]:
+            before.append(self._forward(before[-1], self.emit[x[lo : lo + step]], live[lo : lo + step], None, None))
+        after, back = None, self.move.T  # after: what a move to the first time of the block behind is weighed by
+        for lo, a in zip(reversed(blocks), reversed(before), strict=True):
+            xs, ms = x[lo : lo + step], live[lo : lo + step]
+            e = self.emit[xs]
+            alpha, scale = np.zeros((*xs.shape, k)), np.ones(xs.shape)
+            self._forward(a, e, ms, alpha, scale)
+            log += float(np.log(scale).sum())
+            e /= scale[..., None]
+            beta = np.ones_like(alpha)
+            if after is not None:
+                beta[-1, : len(after)] = after @ back
+                moves += self.move * (alpha[-1, : len(after)].T @ after)
+            for t in range(len(xs) - 2, -1, -1):
+                m = ms[t + 1]
+                e[t + 1, :m] *= beta[t + 1, :m]  # from here on e holds what a move to this time is weighed by
+                beta[t, :m] = e[t + 1, :m] @ back
+            for t, m in enumerate(ms):
+                e[t, m:] = 0
+            moves += self.move * (alpha[:-1].reshape(-1, k).T @ e[1:].reshape(-1, k))
+            after = e[0, : ms[0]] * beta[0, : ms[0]]
+            alpha *= beta
+            at = xs.ravel()
+            for s in range(k):
+                emits[:, s] += np.bincount(at, weights=alpha[..., s].ravel(), minlength=CLASSES)
+            if lo == 0:
+                starts += alpha[0].sum(axis=0)
+        return log
 
 
 def first_guess(states: int = STATES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,17 +172,14 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[n
 
 
 def _expectations(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Per task: the sums of expected counts as (index, value) of the tables laid end to end; the log-likelihood comes last.
-
-    A sequence over _LONGEST classes trains in pieces, which bounds memory; its likelihood, when scored, is that of the whole.
-    """
+    """Per task: the sums of expected counts as (index, value) of the tables laid end to end; the log-likelihood comes last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Recursions(*model, kind=np.float32)
+        r = Recursions(*model)
         totals = tuple(np.zeros_like(x) for x in model)
         log = 0.0
         for seqs in _runs(batches):
-            for _, n, x in r.groups([p for s in seqs for p in (s[i : i + _LONGEST] for i in range(0, len(s), _LONGEST))]):
+            for _, n, x in r.groups(seqs):
                 log += r.expected(n, x, totals)
         flat = np.concatenate([*(x.ravel() for x in totals), [log]])
         held = np.flatnonzero(flat)

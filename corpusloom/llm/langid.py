@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The regression is trained with FTRL-proximal and elastic-net penalties and calibrated by a temperature. Document
-frequencies come from all training rows. The regression itself is fitted on a bounded sample: FIT_ROWS rows expected,
-drawn by a hash of doc_id. Predictions read nothing but the text.
+frequencies come from all training rows. The regression itself is fitted on a bounded sample, drawn by a hash of doc_id:
+FIT_ROWS rows expected, and of each language LANGUAGE_ROWS or all it has, so that a rare one is learned as well.
+Predictions read nothing but the text.
 """
 
 from __future__ import annotations
@@ -13,25 +14,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, small_batches, texts_of
+from .common import fold, free_name, small_batches, texts_of
 
 BUCKETS = 1 << 13  # hashed n-grams
-FIT_ROWS = 2000  # bound of the fitting sample (expected rows)
+FIT_ROWS = 2000  # bound of the fitting sample (expected rows),
+LANGUAGE_ROWS = 100  # which has so many more of each language at most
 MIN_SCORE = 0.3  # a pipeline rejects predictions below this probability
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # not the fractions, roman and circled numerals that re takes for letters
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 18
 
 
 def ngram_counts(text: bytes) -> np.ndarray | None:
     """Counts of hashed character 1-, 2- and 3-grams of the lower-cased letters of a whole text; None if it has no letter."""
-    letters = _NOT_LETTERS.sub(" ", text.decode("utf-8", "replace").lower())
-    if not letters.strip():
+    whole = text.decode("utf-8", "replace")
+    if not LETTER.search(whole):
         return None
+    letters = _NOT_LETTERS.sub(" ", whole.lower())
     c = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     counts = np.zeros(BUCKETS, np.int64)
     for i in range(0, len(c), _CHUNK):
@@ -132,7 +136,7 @@ def _temperature(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -
     return float(min(np.geomspace(0.05, 5.0, 60), key=loss))
 
 
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
+def train(docs: DataFrame, fit_rows: int = FIT_ROWS, language_rows: int = LANGUAGE_ROWS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
     """Learns from text and non-null lang of the rows whose crc32(doc_id) mod 3 is not 1. No such row: a model that says `und`."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where((F.coalesce(fold(F.col("doc_id"), 3), F.lit(0)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -141,9 +145,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = 3, alpha: flo
     df = np.zeros(BUCKETS)
     df[list(stats)] = list(stats.values())
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20))
-    share = 1.0 if not n else min(1.0, fit_rows / n)
-    sample = rows.where(draw < F.lit(int(share * (1 << 20)))).mapInArrow(_sparse, "doc_id long, lang string, idx array<int>, val array<int>").toArrow().to_pylist()
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    shares = rows.groupBy(F.col("lang").alias("fit_lang")).agg(F.greatest(F.lit(fit_rows / max(1, n)), language_rows / F.count("*")).alias("share"))
+    drawn = rows.join(shares, F.col("lang") == F.col("fit_lang")).where(draw < F.col("share")).select("doc_id", "text", "lang")
+    sample = drawn.mapInArrow(_sparse, "doc_id long, lang string, idx array<int>, val array<int>").toArrow().to_pylist()
     sample.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["idx"], r["val"]))
     model = Model(sorted({r["lang"] for r in sample}), idf, np.zeros((BUCKETS + 1, 0)))
     at = {lang: i for i, lang in enumerate(model.languages)}
@@ -161,18 +166,18 @@ def hash_order(doc_id: int | None) -> int:
     return ((doc_id or 0) * 0x9E3779B97F4A7C15 >> 17) & 0xFFFFFFFF
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score. lang_pred is `und`, score 0, if text is null or has no letter."""
+def predict(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang_pred and score, in place of what has these names. lang_pred is `und`, score 0, if text is null or has no letter."""
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (lang_pred, score)]
     frame = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.predict(t) for t in texts_of(b.column(names.index("text")))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*names, lang_pred, score])
 
-    schema = StructType([*frame.schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = StructType([*frame.schema.fields]).add(lang_pred, "string").add(score, "double")
     return frame.mapInArrow(run, schema)
 
 
@@ -188,5 +193,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows with a language: not `und`, and a calibrated probability of min_score or more."""
-    return predict(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    """The rows with a language: not `und`, and a calibrated probability of min_score or more. Columns of docs are kept as they are, also a lang_pred or score of its own."""
+    lang_pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    return predict(docs, train(docs), lang_pred, score).where((F.col(lang_pred) != "und") & (F.col(score) >= min_score)).select(*docs.columns)

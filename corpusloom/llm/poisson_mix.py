@@ -12,12 +12,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 
 SEED = "mix-1"
 ALPHA = 0.5  # target weights: each source's share to this power, normed
 DRAW_BITS = 52
-TAIL = 40  # terms of the distribution beyond twice its mean
+TAIL = 40  # terms of the distribution beyond twice its mean: what lies beyond is under 2 ** -53 for any mean, less than the draw's last bit
 MAX_MEAN = 500
 MAX_BROADCAST = 50_000  # sources; with more, the rates are joined by a shuffle
 
@@ -64,7 +64,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row as often as drawn, with rate, copies, copy (from 1) and shuffle_key, in the global order of shuffle_key.
 
-    Null source: a source of its own. Null doc_id: drawn as the text 'null'. Rows with equal doc_id draw the same number.
+    These four replace columns of docs that have their names. Null source: a source of its own. Null doc_id: drawn as the text 'null'. Rows with equal doc_id draw the same number.
     Empty or very long texts are rows like any other. An empty table gives an empty result.
     """
     taken = {"rate", "copies", "copy", "shuffle_key"}
@@ -78,6 +78,13 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     return shuffled.select(*names, F.col("mix_rate").alias("rate"), "copies", "copy", "shuffle_key").orderBy("shuffle_key")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of replicate() with the columns of docs alone, whatever their names. Nulls, ties and empty tables as there."""
+    row = free_name(docs, "row")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("mixed_source"), F.struct(*docs.columns).alias(row))
+    return replicate(whole, id_col="id", source_col="mixed_source", **options).select(f"{row}.*")
+
+
 ORACLE = f"""
 WITH s AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {ALPHA}) AS w FROM documents GROUP BY source),
 r AS (SELECT source, w / (SELECT sum(w) FROM s) * (SELECT sum(n) FROM s) / n AS rate FROM s),

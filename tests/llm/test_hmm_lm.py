@@ -87,3 +87,64 @@ def test_edge_rows(spark):
     assert hmm_lm.score(df.limit(0)).count() == 0
     twice = df.where("doc_id = 3").unionAll(df.where("doc_id = 3"))
     assert len({tuple(r) for r in hmm_lm.score(twice).collect()}) == 1
+
+
+def test_blocks_of_times_give_what_whole_sequences_give():
+    rng = np.random.default_rng(8)
+    model = hmm_lm.first_guess(3)
+    r = hmm_lm.Recursions(*model)
+    seqs = [np.append(rng.integers(0, hmm_lm.END, n), hmm_lm.END) for n in (700, 500, 499, 30, 0)]
+    ((_, n, x),) = r.groups(seqs)
+    whole, cut = (tuple(np.zeros_like(t) for t in model) for _ in range(2))
+    logs = r.expected(n, x, whole), r.expected(n, x, cut, cells=5 * 40)
+    assert logs[0] == pytest.approx(logs[1]) == pytest.approx(r.likelihoods(n, x).sum())
+    assert all(np.allclose(a, b) for a, b in zip(whole, cut, strict=True))
+
+
+def test_score_against_a_loop(spark):
+    """The whole model again, by plain loops: word counts, classes, Baum-Welch with its smoothing, scaled forward recursion."""
+    rng = np.random.default_rng(2)
+    words = ["runs", "walks", "talked", "walked", "cat", "cats", "été", "ἀρετή"]
+    rows = [(d, " ".join(rng.choice(words, rng.integers(0, 9)))) for d in range(30)] + [(40, "unseen WORDS talked")]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    tokens = {d: t.encode().lower().split() for d, t in rows}
+    of = hmm_lm._Classes()
+    counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    n_class, v_class = Counter(), Counter()
+    for w, n in counts.items():
+        n_class[of[w]] += n
+        v_class[of[w]] += 1
+    k, rounds = 2, 2
+    start, move, emit = hmm_lm.first_guess(k)
+    seqs = {d: [*(of[w] for w in ws), hmm_lm.END] for d, ws in tokens.items()}
+
+    def forward(seq):
+        rows, scales = [], []
+        for t, c in enumerate(seq):
+            a = [(start[s] if t == 0 else sum(rows[-1][q] * move[q, s] for q in range(k))) * emit[c, s] for s in range(k)]
+            scales.append(sum(a))
+            rows.append([v / scales[-1] for v in a])
+        return rows, scales
+
+    for _ in range(rounds):
+        new = np.full(k, hmm_lm.SMOOTH), np.full((k, k), hmm_lm.SMOOTH), np.full((hmm_lm.CLASSES, k), hmm_lm.SMOOTH)
+        for d, seq in seqs.items():
+            if held[d]:
+                continue
+            a, scales = forward(seq)
+            b = [[1.0] * k for _ in seq]
+            for t in range(len(seq) - 2, -1, -1):
+                b[t] = [sum(move[s, q] * emit[seq[t + 1], q] * b[t + 1][q] for q in range(k)) / scales[t + 1] for s in range(k)]
+            for t, c in enumerate(seq):
+                for s in range(k):
+                    new[2][c, s] += a[t][s] * b[t][s]
+                    if t == 0:
+                        new[0][s] += a[t][s] * b[t][s]
+                    for q in range(k):
+                        if t + 1 < len(seq):
+                            new[1][s, q] += a[t][s] * move[s, q] * emit[seq[t + 1], q] * b[t + 1][q] / scales[t + 1]
+        start, move, emit = new[0] / new[0].sum(), new[1] / new[1].sum(axis=1, keepdims=True), new[2] / new[2].sum(axis=0)
+    want = {d: sum(map(math.log10, forward(seqs[d])[1])) + sum(math.log10((counts[w] + 1) / (n_class[of[w]] + v_class[of[w]] + 1)) for w in ws) for d, ws in tokens.items()}
+    got = hmm_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds, states=k, head=3).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-9)
+    assert of["ἀρετή".encode()] == of["ρετή".encode()] != of["ετά".encode()]

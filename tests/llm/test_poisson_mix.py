@@ -53,3 +53,12 @@ def test_weights_and_edge_rows(spark):
     assert poisson_mix.replicate(twice).count() % 2 == 0
     none = spark.createDataFrame([(None, "a", None)], "doc_id long, source string, text string")
     assert poisson_mix.replicate(none).count() >= 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, "a", f"t{i}", 0.5, 9, "k", 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, rate double, copies int, shuffle_key string, `row` int")
+    got = poisson_mix.mixed(df)
+    assert got.columns == df.columns
+    times = {r.doc_id: r.copies for r in poisson_mix.replicate(df).select("doc_id", "copies").collect()}
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows for _ in range(times.get(r[0], 0)))

@@ -65,3 +65,31 @@ def test_edge_rows(spark):
     twice = df.where("doc_id in (5, 6)").unionAll(df.where("doc_id in (5, 6)"))
     assert sorted(r.doc_id for r in syncmers.fingerprint_pairs(twice).collect()) == [5, 5, 6, 6]
     assert syncmers.fingerprint_pairs(df.limit(0)).count() == 0
+
+
+def test_hot_ids_have_several_buckets(spark):
+    """Most rows have one id, or none: in order of their text's hash, over many buckets."""
+    rows = [(d, f"text {i} of {d} " * 5) for i in range(150) for d in (7, None)] + [(d, f"only {d} " * 9) for d in range(60)] + [(7, "the same") for _ in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = syncmers.with_next(df, 20)
+    sizes = {r.bucket: r["count"] for r in dealt.where("lent = 0").groupBy("bucket").count().collect()}
+    assert len(sizes) > 15 and max(sizes.values()) < 60
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in syncmers.fingerprint_pairs(df, bucket_rows=20).collect())
+    keyed = [(r.doc_id, r.text, r.h) for r in df.selectExpr("*", "xxhash64(text) as h").collect()]
+    order = sorted(keyed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = []
+    for (d, t, _), (_, after, _) in zip(order, [*order[1:], order[0]], strict=True):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        want.append((d is None, d or 0, hashlib.sha256(edited.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_likeness_by_few_anchors_is_near_that_by_all(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 3000").select("text").limit(60).collect()]
+    off = []
+    for t, after in zip(texts, texts[1:], strict=False):
+        for share in (3, 6, 20):
+            cut = len(t) // share
+            a, b = (syncmers._code_points(x.encode()) for x in (t, t[: len(t) - cut] + after[:cut]))
+            off.append(syncmers.likeness(syncmers.sketch(a), syncmers.sketch(b)) - syncmers.likeness(syncmers.sketch(a, None), syncmers.sketch(b, None), None))
+    assert np.std(off) < 0.06 and abs(np.mean(off)) < 0.02 and np.max(np.abs(off)) < 0.2
