@@ -24,7 +24,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as drawn for its source's weight, in a global shuffle."""
-    return poisson_mix.replicate(docs).select(*docs.columns)
+    return poisson_mix.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -704,8 +703,7 @@ def loader_epoch(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def prefetch_stream(spark, sf):
     """events as a stream of files, written as it comes and then counted by type and hour."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{ordering.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = loader.archive_stream(spark, sf, table(spark, sf, "events").schema, glob="events*.parquet")
     stamped = rows.select("event_type", "value", F.date_trunc("hour", "ts").alias("hour"))
     stamped.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
