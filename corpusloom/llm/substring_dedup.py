@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, packed, shared_dir, small_batches, texts_of, unpacked, written
+from .common import free_name, packed, scratch, small_batches, texts_of, unpacked, written
 
 WINDOW, GRAM = 50, 12
 BATCHES, FAN_IN = 3, 4  # batches of a table that is given at once; runs of a level
@@ -132,7 +132,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
-        self.path = (path or f"{shared_dir(spark)}/window-index-{uuid.uuid4().hex}").rstrip("/")
+        self.path = (path or scratch(spark, "window-index")).rstrip("/")
         self.log: list[tuple[str, int, list[str], int]] = []
         if path:
             with contextlib.suppress(AnalysisException):  # a new folder
