@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays, signal, text
 from .operators import ordered, quality, stats, tables
+from .plans import ordering
 from .plans.ordering import hashed
 from .plans.pipeline import Pipeline
 from .schema import FRAMES_SQL, SEG_SQL, SIDES_SQL, UTT_SQL, DataDir, frames, segments, sides, table, utterances
