@@ -56,43 +56,50 @@ def _mean(x: Column) -> Column:
     return total["s"] / total["n"]
 
 
-def _inside(i: Column, spans: list[tuple[Column, Column]]) -> Column:
+def _inside(i: Column, spans: Column, masks: int) -> Column:
     out = F.lit(False)
-    for a, b in spans:
-        out = out | ((i >= a) & (i < b))
+    for k in range(masks):
+        out = out | ((i >= spans[k]["a"]) & (i < spans[k]["b"]))
     return out
 
 
-def _spans(size: Column, width: int, masks: int, name: str, key: Column | str, draws: Callable[..., Column] = draw) -> list[tuple[Column, Column]]:
-    """(start, end) of masks: a width f under `width`, a start under size - f, and then a width of its own draw; none where f is zero or fills the size."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often and how deep in lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spans(size: Column, width: int, masks: int, name: str, key: Column | str, draws: Callable[..., Column] = draw) -> Column:
+    """An array of (a, b), start and end of masks: a width f under `width`, a start under size - f, and then a width of its own draw; none where f is zero or fills the size."""
     out = []
     for k in range(masks):
         f = draws(width, key, name, str(k), "f")
         start = draws(F.greatest(size - f, F.lit(1)), key, name, str(k), "s")
         end = start + draws(width, key, name, str(k), "e")
-        out.append((start, F.when((f == 0) | (size - f <= 0), start).otherwise(end)))
-    return out
+        out.append(F.struct(start.alias("a"), F.when((f == 0) | (size - f <= 0), start).otherwise(end).alias("b")))
+    return F.array(*out)
 
 
 def freq_mask(x: Column, key: Column | str, width: int = 30, masks: int = 2, to_mean: bool = False) -> Column:
     """Stretches of places set to zero (or the mean) in all frames; key seeds the draws."""
-    spans = _spans(F.size(x[0]), width, masks, "freq", key)
-    fill = _mean(x) if to_mean else F.lit(0.0)
-    return F.transform(x, lambda f: F.transform(f, lambda v, i: F.when(_inside(i, spans), fill).otherwise(v)))
+    if not masks:
+        return x
+    drawn = F.struct(_spans(F.size(x[0]), width, masks, "freq", key).alias("spans"), (_mean(x) if to_mean else F.lit(0.0)).alias("fill"))
+    return bound(drawn, lambda d: F.transform(x, lambda f: F.transform(f, lambda v, i: F.when(_inside(i, d["spans"], masks), d["fill"]).otherwise(v))))
 
 
 def time_mask(x: Column, key: Column | str, width: int = 40, masks: int = 2, to_mean: bool = False) -> Column:
     """Stretches of frames set to zero (or the mean)."""
-    spans = _spans(F.size(x), width, masks, "time", key)
-    fill = _mean(x) if to_mean else F.lit(0.0)
-    return F.transform(x, lambda f, t: F.when(_inside(t, spans), F.transform(f, lambda _: fill)).otherwise(f))
+    if not masks:
+        return x
+    drawn = F.struct(_spans(F.size(x), width, masks, "time", key).alias("spans"), (_mean(x) if to_mean else F.lit(0.0)).alias("fill"))
+    return bound(drawn, lambda d: F.transform(x, lambda f, t: F.when(_inside(t, d["spans"], masks), F.transform(f, lambda _: d["fill"])).otherwise(f)))
 
 
 def bandpass(x: Column, key: Column | str, low: float = 0.0, high: float = 0.75) -> Column:
-    """Places of a matrix kept or set to zero: a share in [low, high) of them goes, each by its own draw."""
+    """Places of a matrix kept or set to zero: a share in [low, high) of them goes, each by its own uniform draw."""
     share = uniform(low, high, key, "band")
-    keep = F.transform(F.sequence(F.lit(0), F.size(x[0]) - 1), lambda i: uniform(0.0, 1.0, key, i.cast("string")) >= share)
-    return F.transform(x, lambda f: F.zip_with(f, keep, lambda v, k: F.when(k, v).otherwise(F.lit(0.0))))
+    drawn = bound(share, lambda s: F.transform(F.sequence(F.lit(0), F.size(x[0]) - 1), lambda i: uniform(0.0, 1.0, key, i.cast("string")) >= s))
+    return bound(drawn, lambda keep: F.transform(x, lambda f: F.zip_with(f, keep, lambda v, k: F.when(k, v).otherwise(F.lit(0.0)))))
 
 
 def joined_frames(a: Column, b: Column) -> Column:

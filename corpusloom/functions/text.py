@@ -53,12 +53,11 @@ def has_braces(text: Column) -> Column:
     return text.contains("{") & text.contains("}")
 
 
-def news_token(word: Column, noise: str = NOISE) -> Column:
-    """One token of read news: null where it is dropped."""
-    w = F.regexp_replace(ascii_lower(word), r"\\", "")
-    w = replaced(w, [(r"^%percent", "percent"), (r"^\.point", "point"), (r"\*(.*)\*", "$1")])
-    w = F.when(w == "!exclamation-point", w).otherwise(F.regexp_replace(w, "!", ""))
-    w = F.when(w == ":colon", w).otherwise(F.regexp_replace(w, ":", ""))
+def _plain_news(w: Column) -> Column:
+    return replaced(F.regexp_replace(ascii_lower(w), r"\\", ""), [(r"^%percent", "percent"), (r"^\.point", "point"), (r"\*(.*)\*", "$1")])
+
+
+def _marked_news(w: Column, noise: str) -> Column:
     dropped = w.rlike(r"^\[<\w+\]$") | w.rlike(r"^\[\w+>\]$") | w.rlike(r"\[\w+/\]$") | w.rlike(r"\[/\w+\]$") | w.isin("~", ".")
     return (
         F.when(dropped, None)
@@ -69,8 +68,26 @@ def news_token(word: Column, noise: str = NOISE) -> Column:
     )
 
 
+def news_tokens(words: Column, noise: str = NOISE) -> Column:
+    """Tokens of read news; null where one is dropped. One step after the other over the array, so that each is computed once a token."""
+    steps = [
+        _plain_news,
+        lambda w: F.when(w == "!exclamation-point", w).otherwise(F.regexp_replace(w, "!", "")),
+        lambda w: F.when(w == ":colon", w).otherwise(F.regexp_replace(w, ":", "")),
+        lambda w: _marked_news(w, noise),
+    ]
+    for step in steps:
+        words = F.transform(words, step)
+    return words
+
+
+def news_token(word: Column, noise: str = NOISE) -> Column:
+    """One token of read news: null where it is dropped."""
+    return news_tokens(F.array(word), noise)[0]
+
+
 def news_transcript(text: Column, noise: str = NOISE) -> Column:
-    return F.array_join(F.filter(F.transform(fields(text), lambda w: news_token(w, noise)), lambda w: w.isNotNull()), " ")
+    return F.array_join(F.filter(news_tokens(fields(text), noise), lambda w: w.isNotNull()), " ")
 
 
 def telephone_line(text: Column) -> Column:
@@ -173,7 +190,8 @@ def token_inventory(texts: DataFrame, text: str = "text", unit: str = "word", bl
 
 
 def as_characters(numbers: Column) -> Column:
-    """A string with one character for each id (ids under 55 000), so that string functions work on id sequences."""
+    """A string with one character for each id (from 0, under 55 000, else an error), so that string functions work on id sequences."""
+    numbers = F.when(F.exists(numbers, lambda i: (i < 0) | (i >= 55_000)), F.raise_error(F.lit("ids are from 0 and under 55000")).cast("array<bigint>")).otherwise(numbers.cast("array<bigint>"))
     return F.decode(F.unhex(F.array_join(F.transform(numbers, lambda i: F.lpad(F.hex((i + 256).cast("long")), 4, "0")), "")), "UTF-16BE")
 
 

@@ -138,32 +138,42 @@ def epoch_order(df: DataFrame, epoch: int, archive: str = "archive", utt: str =
 def legacy_epoch_order(df: DataFrame, epoch: int, archive: str = "archive", utt: str = "uttid", order: str = "ord") -> DataFrame:
     """The order that numpy's RandomState(epoch) gives: a permutation of the archives, then one of each archive's utterances, drawn in order of first appearance.
 
-    The driver draws; it holds archives and their sizes, and a permutation of places.
+    The stream is one after the other by its nature: the driver runs through it, archive by archive, and keeps the
+    generator's state before each and where the archive begins. The tasks draw the permutations again, an archive each.
     """
     ranked, _ = numbered(df, [order])
-    sizes = ranked.groupBy(archive).agg(F.count("*").alias("n"), F.min("rn").alias("first")).orderBy("first").collect()
+    sizes = ranked.groupBy(archive).agg(F.count("*").alias("n"), F.min("rn").alias("first")).orderBy("first").collect()  # a row for each archive
     rng = np.random.RandomState(epoch)
-    turn = rng.permutation(len(sizes))
-    places, base = {}, np.zeros(len(sizes), np.int64)
-    for i, r in enumerate(sizes):
-        places[i] = np.argsort(rng.permutation(r.n), kind="stable")
+    turn, states = rng.permutation(len(sizes)), []
+    for r in sizes:
+        _, words, at, *_ = rng.get_state()
+        states.append((words.tobytes(), int(at)))
+        rng.permutation(r.n)
+    base = np.zeros(len(sizes), np.int64)
     base[turn] = np.concatenate([[0], np.cumsum([sizes[i].n for i in turn])])[:-1] if sizes else []
-    table = [(r[archive], int(k), int(base[i] + p)) for i, r in enumerate(sizes) for k, p in enumerate(places[i])]
-    drawn = df.sparkSession.createDataFrame(table, f"{archive} {df.schema[archive].dataType.simpleString()}, _k long, pos long")
-    within = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(archive).orderBy(order)) - 1)
-    return within.join(drawn, [archive, "_k"]).drop("_k", "rn")
+    kind = df.schema[archive].dataType.simpleString()
+    given = df.sparkSession.createDataFrame([(r[archive], int(base[i]), *states[i]) for i, r in enumerate(sizes)], f"{archive} {kind}, _base long, _words binary, _at int")
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.random.RandomState()
+        own.set_state(("MT19937", np.frombuffer(pdf["_words"].iloc[0], np.uint32), int(pdf["_at"].iloc[0])))
+        rows = np.sort(pdf["rn"].to_numpy())
+        return pd.DataFrame({"rn": rows, "pos": pdf["_base"].iloc[0] + np.argsort(own.permutation(len(rows)), kind="stable")})
+
+    places = ranked.select(archive, "rn").join(given, archive).groupBy(archive).applyInPandas(drawn, "rn long, pos long")
+    return ranked.join(places, "rn").drop("rn")
 
 
 # ---- archives
 
 
-def archive_files(df: DataFrame, order: Sequence[Column | str], seconds: str, max_seconds: float, jobs: int = 1) -> DataFrame:
-    """df with job and file_idx (from 1): each of `jobs` writers takes a contiguous stretch and opens its next file when an utterance would make the open one too long.
+def archive_files(df: DataFrame, order: Sequence[Column | str], seconds: str, max_seconds: float, jobs: int | None = None) -> DataFrame:
+    """df with job and file_idx (from 1): each of `jobs` writers (one for BLOCK rows unless given) takes a contiguous stretch and opens its next file when an utterance would make the open one too long.
 
     An utterance longer than the limit has a file of its own. A writer's stretch is one task; jobs set its size.
     """
     rows, total = numbered(df, order)
-    jobs = max(1, min(jobs, total))
+    jobs = max(1, min(jobs or -(-total // BLOCK), total))
     given = rows.withColumn("job", tile(F.col("rn"), total, jobs))
 
     def roll(pdf: pd.DataFrame) -> pd.DataFrame:

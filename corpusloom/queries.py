@@ -140,9 +140,30 @@ def short_and_empty_filter(spark, sf):
     return tables.with_text(tables.long_enough(utterances(spark, sf))).select("uttid", "num_frames")
 
 
-@query("SELECT doc_id FROM documents WHERE array_to_string(" + WORDS + ", ' ') IN (SELECT array_to_string(" + WORDS + ", ' ') FROM benchmark)")
+@query("SELECT doc_id FROM documents WHERE array_to_string(" + WORDS + ", ' ') IN (SELECT array_to_string(" + WORDS + ", ' ') FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")
 def filter_prompts(spark, sf):
-    return tables.with_prompt(table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "prompt")).select("doc_id")
+    """documents whose text is that of one with a good label."""
+    good = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select(F.col("text").alias("prompt"))
+    return tables.with_prompt(table(spark, sf, "documents"), good).select("doc_id")
+
+
+@query(f"WITH {UTT_SQL} SELECT uttid, num_frames AS n, 'corpus/' || 'split=' || lang AS of_split FROM utt JOIN documents ON doc_id = ord")
+def archive_round_trip(spark, sf):
+    """utterances written to archives and looked up by the index that comes back."""
+    u = utterances(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
+    rows = u.select(F.lit("corpus").alias("dataset"), F.col("lang").alias("split"), "uttid", F.array(F.col("num_frames").cast("double")).alias("x"), F.lit(1.0).alias("rate"))
+    path = f"{ordering.shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    index = archives.write_archive(rows, path, ["uttid"], hours=1 / 60)
+    held = spark.read.parquet(path).withColumn("path", archives.archive_path(path))
+    found = archives.looked_up(index, held.select("uttid", "path", "dataset", "split", "x"))
+    return found.select("uttid", F.col("x")[0].cast("long").alias("n"), F.concat("dataset", F.lit("/split="), "split").alias("of_split"))
+
+
+@query("SELECT event_id, regexp_extract(r, '^(.*)-([AB])$', 1) AS file, regexp_extract(r, '^(.*)-([AB])$', 2) AS channel FROM (SELECT event_id, event_type || '-' || user_id || CASE event_id % 3 WHEN 0 THEN '-A' WHEN 1 THEN '-B' ELSE '-C' END AS r FROM events)")
+def side_parse(spark, sf):
+    e = table(spark, sf, "events")
+    ending = F.when(F.col("event_id") % 3 == 0, "-A").when(F.col("event_id") % 3 == 1, "-B").otherwise("-C")
+    return e.select("event_id", text.side_of(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"), ending)).alias("s")).select("event_id", "s.file", "s.channel")
 
 
 @query(f"WITH {UTT_SQL}, l AS (SELECT ord FROM utt JOIN labels ON doc_id = ord GROUP BY ord) SELECT uttid, speaker FROM utt WHERE ord IN (SELECT ord FROM l)")

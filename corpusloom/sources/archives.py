@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import archive_files
@@ -31,10 +31,10 @@ def parsed_specs(specs: str | Sequence[str]) -> dict[str, list[str]]:
     return {d: sorted(out[d]) for d in sorted(out)}
 
 
-def write_archive(df: DataFrame, path: str, order: Sequence[str], hours: float = 5.0, jobs: int = 1, rate: str = "rate") -> DataFrame:
-    """Writes (dataset, split, uttid, x, rate, …) by dataset and split; returns the index (uttid, path, loc).
+def write_archive(df: DataFrame, path: str, order: Sequence[str], hours: float = 5.0, jobs: int | None = None, rate: str = "rate") -> DataFrame:
+    """Writes (dataset, split, uttid, x, rate, …) by dataset, split and archive; returns the index (uttid, path, loc), whose paths are the folders written.
 
-    The numbers of job and file come from lengths alone; rows of one file are written together.
+    The numbers of job and file come from lengths alone; rows of one archive are written together.
     """
     seconds = F.size("x") / F.col(rate)
     lengths = df.select("dataset", "split", "uttid", *[c for c in order if c != "uttid"], seconds.alias("seconds"))
@@ -42,8 +42,13 @@ def write_archive(df: DataFrame, path: str, order: Sequence[str], hours: float =
     name = F.format_string("feats.%d.%d", "job", "file_idx")
     placed = files.select("uttid", name.alias("archive"))
     out = df.join(placed, "uttid")
-    out.repartition("dataset", "split", "archive").sortWithinPartitions("archive", *order).write.partitionBy("dataset", "split").mode("append").parquet(path)
-    return out.select("uttid", F.concat_ws("/", F.lit(path), "dataset", "split", "archive").alias("path"), F.col("uttid").alias("loc"))
+    out.repartition("dataset", "split", "archive").sortWithinPartitions("archive", *order).write.partitionBy("dataset", "split", "archive").mode("append").parquet(path)
+    return out.select("uttid", archive_path(path).alias("path"), F.col("uttid").alias("loc"))
+
+
+def archive_path(path: str) -> Column:
+    """The folder of a row's archive under `path`."""
+    return F.concat_ws("/", F.lit(path.rstrip("/")), *(F.concat(F.lit(f"{c}="), F.col(c)) for c in ("dataset", "split", "archive")))
 
 
 def datasets(spark: SparkSession, path: str, specs: str | Sequence[str]) -> DataFrame:
@@ -72,8 +77,9 @@ def combination(spark: SparkSession, path: str, registry: DataFrame, specs: Sequ
 
 
 def looked_up(index: DataFrame, archive: DataFrame, permissive: bool = False) -> DataFrame:
-    """The archive's rows that an index names, by path and location."""
-    return index.join(archive.withColumnRenamed("uttid", "_loc"), (index["loc"] == F.col("_loc")), "left" if permissive else "inner").drop("_loc")
+    """The archive's rows that an index names, by path and location, under the index's uttid. archive: uttid (its location), path, and what it holds; see archive_path()."""
+    rows = archive.withColumnsRenamed({"uttid": "_loc", "path": "_path"})
+    return index.join(rows, (F.col("path") == F.col("_path")) & (F.col("loc") == F.col("_loc")), "left" if permissive else "inner").drop("_loc", "_path")
 
 
 def read_waves(spark: SparkSession, path: str) -> DataFrame:

@@ -214,7 +214,10 @@ def test_archives(spark, tmp_path):
     assert rows["s.wav"].x == [[0, 1], [2, 3], [4, 5], [6, 7]] and rows["s.wav"].rate == 8000 and rows["bad.wav"].x is None and rows["bad.wav"].error is not None
     df = spark.createDataFrame([("d", s, f"u{i}", [[0.0]] * (i + 1), 1.0) for i, s in enumerate(["tr", "tr", "tr", "dev"])], "dataset string, split string, uttid string, x array<array<double>>, rate double")
     index = archives.write_archive(df, str(tmp_path / "out"), ["uttid"], hours=4 / 3600)
-    assert {r.uttid: r.path.rsplit("/", 1)[1] for r in index.collect()} == {"u0": "feats.0.1", "u1": "feats.0.1", "u2": "feats.0.2", "u3": "feats.0.3"}
+    assert {r.uttid: r.path.rsplit("/", 1)[1] for r in index.collect()} == {"u0": "archive=feats.0.1", "u1": "archive=feats.0.1", "u2": "archive=feats.0.2", "u3": "archive=feats.0.3"}
+    assert all((tmp_path / "out" / r.path.split("/out/")[1]).is_dir() for r in index.collect())
+    two = spark.createDataFrame([("u1", "p", 1), ("u1", "q", 2)], "uttid string, path string, x int")
+    assert [r.x for r in archives.looked_up(spark.createDataFrame([("a", "q", "u1")], "uttid string, path string, loc string"), two).collect()] == [2]
     assert sorted(r.uttid for r in archives.datasets(spark, str(tmp_path / "out"), ["d/tr"]).collect()) == ["u0", "u1", "u2"]
     for bad in ("d", "d/none", "d/orig"):
         with pytest.raises(ValueError):
@@ -311,3 +314,24 @@ def test_subword_tokens(spark):
     listed = tokenizers.Subwords(path, ["<blank>", "<unk>", "\u2581the", "\u2581cat", "<sos/eos>"])
     assert [r.x for r in df.select(listed.ids(F.col("text")).alias("x")).collect()][0] == [2, 3, 1] and len(listed) == 5
     assert df.select(listed.text(F.expr("array(2L, 3L)")).alias("x")).first().x == "the cat"
+
+
+def test_legacy_epoch_order_is_numpys(spark):
+    rows = [(f"u{i:03}", f"a{i * i % 4}", i) for i in range(90)]
+    lists = {}
+    for u, a, _ in rows:
+        lists.setdefault(a, []).append(u)
+    rng = np.random.RandomState(5)
+    names = list(lists)
+    turn = rng.permutation(len(names))
+    drawn = [[u[k] for k in rng.permutation(len(u))] for u in lists.values()]
+    want = [u for i in turn for u in drawn[i]]
+    df = spark.createDataFrame(rows, "uttid string, archive string, ord long")
+    assert [r.uttid for r in ordered.legacy_epoch_order(df, 5).orderBy("pos").collect()] == want
+
+
+def test_ids_beyond_the_characters_are_an_error(spark):
+    df = spark.createDataFrame([([1, 2, 3], [1, 3]), ([60_000], [1])], "a array<int>, b array<int>")
+    assert df.where("size(a) = 3").select(text.edit_distance(F.col("a"), F.col("b"))).first()[0] == 1
+    with pytest.raises(Exception, match="under 55000"):
+        df.select(text.edit_distance(F.col("a"), F.col("b"))).collect()
