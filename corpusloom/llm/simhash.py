@@ -12,7 +12,7 @@ the second has none, so radius one there and zero here find every pair. keep_one
 words, a Jaccard similarity of 0.8 or more; its fingerprints have more words, and what they find is verified on the
 shingles themselves.
 
-Segment values that more than LIMIT fingerprints hold are hot, and are not joined as they are. Within two bits, each
+Segment values that more than a bounded number of fingerprints hold are hot, and are not joined as they are. Within two bits, each
 member of a hot value names the 65 points within one bit of its whole fingerprint: pairs meet at a point between them,
 and a point has at most 65 fingerprints. For wider balls, members are held against a few pivots of the value first; only
 where a value still has members of different groups are those compared, group against group.
@@ -36,8 +36,9 @@ from .connected import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 NEAR_SHINGLE, MIN_JACCARD = 5, 0.8
-LIMIT = 200  # fingerprints of a segment value that is joined as it is
-PIVOTS = 4
+LIMIT = 200  # fingerprints of a segment value of 32 bits that is joined as it is
+NEAR_LIMIT = 4  # the same of shorter segments, besides four times what chance gives a value
+PIVOTS = 2
 
 
 @dataclass(frozen=True)
@@ -226,9 +227,10 @@ def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, s: Segments) -
     return beside(close, texts, "z").select("node", "other", "z_other", "z_node").mapInArrow(_verified, "node long, other long")
 
 
-def near_links(rows: DataFrame, s: Segments = NEAR, limit: int = LIMIT) -> DataFrame:
-    """(node, root) of the nodes that have links; rows: node, sig, z."""
+def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) -> DataFrame:
+    """(node, root) of the nodes that have links; rows: node, sig, z. limit: of hot values, by NEAR_LIMIT and the number of nodes unless given."""
     nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
+    limit = NEAR_LIMIT + 4 * (nodes.count() >> s.bits) if limit is None else limit
     hot = hot_values(nodes, s, limit)
     found = cold_pairs(nodes, s, hot)
     if hot.isEmpty():
@@ -247,7 +249,7 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int = LIMIT) -> DataF
     return components(first.unionByName(_similar(rest, rows, nodes, s)), "node", "other")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int = LIMIT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int | None = None) -> DataFrame:
     """Of each group of near copies, joined over links, the row with the smallest id (then text hash).
 
     Null text is empty. A row without id stays. Rows with one id and different texts are judged apart; of equal ones the
