@@ -158,9 +158,10 @@ def subtrees(page: str) -> tuple[int, list[tuple[int, int]]]:
     found, todo = [], [root]
     while todo:
         n = todo.pop()
-        if n.tag and id(n) not in own and _may_be_template(n):
+        if n.tag not in ("", "html", "body") and id(n) not in own and _may_be_template(n):
             found.append((n.slot, n.hash))
-        todo.extend(p for p in n.parts if isinstance(p, Node) and p.tag not in _HIDDEN)  # hidden elements go anyhow
+        # what is marked goes anyhow, but for headers, which may be an article's
+        todo.extend(p for p in n.parts if isinstance(p, Node) and (p.tag == "header" or p.holds or not _marked(p)))
     return xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles or [root])), found
 
 
