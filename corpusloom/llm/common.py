@@ -69,7 +69,7 @@ def packed(df: DataFrame, column: str) -> DataFrame:
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             small = pa.array([None if x is None else z.compress(x) for x in b.column(at).cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(b.columns)], names)
