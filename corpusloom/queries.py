@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import arrays, signal, text
 from .operators import ordered, quality, stats, tables
 from .plans import ordering
+from .plans.dump import dumped
 from .plans.ordering import hashed
 from .plans.pipeline import Pipeline
 from .schema import FRAMES_SQL, SEG_SQL, SIDES_SQL, UTT_SQL, DataDir, frames, segments, sides, table, utterances
@@ -685,12 +686,9 @@ def _signals(spark, sf):
     return x.select("uttid", F.flatten(F.transform("v", lambda a: F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: a * F.sin(i * a / 100.0)))).alias("x"), F.lit(400.0).alias("rate"))
 
 
-def _transformed(name: str, conf: list[dict], source: Callable = _signals, train: bool = False, extra: dict[str, str] | None = None) -> None:
+def _transformed(name: str, conf: list[dict], source: Callable = _signals, train: bool = False) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = source(spark, sf)
-        for c, v in (extra or {}).items():
-            rows = rows.withColumn(c, F.expr(v))
-        return Pipeline(conf).apply(rows, train=train, extra=[*(extra or {})]).select("uttid", "x")
+        return Pipeline(conf).apply(source(spark, sf), train=train).select("uttid", "x")
 
     run.__name__ = name
     QUERIES[name] = run
@@ -707,15 +705,16 @@ _transformed("time_warp", [{"type": "time_warp", "max_time_warp": 5}], _matrix_r
 _transformed("spec_augment", [{"type": "spec_augment", "max_time_warp": 5}], _matrix_rows, train=True)
 _transformed("speed_perturb", [{"type": "speed_perturbation"}], train=True)
 _transformed("noise_inject", [{"type": "noise_injection"}], train=True)
-_transformed("rir_convolve", [{"type": "rir_convolve"}], train=True, extra={"rir": "array(1.0D, 0.5D, 0.25D)"})
 
 
-@query()
-def resampled(spark, sf):
-    return signal.applied(_signals(spark, sf).select("uttid", "x"), "x", lambda x: signal.resample(x, 400.0, 300.0), "array<double>")
+EQUAL_SQL = "n AS (SELECT batch, (ntile(3) OVER (ORDER BY batch) - 1)::INT AS part, count(*) OVER () % 3 AS extra FROM (SELECT DISTINCT batch FROM b)), p AS (SELECT batch, part, false AS padded FROM n UNION ALL SELECT batch, (batch + extra)::INT, true FROM n WHERE extra > 0 AND batch < 3 - extra)"
 
 
-@query()
+def _epoch_sql(sql: str, epoch: int) -> str:
+    return sql.replace(BATCH, f"row_number() OVER (ORDER BY md5('{epoch}|' || archive), archive, md5('{epoch}|' || uttid), uttid)")
+
+
+@query(f"WITH RECURSIVE {_epoch_sql(DYNAMIC_SQL, 0)}, {EQUAL_SQL} SELECT uttid, part, batch, pos, padded FROM b JOIN p USING (batch)")
 def loader_epoch(spark, sf):
     u = utterances(spark, sf)
     index = u.select("uttid", "archive", F.col("num_frames").alias("length"), "ord")
@@ -732,6 +731,181 @@ def prefetch_stream(spark, sf):
     return spark.read.parquet(f"{out}/rows").groupBy("hour", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+# ---- corpora, archives and the loader from end to end
+
+
+@query(f"WITH {SIDES_SQL}, l AS (SELECT '{{swbd}}' || lpad(reco, 5, '0') || '-' || channel AS reco, turn * 100 + 25 AS s, turn * 100 + 138 AS e, CASE WHEN turn % 2 = 0 THEN '<noise> ' ELSE '' END || array_to_string({WORDS}, ' ') AS text FROM sides) SELECT reco || '-' || lpad(s::VARCHAR, 6, '0') || '-' || lpad(e::VARCHAR, 6, '0') AS uttid, reco, s / 100.0::DOUBLE AS start, e / 100.0::DOUBLE AS \"end\", trim(text) AS text FROM l WHERE trim(text) <> ''")
+def src_calls(spark, sf):
+    c = sides(spark, sf)
+    start, end = F.concat(F.col("turn").cast("string"), F.lit(".25")), F.concat((F.col("turn") + 1).cast("string"), F.lit(".375"))
+    mark = F.when(F.col("turn") % 2 == 0, "[LAUGHTER]").otherwise("[SILENCE]")
+    line = F.concat_ws(" ", F.concat(F.lit("sw"), "reco", "channel", F.lit("-ms98-a-"), F.col("turn").cast("string")), start, end, mark, text.squeezed(F.col("text")))
+    return corpora.call_sides(c.select(line.alias("value")))
+
+
+@query(f"WITH {SIDES_SQL} SELECT 'en_' || reco || '-' || channel || '-' || lpad((turn * 100 + 25)::VARCHAR, 6, '0') || '-' || lpad((turn * 100 + 137)::VARCHAR, 6, '0') AS uttid, 'en_' || reco || '-' || channel AS reco, 'en_' || reco || '_' || channel AS speaker, turn + 0.25::DOUBLE AS start, turn + 1.375::DOUBLE AS \"end\", array_to_string({WORDS}, ' ') AS text FROM sides WHERE turn % 3 <> 2")
+def src_references(spark, sf):
+    """conversations as reference lines, every third one a comment."""
+    c = sides(spark, sf)
+    call = F.concat(F.lit("en_"), "reco")
+    line = F.concat_ws(" ", call, "channel", F.concat_ws("_", call, "channel"), (F.col("turn") + 0.25).cast("string"), (F.col("turn") + 1.375).cast("string"), F.lit("<O,en,F,en-F>"), text.squeezed(F.col("text")))
+    return corpora.reference_segments(c.select(F.when(F.col("turn") % 3 == 2, F.concat(F.lit(";; "), line)).otherwise(line).alias("value")))
+
+
+@query("SELECT 'u' || event_id AS uttid, '/disk' || user_id || '/' || event_type || '/u' || event_id || '.wv1' AS path FROM events WHERE user_id % 2 = 0 AND event_id % 9 <> 0")
+def src_news_files(spark, sf):
+    """events as index lines, some of them comments, on the disks of users with even numbers."""
+    e = table(spark, sf, "events")
+    line = F.concat(F.col("user_id").cast("string"), F.lit("_1_2: "), "event_type", F.lit("/u"), F.col("event_id").cast("string"), F.lit(".wv1"))
+    disks = e.where("user_id % 2 = 0").select(F.concat(F.col("user_id").cast("string"), F.lit("-1.2")).alias("disk"), F.concat(F.lit("/disk"), F.col("user_id").cast("string")).alias("root")).distinct()
+    return corpora.news_files(e.select(F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("; "), line)).otherwise(line).alias("value")), disks)
+
+
+@query(f"WITH l AS (SELECT doc_id, array_to_string({WORDS}, ' ') AS text FROM documents WHERE doc_id % 5 <> 0) SELECT '{{wsj}}lng_' || lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, 7, '0') AS uttid, lower(text) AS text FROM l WHERE NOT contains(text, '<')")
+def src_language_text(spark, sf):
+    """documents as lines, every fifth one with a mark."""
+    line = F.concat(F.when(F.col("doc_id") % 5 == 0, "<DOC> ").otherwise(""), text.squeezed(F.col("text")))
+    return corpora.language_text(table(spark, sf, "documents").select("doc_id", line.alias("value")), "doc_id")
+
+
+WORD_SQL = f"w AS (SELECT DISTINCT unnest({WORDS}) AS w FROM conversations)"
+
+
+def _words(spark, sf):
+    return table(spark, sf, "conversations").select(F.explode(text.fields(F.col("text"))).alias("w")).distinct()
+
+
+@query(f"WITH {WORD_SQL} SELECT DISTINCT lower(w) AS word, array_to_string(string_split(lower(w), ''), ' ') AS phones FROM w WHERE NOT starts_with(w, 't') UNION SELECT * FROM (VALUES ('!sil', 'sil'), ('<noise>', 'nsn'), ('<unk>', 'spn'))")
+def lexicon_entries(spark, sf):
+    """Words of conversations spelt out as lines of a lexicon, those with a small t behind a # as comments."""
+    spelt = F.array_join(F.split(F.lower("w"), ""), " ")
+    return corpora.lexicon(_words(spark, sf).select(F.concat(F.when(F.col("w").startswith("t"), "# ").otherwise(""), "w", F.lit("  "), spelt).alias("value")))
+
+
+@query(rf"WITH {WORD_SQL}, b AS (SELECT w, CASE WHEN regexp_matches(w, '^[A-Za-z]+s$') THEN 's' ELSE '' END AS tail FROM w) SELECT w, CASE WHEN regexp_matches(w, '^[A-Za-z]+$') AND length(w) <= 4 THEN array_to_string(string_split(lower(left(w, length(w) - length(tail))), ''), '._') || '.' || tail END AS entry FROM b")
+def acronym_lexicon(spark, sf):
+    """Words of conversations, the short ones said letter by letter, as acronyms."""
+    letters = F.create_map(*(F.lit(x) for c in text.UPPER for x in (c, f"{c.lower()}x")))
+    base = F.when(F.col("w").rlike("^[A-Za-z]+s$"), F.expr("substring(w, 1, length(w) - 1)")).otherwise(F.col("w"))
+    said = F.array_join(F.transform(F.split(base, ""), lambda c: F.concat(F.lower(c), F.lit("x"))), " ")
+    phones = F.when(F.length("w") <= 4, F.concat(said, F.when(base == F.col("w"), "").otherwise(" s"))).otherwise("z")
+    return _words(spark, sf).select("w", text.acronym_entry(F.col("w"), phones, letters).alias("entry"))
+
+
+@query(f"SELECT conv_id, turn, 'U' || turn || ' i. b. m. and i saw b._b._c. b. then ' || lower(array_to_string({WORDS}, ' ')) AS text FROM conversations")
+def acronym_lines(spark, sf):
+    """Turns behind a line with acronyms; the texts have no single B or M."""
+    letters = F.create_map(*(F.lit(x) for x in ("B", "b.", "BBC", "b._b._c.")))
+    with_i = F.create_map(*(F.lit(x) for x in ("I", "i.", "B", "b.", "M", "m.")))
+    line = F.concat(F.lit("U"), F.col("turn").cast("string"), F.lit(" I B M and I saw BBC B then "), "text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.acronyms(line, letters, with_i).alias("text"))
+
+
+@query(f"WITH w AS (SELECT unnest({WORDS}) AS token FROM documents) SELECT DISTINCT token FROM w WHERE contains(token, '<') UNION SELECT DISTINCT '<' || source || '>' FROM documents")
+def nonlinguistic_symbols(spark, sf):
+    marked = table(spark, sf, "documents").select(F.concat("text", F.lit(" <"), "source", F.lit(">")).alias("text"))
+    return stats.nonlinguistic(marked)
+
+
+@query("SELECT doc_id FROM documents WHERE lang || ' ' || source IN (SELECT lang || ' ' || source FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 7 = 0)")
+def filter_prompt_names(spark, sf):
+    """documents of which language and source, as a sentence with white space of its own, are those of some good ones."""
+    named = table(spark, sf, "documents").withColumn("text", F.concat("lang", F.lit(" \t "), "source"))
+    good = named.where("doc_id % 7 = 0").join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select(F.concat_ws(" ", "lang", "source").alias("prompt"))
+    return tables.with_prompt(named, good).select("doc_id")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ordering.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {UTT_SQL} SELECT uttid, speaker FROM utt")
+def keyed_round_trip(spark, sf):
+    """utterances and speakers written as sorted lines and read again."""
+    path = _scratch(spark, "utt2spk")
+    text_tables.write_keyed(utterances(spark, sf), path, "uttid", "speaker")
+    return text_tables.read_keyed(spark, path).withColumnsRenamed({"key": "uttid", "value": "speaker"})
+
+
+@query(_stats_sql("key"))
+def cmvn_stored(spark, sf):
+    """Statistics of each key stored as matrices and read again."""
+    path = _scratch(spark, "cmvn")
+    stats.as_matrix(stats.cmvn_stats(frames(spark, sf), "key")).write.parquet(path)
+    return _cells(stats.from_matrix(spark.read.parquet(path)))
+
+
+@query(f"WITH {UTT_SQL} SELECT uttid, lang FROM utt JOIN documents ON doc_id = ord WHERE lang IN ('en', 'fr')")
+def archive_datasets(spark, sf):
+    """utterances written by language, and two of the splits read."""
+    u = utterances(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
+    path = _scratch(spark, "splits")
+    rows = u.select(F.lit("corpus").alias("dataset"), F.col("lang").alias("split"), "uttid", F.array(F.col("num_frames").cast("double")).alias("x"), F.lit(100.0).alias("rate"))
+    archives.write_archive(rows, path, ["uttid"])
+    return archives.datasets(spark, path, ["corpus/fr", "corpus/en", "corpus/fr"]).select("uttid", F.col("split").alias("lang"))
+
+
+@query("WITH s AS (SELECT event_id::VARCHAR AS uttid, user_id::VARCHAR AS reco, CASE WHEN event_id % 50 = 0 THEN 5.0 ELSE 7.5 END AS e, event_id FROM events), r AS (SELECT 'segments: bad times' AS rule, uttid AS key, '' AS detail FROM s WHERE e = 5.0 UNION ALL SELECT 'segments: not in utt2spk', uttid, '' FROM s WHERE event_id % 10 = 3 UNION ALL SELECT 'segments: no recording', uttid, reco FROM s WHERE reco::BIGINT % 5 = 0 UNION ALL SELECT 'segments: missing', 'x' || doc_id, '' FROM documents UNION ALL SELECT 'wav: home path', reco, '~/' || reco FROM (SELECT DISTINCT reco FROM s WHERE reco::BIGINT % 5 = 1)) SELECT * FROM r")
+def segment_faults(spark, sf):
+    """events as segments with faults: bad times, no speaker, no recording; and documents as utterances without a segment."""
+    e = table(spark, sf, "events")
+    key, reco = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    segs = e.select(key.alias("uttid"), reco.alias("reco"), F.lit(5.0).alias("start"), F.when(F.col("event_id") % 50 == 0, 5.0).otherwise(7.5).alias("end"))
+    ids = e.where("event_id % 10 <> 3").select(key.alias("uttid"), reco.alias("speaker")).unionByName(table(spark, sf, "documents").select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("uttid"), F.col("source").alias("speaker")))
+    wav = e.where("user_id % 5 <> 0").select(reco.alias("key"), F.when(F.col("user_id") % 5 == 1, F.concat(F.lit("~/"), reco)).otherwise(reco).alias("value")).distinct()
+    return quality.validated(DataDir(ids, {"wav": wav}, segs), spk_sort=False)
+
+
+@query(f"WITH {UTT_SQL} SELECT 'spk2utt: not the inverse' AS rule, speaker AS key, '' AS detail FROM utt GROUP BY speaker HAVING starts_with(speaker, '{{es}}') OR starts_with(speaker, '{{fr}}')")
+def spk2utt_faults(spark, sf):
+    """Lists of speakers of which some lack their last utterance and some are not there."""
+    u = utterances(spark, sf).select("uttid", "speaker")
+    lists = tables.spk2utt(u).where(~F.col("speaker").startswith("{fr}"))
+    short = F.when(F.col("speaker").startswith("{es}"), F.slice("utts", F.lit(1), F.size("utts") - 1)).otherwise(F.col("utts"))
+    return quality.inverse(u, lists.withColumn("utts", short))
+
+
+SIGNALS_SQL = "e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS uttid, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1), sig AS (SELECT uttid, flatten(list_transform(v, lambda a: list_transform(range(0, 40), lambda i: a * sin(i * a / 100.0::DOUBLE)))) AS x FROM e)"
+
+
+@query(f"WITH {SIGNALS_SQL} SELECT uttid, list_transform(x, lambda v, i: round(CASE WHEN i < len(x) THEN x[i + 1] ELSE 0 END + 0.5::DOUBLE * v + CASE WHEN i > 1 THEN 0.25::DOUBLE * x[i - 1] ELSE 0 END, 5) + 0.0::DOUBLE) AS x FROM sig")
+def rir_convolve(spark, sf):
+    """Signals through one room's response."""
+    rows = _signals(spark, sf).withColumn("rir", F.array(*map(F.lit, (1.0, 0.5, 0.25))))
+    return Pipeline([{"type": "rir_convolve"}]).apply(rows, train=True, extra=["rir"]).select("uttid", F.transform("x", lambda v: F.round(v, 5) + F.lit(0.0)).alias("x"))
+
+
+# a tap of the windowed sinc: cut 0.7125, 45 samples to each side
+RESAMPLED_SQL = f"{SIGNALS_SQL}, o AS (SELECT uttid, x, unnest(range(0, floor(len(x) * 0.75::DOUBLE)::BIGINT)) AS n FROM sig), k AS (SELECT uttid, x, n, n / 0.75::DOUBLE AS c, unnest(range(-44, 46)) AS d FROM o), t AS (SELECT uttid, n, x[floor(c)::BIGINT + d + 1] AS v, c - floor(c) - d AS u, floor(c)::BIGINT + d AS j, len(x) AS m FROM k), y AS (SELECT uttid, n, sum(v * CASE WHEN abs(u) >= 45 THEN 0 WHEN u = 0 THEN 0.7125::DOUBLE ELSE sin(pi() * 0.7125::DOUBLE * u) / (pi() * u) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * u / 45)) END) AS y FROM t WHERE j >= 0 AND j < m GROUP BY uttid, n)"
+
+
+@query(f"WITH {RESAMPLED_SQL} SELECT uttid, list(round(y, 4) + 0.0::DOUBLE ORDER BY n) AS x FROM y GROUP BY uttid")
+def resampled(spark, sf):
+    out = signal.applied(_signals(spark, sf).select("uttid", "x"), "x", lambda x: signal.resample(x, 400.0, 300.0), "array<double>")
+    return out.select("uttid", F.transform("x", lambda v: F.round(v, 4) + F.lit(0.0)).alias("x"))
+
+
+@query(f"WITH {RESAMPLED_SQL} SELECT uttid, list(round(y, 4) + 0.0::DOUBLE ORDER BY n) AS x, 300.0::DOUBLE AS rate FROM y GROUP BY uttid")
+def dump_job(spark, sf):
+    """Signals resampled and handed through an empty pipeline; none fails."""
+    done, failed = dumped(_signals(spark, sf), Pipeline([{"type": "identity"}]), 300.0)
+    rows = done.select("uttid", F.transform("x", lambda v: F.round(v, 4) + F.lit(0.0)).alias("x"), "rate")
+    return rows.unionByName(failed.select("uttid", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("double").alias("rate")))
+
+
+@query(f"WITH {_epoch_sql(FIXED_SQL, 2)}, {EQUAL_SQL}, l AS (SELECT uttid, list_transform({WORDS}, lambda w: length(w)::DOUBLE) AS x FROM utt) SELECT batch, padded, pos, uttid, len(x) AS n, list_transform(x, lambda v: round(v - list_avg(x), 6) + 0.0::DOUBLE) AS x FROM b JOIN p USING (batch) JOIN l USING (uttid) WHERE part = 1")
+def loader_batches(spark, sf):
+    """The second replica's batches of the third epoch: joined, transformed by a class named in the configuration and by an alias, and collated."""
+    u = utterances(spark, sf)
+    lengths = F.transform(text.fields(F.col("text")), lambda w: F.array(F.length(w).cast("double")))
+    conf = [{"type": "corpusloom.plans.pipeline:Identity"}, {"type": "cmvn"}]
+    with loader.Loader(u.select("uttid", "archive", F.col("num_frames").alias("length"), "ord"), u.select("uttid", lengths.alias("x"), F.lit(100.0).alias("rate")), conf, batch_size=8, train=True, shuffle=True, num_replicas=3, rank=1) as own:
+        own.set_epoch(2)
+        items = own.batches().select("batch", "padded", F.posexplode("items").alias("pos", "item"))
+    x = F.transform("item.x", lambda f: F.round(f[0], 6) + F.lit(0.0))
+    return items.select("batch", "padded", "pos", "item.uttid", F.size("item.x").cast("long").alias("n"), x.alias("x"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Speaker statistics, frames normalised by them, and a summary of each speaker."""
     f = frames(spark, sf)
