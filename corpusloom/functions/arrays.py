@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often and how deep in lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def draw(bound: int | Column, *key: Column | str) -> Column:
     """An integer in [0, bound) from the MD5 of a key, the same in any engine."""
     parts = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]
@@ -22,18 +27,20 @@ def uniform(low: float, high: float, *key: Column | str) -> Column:
 def deltas(x: Column, window: int = 2) -> Column:
     """The slope of each value of a matrix over `window` frames to both sides; the ends repeat."""
     norm = 2.0 * sum(k * k for k in range(1, window + 1))
-    last = F.size(x)
 
-    def at(t: Column) -> Column:
-        return F.element_at(x, F.greatest(F.lit(1), F.least(t, last)).cast("int"))
+    def slopes(m: Column) -> Column:
+        def at(t: Column) -> Column:
+            return F.element_at(m, F.greatest(F.lit(1), F.least(t, F.size(m))).cast("int"))
+
+        def one(f: Column, t: Column) -> Column:
+            out = F.transform(f, lambda _: F.lit(0.0))
+            for k in range(1, window + 1):
+                out = F.zip_with(out, F.zip_with(at(t + 1 + k), at(t + 1 - k), lambda a, b: (a - b) * k), lambda a, b: a + b)
+            return F.transform(out, lambda v: v / norm)
 
-    def one(f: Column, t: Column) -> Column:
-        out = F.transform(f, lambda _: F.lit(0.0))
-        for k in range(1, window + 1):
-            out = F.zip_with(out, F.zip_with(at(t + 1 + k), at(t + 1 - k), lambda a, b: (a - b) * k), lambda a, b: a + b)
-        return F.transform(out, lambda v: v / norm)
+        return F.transform(m, one)
 
-    return F.transform(x, one)
+    return bound(x, slopes)
 
 
 def with_deltas(x: Column, window: int = 2, order: int = 2) -> Column:
@@ -63,11 +70,6 @@ def _inside(i: Column, spans: Column, masks: int) -> Column:
     return out
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row, however often and how deep in lambdas it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _spans(size: Column, width: int, masks: int, name: str, key: Column | str, draws: Callable[..., Column] = draw) -> Column:
     """An array of (a, b), start and end of masks: a width f under `width`, a start under size - f, and then a width of its own draw; none where f is zero or fills the size."""
     out = []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import top_ranked
+from .arrays import bound
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOISE = "<noise>"
@@ -142,17 +143,20 @@ def acronyms(text: Column, letters: Column, with_i: Column) -> Column:
     with_i, letters: maps of words. A capital I belongs to the run of single capitals it touches: in such a run all are
     mapped by with_i. What is left is mapped by letters.
     """
-    w = fields(text)
     single = lambda x: x.rlike("^[A-Z]$")
-    # the run of single capitals around a place: none of the fields between it and the I breaks the run
-    def near_i(i: Column) -> Column:
-        reach = lambda j: F.forall(F.slice(w, F.least(i, j) + 1, F.abs(i - j) + 1), single)
-        touches = F.exists(F.sequence(F.lit(0), F.size(w) - 1), lambda j: (F.element_at(w, (j + 1).cast("int")) == "I") & reach(j))
-        long = F.exists(F.array(i - 1, i + 1), lambda j: (j >= 0) & (j < F.size(w)) & single(F.get(w, j.cast("int"))))
-        return touches & long
-
-    done = F.transform(w, lambda x, i: F.when(single(x) & near_i(i), F.coalesce(F.try_element_at(with_i, x), x)).otherwise(F.coalesce(F.try_element_at(letters, x), x)))
-    return F.concat_ws(" ", F.element_at(w, 1), F.lower(F.array_join(F.slice(done, 2, F.greatest(F.size(w) - 1, F.lit(0))), " ")))
+
+    def mapped(w: Column) -> Column:
+        # the run of single capitals around a place: none of the fields between it and the I breaks the run
+        def near_i(i: Column) -> Column:
+            reach = lambda j: F.forall(F.slice(w, F.least(i, j) + 1, F.abs(i - j) + 1), single)
+            touches = F.exists(F.sequence(F.lit(0), F.size(w) - 1), lambda j: (F.element_at(w, (j + 1).cast("int")) == "I") & reach(j))
+            long = F.exists(F.array(i - 1, i + 1), lambda j: (j >= 0) & (j < F.size(w)) & single(F.get(w, j.cast("int"))))
+            return touches & long
+
+        done = F.transform(w, lambda x, i: F.when(single(x) & near_i(i), F.coalesce(F.try_element_at(with_i, x), x)).otherwise(F.coalesce(F.try_element_at(letters, x), x)))
+        return F.concat_ws(" ", F.element_at(w, 1), F.lower(F.array_join(F.slice(done, 2, F.greatest(F.size(w) - 1, F.lit(0))), " ")))
+
+    return bound(fields(text), mapped)
 
 
 def acronym_entry(word: Column, phones: Column, letters: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import edit_distance, fields
 
 STD_FLOOR = 1e-20
@@ -74,13 +75,22 @@ def apply_cmvn(frames: DataFrame, stats: DataFrame, key: str | None = None, mean
 
 def utterance_normalised(x: Column, means: bool = True, variances: bool = False, floor: float = STD_FLOOR) -> Column:
     """A matrix (frames of values) normalised by its own statistics."""
-    n = F.size(x).cast("double")
-    zero = F.transform(x[0], lambda _: F.lit(0.0))
-    total = F.aggregate(x, zero, lambda a, f: F.zip_with(a, f, lambda p, q: p + q))
-    squares = F.aggregate(x, zero, lambda a, f: F.zip_with(a, f, lambda p, q: p + q * q))
-    bias = F.transform(total, lambda s: -s / n)
-    scale = F.zip_with(squares, total, lambda q, s: F.lit(1.0) / F.greatest(F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))), F.lit(floor)))
-    return F.transform(x, lambda f: normalised(f, bias, scale, means, variances))
+
+    def sums(m: Column, of: Callable[[Column], Column]) -> Column:
+        zero = F.transform(m[0], lambda _: F.lit(0.0))
+        return F.aggregate(m, zero, lambda a, f: F.zip_with(a, f, lambda p, q: p + of(q)))
+
+    def own(m: Column, s: Column) -> Column:
+        n = F.size(m).cast("double")
+        bias = F.transform(s["total"], lambda v: -v / n)
+        scale = F.zip_with(s["squares"], s["total"], lambda q, v: F.lit(1.0) / F.greatest(F.sqrt(F.greatest(q / n - (v / n) * (v / n), F.lit(0.0))), F.lit(floor)))
+        return F.struct(bias.alias("bias"), scale.alias("scale"))
+
+    def whole(m: Column) -> Column:
+        summed = F.struct(sums(m, lambda q: q).alias("total"), sums(m, lambda q: q * q).alias("squares"))
+        return bound(bound(summed, lambda s: own(m, s)), lambda o: F.transform(m, lambda f: normalised(f, o["bias"], o["scale"], means, variances)))
+
+    return bound(x, whole)
 
 
 def delta_rows(frames: DataFrame, key: str = "key", t: str = "t", window: int = 2) -> DataFrame:
