@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, hmm_lm, html_main, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers, turn_repair
+from . import gif_media, hmm_lm, html_main, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers, token_files, turn_repair
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_digests(documents(spark, sf_dir))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bm25_packing": op10_bm25_packing,
+    "op11_context_coder": op11_context_coder,
     "op12_turn_repair": op12_turn_repair,
 }
 ORACLES: dict[str, str] = {"op4_poisson_mix": poisson_mix.ORACLE, "op12_turn_repair": turn_repair.ORACLE}
