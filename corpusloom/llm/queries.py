@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, hmm_lm, html_main, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers, token_files, turn_repair
+from . import gif_media, hmm_lm, html_main, langid, license_scan, packing, poisson_mix, simhash, substring_dedup, syncmers, token_alignment, token_files, turn_repair
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_main": op2_html_main,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25_packing": op10_bm25_packing,
     "op11_context_coder": op11_context_coder,
     "op12_turn_repair": op12_turn_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {"op4_poisson_mix": poisson_mix.ORACLE, "op12_turn_repair": turn_repair.ORACLE}
