@@ -4,7 +4,7 @@ A block begins with an empty model and can be decoded by itself. Its ids are cut
 side by side: step t codes the t-th id of every lane as one numpy operation, each lane with its own coder, and all
 lanes teach one model, which thus sees the whole block.
 
-Order 0 is a distribution over all ids, from counts that are summed anew each time the coded ids have grown by an eighth. Orders
+Order 0 is a distribution over all ids, from counts that are summed anew each time the coded ids have grown by a quarter. Orders
 1 and 2 each name one id, the one that last held its ground after the same id or the same two ids, and how firmly. The
 mixture gives each order a weight that depends on how firm both are and on whether they agree. Weights follow the share that
 each order had in the probability of the ids that came. All arithmetic is of integers, so that every machine decodes alike.
@@ -16,29 +16,34 @@ import zlib
 
 import numpy as np
 
-LANES, LANE_IDS = 2048, 256  # lanes of a block at most; ids that a lane has at least, if the block has so many
-MAX_ALPHABET = 1 << 24
+LANES, LANE_IDS = 8192, 256  # lanes of a block at most; ids that a lane has at least, if the block has so many
+MAX_ALPHABET = 1 << 19
+TOTAL_BITS = 18  # frequencies of order 0 sum to 2 ** TOTAL_BITS, or more bits for more than half as many ids
 SHARE_BITS = 10  # the weights of a mixture sum to 2 ** SHARE_BITS
-CONTEXT_BITS = 19  # order-2 contexts are told apart by so many bits of a hash
+CONTEXT_BITS = 18  # order-2 contexts are told apart by so many bits of a hash
+FIRM_BITS = 3
 FIRM_1, FIRM_2 = 3, 7  # the firmest predictions
-AGES = 1 << 24  # evidence for a mixture's weights is halved beyond this
+AGES = 1 << 22  # evidence for a mixture's weights is halved beyond this
+TEACH = 8  # every so many steps the weights learn
 WORD = np.uint64(32)
 FULL = np.uint64(0xFFFFFFFF)
 
 
 class _Order:
-    """One predicted id a context, and how firmly it is predicted (0: not at all)."""
+    """One predicted id a context, and how firmly it is predicted (0: not at all), as one number."""
 
     def __init__(self, contexts: int, none: int, firmest: int):
-        self.named, self.firm, self.firmest = np.full(contexts, none, np.int64), np.zeros(contexts, np.int8), firmest
+        self.cells, self.firmest = np.full(contexts, none << FIRM_BITS, np.int32), firmest
 
-    def learn(self, at: np.ndarray, named: np.ndarray, firm: np.ndarray, came: np.ndarray) -> None:
+    def predict(self, at: np.ndarray) -> None:
+        self.at, self.cell = at, self.cells.take(at, mode="clip")
+        self.named, self.firm = self.cell >> FIRM_BITS, self.cell & 7
+
+    def learn(self, came: np.ndarray, right: np.ndarray) -> None:
         """A right prediction grows firmer, a wrong one weaker, and the id that came takes the place of one that has no firmness left. Of lanes with one context the last is heard."""
-        right = named == came
-        firm = np.where(right, np.minimum(firm + 1, self.firmest), firm - 1)
-        replaced = firm < 0
-        self.named[at] = np.where(replaced, came, named)
-        self.firm[at] = np.where(replaced, 1, firm)
+        moved = self.cell + right * (self.firm < self.firmest) - ~right
+        fresh = came << FIRM_BITS | 1
+        self.cells[self.at] = fresh + ((self.firm > 0) | right) * (moved - fresh)
 
 
 class Model:
@@ -46,83 +51,89 @@ class Model:
 
     def __init__(self, alphabet: int, lanes: int):
         self.none = alphabet
+        self.bits = max(TOTAL_BITS, (alphabet - 1).bit_length() + 1)
+        self.whole_bits = self.bits + SHARE_BITS  # at most 30: intervals are 32-bit integers
         self.counts = np.zeros(alphabet, np.int64)
-        self.bits = max(18, alphabet.bit_length() + 2)
-        self.seen, self.summed, self.unsummed = 0, 0, []
+        self.seen, self.summed, self.step, self.unsummed = 0, 0, 0, []
         self.orders = _Order(alphabet + 1, alphabet, FIRM_1), _Order(1 << CONTEXT_BITS, alphabet, FIRM_2)
-        self.evidence = np.full(((FIRM_1 + 1) * (FIRM_2 + 1) * 2, 3), 1 << 12, np.int64)
+        self.evidence = np.full((3, (FIRM_1 + 1) * (FIRM_2 + 1) * 2), 1 << 12, np.int64)
         self.before = np.full(lanes, alphabet, np.int64), np.full(lanes, alphabet, np.int64)
         self._sum()
+        self._weigh()
 
     def _sum(self) -> None:
-        """Frequencies of order 0, none of them zero, and for each unit of their sum the id it belongs to."""
+        """Frequencies of order 0, none of them zero; what rounding leaves over goes to the most frequent id."""
         if self.unsummed:
             self.counts += np.bincount(np.concatenate(self.unsummed), minlength=self.none)
         self.unsummed, self.summed = [], self.seen
-        free = (1 << self.bits) - self.none
-        self.freq = np.append(1 + self.counts * free // max(1, self.seen), 0)
-        self.below = np.append(0, np.cumsum(self.freq)[:-1])
-        self.total = int(self.below[-1])
+        freq = 1 + self.counts * ((1 << self.bits) - self.none) // max(1, self.seen)
+        freq[self.counts.argmax()] += (1 << self.bits) - freq.sum()
+        self.freq = np.append(freq, 0).astype(np.int32)
+        self.below = np.append(0, np.cumsum(freq)).astype(np.int32)
         self.owner = None
 
+    def _weigh(self) -> None:
+        share = ((self.evidence << SHARE_BITS) // self.evidence.sum(axis=0)).astype(np.int32)
+        self.zero_of, self.mass_of = (1 << SHARE_BITS) - share[1] - share[2], (share[1] << self.bits, share[2] << self.bits)
+
     def predict(self, m: int) -> None:
         """The mixtures of the first m lanes."""
         one, two = self.before[0][:m], self.before[1][:m]
         a, b = self.orders
-        self.at = one, ((one * 0x9E3779B1 + two * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - CONTEXT_BITS))
-        self.named = a.named[self.at[0]], b.named[self.at[1]]
-        self.firm = a.firm[self.at[0]], b.firm[self.at[1]]
-        self.context = (self.firm[1].astype(np.int64) * (FIRM_1 + 1) + self.firm[0]) * 2 + (self.named[0] == self.named[1])
-        share = (self.evidence << SHARE_BITS) // self.evidence.sum(axis=1, keepdims=True)
-        first, second = share[:, 1], share[:, 2]
-        zero = (1 << SHARE_BITS) - first - second
-        self.zero = zero[self.context]
-        self.mass = first[self.context] * self.total, second[self.context] * self.total
+        a.predict(one)
+        b.predict((one * 0x9E3779B1 + two * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - CONTEXT_BITS)
+        self.agree = a.named == b.named
+        self.context = ((b.firm * (FIRM_1 + 1) + a.firm) * 2 + self.agree).astype(np.int64)
+        self.zero, *self.mass = (x.take(self.context, mode="clip") for x in (self.zero_of, *self.mass_of))
 
     def interval(self, came: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids lie in their mixtures, and how wide they are."""
-        parts = [self.zero * self.freq[came], *(np.where(n == came, w, 0) for n, w in zip(self.named, self.mass, strict=True))]
-        low = self.zero * self.below[came]
-        for n, w in zip(self.named, self.mass, strict=True):
-            low += np.where(n < came, w, 0)
-        self.parts, wide = parts, parts[0] + parts[1] + parts[2]
-        return low, wide
+        a, b = self.orders
+        self.right = a.named == came, b.named == came
+        own = self.zero * self.freq.take(came, mode="clip")
+        low = self.zero * self.below.take(came, mode="clip") + self.mass[0] * (a.named < came) + self.mass[1] * (b.named < came)
+        self.wide = own + self.mass[0] * self.right[0] + self.mass[1] * self.right[1]
+        return low, self.wide
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the given points."""
         if self.owner is None:
             self.owner = np.repeat(np.arange(self.none, dtype=np.int32), self.freq[:-1])
-        swap = self.named[0] > self.named[1]
-        low, high = np.where(swap, self.named[1], self.named[0]), np.where(swap, self.named[0], self.named[1])
-        m_low, m_high = np.where(swap, self.mass[1], self.mass[0]), np.where(swap, self.mass[0], self.mass[1])
-        m_low, m_high = np.where(low == high, m_low + m_high, m_low), np.where(low == high, 0, m_high)
-        past_low = at - m_low
-        past_high = past_low - m_high
-        low_at, high_at = self.zero * self.below[low], self.zero * self.below[high]
-        in_low = (at >= low_at) & (past_low < low_at + self.zero * self.freq[low])
-        in_high = (past_low >= high_at) & (past_high < high_at + self.zero * self.freq[high]) & ~in_low & (low != high)
-        rest = np.where(at < low_at, at, np.where(past_low < high_at, past_low, past_high))
-        other = self.owner[np.clip(rest // self.zero, 0, self.total - 1)]
-        return np.where(in_low, low, np.where(in_high, high, other))
+        a, b = self.orders
+        both = self.mass[0] + self.mass[1]
+        # the two named ids in order; if they are one, its mass is that of both
+        first = self.mass[0] + (a.named > b.named) * (self.mass[1] - self.mass[0])
+        first += self.agree * (both - first)
+        low, high = np.minimum(a.named, b.named).astype(np.int64), np.maximum(a.named, b.named).astype(np.int64)
+        low_at, high_at = (self.zero * self.below.take(x, mode="clip") for x in (low, high))
+        past_low, past_high = at - first, at - both
+        before_low = at < low_at
+        in_low = ~before_low & (past_low < low_at + self.zero * self.freq.take(low, mode="clip"))
+        after_high = past_high >= high_at + self.zero * self.freq.take(high, mode="clip")
+        in_high = ~in_low & ~after_high & (past_low >= high_at)
+        rest = at - ~before_low * first - after_high * (both - first)
+        other = self.owner.take((rest / self.zero).astype(np.int64), mode="clip")
+        return other + in_low * (low - other) + in_high * (high - other)
 
     def learn(self, came: np.ndarray) -> None:
-        m, wide = len(came), self.parts[0] + self.parts[1] + self.parts[2]
-        for order, at, named, firm in zip(self.orders, self.at, self.named, self.firm, strict=True):
-            order.learn(at, named, firm, came)
-        shares = [(p << SHARE_BITS) // wide for p in self.parts[1:]]
-        told = np.bincount(self.context, minlength=len(self.evidence)).astype(np.int64) << SHARE_BITS
-        for k, s in enumerate(shares, 1):
-            part = np.bincount(self.context, weights=s, minlength=len(self.evidence)).astype(np.int64)
-            self.evidence[:, k] += part
-            told -= part
-        self.evidence[:, 0] += told
-        old = self.evidence.sum(axis=1) > AGES
-        self.evidence[old] = (self.evidence[old] >> 1) + (1 << SHARE_BITS)
+        m, narrow = len(came), came.astype(np.int32)
+        for order, right in zip(self.orders, self.right, strict=True):
+            order.learn(narrow, right)
+        if self.step % TEACH == 0:
+            # an order's share in the probability of what came; divisions of doubles are exact to the last bit everywhere
+            n = self.evidence.shape[1]
+            shares = [np.floor((mass * right) * float(1 << SHARE_BITS) / self.wide) for mass, right in zip(self.mass, self.right, strict=True)]
+            told = [np.bincount(self.context, weights=x, minlength=n).astype(np.int64) for x in shares]
+            self.evidence += [(np.bincount(self.context, minlength=n) << SHARE_BITS) - told[0] - told[1], *told]
+            old = self.evidence.sum(axis=0) > AGES
+            self.evidence[:, old] = (self.evidence[:, old] >> 1) + (1 << SHARE_BITS)
+            self._weigh()
+        self.step += 1
         self.before[1][:m] = self.before[0][:m]
         self.before[0][:m] = came
-        self.unsummed.append(came)
+        self.unsummed.append(narrow)
         self.seen += m
-        if self.seen > self.summed + (self.summed >> 3):
+        if self.seen > self.summed + (self.summed >> 2):
             self._sum()
 
 
@@ -135,11 +146,10 @@ def _steps(n: int, lanes: int) -> tuple[int, np.ndarray]:
 
 def encode(ids: np.ndarray, lanes: int = LANES) -> bytes:
     """ids as bytes: the number of lanes, the words of each, the words."""
-    ids = np.asarray(ids, np.int64)
-    n = len(ids)
-    alphabet = int(ids.max(initial=0)) + 1
-    if alphabet > MAX_ALPHABET or ids.min(initial=0) < 0:
+    n, alphabet = len(ids), int(np.max(ids, initial=0)) + 1
+    if alphabet > MAX_ALPHABET or np.min(ids, initial=0) < 0:
         raise ValueError(f"ids lie between 0 and {MAX_ALPHABET - 1}")
+    ids = np.asarray(ids, np.int64)
     lanes = max(1, min(lanes, n // LANE_IDS))
     steps, active = _steps(n, lanes)
     model = Model(alphabet, lanes)
@@ -164,7 +174,7 @@ def encode(ids: np.ndarray, lanes: int = LANES) -> bytes:
         came = ids[first[:m] + t]
         model.predict(m)
         at, size = model.interval(came)
-        unit = wide[:m] // np.uint64(model.total << SHARE_BITS)
+        unit = wide[:m] >> np.uint64(model.whole_bits)
         added = low[:m] + unit * at.astype(np.uint64)
         over = np.flatnonzero(added < low[:m])
         low[:m] = added
@@ -186,6 +196,15 @@ def encode(ids: np.ndarray, lanes: int = LANES) -> bytes:
     return head + words.T[np.arange(steps + 2) < used[:, None]].astype("<u4").tobytes()
 
 
+def _quotient(point: np.ndarray, unit: np.ndarray, bits: int) -> np.ndarray:
+    """point // unit, at most 2 ** bits - 1. The quotient of doubles is at most one off."""
+    q = np.minimum(point / unit, float((1 << bits) - 1)).astype(np.int64)
+    left = (point - q.view(np.uint64) * unit).view(np.int64)
+    q += (left >= unit.view(np.int64)) & (q < (1 << bits) - 1)
+    q -= left < 0
+    return q.astype(np.int32)
+
+
 def decode(raw: bytes) -> np.ndarray:
     n, alphabet, lanes = (int(x) for x in np.frombuffer(raw, "<u4", 3))
     used = np.frombuffer(raw, "<u4", lanes, 12).astype(np.int64)
@@ -203,13 +222,12 @@ def decode(raw: bytes) -> np.ndarray:
     point = read(lane) << WORD
     point |= read(lane)
     wide = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    model, out, first = Model(alphabet, lanes), np.zeros(n, np.int64), lane * steps
+    model, out, first = Model(alphabet, lanes), np.zeros(n, np.int32), lane * steps
     for t in range(steps):
         m = int(active[t])
         model.predict(m)
-        whole = model.total << SHARE_BITS
-        unit = wide[:m] // np.uint64(whole)
-        came = model.find(np.minimum(point[:m] // unit, np.uint64(whole - 1)).astype(np.int64))
+        unit = wide[:m] >> np.uint64(model.whole_bits)
+        came = model.find(_quotient(point[:m], unit, model.whole_bits))
         at, size = model.interval(came)
         point[:m] -= unit * at.astype(np.uint64)
         wide[:m] = unit * size.astype(np.uint64)

@@ -52,6 +52,12 @@ class Tokenizer:
         self.file, self.added = file, [t.content for t in special.values()]
         ranks = {bytes(byte_of[c] for c in t): i for t, i in file.get_vocab(with_added_tokens=False).items() if i not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.blank_first = np.zeros(max(self.file.get_vocab().values()) + 1, bool)
+        self.blank_first[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+
+    def numbers(self, text: str) -> np.ndarray:
+        """ids of a text without added tokens."""
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def ids(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):

@@ -27,14 +27,14 @@ def test_coder_round_trip(ids, lanes):
 
 def test_coder_on_other_shapes():
     rnd = np.random.RandomState(2)
-    for ids in ([], [0], [(1 << 24) - 1, 0, 5], np.zeros(70_000), np.arange(5000) % 7, rnd.zipf(1.3, 60_000) % 50_000, rnd.randint(0, 50_000, 9000)):
+    for ids in ([], [0], [(1 << 19) - 1, 0, 5], np.zeros(70_000), np.arange(5000) % 7, rnd.zipf(1.3, 60_000) % 50_000, rnd.randint(0, 50_000, 9000), rnd.randint(0, 1 << 19, 40_000), rnd.zipf(1.1, 3_000_000) % 200_000):
         ids = np.array(ids, np.uint32)
         assert (context_coder.decode(context_coder.encode(ids)) == ids).all()
     assert len(context_coder.encode(np.zeros(200_000, np.uint32), 16)) < 3000
     repeats = np.tile(rnd.randint(0, 50_000, 400), 300).astype(np.uint32)
     assert len(context_coder.encode(repeats)) < repeats.nbytes / 20  # orders 1 and 2 foresee what was seen before
     with pytest.raises(ValueError):
-        context_coder.encode(np.array([1 << 24]))
+        context_coder.encode(np.array([1 << 19]))
 
 
 def ids_of(texts):
@@ -80,6 +80,20 @@ def test_rows_of_every_kind(spark):
     assert token_files.stored(df.limit(0), folder(spark)).collect() == []
 
 
+def test_words_are_looked_at_once():
+    tok = token_files.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "a", " a", "a ", "a b a b", "a  b", "a\nb c\n d", "tab\ta b", "don't 'll  x", " lead", "<|endoftext|> a b", "日本 é é", "x\u00a0y z", "\u2003 a", "1 22 333 a1b2", ". , ! ?", "a\x1fb c", "a\x85 b", "end\n", "🙂 🙂 a🙂"] * 2
+    for got, text in zip(token_files.batch_ids(tok, texts), texts, strict=True):
+        assert got.tolist() == tok.file.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\tab'sé1.\u00a0\u3000\x1c"), max_size=12), max_size=6))
+def test_words_of_any_white_space(texts):
+    tok = token_files.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in token_files.batch_ids(tok, texts)] == [tok.file.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_damage_is_seen_and_blocks_stand_alone(spark):
     at = folder(spark)
     token_files.stored(spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string").coalesce(1), at, block_ids=700).count()
