@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,23 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
-from ..plans.ordering import hashed, numbered, reliable, tile
+from ..plans.ordering import hashed, numbered, reliable, running_total, tile, with_neighbours
 
 BLOCK = 50_000  # rows that one task batches
 
 # ---- segments
 
 
-def extended_segments(segments: DataFrame, seconds: float) -> DataFrame:
+def extended_segments(segments: DataFrame, seconds: float, block: int = 4096) -> DataFrame:
     """Each segment longer by `seconds` at both ends, at most to the middle of the gap to its neighbour in the recording; starts stay at or above zero.
 
-    Neighbours that overlap already stay as they are towards each other. A recording's segments meet in one task.
+    Neighbours that overlap already stay as they are towards each other. Neighbours are found in blocks of rows that borrow each other's edges,
+    so that a recording of any length is many tasks.
     """
-    w = Window.partitionBy("reco").orderBy("start", "end", "uttid")
+    rows = with_neighbours(segments, ["reco", "start", "end", "uttid"], 1, block)
+    w = Window.partitionBy("_block", "reco").orderBy("_rn")
     before, after = F.lag("end").over(w), F.lead("start").over(w)
     left = F.when(before.isNull(), F.greatest(F.lit(0.0), F.col("start") - seconds)).when(before < F.col("start"), F.col("start") - F.least(F.lit(float(seconds)), (F.col("start") - before) / 2)).otherwise(F.col("start"))
     right = F.when(after.isNull(), F.col("end") + seconds).when(after > F.col("end"), F.col("end") + F.least(F.lit(float(seconds)), (after - F.col("end")) / 2)).otherwise(F.col("end"))
-    return segments.select("uttid", "reco", F.round(left, 2).alias("new_start"), F.round(right, 2).alias("new_end"), *[c for c in segments.columns if c not in ("uttid", "reco", "start", "end")]).withColumnsRenamed({"new_start": "start", "new_end": "end"})
+    out = rows.select("uttid", "reco", F.round(left, 2).alias("new_start"), F.round(right, 2).alias("new_end"), *[c for c in segments.columns if c not in ("uttid", "reco", "start", "end")], "_own").where("_own").drop("_own")
+    return out.withColumnsRenamed({"new_start": "start", "new_end": "end"})
 
 
 def segment_slices(segments: DataFrame, signals: DataFrame) -> DataFrame:
@@ -201,36 +204,61 @@ def chunks(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     return out.withColumn("chunk", tile(F.col("rn"), total, n))
 
 
+def settled(edges: list[int], until: Callable[[int], int]) -> list[int]:
+    """Edges between chunks of a row of groups, moved while that evens out the two chunks at an edge. until(i): the rows of the first i groups.
+
+    Chunk after chunk, its upper edge is tried one group lower and its lower edge one group higher; an empty chunk has nothing to give. An edge moves if
+    the chunks at both its sides then differ by less. It ends when no edge has moved for as many tries as there are.
+    """
+    n = len(edges) - 1
+    tries = [(chunk, edge, step) for chunk in range(n) for edge, step in ((chunk + 1, -1), (chunk, 1)) if 0 < edge < n]
+    quiet = turn = 0
+    while quiet < len(tries):
+        chunk, edge, step = tries[turn % len(tries)]
+        ends = until(edges[edge - 1]) + until(edges[edge + 1])
+        moves = edges[chunk] < edges[chunk + 1] and abs(ends - 2 * until(edges[edge] + step)) < abs(ends - 2 * until(edges[edge]))
+        edges[edge] += step * moves
+        quiet, turn = 0 if moves else quiet + 1, turn + 1
+    return edges
+
+
+def first_edges(groups: int, n: int) -> list[int]:
+    """Edges of n chunks with about as many groups each."""
+    if groups < n:
+        raise ValueError(f"{groups} speakers can't make {n} chunks")
+    return [-(-i * groups // n) for i in range(n + 1)]
+
+
 def balanced(counts: Sequence[int], n: int) -> list[int]:
-    """The chunk of each of a row of groups: about as many groups each, then groups at the edges move while that evens two neighbours out."""
-    if len(counts) < n:
-        raise ValueError(f"{len(counts)} speakers can't make {n} chunks")
-    edge = [-(-i * len(counts) // n) for i in range(n + 1)]  # chunk i is groups edge[i]..edge[i + 1]
-    total = np.concatenate([[0], np.cumsum(counts)])
-    size = lambda i: total[edge[i + 1]] - total[edge[i]]
-    moved = True
-    while moved:
-        moved = False
-        for i in range(n):
-            if i < n - 1 and edge[i + 1] > edge[i]:
-                c = counts[edge[i + 1] - 1]
-                if abs(size(i + 1) - size(i) + 2 * c) < abs(size(i + 1) - size(i)):
-                    edge[i + 1] -= 1
-                    moved = True
-            if i > 0 and edge[i + 1] > edge[i]:
-                c = counts[edge[i]]
-                if abs(size(i) - size(i - 1) - 2 * c) < abs(size(i) - size(i - 1)):
-                    edge[i] += 1
-                    moved = True
-    return [i for i in range(n) for _ in range(edge[i + 1] - edge[i])]
-
-
-def speaker_chunks(df: DataFrame, order: Sequence[Column | str], n: int, speaker: str = "speaker") -> DataFrame:
-    """df with chunk: speakers, in order of first appearance, are not divided. The driver holds one count a speaker."""
-    out, _ = numbered(df, order)
-    spk = out.groupBy(speaker).agg(F.count("*").alias("n"), F.min("rn").alias("first")).orderBy("first").collect()
-    table = df.sparkSession.createDataFrame([(r[speaker], c) for r, c in zip(spk, balanced([r.n for r in spk], n), strict=True)], f"{speaker} string, chunk int")
-    return out.join(table, speaker)
+    """The chunk of each of a row of groups; see settled()."""
+    edges = settled(first_edges(len(counts), n), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist().__getitem__)
+    return [i for i in range(n) for _ in range(edges[i + 1] - edges[i])]
+
+
+def speaker_chunks(df: DataFrame, order: Sequence[Column | str], n: int, speaker: str = "speaker", around: int = 2000) -> DataFrame:
+    """df with chunk: n chunks of whole speakers, in order of first appearance; see settled().
+
+    Speakers and their running totals are tables. The driver holds n edges and, of the totals, `around` to each side of an edge, and asks for more where an edge moves further.
+    """
+    rows, _ = numbered(df, order)
+    counts = rows.groupBy(speaker).agg(F.count("*").alias("_n"), F.min("rn").alias("_first"))
+    ranked, groups = numbered(counts, ["_first"], "_spk")
+    totals = reliable(running_total(ranked.select("_spk", "_n"), "_spk", "_n", "_until"))
+    edges, known = first_edges(groups, n), {0: 0}
+
+    def fetch(places: list[int]) -> None:
+        near = F.exists(F.array(*map(F.lit, places)), lambda e: F.abs(F.col("_spk") - e) <= around)
+        known.update((r["_spk"], r["_until"]) for r in totals.where(near).select("_spk", "_until").collect())  # at most 2 * around + 1 a place
+
+    def until(i: int) -> int:
+        if i not in known:
+            fetch([i])
+        return known[i]
+
+    fetch(edges)
+    inner = settled(edges, until)[1:-1]
+    chunk = F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e < F.col("_spk"))) if inner else F.lit(0)
+    return rows.join(ranked.select(speaker, chunk.cast("int").alias("chunk")), speaker)
 
 
 def even_subset(df: DataFrame, order: Sequence[Column | str], n: int, quiet: bool = False) -> DataFrame:
@@ -264,11 +292,11 @@ def shortest(df: DataFrame, n: int, frames: str = "num_frames", tie: str = "utti
 
 
 def per_speaker(df: DataFrame, n: int, speaker: str = "speaker", order: str = "uttid") -> DataFrame:
-    """About n of each speaker's m utterances: every (m // n)-th one. A speaker's utterances (ids only) meet in one task."""
-    w = Window.partitionBy(speaker)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_m", F.count("*").over(w))
-    skip = F.greatest(F.lit(1), F.floor(F.col("_m") / n))
-    return ranked.where((F.col("_i") % skip == 0) & (F.col("_i") < n * skip)).drop("_i", "_m")
+    """About n of each speaker's m utterances: every (m // n)-th one. Places follow from the rows' numbers, so that a speaker of any size is many tasks."""
+    rows, _ = numbered(df, [speaker, order], "_rn")
+    spans = rows.groupBy(speaker).agg(F.min("_rn").alias("_first"), F.count("*").alias("_m")).withColumnRenamed(speaker, "_speaker")
+    i, skip = F.col("_rn") - F.col("_first"), F.greatest(F.lit(1), F.floor(F.col("_m") / n))
+    return rows.join(spans, F.col(speaker).eqNullSafe(F.col("_speaker"))).where((i % skip == 0) & (i < n * skip)).select(*df.columns)
 
 
 def whole_speakers(df: DataFrame, n: int, seed: int | str = 0, speaker: str = "speaker") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
 from ..functions.text import edit_distance, fields
+from ..plans.ordering import with_neighbours
 
 STD_FLOOR = 1e-20
 
@@ -93,17 +94,26 @@ def utterance_normalised(x: Column, means: bool = True, variances: bool = False,
     return bound(x, whole)
 
 
-def delta_rows(frames: DataFrame, key: str = "key", t: str = "t", window: int = 2) -> DataFrame:
+def delta_rows(frames: DataFrame, key: str = "key", t: str = "t", window: int = 2, block: int = 4096) -> DataFrame:
     """(key, t, i, v, delta) of frames: the first delta of each value over its neighbours in time; the ends repeat.
 
-    For frames stored one a row. A key's frames meet in one task by place, so that a long key is as many groups as a frame has values.
+    For frames stored one a row. Times are cut into blocks that borrow `window` frames from each other, so that a key of any length is many tasks:
+    where a block has no frame so far before or after one, the key begins or ends in it.
     """
-    w = Window.partitionBy(key, "i").orderBy(t)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = frames.select(key, t, F.posexplode("x").alias("i", "v"))
-    ends = cells.withColumn("_first", F.first("v").over(whole)).withColumn("_last", F.last("v").over(whole))
-    up = sum((F.lit(float(k)) * (F.coalesce(F.lead("v", k).over(w), F.col("_last")) - F.coalesce(F.lag("v", k).over(w), F.col("_first"))) for k in range(1, window + 1)), F.lit(0.0))
-    return ends.withColumn("delta", up / (2.0 * sum(k * k for k in range(1, window + 1)))).drop("_first", "_last")
+    rows = with_neighbours(frames.select(key, t, "x"), [key, t], window, block)
+    w = Window.partitionBy("_block", key).orderBy("_rn")
+    first, last = F.first("x").over(w), F.last("x").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sides = [(float(k), F.coalesce(F.lead("x", k).over(w), last), F.coalesce(F.lag("x", k).over(w), first)) for k in range(1, window + 1)]
+    beside = rows.select(key, t, "x", "_own", *(c.alias(f"_{side}{int(k)}") for k, up, down in sides for side, c in (("up", up), ("down", down)))).where("_own")
+    parts = [_times(k, f"_up{k}", f"_down{k}") for k in range(1, window + 1)]
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda p, q: p + q), parts)
+    delta = F.transform(total, lambda d: d / (2.0 * sum(k * k for k in range(1, window + 1))))
+    cells = beside.select(key, t, F.posexplode(F.arrays_zip(F.col("x").alias("v"), delta.alias("delta"))).alias("i", "c"))
+    return cells.select(key, t, "i", "c.v", "c.delta")
+
+
+def _times(k: int, up: str, down: str) -> Column:
+    return F.zip_with(up, down, lambda a, b: F.lit(float(k)) * (a - b))
 
 
 def shape(x: Column) -> Column:

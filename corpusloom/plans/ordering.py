@@ -10,7 +10,7 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIFT = 33  # bits of a place in monotonically_increasing_id
@@ -50,9 +50,30 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") ->
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column | str], size: int | None = None) -> tuple[DataFrame, int]:
-    """numbered() cut at `size`."""
-    out, total = numbered(df, order)
-    return (out, total) if size is None else (out.where(F.col("rn") <= size), min(size, total))
+    """numbered() of the first `size` rows: with a size, only those are sorted and kept."""
+    return numbered(df if size is None else df.orderBy(*order).limit(size), order)
+
+
+def with_neighbours(df: DataFrame, order: Sequence[Column | str], reach: int, block: int = 4096) -> DataFrame:
+    """df in blocks of its order, each with the `reach` rows before and after it: columns _rn, _block and _own (false for borrowed rows).
+
+    A window over a few neighbours can then be partitioned by _block and a key: however many rows a key has, they are many tasks. Rows are
+    borrowed at the edges of blocks alone, so that about 2 * reach / block of them are there twice. df is sorted by range and checkpointed.
+    """
+    block = max(block, reach)
+    rows, _ = numbered(df, order, "_rn")
+    own, at = F.floor((F.col("_rn") - 1) / block), (F.col("_rn") - 1) % block
+    blocks = F.array_compact(F.array(own, F.when((at < reach) & (own > 0), own - 1), F.when(at >= block - reach, own + 1)))
+    return rows.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)
+
+
+def running_total(df: DataFrame, row: str, value: str, name: str, block: int = 50_000) -> DataFrame:
+    """df with the sum of `value` over the rows up to this one, by a row number. Blocks are summed first; one task sees a row a block."""
+    blocked = df.withColumn("_block", F.floor((F.col(row) - 1) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocked.groupBy("_block").agg(F.sum(value).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_block").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(base, "_block").withColumn(name, F.col("_base") + F.sum(value).over(within)).drop("_block", "_base")
 
 
 def tile(row: Column, total: int, parts: int) -> Column:

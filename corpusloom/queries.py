@@ -393,7 +393,13 @@ def split_even(spark, sf):
     return ordered.chunks(utterances(spark, sf).select("uttid"), ["uttid"], 7).select("uttid", "chunk")
 
 
-@query()
+SPLIT_TRIES = "[" + ", ".join(f"{{'c': {c}, 'e': {e}, 's': {s}}}" for c in range(5) for e, s in ((c + 1, -1), (c, 1)) if 0 < e < 5) + "]"
+
+
+@query(f"""WITH RECURSIVE {UTT_SQL}, c AS (SELECT speaker, count(*) AS n, min(uttid) AS f FROM utt GROUP BY speaker), p AS (SELECT list_prepend(0, list(s ORDER BY f)) AS u, count(*) AS m FROM (SELECT f, sum(n) OVER (ORDER BY f)::BIGINT AS s FROM c)),
+s(k, quiet, e) AS (SELECT 0, 0, list_transform(range(0, 6), lambda i: -((-i * m) // 5)) FROM p UNION ALL SELECT k + 1, CASE WHEN moves THEN 0 ELSE quiet + 1 END, CASE WHEN moves THEN list_transform(e, lambda v, i: CASE WHEN i = t.e + 1 THEN v + t.s ELSE v END) ELSE e END
+FROM (SELECT s.*, t, e[t.c + 1] < e[t.c + 2] AND abs(u[e[t.e] + 1] + u[e[t.e + 2] + 1] - 2 * u[e[t.e + 1] + t.s + 1]) < abs(u[e[t.e] + 1] + u[e[t.e + 2] + 1] - 2 * u[e[t.e + 1] + 1]) AS moves FROM (SELECT *, {SPLIT_TRIES}[k % 8 + 1] AS t FROM s) s, p WHERE quiet < 8)),
+z AS (SELECT e FROM s ORDER BY k DESC LIMIT 1), r AS (SELECT speaker, row_number() OVER (ORDER BY f) - 1 AS i FROM c) SELECT uttid, speaker, len(list_filter(e[2:5], lambda x: x <= i))::INT AS chunk FROM utt JOIN r USING (speaker), z""")
 def split_by_speaker(spark, sf):
     return ordered.speaker_chunks(utterances(spark, sf).select("uttid", "speaker"), ["uttid"], 5).select("uttid", "speaker", "chunk")
 
@@ -906,6 +912,59 @@ def loader_batches(spark, sf):
     return items.select("batch", "padded", "pos", "item.uttid", F.size("item.x").cast("long").alias("n"), x.alias("x"))
 
 
+# ---- archives with an index, compressed matrices, sound files
+
+
+@query(f"WITH {MATRIX_SQL} SELECT key, t::INT AS t, i::INT AS i, round(v, 6) AS v FROM ce")
+def archive_indexed(spark, sf):
+    """Matrices written with an index and read by it."""
+    return _grid(archives.write_indexed(_matrix_rows(spark, sf), _scratch(spark, "indexed")).where("rate = 100").withColumnRenamed("uttid", "key"))
+
+
+@query(f"WITH {MATRIX_SQL} SELECT key, t::INT AS t, i::INT AS i, round(v, 6) AS v FROM ce WHERE key IN ('0-0', '3-0', '7-0')")
+def archive_whole(spark, sf):
+    """Matrices written with an index; the archives read from their beginnings, for three keys."""
+    path = _scratch(spark, "whole")
+    archives.write_indexed(_matrix_rows(spark, sf), path)
+    return _grid(archives.by_specifier(spark, f"ark:{path}").where(F.col("uttid").isin("0-0", "3-0", "7-0")).withColumnRenamed("uttid", "key"))
+
+
+@query(f"WITH {MATRIX_SQL}, l AS (SELECT key, min(v) AS low, CASE WHEN max(v) > min(v) THEN (max(v) - min(v))::FLOAT::DOUBLE ELSE (1 + abs(min(v)))::FLOAT::DOUBLE END AS width FROM ce GROUP BY key) SELECT key, t::INT AS t, i::INT AS i, floor((v - low) / width * 255 + 0.5::DOUBLE)::INT AS level FROM ce JOIN l USING (key)")
+def archive_compressed(spark, sf):
+    """Matrices in one byte a value, read again; the levels that their values stand for."""
+    got = archives.write_indexed(_matrix_rows(spark, sf), _scratch(spark, "compressed"), compression_method=5, rate_row=False)
+    whole = _matrices(spark, sf).select("key", F.flatten("x").alias("x")).select("key", F.array_min("x").alias("low"), F.array_max("x").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.abs("low") + 1).cast("float").cast("double")
+    cells = got.select(F.col("uttid").alias("key"), F.posexplode("x").alias("t", "f")).select("key", "t", F.posexplode("f").alias("i", "v")).join(whole, "key")
+    return cells.select("key", F.col("t").cast("int").alias("t"), F.col("i").cast("int").alias("i"), F.round((F.col("v") - F.col("low")) / width * 255).cast("int").alias("level"))
+
+
+def _sounds(spark, sf):
+    """events of a user and day as 16-bit sounds of two channels."""
+    e = table(spark, sf, "events")
+    key = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    pair = F.array((F.floor(F.col("value") * 100).cast("long") % 65536 - 32768).cast("int"), (F.col("event_id") % 200 - 100).cast("int"))
+    return e.groupBy(key.alias("uttid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", pair.alias("x")))), lambda s: s["x"]).alias("x")).withColumn("rate", F.lit(8000.0))
+
+
+SOUND_SQL = "SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS uttid, list([(floor(value * 100)::BIGINT % 65536 - 32768)::INT, (event_id % 200 - 100)::INT] ORDER BY ts, event_id) AS x, 8000.0::DOUBLE AS rate FROM events GROUP BY 1"
+
+
+@query(SOUND_SQL)
+def sound_flac(spark, sf):
+    """Sounds written as FLAC files and read by their index."""
+    got = archives.write_indexed(_sounds(spark, sf), _scratch(spark, "flac"), filetype="sound", pcm_format="flac")
+    return got.select("uttid", F.transform("x", lambda r: r.cast("array<int>")).alias("x"), "rate")
+
+
+@query(SOUND_SQL)
+def sound_waves(spark, sf):
+    """Sounds written as wave files and read as a folder."""
+    path = _scratch(spark, "waves")
+    archives.write_indexed(_sounds(spark, sf), path, filetype="sound")
+    return archives.read_sounds(spark, f"{path}/*.wav").where("error IS NULL").select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("uttid"), "x", "rate")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Speaker statistics, frames normalised by them, and a summary of each speaker."""
     f = frames(spark, sf)

@@ -1,19 +1,18 @@
-"""Archives of signals and features: Parquet tables by dataset and split, wave files, binary matrices."""
+"""Archives of signals and features: Parquet tables by dataset and split, sound files, archives of matrices."""
 
 from __future__ import annotations
 
 import io
-import struct
-import wave
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import archive_files
 from ..operators.tables import registered
+from . import archive_source, matrix_format, sound_format
 
 NOT_LOADED = ("orig", "no_short")
 
@@ -82,58 +81,55 @@ def looked_up(index: DataFrame, archive: DataFrame, permissive: bool = False) ->
     return index.join(rows, (F.col("path") == F.col("_path")) & (F.col("loc") == F.col("_loc")), "left" if permissive else "inner").drop("_loc", "_path")
 
 
-def read_waves(spark: SparkSession, path: str) -> DataFrame:
-    """(path, x, rate, error) of 16-bit wave files. x has a sample a row, or the channels of one; a file that can't be read has an error."""
+def read_sounds(spark: SparkSession, path: str) -> DataFrame:
+    """(path, x, rate, error) of wave, FLAC and SPHERE files, as 16-bit numbers. x has a row a sample, with its channels; a file that can't be read has an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for name, content in zip(part["path"], part["content"], strict=True):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rate, x, error = None, None, None
                 try:
-                    with wave.open(io.BytesIO(bytes(content))) as w:
-                        if w.getsampwidth() != 2:
-                            raise ValueError("not 16-bit")
-                        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-                        rows.append((name, [list(map(int, s)) for s in x], float(w.getframerate()), None))
+                    rate, samples = sound_format.decode(content.as_py())
+                    x = samples.tolist()
                 except Exception as e:  # noqa: BLE001  one bad file is reported, not fatal
-                    rows.append((name, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "x", "rate", "error"])
-
-    return files.select("path", "content").mapInPandas(decode, "path string, x array<array<int>>, rate double, error string")
-
-
-def matrices(content: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
-    """(key, offset, matrix) of a binary archive of float or double matrices: key, space, NUL B, FM or DM, sizes, values."""
-    at = 0
-    while at < len(content):
-        end = content.index(b" ", at)
-        key, start = content[at:end].decode(), end + 1
-        if content[start : start + 2] != b"\0B":
-            raise ValueError("not a binary archive")
-        kind = content[start + 2 : start + 5]
-        if kind not in (b"FM ", b"DM "):
-            raise ValueError(f"matrices of kind {kind!r} are not read")
-        rows, cols = struct.unpack_from("<xixi", content, start + 5)
-        size = 4 if kind == b"FM " else 8
-        first = start + 15
-        yield key, start, np.frombuffer(content, "<f4" if size == 4 else "<f8", rows * cols, first).reshape(rows, cols)
-        at = first + rows * cols * size
+                    error = str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([x], pa.list_(pa.list_(pa.int32()))), pa.array([rate], pa.float64()), pa.array([error], pa.string())], ["path", "x", "rate", "error"])
+
+    return files.select("path", "content").mapInArrow(decode, "path string, x array<array<int>>, rate double, error string")
+
+
+read_waves = read_sounds
 
 
 def matrix_archive(items: Sequence[tuple[str, np.ndarray]]) -> bytes:
     """The binary archive of float matrices."""
-    return b"".join(k.encode() + b" \0BFM " + struct.pack("<bibi", 4, len(m), 4, m.shape[1]) + np.asarray(m, "<f4").tobytes() for k, m in items)
+    return b"".join(matrix_format.entry_bytes(k, m)[0] for k, m in items)
 
 
 def read_matrices(spark: SparkSession, path: str, rate_row: bool = True) -> DataFrame:
     """(uttid, path, loc, x, rate) of binary archives; with rate_row, the first row of each matrix holds the rate (zero: none)."""
     files = spark.read.format("binaryFile").load(path)
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                rows = [(k, name, str(at), [list(map(float, f)) for f in (m[1:] if rate_row else m)], (float(m[0, 0]) or None) if rate_row else None) for k, at, m in matrices(bytes(content))]
-                yield pd.DataFrame(rows, columns=["uttid", "path", "loc", "x", "rate"])
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = matrix_format.entries(io.BytesIO(content.as_py()))
+                yield from archive_source.batched((key, name, str(at), *(archive_source.without_rate(m) if rate_row else (m, None))) for key, at, m in values)
+
+    return files.select("path", "content").mapInArrow(decode, archive_source.SCHEMA)
+
+
+def by_specifier(spark: SparkSession, rspecifier: str, **options: str | int | bool) -> DataFrame:
+    """The rows (uttid, path, loc, x, rate) that scp:<index> or ark:<archive> names; see archive_source."""
+    archive_source.register(spark)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(archive_source.FORMAT).option("pushdown", pushdown).options(**options).load(rspecifier)
+
 
-    return files.select("path", "content").mapInPandas(decode, "uttid string, path string, loc string, x array<array<float>>, rate double")
+def write_indexed(df: DataFrame, path: str, **options: str | int | bool) -> DataFrame:
+    """Writes (uttid, x, rate) as an archive, or as sound files, with an index for each task; returns the rows as the indexes name them."""
+    archive_source.register(df.sparkSession)
+    cells = F.transform("x", lambda row: row.cast("array<float>"))
+    df.select("uttid", cells.alias("x"), F.col("rate").cast("double").alias("rate")).write.format(archive_source.FORMAT).options(**options).mode("append").save(path)
+    return by_specifier(df.sparkSession, f"scp:{path}", **{k: v for k, v in options.items() if k in ("filetype", "rate_row")})
