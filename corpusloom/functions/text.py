@@ -118,8 +118,9 @@ def telephone_words(text: Column, first: int = 1, last: int | None = None) -> Co
 
 
 def evaluation_line(text: Column) -> Column:
-    """Lower case; tags in (% ) and < > go, greedily; then parentheses; white space is made one."""
-    return replaced(F.lower(text), [(r" \(%.*\)", ""), (r" <.*>", ""), (r"[()]", ""), (r"\s+", " ")])
+    """The text behind an id, in lower case: tags in (% ) and < > go with the blank before them, greedily, at its start too; then parentheses; white space is made one."""
+    out = replaced(F.concat(F.lit(" "), squeezed(F.lower(text))), [(r" \(%.*\)", ""), (r" <.*>", ""), (r"[()]", ""), (r"\s+", " ")])
+    return F.ltrim(out)
 
 
 # Fixed values. Noises of conversations.

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fields
@@ -18,7 +19,6 @@ WHITE = r"[\r\x0B\x0C\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 #: Positive numbers.
 COUNTED = ("utt2num_frames", "utt2dur", "reco2dur")
 
-
 def _positive(value: Column) -> Column:
     return (F.size(fields(value)) == 1) & (F.coalesce(value.try_cast("double"), F.lit(0.0)) > 0)
 
@@ -26,10 +26,14 @@ def _positive(value: Column) -> Column:
 def fixed(d: DataDir) -> DataDir:
     """A data directory with the first row of each key, and only ids that all of its tables have.
 
+    The first row is that of least `ord`; in a table without this column, of least value: rows have no other order that a shuffle keeps.
     Recordings are those that segments name and wav has; utterances are in every table of utterances; speakers in every table of
     speakers and with an utterance. Durations and frame counts that are no positive number do not count as rows.
     """
-    ordered = lambda df, key: first_of_key(df.withColumn("_ord", F.monotonically_increasing_id()) if "ord" not in df.columns else df.withColumnRenamed("ord", "_ord"), key, "_ord").drop("_ord")
+    def ordered(df: DataFrame, key: str) -> DataFrame:
+        order = F.col("ord") if "ord" in df.columns else F.struct(*(c for c in df.columns if c != key))
+        return first_of_key(df.withColumn("_ord", order).drop("ord"), key, "_ord")
+
     tables = {n: ordered(t.where(_positive(F.col("value"))) if n in COUNTED else t, "key") for n, t in d.tables.items()}
     utt2spk, segs = ordered(d.utt2spk, "uttid"), None if d.segments is None else ordered(d.segments, "uttid")
     ids = utt2spk.select("uttid")
@@ -51,7 +55,7 @@ def fixed(d: DataDir) -> DataDir:
     segs = None if segs is None else keep_ids(segs, utt2spk, "uttid", "uttid")
     recos = utt2spk.select(F.col("uttid").alias("reco")) if segs is None else segs.select("reco").distinct()
     out = {n: keep_ids(t, speakers, "key", "speaker") if n in SPEAKER_TABLES else keep_ids(t, utt2spk, "key", "uttid") if n in UTTERANCE_TABLES else keep_ids(t, recos, "key", "reco") for n, t in tables.items()}
-    return DataDir(utt2spk, out, segs)
+    return DataDir(utt2spk, out, segs, d.frame_shift)
 
 
 def _found(rule: str, df: DataFrame, key: Column, detail: Column | None = None) -> DataFrame:
@@ -82,8 +86,31 @@ def invalid_utf8(raw: DataFrame, column: str, key: str) -> DataFrame:
     return _found("text: not UTF-8", raw.where(~F.is_valid_utf8(F.col(column))), F.col(key))
 
 
-def validated(d: DataDir, spk_sort: bool = True, order: str | None = None) -> DataFrame:
-    """(rule, key, detail) of all that is wrong with a data directory; empty if it is sound. With `order`, tables must be sorted by key in it."""
+def counts_differ(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """Whether a table that was made from another has another number of rows, as after a job that skipped what failed."""
+    both = a.agg(F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("m")))  # one row each
+    return _found(f"{name}: counts differ", both.where("n <> m"), F.lit(""), F.concat_ws(" of ", F.col("n").cast("string"), F.col("m").cast("string")))
+
+
+def file_faults(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(rule, key, detail) of plain text files, by file: no newline at the end, bytes that are no UTF-8, and, in files that are UTF-8 throughout, white space that lines may not hold.
+
+    detail is the number of lines. Files are read by ranges of bytes and only sums of them are shuffled; that lines and their newlines add up to one byte more
+    than the file has says that the last one is missing. Empty files have no faults.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("size"))
+    valid = F.is_valid_utf8("value")
+    files = lines.groupBy("key").agg(F.max("size").alias("size"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(~valid).alias("broken"), F.count_if(valid & F.make_valid_utf8("value").rlike(WHITE)).alias("spaced"))
+    told = F.array(
+        F.struct(F.lit("file: no final newline").alias("rule"), F.when(F.col("bytes") > F.col("size"), 1).otherwise(0).cast("long").alias("n")),
+        F.struct(F.lit("file: not UTF-8").alias("rule"), F.col("broken").alias("n")),
+        F.struct(F.lit("file: illegal white space").alias("rule"), F.when(F.col("broken") == 0, F.col("spaced")).otherwise(0).alias("n")),
+    )
+    return files.select("key", F.explode(told).alias("t")).where("t.n > 0").select("t.rule", "key", F.col("t.n").cast("string").alias("detail"))
+
+
+def validated(d: DataDir, spk_sort: bool = True, order: str | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(rule, key, detail) of all that is wrong with a data directory; empty if it is sound. With `order`, utt2spk must be sorted by key in it. lists: (speaker, utts), which must be its inverse."""
     ids = d.utt2spk.select("uttid")
     found = [
         _found("utt2spk: empty", d.utt2spk.agg(F.count("*").alias("n")).where("n = 0"), F.lit(None)),
@@ -94,9 +121,15 @@ def validated(d: DataDir, spk_sort: bool = True, order: str | None = None) -> Da
         found.append(_found("utt2spk: speaker is no prefix", d.utt2spk.where(~F.col("uttid").startswith(F.col("speaker"))), F.col("uttid"), F.col("speaker")))
     if order is not None:
         found.append(out_of_order(d.utt2spk, "uttid", order, "utt2spk"))
+    if lists is not None:
+        found.append(inverse(d.utt2spk, lists))
     for n, t in sorted(d.tables.items()):
         found.append(repeated_keys(t, "key", n))
-        if n in UTTERANCE_TABLES and n not in ("utt2warp", "utt2uniq"):
+        if n in SPEAKER_TABLES:
+            speakers = d.utt2spk.select("speaker").distinct()
+            found.append(_found(f"{n}: not in utt2spk", t.join(speakers, t["key"] == speakers["speaker"], "left_anti"), F.col("key")))
+            found.append(_found(f"{n}: missing", speakers.join(t, speakers["speaker"] == t["key"], "left_anti"), F.col("speaker")))
+        if n in UTTERANCE_TABLES:
             found.append(_found(f"{n}: not in utt2spk", t.join(ids, t["key"] == ids["uttid"], "left_anti"), F.col("key")))
             found.append(_found(f"{n}: missing", ids.join(t, ids["uttid"] == t["key"], "left_anti"), F.col("uttid")))
         if n in COUNTED:

@@ -122,7 +122,7 @@ def renamed(d: DataDir, utt_prefix: str = "", utt_suffix: str = "", spk_prefix:
     if "utt2uniq" not in d.tables:
         names["utt2uniq"] = d.utt2spk.select(utt(F.col("uttid")).alias("key"), F.col("uttid").alias("value"))
     ids = d.utt2spk.select(utt(F.col("uttid")).alias("uttid"), spk(F.col("speaker")).alias("speaker"))
-    return DataDir(ids, names, None if d.segments is None else d.segments.withColumn("uttid", utt(F.col("uttid"))))
+    return DataDir(ids, names, None if d.segments is None else d.segments.withColumn("uttid", utt(F.col("uttid"))), d.frame_shift)
 
 
 def reduced(d: DataDir, ids: DataFrame, id_column: str = "uttid") -> DataDir:
@@ -133,11 +133,17 @@ def reduced(d: DataDir, ids: DataFrame, id_column: str = "uttid") -> DataDir:
     out = {}
     for n, t in d.tables.items():
         out[n] = keep_ids(t, utts.select("speaker").distinct(), "key", "speaker") if n in SPEAKER_TABLES else keep_ids(t, recos, "key", "reco") if n in RECORDING_TABLES else keep_ids(t, utts, "key", "uttid")
-    return DataDir(utts, out, segs)
+    return DataDir(utts, out, segs, d.frame_shift)
 
 
 def combined(dirs: Sequence[DataDir]) -> DataDir:
-    """The union of data directories: tables that all have. utt2uniq is made up where only some have it, and so are segments (whole recordings)."""
+    """The union of data directories: tables that all have. utt2uniq is made up where only some have it, and so are segments (whole recordings).
+
+    Directories with features must have one frame shift, as far as they name it.
+    """
+    shifts = {d.frame_shift for d in dirs if d.frame_shift is not None and "feats" in d.tables}
+    if len(shifts) > 1:
+        raise ValueError(f"features with different frame shifts: {', '.join(map(str, sorted(shifts)))}")
     names = set.intersection(*(set(d.tables) for d in dirs))
     if any("utt2uniq" in d.tables for d in dirs):
         names.add("utt2uniq")
@@ -146,7 +152,7 @@ def combined(dirs: Sequence[DataDir]) -> DataDir:
     segs = None
     if any(d.segments is not None for d in dirs):
         segs = union([d.segments.select("uttid", "reco", "start", "end") if d.segments is not None else d.utt2spk.select("uttid", F.col("uttid").alias("reco"), F.lit(0.0).alias("start"), F.lit(-1.0).alias("end")) for d in dirs])
-    return DataDir(union([d.utt2spk for d in dirs]), {n: union([own(d, n) for d in dirs]) for n in sorted(names)}, segs)
+    return DataDir(union([d.utt2spk for d in dirs]), {n: union([own(d, n) for d in dirs]) for n in sorted(names)}, segs, next(iter(shifts), None))
 
 
 def registered(registry: DataFrame, specs: Sequence[str]) -> DataFrame:

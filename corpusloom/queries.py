@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import arrays, signal, text
-from .operators import ordered, quality, stats, tables
+from .operators import ordered, quality, side_signals, stats, tables
 from .plans import ordering
 from .plans.dump import dumped
 from .plans.ordering import hashed
@@ -167,6 +168,22 @@ def side_parse(spark, sf):
     return e.select("event_id", text.side_of(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"), ending)).alias("s")).select("event_id", "s.file", "s.channel")
 
 
+@query(f"""WITH {UTT_SQL}, k AS (SELECT * FROM utt WHERE ord IN (SELECT doc_id FROM labels)), r AS (SELECT DISTINCT archive FROM k)
+SELECT 'utt2spk' AS part, uttid AS key, speaker AS value FROM k UNION ALL SELECT 'segments', uttid, archive FROM k UNION ALL SELECT 'text', uttid, length(text)::VARCHAR FROM k
+UNION ALL SELECT 'wav', archive, 'x' FROM r UNION ALL SELECT 'reco2dur', archive, '1' FROM r UNION ALL SELECT DISTINCT 'spk2gender', speaker, 'm' FROM k""")
+def reduce_whole_dir(spark, sf):
+    """documents with labels, and the segments, recordings and speakers that they have."""
+    u = utterances(spark, sf)
+    kv = lambda key, value: u.select(F.col(key).alias("key"), value.cast("string").alias("value")).distinct()
+    segs = u.select("uttid", F.col("archive").alias("reco"), F.lit(0.0).alias("start"), F.lit(-1.0).alias("end"))
+    others = u.select(F.concat("archive", F.lit("-other")).alias("key"), F.lit("x").alias("value")).distinct()
+    d = DataDir(u.select("uttid", "speaker"), {"text": kv("uttid", F.length("text")), "wav": kv("archive", F.lit("x")).unionByName(others), "reco2dur": kv("archive", F.lit(1)), "spk2gender": kv("speaker", F.lit("m"))}, segs)
+    ids = tables.keep_ids(u, table(spark, sf, "labels"), "ord", "doc_id").select("uttid")
+    out = tables.reduced(d, ids)
+    parts = {"utt2spk": out.utt2spk.toDF("key", "value"), "segments": out.segments.select(F.col("uttid").alias("key"), F.col("reco").alias("value")), **out.tables}
+    return functools.reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("part"), "key", "value") for n, t in parts.items()])
+
+
 @query(f"WITH {UTT_SQL}, l AS (SELECT ord FROM utt JOIN labels ON doc_id = ord GROUP BY ord) SELECT uttid, speaker FROM utt WHERE ord IN (SELECT ord FROM l)")
 def reduce_dir(spark, sf):
     u = utterances(spark, sf)
@@ -474,6 +491,59 @@ def validate_text(spark, sf):
     return quality.text_faults(faulty, "item_id", "text")
 
 
+@query(f"""WITH {UTT_SQL}, s AS (SELECT DISTINCT speaker FROM utt), o AS (SELECT uttid, lag(uttid) OVER (ORDER BY (ord % 10) * 1000000 + ord) AS p FROM utt)
+SELECT 'utt2spk: not sorted' AS rule, uttid AS key, p AS detail FROM o WHERE p > uttid
+UNION ALL SELECT 'utt2warp: out of range', uttid, '1.6' FROM utt WHERE ord % 16 = 0
+UNION ALL SELECT 'spk2warp: out of range', speaker, 'x' FROM s WHERE starts_with(speaker, '{{de}}')
+UNION ALL SELECT 'reco2file_and_channel: channel', uttid, 'C' FROM utt WHERE ord % 3 = 2
+UNION ALL SELECT 'wav: home path', uttid, '~/x' FROM utt WHERE ord % 100 = 7
+UNION ALL SELECT 'spk2utt: not the inverse', speaker, '' FROM s WHERE starts_with(speaker, '{{fr}}')
+UNION ALL SELECT 'spk2gender: missing', speaker, '' FROM s WHERE starts_with(speaker, '{{en}}') UNION ALL SELECT 'spk2gender: not in utt2spk', speaker || 'x', '' FROM s WHERE starts_with(speaker, '{{en}}')
+UNION ALL SELECT 'utt2dur: missing', uttid, '' FROM utt WHERE ord % 4 = 0""")
+def validate_whole_dir(spark, sf):
+    """documents as a data directory with faults of order, warp, channel, path, lists of speakers and ids, all found by one call."""
+    u = utterances(spark, sf)
+    kv = lambda v, df=u, key="uttid": df.select(F.col(key).alias("key"), (v if not isinstance(v, str) else F.lit(v)).cast("string").alias("value"))
+    speakers = u.select("speaker").distinct()
+    d = DataDir(
+        u.select("uttid", "speaker", ((F.col("ord") % 10) * 1_000_000 + F.col("ord")).alias("ord")),
+        {
+            "utt2warp": kv(F.when(F.col("ord") % 16 == 0, "1.6").otherwise("0.9")),
+            "spk2warp": kv(F.when(F.col("speaker").startswith("{de}"), "x").otherwise("1.1"), speakers, "speaker"),
+            "reco2file_and_channel": kv(F.concat(F.lit("f "), F.element_at(F.array(*map(F.lit, "ABC")), (F.col("ord") % 3 + 1).cast("int")))),
+            "wav": kv(F.when(F.col("ord") % 100 == 7, "~/x").otherwise("/x")),
+            "utt2dur": kv("1.5", u.where("ord % 4 > 0")),
+            "spk2gender": speakers.select(F.when(F.col("speaker").startswith("{en}"), F.concat("speaker", F.lit("x"))).otherwise(F.col("speaker")).alias("key"), F.lit("f").alias("value")),
+        },
+    )
+    lists = tables.spk2utt(u.select("uttid", "speaker")).where(~F.col("speaker").startswith("{fr}"))
+    return quality.validated(d, order="ord", lists=lists)
+
+
+@query("SELECT 'events by user: counts differ' AS rule, '' AS key, (SELECT count(*) FROM events WHERE user_id % 7 > 0) || ' of ' || (SELECT count(*) FROM events) AS detail")
+def count_equality(spark, sf):
+    """Rows of events against what a job left of them, which skips some users; and against themselves."""
+    e = table(spark, sf, "events")
+    return quality.counts_differ(e.where("user_id % 7 > 0"), e, "events by user").unionByName(quality.counts_differ(e, e, "events"))
+
+
+@query(r"""WITH l AS (SELECT DISTINCT lang FROM documents), t AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT 'file: no final newline' AS rule, 'cut/' || lang AS key, '1' AS detail FROM l
+UNION ALL SELECT 'file: not UTF-8', 'broken/' || lang, n::VARCHAR FROM n
+UNION ALL SELECT 'file: illegal white space', 'spaced/' || lang, n::VARCHAR FROM n
+UNION ALL SELECT 'file: illegal white space', 'good/' || lang, count(*)::VARCHAR FROM t WHERE regexp_matches(line, '[\r\x0B\x0C\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') GROUP BY lang""")
+def text_files(spark, sf):
+    """documents as files of lines by language: as they are, without a final newline, with a byte that is no UTF-8 in some lines, with no-break spaces."""
+    d = table(spark, sf, "documents")
+    path, name = _scratch(spark, "lines"), F.col("doc_id").cast("string")
+    kinds = {"good": F.col("text"), "cut": name, "broken": F.concat(name, F.lit(" "), F.unhex(F.lit("E9")).cast("string"), name), "spaced": F.concat(name, F.lit("\u00a0"))}
+    for kind, line in kinds.items():
+        rows = d.select("lang", line.alias("value")).repartition("lang")
+        rows.write.partitionBy("lang").option("lineSep", " " if kind == "cut" else "\n").text(f"{path}/{kind}")
+    found = quality.file_faults(spark, [f"{path}/{kind}" for kind in kinds])
+    return found.withColumn("key", F.concat(F.regexp_extract("key", r"/(\w+)/lang=", 1), F.lit("/"), F.regexp_extract("key", r"/lang=(\w+)/", 1)))
+
+
 # ---- transcripts
 
 
@@ -555,10 +625,10 @@ def norm_fisher(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.conversation_line(marked).alias("text")).where("text is not null")
 
 
-EVAL = [_form(f) for f in ("(%hesitation) _W_", "<_W_>", "(_W_)", "_W_)")]
+EVAL = [_form(f) for f in ("(%hesitation) _W_", "<_W_>", "(_W_)", "_W_)")]  # also of the first word
 
 
-@query(f"WITH m AS (SELECT conv_id, turn, {_marked_sql('turn', [s for _, s in EVAL], 83)} AS text FROM conversations)" + r" SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), ' \(%.*\)', '', 'g'), ' <.*>', '', 'g'), '[()]', '', 'g'), '\s+', ' ', 'g') AS text FROM m")
+@query(f"WITH m AS (SELECT conv_id, turn, {_marked_sql('turn', [s for _, s in EVAL], 83)} AS text FROM conversations), n AS (SELECT conv_id, turn, ' ' || lower(array_to_string({WORDS}, ' ')) AS text FROM m)" + r" SELECT conv_id, turn, ltrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' \(%.*\)', '', 'g'), ' <.*>', '', 'g'), '[()]', '', 'g'), '\s+', ' ', 'g')) AS text FROM n")
 def norm_eval(spark, sf):
     marked = _marked(F.col("text"), F.col("turn"), [f for f, _ in EVAL], 83)
     return table(spark, sf, "conversations").select("conv_id", "turn", text.evaluation_line(marked).alias("text"))
@@ -781,11 +851,12 @@ def _words(spark, sf):
     return table(spark, sf, "conversations").select(F.explode(text.fields(F.col("text"))).alias("w")).distinct()
 
 
-@query(f"WITH {WORD_SQL} SELECT DISTINCT lower(w) AS word, array_to_string(string_split(lower(w), ''), ' ') AS phones FROM w WHERE NOT starts_with(w, 't') UNION SELECT * FROM (VALUES ('!sil', 'sil'), ('<noise>', 'nsn'), ('<unk>', 'spn'))")
+@query(f"WITH {WORD_SQL} SELECT DISTINCT lower(w) AS word, array_to_string(string_split(lower(w), ''), ' ') AS phones FROM w WHERE NOT starts_with(w, 't') UNION SELECT * FROM (VALUES ('!sil', 'sil'), ('<noise>', 'nsn'), ('<unk>', 'spn'), ('i', 'ay')) UNION SELECT lower(c) || '.', lower(c) || ' x' FROM (SELECT DISTINCT left(w, 1) AS c FROM w WHERE regexp_matches(w, '^[A-Z]'))")
 def lexicon_entries(spark, sf):
-    """Words of conversations spelt out as lines of a lexicon, those with a small t behind a # as comments."""
+    """Words of conversations spelt out as lines of a lexicon, those with a small t behind a # as comments; their capitals as letters."""
     spelt = F.array_join(F.split(F.lower("w"), ""), " ")
-    return corpora.lexicon(_words(spark, sf).select(F.concat(F.when(F.col("w").startswith("t"), "# ").otherwise(""), "w", F.lit("  "), spelt).alias("value")))
+    letters = _words(spark, sf).where(F.col("w").rlike("^[A-Z]")).select(F.concat(F.substring("w", 1, 1), F.lit(" "), F.substring("w", 1, 1), F.lit(" x")).alias("value")).distinct()
+    return corpora.lexicon(_words(spark, sf).select(F.concat(F.when(F.col("w").startswith("t"), "# ").otherwise(""), "w", F.lit("  "), spelt).alias("value")), letters=letters)
 
 
 @query(rf"WITH {WORD_SQL}, b AS (SELECT w, CASE WHEN regexp_matches(w, '^[A-Za-z]+s$') THEN 's' ELSE '' END AS tail FROM w) SELECT w, CASE WHEN regexp_matches(w, '^[A-Za-z]+$') AND length(w) <= 4 THEN array_to_string(string_split(lower(left(w, length(w) - length(tail))), ''), '._') || '.' || tail END AS entry FROM b")
@@ -912,6 +983,53 @@ def loader_batches(spark, sf):
     return items.select("batch", "padded", "pos", "item.uttid", F.size("item.x").cast("long").alias("n"), x.alias("x"))
 
 
+# ---- noises and rooms of a store
+
+
+def _noises(spark, sf):
+    """embeddings as noises; some are named as signals of events are, so that these have one of their own."""
+    e = table(spark, sf, "embeddings")
+    return e.select(F.concat_ws("-", (F.col("vec_id") % 50).cast("string"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") / 50).cast("int")), "yyyyMMdd")).alias("key"), F.col("embedding").cast("array<double>").alias("x"), F.lit(400.0).alias("rate"))
+
+
+NOISE_SQL = "s AS (SELECT (vec_id % 50) || '-' || strftime(DATE '2024-01-01' + (vec_id // 50)::INT, '%Y%m%d') AS key, embedding AS x FROM embeddings), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM (SELECT DISTINCT key FROM s)), u AS (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y%m%d') AS uttid FROM events), a AS (SELECT uttid, coalesce(o.key, d.key) AS source, o.key IS NOT NULL AS own FROM u LEFT JOIN r o ON o.key = uttid LEFT JOIN r d ON o.key IS NULL AND d.i = ('0x' || substr(md5('7|' || uttid), 1, 8))::BIGINT % (SELECT count(*) FROM r))"
+
+
+@query(f"WITH {NOISE_SQL} SELECT uttid, source FROM a")
+def noise_sources(spark, sf):
+    """Signals of events and the noise that each gets: its own, or one that is drawn."""
+    return side_signals.assigned(_signals(spark, sf), _noises(spark, sf), 7)
+
+
+@query(f"WITH {NOISE_SQL} SELECT uttid, list_transform(x, lambda v: round(v::DOUBLE, 6)) AS noise FROM a JOIN s ON source = key")
+def noise_store(spark, sf):
+    """A store of noises joined to signals by a shuffle, as stores too large to broadcast are."""
+    store = side_signals.write_store(_noises(spark, sf), _scratch(spark, "noises"))
+    u = _signals(spark, sf).select("uttid")
+    got = side_signals.with_side_signal(u, store, side_signals.assigned(u, store, 7), broadcast_numbers=0)
+    return got.select("uttid", F.transform("noise", lambda v: F.round(v, 6)).alias("noise"))
+
+
+def noise_from_store(spark, sf):
+    """Signals with noises of a store added."""
+    rows, store = _signals(spark, sf), _noises(spark, sf)
+    noisy = side_signals.with_side_signal(rows, store, side_signals.assigned(rows, store, 7))
+    return Pipeline([{"type": "noise_injection"}]).apply(noisy, train=True, extra=["noise"]).select("uttid", "x")
+
+
+QUERIES["noise_from_store"] = noise_from_store
+
+
+@query(f"WITH {SIGNALS_SQL}, k AS (SELECT uttid, x, row_number() OVER (ORDER BY uttid) % 4 AS q FROM sig) SELECT uttid, list_transform(x, lambda v: round(v * pow(10.0::DOUBLE, CASE q WHEN 0 THEN 0.0 ELSE q * 2.0 END / 20.0), 5) + 0.0::DOUBLE) AS x FROM k")
+def volume_lookup(spark, sf):
+    """Signals made louder by a ratio that a table names; those that it lacks have 0 decibels."""
+    rows = _signals(spark, sf)
+    ranked, _ = ordering.numbered(rows.select("uttid"), ["uttid"])
+    ratios = ranked.where("rn % 4 > 0").select("uttid", ((F.col("rn") % 4) * 2.0).alias("volume"))
+    known = tables.with_lookup(rows, ratios, "uttid", {"volume": 0.0})
+    return Pipeline([{"type": "volume_perturbation"}]).apply(known, train=True, extra=["volume"]).select("uttid", F.transform("x", lambda v: F.round(v, 5) + F.lit(0.0)).alias("x"))
+
+
 # ---- archives with an index, compressed matrices, sound files
 
 

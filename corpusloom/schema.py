@@ -21,14 +21,15 @@ RECORDING_TABLES = ("wav", "reco2dur", "reco2file_and_channel", "stm")
 
 @dataclass
 class DataDir:
-    """The tables of one split: (key, value) frames by name. utt2spk is always there; segments has SEGMENTS' columns."""
+    """The tables of one split: (key, value) frames by name. utt2spk is always there; segments has SEGMENTS' columns; frame_shift is in seconds."""
 
     utt2spk: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
     segments: DataFrame | None = None
+    frame_shift: float | None = None
 
     def replace(self, **changes) -> DataDir:
-        return DataDir(**{"utt2spk": self.utt2spk, "tables": self.tables, "segments": self.segments} | changes)
+        return DataDir(**{"utt2spk": self.utt2spk, "tables": self.tables, "segments": self.segments, "frame_shift": self.frame_shift} | changes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

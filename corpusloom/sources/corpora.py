@@ -93,9 +93,25 @@ def language_text(lines: DataFrame, order: Column | str, prefix: str = "{wsj}lng
     return out.select(F.concat(F.lit(prefix), F.format_string("%07d", "rn")).alias("uttid"), "text")
 
 
-def lexicon(lines: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """(word, phones): comments and blank lines dropped, words lower-cased, entries unique, with extra ones."""
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+", 2).alias("p"))
-    own = rows.select(F.lower(F.col("p")[0]).alias("word"), F.get("p", 1).alias("phones"))
-    given = lines.sparkSession.createDataFrame(list((extra or {"!sil": "sil", "<noise>": "nsn", "<unk>": "spn"}).items()), "word string, phones string")
-    return own.unionByName(given).distinct()
+#: Entries that a lexicon has besides its words, and the pronoun after acronyms are made.
+SILENCES = {"!sil": "sil", "<noise>": "nsn", "<unk>": "spn"}
+PRONOUN = {"i": "ay"}
+
+
+def lexicon(lines: DataFrame, extra: dict[str, str] | None = None, letters: DataFrame | None = None) -> DataFrame:
+    """(word, phones): comments and blank lines dropped, words lower-cased, entries unique, with extra ones.
+
+    letters: lines of single letters with their phones (as `W d ah b ax l y uw`), which are entries of their own under the letter and a dot;
+    the pronoun that is no letter then has an entry too.
+    """
+
+    def entries(df: DataFrame) -> DataFrame:
+        rows = df.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+", 2).alias("p"))
+        return rows.select(F.lower(F.col("p")[0]).alias("word"), F.lower(F.get("p", 1)).alias("phones"))
+
+    given = SILENCES if extra is None else extra
+    out = entries(lines)
+    if letters is not None:
+        out = out.unionByName(entries(letters).withColumn("word", F.concat("word", F.lit("."))))
+        given = given | PRONOUN
+    return out.unionByName(lines.sparkSession.createDataFrame(list(given.items()), "word string, phones string")).distinct()

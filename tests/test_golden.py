@@ -11,11 +11,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, signal, text, tokenizers
-from corpusloom.operators import ordered, quality, stats, tables
+from corpusloom.operators import ordered, quality, side_signals, stats, tables
 from corpusloom.plans import dump
+from corpusloom.plans.ordering import running_total, with_neighbours
 from corpusloom.plans.pipeline import Pipeline, Transform
 from corpusloom.schema import DataDir
-from corpusloom.sources import archives, corpora, text_tables
+from corpusloom.sources import archives, corpora, sound_format, text_tables
 from corpusloom.streaming.loader import Loader
 
 
@@ -123,7 +124,7 @@ def test_fixed_and_validated(spark):
     segs = spark.createDataFrame([("s1-a", "r1", 0.0, 1.0), ("s1-b", "r1", 2.0, 1.0), ("s2-a", "r2", 0.0, -1.0), ("s3-a", "r9", 0.0, 1.0)], "uttid string, reco string, start double, end double")
     d = DataDir(ids, {"text": kv([("s1-a", "x"), ("s2-a", "y </s>"), ("s3-a", "z"), ("s4-a", "w")]), "utt2dur": kv([("s1-a", "1.5"), ("s1-b", "-1"), ("s2-a", "2"), ("s3-a", "x")]), "wav": kv([("r1", "a.wav"), ("r2", "~/b.wav"), ("r3", "c")]), "spk2gender": kv([("s1", "m"), ("s2", "q"), ("s3", "f")])}, segs)
     rules = {(r.rule, r.key) for r in quality.validated(d, order="ord").collect()}
-    assert {("utt2spk: repeated key", "s2-a"), ("utt2spk: speaker is no prefix", "s2-a"), ("text: not in utt2spk", "s4-a"), ("text: missing", "s1-b"), ("text: illegal symbol", "s2-a"), ("utt2dur: not positive", "s1-b"), ("utt2dur: not positive", "s3-a"), ("spk2gender: not m or f", "s2"), ("segments: bad times", "s1-b"), ("wav: home path", "r2"), ("segments: no recording", "s3-a")} == rules
+    assert {("utt2spk: repeated key", "s2-a"), ("utt2spk: speaker is no prefix", "s2-a"), ("text: not in utt2spk", "s4-a"), ("text: missing", "s1-b"), ("text: illegal symbol", "s2-a"), ("utt2dur: not positive", "s1-b"), ("utt2dur: not positive", "s3-a"), ("spk2gender: not m or f", "s2"), ("spk2gender: missing", "s9"), ("segments: bad times", "s1-b"), ("wav: home path", "r2"), ("segments: no recording", "s3-a")} == rules
     out = quality.fixed(d)
     assert sorted(r.uttid for r in out.utt2spk.collect()) == ["s1-a", "s2-a"]
     assert sorted(r.key for r in out.tables["wav"].collect()) == ["r1", "r2"] and sorted(r.key for r in out.tables["spk2gender"].collect()) == ["s1", "s2"]
@@ -335,3 +336,92 @@ def test_ids_beyond_the_characters_are_an_error(spark):
     assert df.where("size(a) = 3").select(text.edit_distance(F.col("a"), F.col("b"))).first()[0] == 1
     with pytest.raises(Exception, match="under 55000"):
         df.select(text.edit_distance(F.col("a"), F.col("b"))).collect()
+
+
+def test_neighbours_in_blocks(spark):
+    """Blocks of ten rows give what one window gives: deltas, segments and speakers' subsets, with one key that has most rows."""
+    rows = [("hot" if i % 10 else f"k{i // 30}", i, [float(i * i % 17), float(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, t int, x array<double>")
+    whole = {(r.key, r.t, r.i): (r.v, r.delta) for r in stats.delta_rows(df, window=3, block=100_000).collect()}
+    for key in {k for k, _, _ in rows}:
+        x = [v for k, _, v in rows if k == key]
+        for at, t in enumerate(t for k, t, _ in rows if k == key):
+            for i in range(2):
+                up = sum(k * (x[min(at + k, len(x) - 1)][i] - x[max(at - k, 0)][i]) for k in (1, 2, 3)) / 28
+                assert whole[key, t, i] == (x[at][i], pytest.approx(up))
+    assert {(r.key, r.t, r.i): (r.v, r.delta) for r in stats.delta_rows(df, window=3, block=10).collect()} == whole
+    segs = spark.createDataFrame([(f"u{i:03d}", "hot" if i % 7 else f"r{i}", i * 1.5 % 400, i * 1.5 % 400 + 1 + i % 3 / 2, i) for i in range(200)], "uttid string, reco string, start double, end double, _block_of int")
+    wide, narrow = (sorted(map(tuple, ordered.extended_segments(segs, 1.0, block=b).collect())) for b in (100_000, 10))
+    assert wide == narrow and len(wide) == 200
+    blocks = with_neighbours(df, ["key", "t"], 2, 10).groupBy("_block").count().collect()
+    assert max(r["count"] for r in blocks) <= 14  # a task's rows are bounded whatever a key has
+    utts = spark.createDataFrame([(f"u{i:04d}", "a" if i % 9 else f"s{i}") for i in range(500)], "uttid string, speaker string")
+    got = sorted(r.uttid for r in ordered.per_speaker(utts, 5).where("speaker = 'a'").collect())
+    mine = [f"u{i:04d}" for i in range(500) if i % 9]
+    assert got == [mine[i * (len(mine) // 5)] for i in range(5)]
+
+
+def test_speakers_are_split_as_in_one_list(spark):
+    """The driver that asks for running totals near the edges ends where one that has all counts does."""
+    import random
+
+    rnd = random.Random(3)
+    for n, speakers, around in ((2, 40, 1), (5, 60, 2), (7, 7, 50)):
+        counts = [rnd.choice([1, 1, 2, 9, 30]) for _ in range(speakers)]
+        df = spark.createDataFrame([(f"s{s:03d}-{u:03d}", f"s{s:03d}") for s, c in enumerate(counts) for u in range(c)], "uttid string, speaker string")
+        got = {r.speaker: r.chunk for r in ordered.speaker_chunks(df, ["uttid"], n, around=around).collect()}
+        assert [got[f"s{s:03d}"] for s in range(speakers)] == ordered.balanced(counts, n)
+    with pytest.raises(ValueError):
+        ordered.speaker_chunks(df, ["uttid"], 8)
+
+
+def test_running_total(spark):
+    df = spark.createDataFrame([(i + 1, i % 7) for i in range(100)], "rn int, v int")
+    got = {r.rn: r.total for r in running_total(df, "rn", "v", "total", block=9).collect()}
+    assert got == {i + 1: sum(j % 7 for j in range(i + 1)) for i in range(100)}
+
+
+def test_noises_of_a_store(spark, tmp_path):
+    store = side_signals.write_store(spark.createDataFrame([("a", [1.0, 2.0], 8000.0), ("b", [3.0], 8000.0), ("u1", [4.0], 8000.0)], "key string, x array<double>, rate double"), str(tmp_path / "store"))
+    utts = spark.createDataFrame([(f"u{i}",) for i in range(60)], "uttid string")
+    sources = side_signals.assigned(utts, store, 1)
+    got = {r.uttid: r.source for r in sources.collect()}
+    assert got["u1"] == "u1" and set(got.values()) == {"a", "b", "u1"} and len(got) == 60
+    assert got == {r.uttid: r.source for r in side_signals.assigned(utts.repartition(3), store, 1).collect()}
+    assert got != {r.uttid: r.source for r in side_signals.assigned(utts, store, 2).collect()}
+    held = {r.key: list(r.x) for r in store.collect()}
+    side_signals.PER_COPY, old = 7, side_signals.PER_COPY  # so that a noise has several copies
+    try:
+        for limit in (0, 1000):
+            assert {r.uttid: list(r.noise) for r in side_signals.with_side_signal(utts, store, sources, broadcast_numbers=limit).collect()} == {u: held[s] for u, s in got.items()}
+    finally:
+        side_signals.PER_COPY = old
+    assert {r.source for r in side_signals.assigned(utts, store.limit(0), 1).collect()} == {None}
+    (tmp_path / "n.wav").write_bytes(sound_format.wave_bytes(np.array([[5, 6], [7, 8]]), 8000))
+    files = spark.createDataFrame([("n", str(tmp_path / "n.wav"))], "key string, path string")
+    assert [(r.key, r.x, r.rate) for r in side_signals.listed_store(spark, files, str(tmp_path / "*.wav")).collect()] == [("n", [5.0, 7.0], 8000.0)]
+    with pytest.raises(Exception, match="not there"):
+        side_signals.listed_store(spark, files.withColumn("path", F.lit("/nowhere.wav")), str(tmp_path / "*.wav")).collect()
+
+
+def test_rules_of_files_and_directories(spark, tmp_path):
+    for name, raw in {"good": b"a b\nc\n", "cut": b"a\nb", "broken": b"a\xe9 b\nc\xc2\xa0\n", "spaced": "a b\nc\rd\ne\n".encode(), "empty": b"", "both": b"\xff"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {(r.rule, r.key.rsplit("/", 1)[1], r.detail) for r in quality.file_faults(spark, str(tmp_path)).collect()}
+    assert got == {("file: no final newline", "cut", "1"), ("file: no final newline", "both", "1"), ("file: not UTF-8", "broken", "1"), ("file: not UTF-8", "both", "1"), ("file: illegal white space", "spaced", "2")}
+    kv = lambda rows: spark.createDataFrame(rows, "key string, value string")
+    ids = spark.createDataFrame([("a", "s"), ("b", "s"), ("b", "r")], "uttid string, speaker string")
+    # without ord the first row is the least one, however the rows are spread
+    for parts in (1, 5):
+        assert sorted(map(tuple, quality.fixed(DataDir(ids.repartition(parts))).utt2spk.collect())) == [("a", "s"), ("b", "r")]
+    shifted = DataDir(ids, {"feats": kv([("a", "x")])}, frame_shift=0.01)
+    assert tables.combined([shifted, shifted, DataDir(ids)]).frame_shift == 0.01
+    with pytest.raises(ValueError, match="frame shifts"):
+        tables.combined([shifted, shifted.replace(frame_shift=0.02)])
+    assert one(spark, text.evaluation_line(F.lit("(%HESITATION) Yes no"))) == "yes no"
+    assert one(spark, text.evaluation_line(F.lit("<B_ASIDE> Yes (no)"))) == "yes no"
+    assert one(spark, text.evaluation_line(F.lit("<X> a (%uh) b (%ah)"))) == "a"
+    lines = spark.createDataFrame([("YES Y EH S",)], "value string")
+    letters = spark.createDataFrame([("W D AH B AX L Y UW",)], "value string")
+    got = {tuple(r) for r in corpora.lexicon(lines, letters=letters).collect()}
+    assert got == {("yes", "y eh s"), ("w.", "d ah b ax l y uw"), ("i", "ay"), ("!sil", "sil"), ("<noise>", "nsn"), ("<unk>", "spn")}
