@@ -64,18 +64,19 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row as often as drawn, with rate, copies, copy (from 1) and shuffle_key, in the global order of shuffle_key.
 
-    These four replace columns of docs that have their names. Null source: a source of its own. Null doc_id: drawn as the text 'null'. Rows with equal doc_id draw the same number.
+    These four replace columns of docs that have their names, in capitals or not. Null source: a source of its own. Null doc_id: drawn as the text 'null'. Rows with equal doc_id draw the same number.
     Empty or very long texts are rows like any other. An empty table gives an empty result.
     """
     taken = {"rate", "copies", "copy", "shuffle_key"}
-    names = [c for c in docs.columns if c not in taken]
+    names = [c for c in docs.columns if c.lower() not in taken]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    r = rates(docs, weights, alpha, source_col)
+    of_source, rate = free_name(docs, "mix_source"), free_name(docs, "mix_rate")
+    r = rates(docs, weights, alpha, source_col).toDF(of_source, rate)
     r = F.broadcast(r) if r.count() <= MAX_BROADCAST else r
-    drawn = docs.select(*names).join(r, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("copies", drawn_count(F.col("mix_rate"), F.lit(seed), key))
+    drawn = docs.select(*names).join(r, F.col(source_col).eqNullSafe(F.col(of_source))).withColumn("copies", drawn_count(F.col(rate), F.lit(seed), key))
     copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string"))))
-    return shuffled.select(*names, F.col("mix_rate").alias("rate"), "copies", "copy", "shuffle_key").orderBy("shuffle_key")
+    return shuffled.select(*names, F.col(rate).alias("rate"), "copies", "copy", "shuffle_key").orderBy("shuffle_key")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:

@@ -62,3 +62,11 @@ def test_columns_of_any_name_stay(spark):
     assert got.columns == df.columns
     times = {r.doc_id: r.copies for r in poisson_mix.replicate(df).select("doc_id", "copies").collect()}
     assert sorted(map(tuple, got.collect())) == sorted(r for r in rows for _ in range(times.get(r[0], 0)))
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", 1, 2, 3, "k") for i in range(60)], "doc_id long, source string, mix_source int, Copies int, MIX_RATE int, n string")
+    got = poisson_mix.replicate(df)
+    assert got.columns == ["doc_id", "source", "mix_source", "MIX_RATE", "n", "rate", "copies", "copy", "shuffle_key"]
+    plain = poisson_mix.replicate(df.select("doc_id", "source"))
+    assert [(r.doc_id, r.copies, r.copy, r.mix_source, r.MIX_RATE) for r in got.collect()] == [(r.doc_id, r.copies, r.copy, 1, 3) for r in plain.collect()]
