@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The regression is trained with FTRL-proximal and elastic-net penalties and calibrated by a temperature. Document
-frequencies come from all training rows. The regression itself is fitted on a bounded sample, drawn by a hash of doc_id:
-FIT_ROWS rows expected, and of each language LANGUAGE_ROWS or all it has, so that a rare one is learned as well.
+frequencies come from all training rows. The regression itself is fitted on a bounded sample of the different rows, drawn by a hash of doc_id and
+text: FIT_ROWS rows expected, and of each language LANGUAGE_ROWS or all it has, so that a rare one is learned as well. Rows that
+are equal count as one, so that neither many copies nor many rows with one id or none make the sample larger or empty.
 Predictions read nothing but the text.
 """
 
@@ -61,14 +62,14 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, lang, index, count) of the fitting sample."""
+    """(row_hash, lang, index, count) of the fitting sample."""
     for b in batches:
         ids, langs, idx, val = [], [], [], []
         for d, t, lang in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
             if (c := ngram_counts(t)) is not None:
                 nz = np.flatnonzero(c)
                 ids.append(d), langs.append(lang), idx.append(nz.astype(np.int32)), val.append(c[nz].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.int32()))], ["doc_id", "lang", "idx", "val"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.int32()))], ["row_hash", "lang", "idx", "val"])
 
 
 @dataclass
@@ -137,7 +138,7 @@ def _temperature(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS, language_rows: int = LANGUAGE_ROWS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
-    """Learns from text and non-null lang of the rows whose crc32(doc_id) mod 3 is not 1. No such row: a model that says `und`."""
+    """Learns from text and non-null lang of the rows whose crc32(doc_id) mod 3 is not 1; rows without doc_id are learned from. No such row: a model that says `und`."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where((F.coalesce(fold(F.col("doc_id"), 3), F.lit(0)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     stats = {r.bucket: r.n for r in rows.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
@@ -145,11 +146,14 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, language_rows: int = LANGUA
     df = np.zeros(BUCKETS)
     df[list(stats)] = list(stats.values())
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    shares = rows.groupBy(F.col("lang").alias("fit_lang")).agg(F.greatest(F.lit(fit_rows / max(1, n)), language_rows / F.count("*")).alias("share"))
-    drawn = rows.join(shares, F.col("lang") == F.col("fit_lang")).where(draw < F.col("share")).select("doc_id", "text", "lang")
-    sample = drawn.mapInArrow(_sparse, "doc_id long, lang string, idx array<int>, val array<int>").toArrow().to_pylist()
-    sample.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["idx"], r["val"]))
+    keyed = rows.withColumn("row_hash", F.xxhash64(F.lit("langid"), "doc_id", "text"))
+    # different rows by language, to a few per cent; counted, not drawn, so that the expected number holds whatever repeats
+    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.approx_count_distinct("row_hash", 0.02).alias("n")).collect()}  # a row a language
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, max(fit_rows / max(1, sum(sizes.values())), language_rows / m))) for lang, m in sizes.items()], "fit_lang string, share double")
+    drawn = keyed.join(F.broadcast(shares), F.col("lang") == F.col("fit_lang")).where(F.pmod("row_hash", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    drawn = drawn.groupBy("row_hash", "lang").agg(F.first("text").alias("text"))
+    sample = drawn.select("row_hash", "text", "lang").mapInArrow(_sparse, "row_hash long, lang string, idx array<int>, val array<int>").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["row_hash"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r["lang"], r["idx"], r["val"]))
     model = Model(sorted({r["lang"] for r in sample}), idf, np.zeros((BUCKETS + 1, 0)))
     at = {lang: i for i, lang in enumerate(model.languages)}
     data = [(at[r["lang"]], np.array(r["idx"], np.int64), np.array(r["val"], float)) for r in sample]
@@ -161,11 +165,6 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, language_rows: int = LANGUA
     return model
 
 
-def hash_order(doc_id: int | None) -> int:
-    """A fixed order of the sample that does not follow doc_id."""
-    return ((doc_id or 0) * 0x9E3779B97F4A7C15 >> 17) & 0xFFFFFFFF
-
-
 def predict(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the columns lang_pred and score, in place of what has these names. lang_pred is `und`, score 0, if text is null or has no letter."""
     small_batches(docs.sparkSession)

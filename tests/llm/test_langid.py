@@ -95,3 +95,30 @@ def test_training_against_loops():
         return out
 
     assert langid._temperature(model, rows) == pytest.approx(min(np.geomspace(0.05, 5.0, 60), key=loss))
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: 14], ids=["null", "one id", "another id"])
+def test_rows_without_an_id_of_their_own(spark, ids):
+    """All ids null, or one: both languages are learned, and the sample stays within its bound."""
+    rows = [(ids(i), f"the cat number {i} and the dog", "en") for i in range(3000)] + [(ids(i), f"der hund nummer {i} und die katze", "de") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes, fitted = [], langid._ftrl
+
+    def counted(model, data, *rest):
+        sizes.append(len(data))
+        fitted(model, data, *rest)
+
+    langid._ftrl = counted
+    try:
+        model = langid.train(df, fit_rows=300, language_rows=50)
+    finally:
+        langid._ftrl = fitted
+    assert model.languages == ["de", "en"] and 150 < sizes[0] < 500
+    assert model.predict(b"die katze und der hund")[0] == "de" and model.predict(b"the dog and the cat")[0] == "en"
+
+
+def test_many_copies_count_once(spark):
+    rows = [(1, "the cat and the dog", "en")] * 2000 + [(2, "der hund und die katze", "de")] + [(3 + i, f"le chat numero {i} et le chien", "fr") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id % 3 >= 0")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert langid.train(df, fit_rows=20, language_rows=5).languages == sorted(learned)
