@@ -4,11 +4,12 @@ Each page's element subtrees are hashed, and so is the slot each stands in: its
 its like. Spark counts, for every host, in how many different pages a slot shows the same subtree. A slot is template where
 at least half of what it shows recurs: menus, adverts from a pool, footers, notices. A paragraph that many articles share
 stands now here, now there, among paragraphs that do not recur, so it is text. Pages with the same article count once, since
-a host may show one article at many addresses.
+a host may show one article at many addresses: the named article, or else the largest block of the page, tells pages apart.
 
-On hosts of ENOUGH_PAGES different pages the counts decide what is template. What cannot recur is known by its marks there:
-elements of navigation and forms, hidden parts, reader comments; and outside a named article boxes that are mostly links go.
-On smaller hosts, where little can recur, class names and the named article decide besides.
+The same rules hold on hosts of any size. What says by its tag, role or class that it is a menu, an advert, a form or comments goes. Where a
+page names its article, the text is the article's, and of what is in it only boxes of links go by the counts. Elsewhere
+subtrees that recur go, and boxes that do not in the slots of those that do (an advert that was drawn once); what has half
+of the page's text never goes by the counts.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from .common import packed, small_batches, texts_of, unpacked, written
 
 MIN_PAGES = 4  # a template slot shows recurring subtrees on so many pages of its host at least, and a subtree that goes for itself is on so many
 MIN_SHARE = 0.5  # of what a template slot shows recurs
-ENOUGH_PAGES = 100  # different pages of a host whose counts decide
-MAX_BROADCAST = 20_000  # hosts; with more, their numbers of pages are joined by a shuffle
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -40,12 +39,10 @@ _BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".spl
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _WORDS = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
-#: Class and id words of what a page has besides its main text, on hosts that are too small to count.
+#: Class and id words of what a page has besides its main text.
 _NAMES = re.compile(_WORDS % "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|replies|disqus|respond|related|widget|login|signup|search|skip|pagination|pager", re.I)
 #: Of these, what may stand in an article without being of it.
 _IN_ARTICLE = re.compile(_WORDS % "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|comments?|replies|disqus|respond|newsletter|share|sharing|related|sidebar", re.I)
-#: Of these, what does not recur, on a host of any size.
-_COMMENTS = re.compile(_WORDS % "comments?|comment-list|replies|disqus|respond", re.I)
 _CLOSED_BY = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 _BOXES = frozenset("div section ul ol dl table figure center".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
@@ -149,20 +146,37 @@ def _may_be_template(n: Node) -> bool:
     return n.size > 0 and not n.holds and n.tag not in _INLINE
 
 
+def _mostly_links(n: Node) -> bool:
+    return n.tag in _BOXES and n.size > 0 and 2 * n.links >= n.size
+
+
+def _content(root: Node) -> int:
+    """What tells a page without a named article from others: the hash of its largest block, by text outside links, from the outside in."""
+    n = root
+    while True:
+        below = [p for p in n.parts if isinstance(p, Node) and p.size > p.links and p.tag not in _INLINE and not _marked(p)]
+        if not below:
+            return n.hash
+        n = max(below, key=lambda p: p.size - p.links)
+
+
 def subtrees(page: str) -> tuple[int, list[tuple[int, int]]]:
-    """(hash of the articles, or of the page without any; slot and hash of the subtrees that may be template)."""
+    """(hash of the articles, or of the largest block; slot and hash of the subtrees that may be template)."""
     root = parse(page)
     articles = _articles(root)
     measure(root, articles)
-    own = {id(a) for a in articles}
-    found, todo = [], [root]
+    found, todo = [], list(articles) or [root]
     while todo:
         n = todo.pop()
-        if n.tag not in ("", "html", "body") and id(n) not in own and _may_be_template(n):
-            found.append((n.slot, n.hash))
-        # what is marked goes anyhow, but for headers, which may be an article's
-        todo.extend(p for p in n.parts if isinstance(p, Node) and (p.tag == "header" or p.holds or not _marked(p)))
-    return xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles or [root])), found
+        for p in n.parts:
+            if isinstance(p, Node):
+                if _may_be_template(p) and (_mostly_links(p) or not articles and p.tag not in ("html", "body")):
+                    found.append((p.slot, p.hash))
+                # what is marked goes anyhow, but for headers, which may be an article's
+                if p.tag == "header" or p.holds or not _marked(p):
+                    todo.append(p)
+    content = xxhash.xxh64_intdigest(b"".join(a.hash.to_bytes(8, "little") for a in articles)) if articles else _content(root)
+    return content, found
 
 
 def _attributes(n: Node) -> dict[str, str]:
@@ -203,16 +217,33 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def main_text(page: str, recurring: set[int] | frozenset[int] = frozenset(), rotating: set[int] | frozenset[int] = frozenset(), counted: bool = False) -> str:
+def main_text(page: str, recurring: set[int] | frozenset[int] = frozenset(), rotating: set[int] | frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, joined by an empty line.
 
     recurring: template slots whose subtree here recurs on the host. rotating: template slots with one that does not.
-    counted: the host has enough pages for these to decide.
     """
     root = parse(page)
     articles = _articles(root)
     measure(root, articles)
-    own = {id(a) for a in articles}
+    text = _blocks(root, articles, recurring, rotating)
+    # a page of which all recurs is rather text than nothing
+    return text or (_blocks(root, articles, frozenset(), frozenset()) if recurring or rotating else text)
+
+
+def _unmarked(root: Node) -> int:
+    """Characters of a page's text outside what is marked."""
+    size, todo = 0, [root]
+    while todo:
+        for p in todo.pop().parts:
+            if not isinstance(p, Node):
+                size += len(_SPACE.sub(" ", p).strip())
+            elif not _marked(p):
+                todo.append(p)
+    return size
+
+
+def _blocks(root: Node, articles: list[Node], recurring: set[int] | frozenset[int], rotating: set[int] | frozenset[int]) -> str:
+    own, whole = {id(a) for a in articles}, _unmarked(root) if recurring or rotating else 0
     blocks: list[str] = []
     inline: list[str] = []
 
@@ -223,19 +254,12 @@ def main_text(page: str, recurring: set[int] | frozenset[int] = frozenset(), rot
             blocks.append(text)
 
     def goes(n: Node, inside: bool) -> bool:
-        mostly_links = n.tag in _BOXES and n.size > 0 and 2 * n.links >= n.size
-        if _may_be_template(n):
-            if n.slot in recurring and (counted or not inside or mostly_links) or n.slot in rotating and counted and n.tag in _BOXES:
-                return True
-            if counted and articles and not inside and mostly_links:
+        if _may_be_template(n) and (_mostly_links(n) or not inside and 2 * n.size <= whole):
+            if n.slot in recurring or not inside and n.slot in rotating and n.tag in _BOXES:
                 return True
         if n.holds or n.tag == "header" and inside:
             return False
-        if _marked(n):
-            return True
-        if inside:
-            return n.tag in _BOXES and _named(n, _COMMENTS if counted else _IN_ARTICLE, root.size)
-        return _named(n, _COMMENTS if counted else _NAMES, root.size)
+        return _marked(n) or (not inside or n.tag in _BOXES) and _named(n, _IN_ARTICLE if inside else _NAMES, root.size)
 
     todo: list = [(p, False) for p in reversed(root.parts)]
     while todo:
@@ -244,7 +268,7 @@ def main_text(page: str, recurring: set[int] | frozenset[int] = frozenset(), rot
             flush()
             continue
         if not isinstance(p, Node):
-            if inside or counted or not articles:
+            if inside or not articles:
                 inline.append(html.unescape(p))
             continue
         if p.tag in _BLOCKS:
@@ -277,23 +301,19 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_signed(c) for c, _ in rows], pa.int64()), pa.array(slots, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], ["page_key", "host", "content", "slots", "hashes"])
 
 
-def templates(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
-    """(page_key, recurring, rotating, counted): for each page of a counted host, and each that has any, its template slots. keyed: page_key, host, html."""
+def templates(keyed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(page_key, recurring, rotating): the template slots of each page that has any. keyed: page_key, host, html."""
     trees = written(keyed.select("page_key", "host", "html").mapInArrow(_subtrees, "page_key long, host string, content long, slots array<long>, hashes array<long>"), "subtrees")
-    pages = trees.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
     each = trees.select("page_key", "host", "content", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).select("page_key", "host", "content", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("hash"))
     different = each.groupBy("host", "slot", "hash", "content").agg(F.lit(1))
     shown = written(different.groupBy("host", "slot", "hash", F.xxhash64("host", "slot", "hash")).agg(F.count("*").alias("n")).select("host", "slot", "hash", "n"), "shown")
     again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
     slots = shown.groupBy("host", "slot").agg(again.alias("again"), F.sum("n").alias("all")).where((F.col("again") >= min_pages) & (F.col("again") >= min_share * F.col("all"))).select("host", "slot")
     judged = shown.join(slots, ["host", "slot"]).select("host", "slot", "hash", (F.col("n") >= min_pages).alias("recurs"))
-    of_page = each.select("page_key", "host", "slot", "hash").join(judged, ["host", "slot", "hash"]).groupBy("page_key").agg(F.collect_set(F.when(F.col("recurs"), F.col("slot"))).alias("recurring"), F.collect_set(F.when(~F.col("recurs"), F.col("slot"))).alias("rotating"))
-    large = pages.where(F.col("pages") >= enough_pages).select("host", F.lit(True).alias("counted"))
-    hosts = trees.select("page_key", "host").distinct().join(F.broadcast(large) if large.count() <= MAX_BROADCAST else large, "host", "left")
-    return hosts.join(of_page, "page_key", "left").select("page_key", "recurring", "rotating", F.coalesce("counted", F.lit(False)).alias("counted")).where("counted or recurring is not null")
+    return each.select("page_key", "host", "slot", "hash").join(judged, ["host", "slot", "hash"]).groupBy("page_key").agg(F.collect_set(F.when(F.col("recurs"), F.col("slot"))).alias("recurring"), F.collect_set(F.when(~F.col("recurs"), F.col("slot"))).alias("rotating"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of each row, from the whole html.
 
     Null or empty html: an empty text. Null url: all such pages are one site. Repeated rows count as pages of their host and each get their text.
@@ -301,14 +321,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """
     small_batches(pages.sparkSession, 200)
     rows = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page_key"), host(F.col("url")).alias("host"))
-    found = templates(rows, min_pages, min_share, enough_pages)
+    found = templates(rows, min_pages, min_share)
     # repeated rows share a key and so their subtrees
-    joined = packed(rows.select("page_id", "url", "html", "page_key"), "html").join(found, "page_key", "left").select("page_id", "url", "html", "recurring", "rotating", "counted")
+    joined = packed(rows.select("page_id", "url", "html", "page_key"), "html").join(found, "page_key", "left").select("page_id", "url", "html", "recurring", "rotating")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = ({h & (1 << 64) - 1 for h in x or ()} for x in b.column(3).to_pylist()), ({h & (1 << 64) - 1 for h in x or ()} for x in b.column(4).to_pylist())
-            text = [main_text((t or b"").decode("utf-8", "replace"), *slots) for t, *slots in zip(unpacked(b.column(2)), *known, map(bool, b.column(5).to_pylist()), strict=True)]
+            text = [main_text((t or b"").decode("utf-8", "replace"), *slots) for t, *slots in zip(unpacked(b.column(2)), *known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -96,3 +96,57 @@ def test_counts_alone_find_the_text_of_pages_without_marks(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://a.example", "<p>x</p>", "t", 1, "h", 2)], "page_id long, url string, html string, recurring string, page_key int, host string, slots int")
     assert [tuple(r) for r in html_main.extract(df).collect()] == [(1, "http://a.example", "x", 1)]
+
+
+def texts(spark, pages, url="http://one.example/"):
+    df = spark.createDataFrame([(i, url, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_main.extract(df).collect()}
+
+
+def sentence(i, n=12):
+    return " ".join(f"w{(i * 7919 + k * 104_729) % 9973}" for k in range(n)) + "."
+
+
+@pytest.mark.parametrize("articles", [4, 30])
+@pytest.mark.parametrize("mark", ["<div class=body>", "<div>", "<section id=story>"])
+def test_mirrored_articles_stay(spark, articles, mark):
+    """Each article at five addresses with an advert of its own: on no host is the article template."""
+    close = f"</{mark[1:].split()[0].rstrip('>')}>"
+    pages = [f"<body><div>All sections</div><div>ad {i}</div>{mark}<p>{sentence(i % articles)}</p><p>{sentence(1000 + i % articles)}</p>{close}</body>" for i in range(5 * articles)]
+    got = texts(spark, pages)
+    for i in range(len(pages)):
+        assert f"{sentence(i % articles)}\n\n{sentence(1000 + i % articles)}" in got[i]
+        assert "All sections" not in got[i]
+
+
+@pytest.mark.parametrize("pages", [30, 99, 100, 1000])
+def test_an_article_keeps_what_recurs_in_it(spark, pages):
+    """An answer that is mostly pending, a sentence that most pages have: text of the article, on hosts of any size. Adverts and sidebars go by their class, boxes of links by the counts."""
+
+    def page(i):
+        answer = f"Answer {i}" if i % 3 == 0 else "pending"
+        warning = "<p>No warnings are in force today.</p>" if i % 4 else ""
+        return f"<div class=sidebar>Side {i}</div><article><h1>Q {i}</h1><div>{answer}</div>{warning}<div class=advert>Buy {i}</div><ul><li><a href=a>Next</a></li></ul></article><div>Below {i}</div>"
+
+    got = texts(spark, [page(i) for i in range(pages)])
+    for i in range(pages):
+        want = [f"Q {i}", f"Answer {i}" if i % 3 == 0 else "pending", *(["No warnings are in force today."] if i % 4 else [])]
+        assert got[i] == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("pages", [30, 99, 100, 1000])
+def test_marks_hold_on_hosts_of_any_size(spark, pages):
+    got = texts(spark, [f"<div class='top-banner'>Banner {i}</div><div><p>{sentence(i)}</p></div><div class=sidebar>Side {i}</div><div class=comments>I say {i}</div><div>Imprint</div>" for i in range(pages)])
+    assert all(got[i] == sentence(i) for i in range(pages))
+
+
+def test_a_page_that_recurs_as_a_whole_stays(spark):
+    got = texts(spark, ["<div>Nothing here</div>"] * 50 + [f"<div>Nothing here</div><p>{sentence(i)}</p>" for i in range(50)])
+    assert all(got[i] == "Nothing here" for i in range(50)) and all(sentence(i) in got[50 + i] for i in range(50))
+
+
+def test_layouts_that_differ(spark):
+    """The first box is a menu on most pages and the article on one: it is too large to be an advert drawn once."""
+    pages = [f"<div>Menu of the site</div><div><p>{sentence(i)}</p></div>" for i in range(20)] + [f"<div><p>{sentence(99)}</p><p>{sentence(98)}</p></div>"]
+    got = texts(spark, pages)
+    assert got[20] == f"{sentence(99)}\n\n{sentence(98)}" and got[3] == sentence(3)
