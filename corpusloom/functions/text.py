@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -170,9 +171,32 @@ def acronym_entry(word: Column, phones: Column, letters: Column) -> Column:
     return F.when(fits, F.concat(F.array_join(F.split(F.lower(base), ""), "._"), F.lit("."), tail))
 
 
-def token_ids(text: Column, ids: Column, unknown: Column) -> Column:
+@dataclass(frozen=True)
+class Vocabulary:
+    """A map as an array of small maps by the hash of their keys: a map column is searched from its first entry on, so that a large one costs its length for each token."""
+
+    column: Column
+    buckets: int
+
+    @staticmethod
+    def row(inventory: DataFrame, key: str, value: str, buckets: int, name: str = "m") -> DataFrame:
+        """A bounded inventory as one row with the array that Vocabulary(name, buckets) reads."""
+        place = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+        maps = inventory.groupBy(place.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+        held = maps.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("held"))
+        return held.select(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.try_element_at("held", b)).alias(name))
+
+
+def entry(mapping: Column | Vocabulary, key: Column) -> Column:
+    """What a map has for a key; null if it lacks it."""
+    if isinstance(mapping, Vocabulary):
+        mapping = F.get(mapping.column, F.pmod(F.xxhash64(key), F.lit(mapping.buckets)).cast("int"))
+    return F.try_element_at(mapping, key)
+
+
+def token_ids(text: Column, ids: Column | Vocabulary, unknown: Column) -> Column:
     """The ids of a text's fields in a map of tokens; unknown for those that are not in it."""
-    return F.transform(fields(text), lambda w: F.coalesce(F.try_element_at(ids, w), unknown))
+    return F.transform(fields(text), lambda w: F.coalesce(entry(ids, w), unknown))
 
 
 def id_tokens(numbers: Column, tokens: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fields, mapped_tokens, squeezed
+from ..functions.text import Vocabulary, entry, fields, mapped_tokens, squeezed
 from ..schema import RECORDING_TABLES, SPEAKER_TABLES, UTTERANCE_TABLES, DataDir
 
 
@@ -50,20 +50,20 @@ def looked_up(df: DataFrame, mapping: DataFrame, column: str, key: str, value: s
     return df.join(m, df[column] == m["_key"], "left").withColumn(column, found).drop("_key", "_value")
 
 
-def apply_map(text: Column, mapping: Column, first: int = 1, last: int | None = None, permissive: bool = False) -> Column:
+def apply_map(text: Column, mapping: Column | Vocabulary, first: int = 1, last: int | None = None, permissive: bool = False) -> Column:
     """The fields first..last of a line, each replaced by what a map column holds (which may be several words)."""
     def rule(w: Column) -> Column:
         missing = w if permissive else F.raise_error(F.concat(F.lit("undefined key "), w)).cast("string")
-        return F.when(F.map_contains_key(mapping, w), F.element_at(mapping, w)).otherwise(missing)
+        return F.coalesce(entry(mapping, w), missing)
 
     return mapped_tokens(text, rule, first, last)
 
 
-def symbols_to_integers(text: Column, symbols: Column, unknown: str | None = None, first: int = 1, last: int | None = None) -> Column:
+def symbols_to_integers(text: Column, symbols: Column | Vocabulary, unknown: str | None = None, first: int = 1, last: int | None = None) -> Column:
     """Fields as the integers of a symbol map; unknown names the symbol that stands for those without one (else an error)."""
     def rule(w: Column) -> Column:
-        missing = F.element_at(symbols, F.lit(unknown)).cast("string") if unknown is not None else F.raise_error(F.concat(F.lit("undefined symbol "), w)).cast("string")
-        return F.when(F.map_contains_key(symbols, w), F.element_at(symbols, w).cast("string")).otherwise(missing)
+        missing = entry(symbols, F.lit(unknown)).cast("string") if unknown is not None else F.raise_error(F.concat(F.lit("undefined symbol "), w)).cast("string")
+        return F.coalesce(entry(symbols, w).cast("string"), missing)
 
     return mapped_tokens(text, rule, first, last)
 

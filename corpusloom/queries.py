@@ -95,16 +95,19 @@ def apply_map_lookup(spark, sf):
 INVENTORY_SQL = f"words AS (SELECT unnest({WORDS}) AS token FROM documents), counted AS (SELECT token, count(*) AS n FROM words GROUP BY token), inv AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rn FROM counted), tok AS (SELECT token, rn + 1 AS id FROM inv WHERE rn <= 500)"
 
 
+BUCKETS = 512
+
+
 def _vocabulary(spark, sf):
-    """The 500 most frequent words as one row with a map."""
+    """The 500 most frequent words as one row, by the hash of the word."""
     inv = text.token_inventory(table(spark, sf, "documents"), size=500).where("id > 1 and token <> '<sos/eos>'")
-    return inv.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m"))
+    return text.Vocabulary.row(inv, "token", "id", BUCKETS)
 
 
 @query(f"WITH {INVENTORY_SQL}, m AS (SELECT map(list(token), list(id)) AS m FROM tok) SELECT doc_id, array_to_string(list_transform({WORDS}, lambda w: coalesce(m[w], m['the'])::VARCHAR), ' ') AS ids FROM documents, m")
 def sym2int(spark, sf):
     docs = table(spark, sf, "documents").crossJoin(F.broadcast(_vocabulary(spark, sf)))
-    return docs.select("doc_id", tables.symbols_to_integers(F.col("text"), F.col("m"), unknown="the").alias("ids"))
+    return docs.select("doc_id", tables.symbols_to_integers(F.col("text"), text.Vocabulary(F.col("m"), BUCKETS), unknown="the").alias("ids"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_transform({WORDS}, lambda w, i: CASE WHEN i >= 2 AND w = 'the' THEN 'the one' WHEN i >= 2 AND w = 'of' THEN 'out of' ELSE w END), ' ') AS text FROM documents")
@@ -575,11 +578,15 @@ NEWS = [_form(f) for f in ("<_W_>", "*_W_*", "[_W_]", "[<_W_]", "[_W_>]", "[/_W_
 NEWS_TOKEN = r"""list_transform(ws, lambda w: regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\', '', 'g'), '^%percent', 'percent', 'g'), '^\.point', 'point', 'g'), '\*(.*)\*', '\1', 'g'))"""
 
 
-@query(
-    f"WITH m AS (SELECT conv_id, turn, {_marked_sql('turn', [s for _, s in NEWS], 19)} AS text FROM conversations), a AS (SELECT conv_id, turn, {WORDS} AS ws FROM m), b AS (SELECT conv_id, turn, {NEWS_TOKEN} AS ws FROM a), "
-    "c AS (SELECT conv_id, turn, list_transform(list_transform(ws, lambda w: CASE WHEN w = '!exclamation-point' THEN w ELSE replace(w, '!', '') END), lambda w: CASE WHEN w = ':colon' THEN w ELSE replace(w, ':', '') END) AS ws FROM b) "
-    r"SELECT conv_id, turn, array_to_string(list_transform(list_filter(ws, lambda w: NOT (regexp_matches(w, '^\[<\w+\]$') OR regexp_matches(w, '^\[\w+>\]$') OR regexp_matches(w, '\[\w+/\]$') OR regexp_matches(w, '\[/\w+\]$') OR w IN ('~', '.'))), lambda w: CASE WHEN regexp_matches(w, '\[\w+\]') THEN '<noise>' WHEN regexp_matches(w, '^<[\w''.]+>$') THEN regexp_replace(w, '^<([\w''.]+)>$', '\1') WHEN w = '--dash' THEN '-dash' ELSE w END), ' ') AS text FROM c"
+# words b and c of words a; the text of words c
+NEWS_WORDS = (
+    f"b AS (SELECT conv_id, turn, {NEWS_TOKEN} AS ws FROM a), "
+    "c AS (SELECT conv_id, turn, list_transform(list_transform(ws, lambda w: CASE WHEN w = '!exclamation-point' THEN w ELSE replace(w, '!', '') END), lambda w: CASE WHEN w = ':colon' THEN w ELSE replace(w, ':', '') END) AS ws FROM b)"
 )
+NEWS_TEXT = r"SELECT conv_id, turn, array_to_string(list_transform(list_filter(ws, lambda w: NOT (regexp_matches(w, '^\[<\w+\]$') OR regexp_matches(w, '^\[\w+>\]$') OR regexp_matches(w, '\[\w+/\]$') OR regexp_matches(w, '\[/\w+\]$') OR w IN ('~', '.'))), lambda w: CASE WHEN regexp_matches(w, '\[\w+\]') THEN '<noise>' WHEN regexp_matches(w, '^<[\w''.]+>$') THEN regexp_replace(w, '^<([\w''.]+)>$', '\1') WHEN w = '--dash' THEN '-dash' ELSE w END), ' ') AS text FROM c"
+
+
+@query(f"WITH m AS (SELECT conv_id, turn, {_marked_sql('turn', [s for _, s in NEWS], 19)} AS text FROM conversations), a AS (SELECT conv_id, turn, {WORDS} AS ws FROM m), {NEWS_WORDS} {NEWS_TEXT}")
 def norm_wsj(spark, sf):
     c = table(spark, sf, "conversations")
     marked = _marked(F.col("text"), F.col("turn"), [f for f, _ in NEWS], 19)
@@ -664,7 +671,7 @@ def token_inventory_char(spark, sf):
 @query(f"WITH {INVENTORY_SQL}, m AS (SELECT map(list(token), list(id)) AS m FROM tok) SELECT conv_id, turn, list_transform({WORDS}, lambda w: coalesce(m[w], 1)) AS labels FROM conversations, m")
 def tokenize_ids(spark, sf):
     c = table(spark, sf, "conversations").crossJoin(F.broadcast(_vocabulary(spark, sf)))
-    return c.select("conv_id", "turn", text.token_ids(F.col("text"), F.col("m"), F.lit(1).cast("long")).alias("labels"))
+    return c.select("conv_id", "turn", text.token_ids(F.col("text"), text.Vocabulary(F.col("m"), BUCKETS), F.lit(1).cast("long")).alias("labels"))
 
 
 @query(f"WITH w AS (SELECT DISTINCT unnest({WORDS}) AS token FROM documents) SELECT token FROM w WHERE contains(token, '&')")
@@ -672,15 +679,14 @@ def symbol_inventory(spark, sf):
     return stats.symbols(table(spark, sf, "documents")).where(F.col("token").contains("&"))
 
 
-PAIRS_SQL = "p AS (SELECT conv_id, turn, list_transform(string_split(regexp_replace(text, '[^a-z ]', '', 'g'), ''), lambda c: ascii(c)) AS a, regexp_replace(text, '[^a-z ]', '', 'g') AS s, lead(regexp_replace(text, '[^a-z ]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"
+PAIRS_SQL = "c AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ''), lambda c: chr(33 + unicode(c) % 90)), '') AS s FROM conversations), p AS (SELECT conv_id, turn, s, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c)"
 
 
 def _pairs(spark, sf):
-    """Turns and the next ones as sequences of letter ids."""
-    plain = F.regexp_replace("text", "[^a-z ]", "")
-    ids = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    c = table(spark, sf, "conversations").select("conv_id", "turn", plain.alias("s")).withColumn("n", F.lead("s").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.where("n is not null").select("conv_id", "turn", ids(F.col("s")).alias("predicted"), ids(F.col("n")).alias("labels"))
+    """Turns and the next ones, whole, as sequences of ids: of each character's number what is left over 90 (SQL compares bytes)."""
+    ids = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: 33 + F.ascii(x) % 90)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text").withColumn("n", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.where("n is not null").select("conv_id", "turn", ids(F.col("text")).alias("predicted"), ids(F.col("n")).alias("labels"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, levenshtein(s, n)::INT AS edits FROM p WHERE n IS NOT NULL")
@@ -983,6 +989,94 @@ def loader_batches(spark, sf):
     return items.select("batch", "padded", "pos", "item.uttid", F.size("item.x").cast("long").alias("n"), x.alias("x"))
 
 
+# ---- corpora as trees and indexes, registries, speeds
+
+
+@query(f"WITH {UTT_SQL} SELECT lang || '-' || doc_id AS uttid, source || '-' || lang AS speaker, array_to_string({WORDS}, ' ') AS text FROM documents WHERE len({WORDS}) > 0")
+def src_chapters(spark, sf):
+    """documents as a tree of readers and chapters, a file of lines for each chapter."""
+    d, path = table(spark, sf, "documents"), _scratch(spark, "readers")
+    line = F.concat_ws(" ", F.concat_ws("-", "lang", F.col("doc_id").cast("string")), text.squeezed(F.col("text")))
+    rows = d.where(text.squeezed(F.col("text")) != "").select("source", "lang", line.alias("value"))
+    rows.write.partitionBy("source", "lang").text(path)
+    _renamed(spark, path)
+    return corpora.chapters(spark, path)
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """Part files of source=…/lang=… as <source>-<lang>.trans.txt, one folder for each part; as many as there are chapters and tasks."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, f in enumerate(files.globStatus(hadoop.Path(f"{path}/source=*/lang=*/part-*"))):
+        at = f.getPath()
+        name = f"{at.getParent().getParent().getName().split('=')[1]}-{at.getParent().getName().split('=')[1]}"
+        to = hadoop.Path(f"{path}/readers/{i}")
+        files.mkdirs(to)
+        files.rename(at, hadoop.Path(to, f"{name}.trans.txt"))
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, {WORDS} AS ws FROM conversations), {NEWS_WORDS} SELECT '{{wsj}}c' || conv_id || '_' || turn AS uttid, text FROM ({NEWS_TEXT}) WHERE turn % 4 > 0")
+def src_news_transcripts(spark, sf):
+    """Turns as transcripts with their ids at the end, every fourth without."""
+    c = table(spark, sf, "conversations").select("turn", text.squeezed(F.col("text")).alias("text"), F.concat_ws("_", F.concat(F.lit("(c"), F.col("conv_id").cast("string")), F.concat(F.col("turn").cast("string"), F.lit(")"))).alias("id"))
+    return corpora.news_transcripts(c.select(F.concat_ws(" ", "text", F.when(F.col("turn") % 4 > 0, F.col("id"))).alias("value")))
+
+
+@query("WITH r AS (SELECT row_number() OVER (ORDER BY lang) AS combo_idx, list_sort(list_distinct(list(lang || '/' || source))) AS specs FROM documents GROUP BY lang), n AS (SELECT list_sort(list_distinct(list(lang || '/' || source))) AS specs FROM documents) SELECT combo_idx::INT AS combo_idx, array_to_string(specs, ' ') AS specs FROM r UNION ALL SELECT (SELECT max(combo_idx) + 1 FROM r)::INT, array_to_string(specs, ' ') FROM n")
+def registry_extended(spark, sf):
+    """A registry of the sources of each language, with the set of them all at its end, asked for twice, and one that it has."""
+    d = table(spark, sf, "documents").select("lang", F.concat_ws("/", "lang", "source").alias("spec")).distinct()
+    lists = d.groupBy("lang").agg(F.array_sort(F.collect_set("spec")).alias("specs")).orderBy("lang").collect()  # a row a language
+    registry = spark.createDataFrame([(i + 1, r.specs) for i, r in enumerate(lists)], "combo_idx int, specs array<string>")
+    everything = [x for r in lists for x in r.specs]
+    for specs in (everything, everything[::-1], lists[1].specs):
+        registry = tables.register(registry, specs)
+    return registry.select("combo_idx", F.array_join(F.array_sort("specs"), " ").alias("specs"))
+
+
+@query(f"WITH {UTT_SQL} SELECT uttid, 'own' AS of_archive FROM utt JOIN documents ON doc_id = ord WHERE lang IN ('en', 'fr') UNION ALL SELECT uttid, 'parts' FROM utt JOIN documents ON doc_id = ord WHERE lang IN ('de', 'es')")
+def combination_rows(spark, sf):
+    """Two combinations of splits: one that has an archive of its own, one that is read as its parts."""
+    u = utterances(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
+    path = _scratch(spark, "combined")
+    rows = u.select(F.lit("corpus").alias("dataset"), F.col("lang").alias("split"), "uttid", F.array(F.col("num_frames").cast("double")).alias("x"), F.lit(100.0).alias("rate"), F.lit("parts").alias("of_archive"))
+    own = rows.where("split IN ('en', 'fr')").withColumns({"dataset": F.lit("combine"), "split": F.lit("1"), "of_archive": F.lit("own")})
+    for part in (rows, own):
+        archives.write_archive(part, path, ["uttid"])
+    pairs = (["corpus/en", "corpus/fr"], ["corpus/de", "corpus/es"])
+    registry = spark.createDataFrame([(1, pairs[0]), (2, pairs[1])], "combo_idx int, specs array<string>")
+    got = [archives.combination(spark, path, registry, specs).select("uttid", "of_archive") for specs in pairs]
+    return got[0].unionByName(got[1])
+
+
+@query(f"""WITH {UTT_SQL}, w AS (SELECT DISTINCT archive FROM utt) SELECT 'utt2spk' AS part, 'sp0.9-' || uttid AS key, 'sp0.9-' || speaker AS value FROM utt UNION ALL SELECT 'utt2uniq', 'sp0.9-' || uttid, uttid FROM utt
+UNION ALL SELECT 'segments', 'sp0.9-' || uttid, 'sp0.9-' || archive || ' ' || round(1 / 0.9::DOUBLE, 2) || ' ' || round((2 + ord % 7) / 0.9::DOUBLE, 2) FROM utt
+UNION ALL SELECT 'wav', 'sp0.9-' || archive, CASE length(archive) % 3 WHEN 0 THEN 'cat ' || archive || ' | sox -t wav - -t wav - speed 0.9 |' WHEN 1 THEN 'wav-copy ' || archive || ':77 - | sox -t wav - -t wav - speed 0.9 |' ELSE 'sox -t wav ' || archive || ' -t wav - speed 0.9 |' END FROM w
+UNION ALL SELECT 'spk2gender', 'sp0.9-' || speaker, 'f' FROM (SELECT DISTINCT speaker FROM utt)""")
+def speed_whole_dir(spark, sf):
+    """documents as a data directory at nine tenths of its speed: ids, segments, and recordings that are files, commands or places in archives."""
+    u = utterances(spark, sf)
+    segs = u.select("uttid", F.col("archive").alias("reco"), F.lit(1.0).alias("start"), (F.col("ord") % 7 + 2).cast("double").alias("end"))
+    kind = F.length("archive") % 3
+    wav = u.select("archive").distinct().select(F.col("archive").alias("key"), F.when(kind == 0, F.concat(F.lit("cat "), "archive", F.lit(" |"))).when(kind == 1, F.concat("archive", F.lit(":77"))).otherwise(F.col("archive")).alias("value"))
+    gender = u.select(F.col("speaker").alias("key"), F.lit("f").alias("value")).distinct()
+    out = tables.speed_perturbed(DataDir(u.select("uttid", "speaker"), {"wav": wav, "spk2gender": gender}, segs), 0.9)
+    parts = {"utt2spk": out.utt2spk.toDF("key", "value"), "segments": out.segments.select(F.col("uttid").alias("key"), F.concat_ws(" ", "reco", F.col("start").cast("string"), F.col("end").cast("string")).alias("value")), **out.tables}
+    return functools.reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("part"), "key", "value") for n, t in parts.items()])
+
+
+DELTA = "(coalesce(lead({0}, 1) OVER o, last({0}) OVER a) - coalesce(lag({0}, 1) OVER o, first({0}) OVER a) + 2 * (coalesce(lead({0}, 2) OVER o, last({0}) OVER a) - coalesce(lag({0}, 2) OVER o, first({0}) OVER a))) / 10.0::DOUBLE"
+DELTA_WINDOWS = "WINDOW o AS (PARTITION BY key, i ORDER BY t), a AS (PARTITION BY key, i ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query(f"WITH {MATRIX_SQL}, d1 AS (SELECT key, nf, t, i, v, {DELTA.format('v')} AS d FROM ce {DELTA_WINDOWS}), d2 AS (SELECT key, nf, t, i, v, d, {DELTA.format('d')} AS dd FROM d1 {DELTA_WINDOWS}) SELECT key, t::INT AS t, i::INT AS i, round(v, 9) + 0.0::DOUBLE AS v FROM d2 UNION ALL SELECT key, t::INT, (i + nf)::INT, round(d, 9) + 0.0::DOUBLE FROM d2 UNION ALL SELECT key, t::INT, (i + 2 * nf)::INT, round(dd, 9) + 0.0::DOUBLE FROM d2")
+def deltas_of_matrices(spark, sf):
+    """Matrices with their deltas and the deltas of those beside them."""
+    rows = _matrices(spark, sf).select("key", F.posexplode(arrays.with_deltas(F.col("x"))).alias("t", "f")).select("key", "t", F.posexplode("f").alias("i", "v"))
+    return rows.select("key", F.col("t").cast("int").alias("t"), F.col("i").cast("int").alias("i"), (F.round("v", 9) + F.lit(0.0)).alias("v"))
+
+
 # ---- noises and rooms of a store
 
 
