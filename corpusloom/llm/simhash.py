@@ -14,8 +14,10 @@ shingles themselves.
 
 Segment values that more than a bounded number of fingerprints hold are hot, and are not joined as they are. Within two bits, each
 member of a hot value names the 65 points within one bit of its whole fingerprint: pairs meet at a point between them,
-and a point has at most 65 fingerprints. For wider balls, members are held against a few pivots of the value first; only
-where a value still has members of different groups are those compared, group against group.
+and a point has at most 65 fingerprints. For wider balls, members are held against a few pivots of the value first. Where a
+value still has members of different groups, those members meet by their rarest shingles: two sets of Jaccard 0.8 or more share one
+of the (1 - 0.8) * size + 1 shingles that are the least frequent in each, so that a passage that many texts share, which is in none of
+these, brings none of them together, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -243,10 +245,33 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     groups = components(first, "node", "other")
     rooted = hot_asked.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = written(rooted.join(mixed, "key", "left_semi"), "mixed")
-    right = left.where("same").select("key", F.col("node").alias("other"), F.col("word").alias("other_word"), F.col("root").alias("other_root"))
-    rest = _pairs(left.join(right, "key").where((F.col("root") != F.col("other_root")) & (~F.col("same") | (F.col("node") > F.col("other")))), s)
-    return components(first.unionByName(_similar(rest, rows, nodes, s)), "node", "other")
+    members = rooted.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"))
+    return components(first.unionByName(_similar(rare_pairs(members, rows), rows, nodes, s)), "node", "other")
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.fromiter(map(xxhash.xxh64_intdigest, shingles(t)), np.dtype("<u8")).view(np.int64) for t in unpacked(b.column(2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "size", "shingles"])
+
+
+def rare_pairs(members: DataFrame, rows: DataFrame, share: float = MIN_JACCARD) -> DataFrame:
+    """Distinct (node, other), the larger first, of members (node, root) of different roots that may have a Jaccard similarity of `share`.
+
+    Each member's shingles are put in order of their frequency among all members. Pairs meet at a shingle that is among the first size - share * size + 1 of both,
+    if their sizes allow the similarity and so do the shingles that are left behind the shared one.
+    """
+    texts = members.join(rows.groupBy("node").agg(F.first("z").alias("z")), "node").select("node", "root", "z")
+    held = written(texts.mapInArrow(_hashes, "node long, root long, size long, shingles array<long>"), "shingles")
+    each = held.select("node", "root", "size", F.explode("shingles").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "h").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("by"))
+    length = (F.col("size") - F.ceil(F.col("size") * share) + 1).cast("int")
+    rare = written(ranked.select("node", "root", "size", F.posexplode(F.slice("by", F.lit(1), length)).alias("at", "s")).where("s.n > 1").select("node", "root", "size", "at", F.col("s.h").alias("h")), "rare")
+    other = rare.toDF("other", "other_root", "other_size", "other_at", "h")
+    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    fits = (F.least("size", "other_size") >= share * F.greatest("size", "other_size")) & (left * (1 + share) >= share * (F.col("size") + F.col("other_size")))
+    return rare.join(other, "h").where((F.col("node") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits).select("node", "other").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int | None = None) -> DataFrame:

@@ -83,3 +83,47 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, "k"), (2, "a b c d e f", 8, "l")], "doc_id long, text string, text_hash long, node string")
     got = simhash.keep_one(df)
     assert got.columns == df.columns and list(map(tuple, got.collect())) == [(1, "a b c d e f", 7, "k")]
+
+
+def test_a_common_passage_brings_no_pairs(spark):
+    """Texts that share 300 of 430 words are no duplicates: what they are compared with grows with their number, not its square. Among them all true pairs are found."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(300)]
+    counts = {}
+    for n in (150, 300):
+        rows = []
+        for d in range(n):
+            own = [f"d{d}w{i}" for i in range(130)]
+            rows.append((d, " ".join(own[:60] + common + own[60:])))
+            if d % 10 == 0:
+                words = rows[-1][1].split()
+                for i in rng.sample(range(430), 4):
+                    words[i] = f"edit{d}x{i}"
+                rows.append((10_000 + d, " ".join(words)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        near_rows = df.selectExpr("doc_id", "text", "doc_id AS k").mapInArrow(simhash._near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long").cache()
+        members = near_rows.selectExpr("node", "node AS root")
+        pairs = simhash.rare_pairs(members, near_rows).collect()
+        doc = {r.node: r.doc_id for r in near_rows.collect()}
+        found = {tuple(sorted((doc[r.node], doc[r.other]))) for r in pairs}
+        want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if a + 10_000 == b and near(x, y)}
+        assert want and want <= found
+        counts[n] = len(found)
+    assert counts[300] <= 2.5 * counts[150] and counts[300] < 300
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    """Of sets of every size and similarity, all pairs at 0.8 or more meet."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(25):
+        base = [f"g{g % 5}w{i}" for i in range(rng.choice([1, 3, 5, 6, 8, 20, 80]))]
+        for c in range(4):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words.insert(rng.randrange(len(words) + 1), f"x{g}c{c}")
+            rows.append((len(rows), " ".join(words)))
+    near_rows = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "doc_id AS k").mapInArrow(simhash._near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long").cache()
+    text = {r.node: rows[r.doc_id][1] for r in near_rows.collect()}
+    got = {frozenset((r.node, r.other)) for r in simhash.rare_pairs(near_rows.select("node").distinct().selectExpr("node", "node AS root"), near_rows).collect()}
+    assert {frozenset((a, b)) for a, b in itertools.combinations(text, 2) if near(text[a], text[b])} <= got
