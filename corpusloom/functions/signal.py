@@ -179,6 +179,35 @@ def time_warp(x: np.ndarray, uttid: str, window: int = 80) -> np.ndarray:
     return np.concatenate([cubic_rows(x[:centre], moved), cubic_rows(x[centre:], n - moved)]).astype(np.float32)
 
 
+def spline_warp(x: np.ndarray, uttid: str, window: int = 80) -> np.ndarray:
+    """The middle of a frame moved in time by less than window, and all else with it by a polyharmonic spline of order two that leaves corners and middles of both ends in their places.
+
+    The spline gives every place of the matrix its shift; its value is that between the two nearest frames where it came from. Unchanged if there are 2 * window frames or fewer.
+    """
+    x = np.asarray(x, np.float64)
+    n, d = x.shape
+    if n - window <= window:
+        return x.astype(np.float32)
+    rng = random_of("spline_warp", uttid)
+    at, by = int(rng.integers(window, n - window)), int(rng.integers(1 - window, window))
+    held = [(t, f) for t in (0.0, n - 1.0) for f in sorted({0.0, (d - 1) / 2, d - 1.0})]
+    points = np.array([(at + by, (d - 1) / 2), *held])
+
+    def bend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        square = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        return 0.5 * square * np.log(np.maximum(square, 1e-10))
+
+    plane = np.column_stack([points, np.ones(len(points))])
+    system = np.block([[bend(points, points), plane], [plane.T, np.zeros((3, 3))]])
+    weights = np.linalg.lstsq(system, np.concatenate([[by], np.zeros(len(system) - 1)]), rcond=None)[0]
+    grid = np.stack(np.meshgrid(np.arange(float(n)), np.arange(float(d)), indexing="ij"), axis=2).reshape(-1, 2)
+    shift = (np.column_stack([bend(grid, points), grid, np.ones(len(grid))]) @ weights).reshape(n, d)
+    came = np.clip(np.arange(n)[:, None] - shift, 0, n - 1)
+    low = np.minimum(came.astype(int), n - 2)
+    column = np.arange(d)
+    return (x[low, column] + (came - low) * (x[low + 1, column] - x[low, column])).astype(np.float32)
+
+
 def resample(x: np.ndarray, rate: float, target: float, zeros: int = 32) -> np.ndarray:
     """A signal at another rate by windowed-sinc interpolation."""
     if rate == target or not len(x):

@@ -118,10 +118,11 @@ class TimeWarp(Transform):
     mode: str = "PIL"
 
     def apply(self, df, row):
-        if self.mode != "PIL":
-            raise NotImplementedError("the spline mode is not there")
-        w = self.max_time_warp
-        return signal.applied(df, "x", lambda m, k: signal.time_warp(m, k, w), "array<array<float>>", row.key())
+        kernels = {"PIL": signal.time_warp, "sparse_image_warp": signal.spline_warp}
+        if self.mode not in kernels:
+            raise ValueError(f"{self.mode} is none of {', '.join(kernels)}")
+        w, kernel = self.max_time_warp, kernels[self.mode]
+        return signal.applied(df, "x", lambda m, k: kernel(m, k, w), "array<array<float>>", row.key())
 
 
 @dataclass
@@ -155,9 +156,10 @@ class SpecAugment(Transform):
     max_time_width: int = 100
     n_time_mask: int = 2
     replace_with_zero: bool = True
+    resize_mode: str = "PIL"
 
     def apply(self, df, row):
-        steps = [TimeWarp(self.max_time_warp), FreqMask(self.max_freq_width, self.n_freq_mask, self.replace_with_zero), TimeMask(self.max_time_width, self.n_time_mask, self.replace_with_zero)]
+        steps = [TimeWarp(self.max_time_warp, self.resize_mode), FreqMask(self.max_freq_width, self.n_freq_mask, self.replace_with_zero), TimeMask(self.max_time_width, self.n_time_mask, self.replace_with_zero)]
         for s in steps:
             df = s.apply(df, row)
         return df

@@ -157,7 +157,7 @@ def archive_round_trip(spark, sf):
     """utterances written to archives and looked up by the index that comes back."""
     u = utterances(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
     rows = u.select(F.lit("corpus").alias("dataset"), F.col("lang").alias("split"), "uttid", F.array(F.col("num_frames").cast("double")).alias("x"), F.lit(1.0).alias("rate"))
-    path = f"{ordering.shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    path = _scratch(spark, "archive")
     index = archives.write_archive(rows, path, ["uttid"], hours=1 / 60)
     held = spark.read.parquet(path).withColumn("path", archives.archive_path(path))
     found = archives.looked_up(index, held.select("uttid", "path", "dataset", "split", "x"))
@@ -784,6 +784,7 @@ _transformed("fbank", [{"type": "fbank", "sample_frequency": 400.0, "num_mel_bin
 _transformed("spectrogram", [{"type": "spectrogram", "sample_frequency": 400.0, "frame_length_ms": 80.0, "frame_shift_ms": 20.0}])
 _transformed("fbank_pitch_cmvn_delta", [{"type": "fbank_pitch", "sample_frequency": 400.0, "num_mel_bins": 3, "frame_length_ms": 80.0, "frame_shift_ms": 20.0}, {"type": "cmvn", "norm_vars": True}, {"type": "delta"}])
 _transformed("time_warp", [{"type": "time_warp", "max_time_warp": 5}], _matrix_rows, train=True)
+_transformed("spline_warp", [{"type": "time_warp", "max_time_warp": 5, "mode": "sparse_image_warp"}], _matrix_rows, train=True)
 _transformed("spec_augment", [{"type": "spec_augment", "max_time_warp": 5}], _matrix_rows, train=True)
 _transformed("speed_perturb", [{"type": "speed_perturbation"}], train=True)
 _transformed("noise_inject", [{"type": "noise_injection"}], train=True)
@@ -806,7 +807,7 @@ def loader_epoch(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def prefetch_stream(spark, sf):
     """events as a stream of files, written as it comes and then counted by type and hour."""
-    out = f"{ordering.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = _scratch(spark, "stream")
     rows = loader.archive_stream(spark, sf, table(spark, sf, "events").schema, glob="events*.parquet")
     stamped = rows.select("event_type", "value", F.date_trunc("hour", "ts").alias("hour"))
     stamped.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
@@ -899,7 +900,11 @@ def filter_prompt_names(spark, sf):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ordering.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{ordering.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 @query(f"WITH {UTT_SQL} SELECT uttid, speaker FROM utt")

@@ -39,10 +39,10 @@ def write_archive(df: DataFrame, path: str, order: Sequence[str], hours: float =
     lengths = df.select("dataset", "split", "uttid", *[c for c in order if c != "uttid"], seconds.alias("seconds"))
     files = archive_files(lengths, order, "seconds", 3600.0 * hours, jobs)
     name = F.format_string("feats.%d.%d", "job", "file_idx")
-    placed = files.select("uttid", name.alias("archive"))
-    out = df.join(placed, "uttid")
+    placed = files.select("dataset", "split", "uttid", name.alias("archive"))
+    out = df.join(placed.select("uttid", "archive"), "uttid")
     out.repartition("dataset", "split", "archive").sortWithinPartitions("archive", *order).write.partitionBy("dataset", "split", "archive").mode("append").parquet(path)
-    return out.select("uttid", archive_path(path).alias("path"), F.col("uttid").alias("loc"))
+    return placed.select("uttid", archive_path(path).alias("path"), F.col("uttid").alias("loc"))
 
 
 def archive_path(path: str) -> Column:

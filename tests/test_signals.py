@@ -138,6 +138,35 @@ def test_time_warp(spark, matrices):
     assert moved
 
 
+def test_spline_warp(spark, matrices):
+    """The spline's conditions: the point is moved, the six at the ends are not, and each value lies between the two frames that its shift names, which a plain solution of the system gives."""
+    import numpy as np
+
+    got, moved = rows(spark, "spline_warp"), 0
+    for u in sorted(matrices):
+        x, n, d = matrices[u], len(matrices[u]), len(matrices[u][0])
+        if n <= 10:
+            close(got[u], x)
+            continue
+        rng = signal.random_of("spline_warp", f"{u}|0")
+        at, by = int(rng.integers(5, n - 5)), int(rng.integers(-4, 5))
+        moved += by != 0
+        mid = (d - 1) / 2
+        points = [(at + by, mid)] + [(t, f) for t in (0, n - 1) for f in (0, mid, d - 1)]
+        bend = lambda p, q: 0.5 * r * math.log(r) if (r := (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) > 1e-10 else 0.0
+        k = len(points)
+        system = [[bend(p, q) for q in points] + [p[0], p[1], 1] for p in points] + [[p[i] if i < 2 else 1 for p in points] + [0, 0, 0] for i in range(3)]
+        w = np.linalg.solve(np.array(system, float), [by] + [0] * (k + 2)).tolist()
+        shift = lambda t, f: sum(a * bend((t, f), p) for a, p in zip(w, points, strict=False)) + w[k] * t + w[k + 1] * f + w[k + 2]
+        assert shift(at + by, mid) == pytest.approx(by, abs=1e-6) and all(abs(shift(*p)) < 1e-6 for p in points[1:])
+        for t in range(0, n, 7):
+            for f in range(0, d, 5):
+                c = min(max(t - shift(t, f), 0), n - 1)
+                low = min(int(c), n - 2)
+                assert got[u][t][f] == pytest.approx(x[low][f] + (c - low) * (x[low + 1][f] - x[low][f]), abs=1e-4)
+    assert moved
+
+
 def test_spec_augment_is_warp_and_masks(spark, matrices):
     warped, got = rows(spark, "time_warp"), rows(spark, "spec_augment")
     masked = 0
