@@ -804,6 +804,18 @@ def loader_epoch(spark, sf):
     return loader.Loader(index, u.select("uttid"), batch_size=8, max_len=900, shuffle=True, num_replicas=3).plan()
 
 
+PREDICTED_SQL = DYNAMIC_SQL.replace(BATCH, "row_number() OVER (ORDER BY ord)").replace("num_frames AS len", "num_frames * 0.125::DOUBLE AS len").replace("900 * 8", "100 * 8")
+
+
+@query(f"WITH RECURSIVE {PREDICTED_SQL}, n AS (SELECT batch, (ntile(3) OVER (ORDER BY batch) - 1)::INT AS part FROM (SELECT DISTINCT batch FROM b)) SELECT uttid, part, batch, pos FROM b JOIN n USING (batch)")
+def loader_predicted(spark, sf):
+    """Batches by the lengths that utterances will have after feature extraction: 400 samples a second give 50 frames."""
+    u = utterances(spark, sf)
+    index = u.select("uttid", "archive", F.col("num_frames").alias("length"), "ord")
+    conf = [{"type": "fbank", "sample_frequency": 400.0, "num_mel_bins": 3, "frame_length_ms": 80.0, "frame_shift_ms": 20.0}]
+    return loader.Loader(index, u.select("uttid"), conf, batch_size=8, max_len=100, num_replicas=3, ensure_equal_parts=False).plan().select("uttid", "part", "batch", "pos")
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def prefetch_stream(spark, sf):
     """events as a stream of files, written as it comes and then counted by type and hour."""
