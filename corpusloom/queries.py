@@ -13,7 +13,6 @@ from .functions import arrays, signal, text
 from .operators import ordered, quality, side_signals, stats, tables
 from .plans import ordering
 from .plans.dump import dumped
-from .plans.ordering import hashed
 from .plans.pipeline import Pipeline
 from .schema import FRAMES_SQL, SEG_SQL, SIDES_SQL, UTT_SQL, DataDir, frames, segments, sides, table, utterances
 from .sources import archives, corpora, text_tables

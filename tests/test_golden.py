@@ -1,6 +1,5 @@
 """Expected outputs that the operators' definitions give, and properties."""
 
-import io
 import struct
 import wave
 
