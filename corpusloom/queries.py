@@ -992,6 +992,15 @@ def dump_job(spark, sf):
     return rows.unionByName(failed.select("uttid", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("double").alias("rate")))
 
 
+@query(f"WITH {SIGNALS_SQL} SELECT uttid, CASE WHEN len(x) >= 80 THEN 1 + (len(x) - 80) // 8 END AS n_frames, CASE WHEN len(x) < 80 THEN 'RuntimeError: a signal of ' || len(x) || ' samples has no frame of 80' END AS error FROM sig")
+def dump_job_failures(spark, sf):
+    """Features of signals, of which those of one event are too short for a frame: they are told apart and the job goes on."""
+    conf = [{"type": "fbank", "sample_frequency": 400.0, "num_mel_bins": 3, "frame_length_ms": 200.0, "frame_shift_ms": 20.0}]
+    done, failed = dumped(_signals(spark, sf), Pipeline(conf), 400.0)
+    made = done.select("uttid", F.size("x").cast("long").alias("n_frames"), F.lit(None).cast("string").alias("error"))
+    return made.unionByName(failed.select("uttid", F.lit(None).cast("long").alias("n_frames"), "error"))
+
+
 @query(f"WITH {_epoch_sql(FIXED_SQL, 2)}, {EQUAL_SQL}, l AS (SELECT uttid, list_transform({WORDS}, lambda w: length(w)::DOUBLE) AS x FROM utt) SELECT batch, padded, pos, uttid, len(x) AS n, list_transform(x, lambda v: round(v - list_avg(x), 6) + 0.0::DOUBLE) AS x FROM b JOIN p USING (batch) JOIN l USING (uttid) WHERE part = 1")
 def loader_batches(spark, sf):
     """The second replica's batches of the third epoch: joined, transformed by a class named in the configuration and by an alias, and collated."""
