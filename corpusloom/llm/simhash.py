@@ -108,14 +108,14 @@ def _held(s: Segments) -> list[tuple[Column, Column, Column, int]]:
     return out
 
 
-def table(nodes: DataFrame, s: Segments) -> DataFrame:
-    """The segment tables: (key, node, word) of each fingerprint and segment. nodes: node, sig (array of words)."""
+def table(nodes: DataFrame, s: Segments, *more: str) -> DataFrame:
+    """The segment tables: (key, node, word) of each fingerprint and segment, with more columns of nodes. nodes: node, sig (array of words)."""
     rows = F.array(*(F.struct(key.alias("key"), word.alias("word")) for _, key, word, _ in _held(s)))
-    return nodes.select("node", F.explode(rows).alias("s")).select("s.key", "node", "s.word")
+    return nodes.select("node", *more, F.explode(rows).alias("s")).select("s.key", "node", "s.word", *more)
 
 
-def asked(nodes: DataFrame, s: Segments) -> DataFrame:
-    """(key, node, word, same): each segment's own value, and those with one bit more that its ball holds."""
+def asked(nodes: DataFrame, s: Segments, *more: str) -> DataFrame:
+    """(key, node, word, same) and more columns of nodes: each segment's own value, and those with one bit more that its ball holds."""
     bits = F.array(*(F.lit(1 << b) for b in range(s.bits)))
 
     def ball(value: Column, key: Column, word: Column) -> Column:
@@ -123,7 +123,7 @@ def asked(nodes: DataFrame, s: Segments) -> DataFrame:
 
     held = _held(s)
     own = F.array(*(F.struct(key.alias("key"), word.alias("word"), F.lit(True).alias("same")) for _, key, word, _ in held))
-    return nodes.select("node", F.explode(F.concat(own, *(ball(v, key, word) for v, key, word, r in held if r))).alias("s")).select("s.key", "node", "s.word", "s.same")
+    return nodes.select("node", *more, F.explode(F.concat(own, *(ball(v, key, word) for v, key, word, r in held if r))).alias("s")).select("s.key", "node", "s.word", "s.same", *more)
 
 
 def _pairs(found: DataFrame, s: Segments) -> DataFrame:
@@ -132,8 +132,8 @@ def _pairs(found: DataFrame, s: Segments) -> DataFrame:
     return near.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
 
-def _other(df: DataFrame) -> DataFrame:
-    return df.select("key", F.col("node").alias("other"), F.col("word").alias("other_word"))
+def _other(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("key", F.col("node").alias("other"), F.col("word").alias("other_word"), *(F.col(c).alias(f"other_{c}") for c in more))
 
 
 def hot_values(nodes: DataFrame, s: Segments, limit: int) -> DataFrame:
@@ -141,9 +141,11 @@ def hot_values(nodes: DataFrame, s: Segments, limit: int) -> DataFrame:
     return written(table(nodes, s).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key"), "hot-segments")
 
 
-def cold_pairs(nodes: DataFrame, s: Segments, hot: DataFrame) -> DataFrame:
-    """Candidates of the values that are not hot."""
-    fetched = asked(nodes, s).join(_other(table(nodes, s).join(hot, "key", "left_anti")), "key")
+def cold_pairs(nodes: DataFrame, s: Segments, hot: DataFrame, *apart: str) -> DataFrame:
+    """Candidates of the values that are not hot. apart: columns of nodes in which the two must differ."""
+    fetched = asked(nodes, s, *apart).join(_other(table(nodes, s, *apart).join(hot, "key", "left_anti"), *apart), "key")
+    for c in apart:
+        fetched = fetched.where(F.col(c) != F.col(f"other_{c}"))
     return _pairs(fetched.where(~F.col("same") | (F.col("node") > F.col("other"))), s)
 
 
@@ -215,18 +217,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "other"]).filter(pa.array(found, pa.bool_()))
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, s: Segments) -> DataFrame:
-    """The pairs within s.max_bits whose shingles have a Jaccard similarity of MIN_JACCARD or more."""
+def _distance(one: str, two: str, s: Segments) -> Column:
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(s.words)))
 
-    def beside(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-        one, two = (right.select(F.col("node").alias(n), F.col(column).alias(f"{column}_{n}")) for n in ("node", "other"))
-        return left.join(two, "other").join(one, "node")
 
-    distance = reduce(lambda a, b: a + b, (F.bit_count(F.col("sig_node")[i].bitwiseXOR(F.col("sig_other")[i])) for i in range(s.words)))
-    close = written(beside(pairs, nodes, "sig").where(distance <= s.max_bits).select("node", "other"), "pairs")
+def _beside(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Pairs (node, other) with a column of both."""
+    one, two = (right.select(F.col("node").alias(n), F.col(column).alias(f"{column}_{n}")) for n in ("node", "other"))
+    return left.join(two, "other").join(one, "node")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, s: Segments) -> DataFrame:
+    """The pairs whose complete distance is within s.max_bits."""
+    return _beside(pairs, nodes, "sig").where(_distance("sig_node", "sig_other", s) <= s.max_bits).select("node", "other")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose shingles have a Jaccard similarity of MIN_JACCARD or more."""
+    close = written(pairs, "pairs")
     named = close.select("node").unionAll(close.select("other")).distinct()
     texts = written(rows.select("node", "z").join(named, "node", "left_semi").groupBy("node").agg(F.first("z").alias("z")), "candidates")
-    return beside(close, texts, "z").select("node", "other", "z_other", "z_node").mapInArrow(_verified, "node long, other long")
+    return _beside(close, texts, "z").select("node", "other", "z_other", "z_node").mapInArrow(_verified, "node long, other long")
 
 
 def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) -> DataFrame:
@@ -234,44 +245,52 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
     limit = NEAR_LIMIT + 4 * (nodes.count() >> s.bits) if limit is None else limit
     hot = hot_values(nodes, s, limit)
-    found = cold_pairs(nodes, s, hot)
     if hot.isEmpty():
-        return components(_similar(found, rows, nodes, s), "node", "other")
-    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "word")) for i in range(PIVOTS)]
-    hot_table = table(nodes, s).join(hot, "key", "left_semi")
-    hot_asked = written(asked(nodes, s).join(hot, "key", "left_semi"), "hot-asked")
-    pivots = hot_table.groupBy("key", F.xxhash64("key")).agg(F.array(*seeds).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.word").alias("other_word"))
-    first = written(_similar(found.unionByName(_pairs(hot_asked.join(pivots, "key"), s)).distinct(), rows, nodes, s), "links")
-    groups = components(first, "node", "other")
-    rooted = hot_asked.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = rooted.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"))
-    return components(first.unionByName(_similar(rare_pairs(members, rows), rows, nodes, s)), "node", "other")
+        return components(_similar(_close(cold_pairs(nodes, s, hot), nodes, s), rows), "node", "other")
+    # the hot values first, with whole fingerprints, as they are few: what they link need not be compared again
+    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "sig")) for i in range(PIVOTS)]
+    hot_table = table(nodes, s, "sig").join(hot, "key", "left_semi")
+    hot_asked = written(asked(nodes, s, "sig").join(hot, "key", "left_semi"), "hot-asked")
+    pivots = hot_table.groupBy("key", F.xxhash64("key")).agg(F.array(*seeds).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.sig").alias("other_sig"))
+    near = hot_asked.join(pivots, "key").where((F.col("node") != F.col("other")) & (_distance("sig", "other_sig", s) <= s.max_bits))
+    first = written(_similar(near.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), rows), "links")
+    rooted = written(nodes.join(components(first, "node", "other"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    roots = hot_asked.join(rooted.select("node", "root"), "node")
+    mixed = roots.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    members = written(roots.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("sig").alias("sig")), "members")
+    # rare_pairs() finds all pairs of members: of the other values, those that have one member at most are left
+    side = F.when(F.col("member").isNotNull(), 0).otherwise(F.when(F.col("root") == 0, 1).otherwise(F.col("root")))
+    sided = rooted.join(members.select("node", F.lit(True).alias("member")), "node", "left").select("node", "sig", side.alias("side"))
+    rest = _close(cold_pairs(sided, s, hot, "side"), nodes, s).unionByName(rare_pairs(members, rows, s)).distinct()
+    return components(first.unionByName(_similar(rest, rows)), "node", "other")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [np.fromiter(map(xxhash.xxh64_intdigest, shingles(t)), np.dtype("<u8")).view(np.int64) for t in unpacked(b.column(2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "size", "shingles"])
+        sets = [np.fromiter(map(xxhash.xxh64_intdigest, shingles(t)), np.dtype("<u8")).view(np.int64) for t in unpacked(b.column(3))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "sig", "size", "shingles"])
 
 
-def rare_pairs(members: DataFrame, rows: DataFrame, share: float = MIN_JACCARD) -> DataFrame:
-    """Distinct (node, other), the larger first, of members (node, root) of different roots that may have a Jaccard similarity of `share`.
+def rare_pairs(members: DataFrame, rows: DataFrame, s: Segments = NEAR, share: float = MIN_JACCARD) -> DataFrame:
+    """Distinct (node, other), the larger first, of members (node, root, sig) of different roots within s.max_bits that may have a Jaccard similarity of `share`.
 
     Each member's shingles are put in order of their frequency among all members. Pairs meet at a shingle that is among the first size - share * size + 1 of both,
     if their sizes allow the similarity and so do the shingles that are left behind the shared one.
     """
-    texts = members.join(rows.groupBy("node").agg(F.first("z").alias("z")), "node").select("node", "root", "z")
-    held = written(texts.mapInArrow(_hashes, "node long, root long, size long, shingles array<long>"), "shingles")
-    each = held.select("node", "root", "size", F.explode("shingles").alias("h"))
+    texts = members.join(rows.groupBy("node").agg(F.first("z").alias("z")), "node").select("node", "root", "sig", "z")
+    held = written(texts.mapInArrow(_hashes, "node long, root long, sig array<long>, size long, shingles array<long>"), "shingles")
+    each = held.select("node", "size", F.explode("shingles").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "h").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("by"))
-    length = (F.col("size") - F.ceil(F.col("size") * share) + 1).cast("int")
-    rare = written(ranked.select("node", "root", "size", F.posexplode(F.slice("by", F.lit(1), length)).alias("at", "s")).where("s.n > 1").select("node", "root", "size", "at", F.col("s.h").alias("h")), "rare")
-    other = rare.toDF("other", "other_root", "other_size", "other_at", "h")
+    ranked = each.join(often, "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("by"))
+    slack = 1e-6  # for pairs at exactly `share`, whose products are rounded
+    length = (F.col("size") - F.ceil(F.col("size") * share - slack) + 1).cast("int")
+    first = ranked.select("node", F.posexplode(F.slice("by", F.lit(1), length)).alias("at", "s")).where("s.n > 1").select("node", "at", F.col("s.h").alias("h"))
+    rare = written(first.join(held.select("node", "root", "sig", "size"), "node"), "rare")
+    other = rare.select("h", *(F.col(c).alias(f"other_{c}") for c in ("node", "at", "root", "sig", "size")))
     left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
-    fits = (F.least("size", "other_size") >= share * F.greatest("size", "other_size")) & (left * (1 + share) >= share * (F.col("size") + F.col("other_size")))
-    return rare.join(other, "h").where((F.col("node") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits).select("node", "other").distinct()
+    fits = (F.least("size", "other_size") >= share * F.greatest("size", "other_size") - slack) & (left * (1 + share) >= share * (F.col("size") + F.col("other_size")) - slack)
+    apart = (F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root"))
+    return rare.join(other, "h").where(apart & fits & (_distance("sig", "other_sig", s) <= s.max_bits)).select("node", F.col("other_node").alias("other")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int | None = None) -> DataFrame:

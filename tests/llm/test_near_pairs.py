@@ -102,7 +102,7 @@ def test_a_common_passage_brings_no_pairs(spark):
                 rows.append((10_000 + d, " ".join(words)))
         df = spark.createDataFrame(rows, "doc_id long, text string")
         near_rows = df.selectExpr("doc_id", "text", "doc_id AS k").mapInArrow(simhash._near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long").cache()
-        members = near_rows.selectExpr("node", "node AS root")
+        members = near_rows.selectExpr("node", "node AS root", "sig")
         pairs = simhash.rare_pairs(members, near_rows).collect()
         doc = {r.node: r.doc_id for r in near_rows.collect()}
         found = {tuple(sorted((doc[r.node], doc[r.other]))) for r in pairs}
@@ -123,7 +123,9 @@ def test_rare_shingles_lose_no_pair(spark):
             for _ in range(rng.randrange(3)):
                 words.insert(rng.randrange(len(words) + 1), f"x{g}c{c}")
             rows.append((len(rows), " ".join(words)))
+    for k in (7, 14, 23, 28):  # exactly 0.8
+        rows += [(len(rows), " ".join(f"t{k}w{i}" for i in range(4 * k + 4))), (len(rows) + 1, " ".join(f"t{k}w{i}" for i in range(5 * k + 4)))]
     near_rows = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "doc_id AS k").mapInArrow(simhash._near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long").cache()
     text = {r.node: rows[r.doc_id][1] for r in near_rows.collect()}
-    got = {frozenset((r.node, r.other)) for r in simhash.rare_pairs(near_rows.select("node").distinct().selectExpr("node", "node AS root"), near_rows).collect()}
+    got = {frozenset((r.node, r.other)) for r in simhash.rare_pairs(near_rows.dropDuplicates(["node"]).selectExpr("node", "node AS root", "sig"), near_rows, simhash.Segments(4, 20, (1,) * 12, 256)).collect()}
     assert {frozenset((a, b)) for a, b in itertools.combinations(text, 2) if near(text[a], text[b])} <= got
