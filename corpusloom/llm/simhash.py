@@ -284,8 +284,8 @@ def rare_pairs(members: DataFrame, rows: DataFrame, s: Segments = NEAR, share: f
     ranked = each.join(often, "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("by"))
     slack = 1e-6  # for pairs at exactly `share`, whose products are rounded
     length = (F.col("size") - F.ceil(F.col("size") * share - slack) + 1).cast("int")
-    first = ranked.select("node", F.posexplode(F.slice("by", F.lit(1), length)).alias("at", "s")).where("s.n > 1").select("node", "at", F.col("s.h").alias("h"))
-    rare = written(first.join(held.select("node", "root", "sig", "size"), "node"), "rare")
+    known = ranked.select("node", F.slice("by", F.lit(1), length).alias("by")).join(held.select("node", "root", "sig", "size"), "node")
+    rare = written(known.select("node", "root", "sig", "size", F.posexplode("by").alias("at", "s")).where("s.n > 1").select("node", "root", "sig", "size", "at", F.col("s.h").alias("h")), "rare")
     other = rare.select("h", *(F.col(c).alias(f"other_{c}") for c in ("node", "at", "root", "sig", "size")))
     left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
     fits = (F.least("size", "other_size") >= share * F.greatest("size", "other_size") - slack) & (left * (1 + share) >= share * (F.col("size") + F.col("other_size")) - slack)
