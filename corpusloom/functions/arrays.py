@@ -13,6 +13,17 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded half away from zero after it is scaled by a power of ten, as C and SQL engines do; what rounds to zero keeps its sign.
+
+    F.round takes the decimal digits that a double is printed with, so that a value a few units of its last place from a tie goes to the
+    other side, and has no negative zero.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    scale = float(10**digits)
+    return F.signum(v) * F.abs(F.round(v * scale) / scale)
+
+
 def draw(bound: int | Column, *key: Column | str) -> Column:
     """An integer in [0, bound) from the MD5 of a key, the same in any engine."""
     parts = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]
