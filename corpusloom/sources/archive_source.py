@@ -6,7 +6,8 @@
 
 An index has a line for each utterance: its id, and an archive with the byte at which the value begins, or a sound file. It is cut
 into stretches of bytes, a task each, that seek in the archives they name, so that neither the index nor an archive passes
-through the driver whole. An archive without an index has no such places and is one task. A test of uttid or path by = or IN is
+through the driver whole. An archive without an index has no such places and is one task. Sounds are a file each (filetype sound),
+or files within archives of at most about ARCHIVE_BYTES (filetype sounds), so that millions of short ones are not as many files. A test of uttid or path by = or IN is
 pushed down with option pushdown, which needs spark.sql.python.filterPushdown.enabled: values that are not asked for are not read.
 """
 
@@ -33,6 +34,8 @@ from . import matrix_format, sound_format
 FORMAT = "corpus_archive"
 SCHEMA = "uttid string, path string, loc string, x array<array<float>>, rate double"
 INDEX_BYTES = 1 << 20  # of an index in a task
+ARCHIVE_BYTES = 64 << 20  # of an archive of sound files, after which the next begins: read without an index, each is a task
+FILETYPES = ("mat", "sound", "sounds")
 BATCH_VALUES = 4 << 20  # numbers in an Arrow batch
 #: What needs an index: an order, or a look ahead.
 NEEDS_INDEX = ("shuffle", "prefetch", "max_len")
@@ -59,6 +62,14 @@ def dispatched(rspecifier: str, options: dict[str, str]) -> tuple[str, str]:
     return kind, path
 
 
+def _kinds(options: dict[str, str]) -> tuple[bool, bool]:
+    """Whether values are sound files, and whether they are sound files within archives."""
+    kind = options.get("filetype", "mat")
+    if kind not in FILETYPES:
+        raise ValueError(f"filetype {kind} is none of {', '.join(FILETYPES)}")
+    return kind == "sound", kind == "sounds"
+
+
 def _listed(path: str, ending: str) -> list[fs.FileInfo]:
     files, root = place(path)
     info = files.get_file_info(root)
@@ -107,7 +118,8 @@ def without_rate(value: np.ndarray) -> tuple[np.ndarray, float | None]:
 class _Reader(DataSourceReader):
     def __init__(self, rspecifier: str, options: dict[str, str]):
         self.kind, self.path = dispatched(rspecifier, options)
-        self.sound, self.rate_row = options.get("filetype", "mat") == "sound", options.get("rate_row", "true").lower() == "true"
+        self.sound, self.packed = _kinds(options)
+        self.rate_row = options.get("rate_row", "true").lower() == "true"
         self.index_bytes = int(options.get("index_bytes", INDEX_BYTES))
         self.wanted: dict[str, set[str]] = {}
 
@@ -127,8 +139,13 @@ class _Reader(DataSourceReader):
     def _archive(self, part: _Stretch) -> Iterator[tuple]:
         files, _ = place(self.path)
         with files.open_input_stream(part.path, buffer_size=1 << 20) as f:
-            for key, at, value in matrix_format.entries(_Counted(f)):
-                if self._asked(key, part.path):
+            for key, at, value in matrix_format.file_entries(_Counted(f)) if self.packed else matrix_format.entries(_Counted(f)):
+                if not self._asked(key, part.path):
+                    continue
+                if self.packed:
+                    rate, samples = sound_format.decode(value)
+                    yield key, part.path, str(at), samples, float(rate)
+                else:
                     yield key, part.path, str(at), *(without_rate(value) if self.rate_row else (value, None))
 
     def _named(self, part: _Stretch) -> Iterator[tuple]:
@@ -152,6 +169,10 @@ class _Reader(DataSourceReader):
                 yield uttid, path, loc, value, float(rate)
             else:
                 held.seek(int(loc or 0))
+                if self.packed:
+                    rate, value = sound_format.decode(matrix_format.read_file(held))
+                    yield uttid, path, loc, value, float(rate)
+                    continue
                 value = matrix_format.read_value(held)
                 yield uttid, path, loc, *(without_rate(value) if self.rate_row else (value, None))
         if held is not None:
@@ -232,7 +253,8 @@ class _Writer(DataSourceArrowWriter):
 
     def __init__(self, path: str, options: dict[str, str]):
         self.path = path.rstrip("/")
-        self.sound, self.pcm = options.get("filetype", "mat") == "sound", options.get("pcm_format", "wav")
+        self.sound, self.packed = _kinds(options)
+        self.pcm = options.get("pcm_format", "wav")
         self.method = int(options["compression_method"]) if "compression_method" in options else None
         self.rate_row, self.absolute = options.get("rate_row", "true").lower() == "true", options.get("absolute", "false").lower() == "true"
         if self.pcm not in ("wav", "flac"):
@@ -246,7 +268,8 @@ class _Writer(DataSourceArrowWriter):
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
         base, named, lines = (f"{root}/" if self.absolute else ""), [], files.open_output_stream(f"{root}/{name}.scp.tmp")
         with lines:
-            for uttid, line, path in self._sounds(files, root, iterator) if self.sound else self._matrices(files, f"{root}/{name}.ark", iterator):
+            made = self._sounds(files, root, iterator) if self.sound else self._packed(files, f"{root}/{name}", iterator) if self.packed else None
+            for uttid, line, path in made or self._matrices(files, f"{root}/{name}.ark", iterator):
                 lines.write(f"{uttid} {base}{line}\n".encode())
                 if path not in named[-1:]:
                     named.append(path)
@@ -271,6 +294,25 @@ class _Writer(DataSourceArrowWriter):
                 out.write(write(x.astype(np.int16), int(rate)))
             yield uttid, name, f"{root}/{name}"
 
+    def _packed(self, files: fs.FileSystem, base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
+        write = sound_format.flac_bytes if self.pcm == "flac" else sound_format.wave_bytes
+        out, number, at = None, 0, 0
+        try:
+            for uttid, x, rate in _values(batches):
+                if out is None:
+                    path, at, number = f"{base}-{number:05d}.ark", 0, number + 1
+                    out = files.open_output_stream(path)
+                raw, begins = matrix_format.file_entry(uttid, write(x.astype(np.int16), int(rate)))
+                out.write(raw)
+                yield uttid, f"{posixpath.basename(path)}:{at + begins}", path
+                at += len(raw)
+                if at >= ARCHIVE_BYTES:
+                    out.close()
+                    out = None
+        finally:
+            if out is not None:
+                out.close()
+
     def commit(self, messages: list[_Written | None]) -> None:
         files, _ = place(self.path)
         for m in messages:
@@ -288,14 +330,17 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
     """(uttid, x, rate) of batches; rows of unequal length are an error."""
     for batch in batches:
         names, rates, column = batch.column("uttid").to_pylist(), batch.column("rate").to_pylist(), batch.column("x")
-        for i, (uttid, rate) in enumerate(zip(names, rates, strict=True)):
-            rows = column[i].values
-            cells, n = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float32), len(rows)
-            yield uttid, cells.reshape(n, -1) if n else np.zeros((0, 0), np.float32), rate
+        if column.null_count or column.values.null_count:
+            raise ValueError("a matrix, or a row of it, is null")
+        rows, inner = column.offsets.to_numpy(), column.values
+        ends = inner.offsets.to_numpy()[rows].tolist()  # where the numbers of a matrix begin and end
+        cells, counts = inner.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False), np.diff(rows).tolist()
+        for uttid, rate, n, first, end in zip(names, rates, counts, ends, ends[1:], strict=False):
+            yield uttid, cells[first:end].reshape(n, -1) if n else np.zeros((0, 0), np.float32), rate
 
 
 class CorpusArchive(DataSource):
-    """Options when reading: filetype (mat or sound), rate_row, index_bytes, pushdown; when writing: filetype, pcm_format (wav or flac), compression_method (1 to 7), rate_row, absolute (whole paths in the index)."""
+    """Options when reading: filetype (mat, sound or sounds), rate_row, index_bytes, pushdown; when writing: filetype, pcm_format (wav or flac), compression_method (1 to 7), rate_row, absolute (whole paths in the index)."""
 
     @classmethod
     def name(cls) -> str:

@@ -195,3 +195,33 @@ def test_sound_archives(spark, tmp_path):
     assert empty.collect() == [] and empty.columns == ["uttid", "path", "loc", "x", "rate"]
     with pytest.raises(Exception, match="mp3"):
         archives.write_indexed(df, str(tmp_path / "x"), filetype="sound", pcm_format="mp3")
+
+
+def test_sounds_within_archives(spark, tmp_path, monkeypatch):
+    """The files do not grow with the sounds; read by index and without."""
+    rows = [(f"a/{i}", RND.randint(-3000, 3000, (i % 40, 2)).tolist(), 8000.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "uttid string, x array<array<int>>, rate double").repartition(3)
+    for kind in ("flac", "wav"):
+        path = tmp_path / kind
+        got = archives.write_indexed(df, str(path), filetype="sounds", pcm_format=kind)
+        whole = archives.by_specifier(spark, f"ark:{path}", filetype="sounds")
+        for back in (got, whole):
+            assert {u: ([list(map(int, f)) for f in x], r) for u, (x, r) in held(back).items()} == {u: (x, r) for u, x, r in rows}
+        assert len([p for p in path.iterdir() if not p.name.startswith(".")]) == 6
+    with pytest.raises(Exception, match="filetype"):
+        archives.by_specifier(spark, f"ark:{tmp_path}/wav", filetype="sonds").collect()
+
+
+def test_archives_of_sounds_roll_over(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(archive_source, "ARCHIVE_BYTES", 500)
+    batch = pa.RecordBatch.from_pylist([{"uttid": f"u{i}", "x": [[float(i)]] * 50, "rate": 8000.0} for i in range(20)], pa.schema([("uttid", pa.string()), ("x", pa.list_(pa.list_(pa.float32()))), ("rate", pa.float64())]))
+    files, root = archive_source.place(str(tmp_path))
+    made = list(archive_source._Writer(str(tmp_path), {"filetype": "sounds"})._packed(files, f"{root}/part", iter([batch.slice(0, 7), batch.slice(7)])))
+    assert [u for u, _, _ in made] == [f"u{i}" for i in range(20)] and len({p for _, _, p in made}) > 3
+    for i, (_, line, path) in enumerate(made):
+        with open(path, "rb") as f:
+            f.seek(int(line.rsplit(":", 1)[1]))
+            rate, x = sound_format.decode(matrix_format.read_file(f))
+            assert rate == 8000 and x.tolist() == [[i]] * 50
