@@ -197,6 +197,24 @@ def test_sound_archives(spark, tmp_path):
         archives.write_indexed(df, str(tmp_path / "x"), filetype="sound", pcm_format="mp3")
 
 
+def test_short_frames_as_long_ones():
+    """Few samples are coded to the same bytes by plain integers as by arrays, and read alike; cut files are errors."""
+    for n in range(1, sound_format.SHORT):
+        for low, high in ((-32768, 32768), (-3, 3), (5, 6)):
+            x = np.stack([RND.randint(low, high, n), np.cumsum(RND.randint(-9, 9, n))], axis=1).astype(np.int64)
+            raw = sound_format.flac_bytes(x, 8000)
+            assignment, coded = sound_format._long_channels(x)
+            assert (assignment, coded) == sound_format._short_channels(x)
+            assert (sound_format.flac_samples(raw)[1] == x).all()
+            bits = sound_format._Bits(coded)
+            widths = [16 + (i == {8: 1, 9: 0, 10: 1}.get(assignment)) for i in range(2)]
+            wanted = [sound_format._subframe(bits, n, w)["x"].tolist() for w in widths]
+            at, got = sound_format._short_subframes(coded, n, widths)
+            assert [s["x"].tolist() for s in got] == wanted and at == bits.at
+            with pytest.raises(ValueError):
+                sound_format._short_subframes(coded[:-1], n, widths)
+
+
 def test_sounds_within_archives(spark, tmp_path, monkeypatch):
     """The files do not grow with the sounds; read by index and without."""
     rows = [(f"a/{i}", RND.randint(-3000, 3000, (i % 40, 2)).tolist(), 8000.0) for i in range(300)]
