@@ -92,15 +92,17 @@ def counts_differ(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     return _found(f"{name}: counts differ", both.where("n <> m"), F.lit(""), F.concat_ws(" of ", F.col("n").cast("string"), F.col("m").cast("string")))
 
 
-def file_faults(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def file_faults(spark: SparkSession, paths: str | Sequence[str], parts: bool = False) -> DataFrame:
     """(rule, key, detail) of plain text files, by file: no newline at the end, bytes that are no UTF-8, and, in files that are UTF-8 throughout, white space that lines may not hold.
 
     detail is the number of lines. Files are read by ranges of bytes and only sums of them are shuffled; that lines and their newlines add up to one byte more
-    than the file has says that the last one is missing. Empty files have no faults.
+    than the file has says that the last one is missing. Empty files have no faults. With parts, the files of a folder are parts of one file, whose key is the folder.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("size"))
     valid = F.is_valid_utf8("value")
     files = lines.groupBy("key").agg(F.max("size").alias("size"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(~valid).alias("broken"), F.count_if(valid & F.make_valid_utf8("value").rlike(WHITE)).alias("spaced"))
+    if parts:
+        files = files.groupBy(F.regexp_replace("key", r"/[^/]*$", "").alias("key")).agg(*(F.sum(c).alias(c) for c in ("size", "bytes", "broken", "spaced")))
     told = F.array(
         F.struct(F.lit("file: no final newline").alias("rule"), F.when(F.col("bytes") > F.col("size"), 1).otherwise(0).cast("long").alias("n")),
         F.struct(F.lit("file: not UTF-8").alias("rule"), F.col("broken").alias("n")),
