@@ -27,8 +27,8 @@ def fields(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """Fields joined by one space."""
-    return F.array_join(fields(text), " ")
+    """Fields joined by one space: white space that is not just one space becomes one, and none is left at the ends."""
+    return F.trim(F.regexp_replace(text, r" [ \t\n\x0B\f\r]+|[\t\n\x0B\f\r][ \t\n\x0B\f\r]*", " "))
 
 
 def replaced(text: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -108,10 +108,20 @@ def with_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.size(fields(F.col(text))) > 0)
 
 
-def with_prompt(df: DataFrame, prompts: DataFrame, text: str = "text", prompt: str = "prompt", exclude: bool = False) -> DataFrame:
-    """Utterances whose text, its white space made one, is (not) a prompt."""
-    given = prompts.select(squeezed(F.col(prompt)).alias("_prompt")).distinct()
-    return df.join(given, squeezed(df[text]) == given["_prompt"], "left_anti" if exclude else "left_semi")
+def text_hash(text: Column | str) -> Column:
+    """The SHA-256 of a text, its white space made one."""
+    return F.unhex(F.sha2(squeezed(F.col(text) if isinstance(text, str) else text), 256))
+
+
+def with_prompt(df: DataFrame, prompts: DataFrame, text: str = "text", prompt: str = "prompt", exclude: bool = False, hashed: bool = False) -> DataFrame:
+    """Utterances whose text, its white space made one, is (not) a prompt.
+
+    Texts are compared by their text_hash(), taken once a row before the join, so that no text is shuffled for its own sake. With hashed,
+    both columns hold it already.
+    """
+    said, asked = (F.col(text), F.col(prompt)) if hashed else (text_hash(text), text_hash(prompt))
+    given = prompts.select(asked.alias("_prompt")).distinct()
+    return df.withColumn("_said", said).join(given, F.col("_said") == F.col("_prompt"), "left_anti" if exclude else "left_semi").drop("_said")
 
 
 def renamed(d: DataDir, utt_prefix: str = "", utt_suffix: str = "", spk_prefix: str = "", spk_suffix: str = "") -> DataDir:

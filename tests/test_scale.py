@@ -1,7 +1,12 @@
 """Steps that must not grow faster than their input, against the plain ways to do them."""
 
+import re
+
+from corpusloom import queries
 from corpusloom.operators import quality
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_parts_of_a_file_are_one_file(spark, tmp_path):
     """A file in parts is judged as a whole; a part that lacks its newline counts once."""
@@ -11,3 +16,14 @@ def test_parts_of_a_file_are_one_file(spark, tmp_path):
             (tmp_path / name / f"{i}.txt").write_bytes(raw)
     found = quality.file_faults(spark, str(tmp_path), parts=True).collect()
     assert {(r.rule, r.key.rsplit("/", 1)[1], r.detail) for r in found} == {("file: no final newline", "cut", "1"), ("file: not UTF-8", "bad", "1"), ("file: illegal white space", "spaced", "2")}
+
+
+def test_no_text_decides_a_shuffle(spark):
+    """Prompts meet by a hash that is a column of its own, not by an expression of texts that go along."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.filter_prompts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"\w+#\d+L?", k) for k in keys)
