@@ -84,7 +84,9 @@ class Spectrogram(Transform):
 class FbankPitch(Fbank):
     def apply(self, df, row):
         o = self
-        return signal.applied(df, "x", lambda s, r: signal.fbank_pitch(s, r, o.num_mel_bins, o.frame_length_ms, o.frame_shift_ms), "array<array<float>>", _rate(row, self.sample_frequency))
+        one = lambda s, r: signal.fbank_pitch(s, r, o.num_mel_bins, o.frame_length_ms, o.frame_shift_ms)
+        many = lambda s, r: signal.fbank_pitch_many(s, r, o.num_mel_bins, o.frame_length_ms, o.frame_shift_ms)
+        return signal.applied(df, "x", one, "array<array<float>>", _rate(row, self.sample_frequency), many=many)
 
 
 @dataclass
