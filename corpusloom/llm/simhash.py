@@ -17,7 +17,8 @@ member of a hot value names the 65 points within one bit of its whole fingerprin
 and a point has at most 65 fingerprints. For wider balls, members are held against a few pivots of the value first. Where a
 value still has members of different groups, those members meet by their rarest shingles: two sets of Jaccard 0.8 or more share one
 of the (1 - 0.8) * size + 1 shingles that are the least frequent in each, so that a passage that many texts share, which is in none of
-these, brings none of them together, and no pair is lost.
+these, brings none of them together, and no pair is lost. Before texts are compared, the parities of two sets (near_signature) turn away
+pairs that differ in too many shingles: a bound that no pair within the similarity exceeds.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ NEAR_SHINGLE, MIN_JACCARD = 5, 0.8
 LIMIT = 200  # fingerprints of a segment value of 32 bits that is joined as it is
 NEAR_LIMIT = 4  # the same of shorter segments, besides four times what chance gives a value
 PIVOTS = 2
+PARITY = 8  # words of a set's parities
 
 
 @dataclass(frozen=True)
@@ -190,12 +192,18 @@ def shingles(text: bytes, shingle: int = NEAR_SHINGLE) -> set[bytes]:
 
 
 def near_signature(text: bytes, words: int = NEAR.words) -> tuple[int, list[int]]:
-    """(hash of the set of shingles, SimHash of the set in so many words), signed."""
+    """(hash of the set of shingles, its signature), signed. Signature: SimHash of the set in so many words, the set's size, PARITY words of parities.
+
+    A shingle's hash names one bit of the parities, which says whether an odd number of shingles name it. So two sets differ in at least as many shingles as
+    their parities differ in bits.
+    """
     h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.dtype("<u8")))
     x = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0]), majority(x ^ (x >> np.uint64(31))).tolist()
+    odd = np.bincount((h & np.uint64(64 * PARITY - 1)).view(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1
+    sig = [*majority(x ^ (x >> np.uint64(31))).tolist(), len(h), *np.packbits(odd, bitorder="little").view("<i8").tolist()]
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0]), sig
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +229,14 @@ def _distance(one: str, two: str, s: Segments) -> Column:
     return reduce(lambda a, b: a + b, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(s.words)))
 
 
+def _may_match(one: str, two: str, s: Segments, share: float = MIN_JACCARD) -> Column:
+    """Whether two signatures are within s.max_bits and their parities allow a Jaccard similarity of `share`; the latter turns no such pair away."""
+    a, b = F.col(one), F.col(two)
+    odd = reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(NEAR.words + 1, NEAR.words + 1 + PARITY)))
+    slack = 1e-6  # for pairs at exactly `share`, whose products are rounded
+    return (_distance(one, two, s) <= s.max_bits) & (odd * (1 + share) <= (a[NEAR.words] + b[NEAR.words]) * (1 - share) + slack)
+
+
 def _beside(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Pairs (node, other) with a column of both."""
     one, two = (right.select(F.col("node").alias(n), F.col(column).alias(f"{column}_{n}")) for n in ("node", "other"))
@@ -228,8 +244,8 @@ def _beside(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, s: Segments) -> DataFrame:
-    """The pairs whose complete distance is within s.max_bits."""
-    return _beside(pairs, nodes, "sig").where(_distance("sig_node", "sig_other", s) <= s.max_bits).select("node", "other")
+    """The pairs whose signatures may match."""
+    return _beside(pairs, nodes, "sig").where(_may_match("sig_node", "sig_other", s)).select("node", "other")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -240,6 +256,16 @@ def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return _beside(close, texts, "z").select("node", "other", "z_other", "z_node").mapInArrow(_verified, "node long, other long")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, the larger node first."""
+    return pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with root; a node without links is its own."""
+    return written(nodes.join(components(links, "node", "other"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
 def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) -> DataFrame:
     """(node, root) of the nodes that have links; rows: node, sig, z. limit: of hot values, by NEAR_LIMIT and the number of nodes unless given."""
     nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
@@ -247,17 +273,25 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     hot = hot_values(nodes, s, limit)
     if hot.isEmpty():
         return components(_similar(_close(cold_pairs(nodes, s, hot), nodes, s), rows), "node", "other")
-    # the hot values first, with whole fingerprints, as they are few: what they link need not be compared again
+    # the hot values first, with whole signatures, as they are few: what they link need not be compared again
     seeds = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "sig")) for i in range(PIVOTS)]
     hot_table = table(nodes, s, "sig").join(hot, "key", "left_semi")
-    hot_asked = written(asked(nodes, s, "sig").join(hot, "key", "left_semi"), "hot-asked")
+    keys = asked(nodes, s).join(hot, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most as many as a node asks for
+    hot_asked = written(keys.join(nodes, "node"), "hot-asked")
     pivots = hot_table.groupBy("key", F.xxhash64("key")).agg(F.array(*seeds).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.sig").alias("other_sig"))
-    near = hot_asked.join(pivots, "key").where((F.col("node") != F.col("other")) & (_distance("sig", "other_sig", s) <= s.max_bits))
-    first = written(_similar(near.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), rows), "links")
-    rooted = written(nodes.join(components(first, "node", "other"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    near = hot_asked.select("node", "sig", F.explode("keys").alias("key")).join(pivots, "key").where((F.col("node") != F.col("other")) & _may_match("sig", "other_sig", s))
+    near = written(near.groupBy("node").agg(F.collect_set(F.struct(F.xxhash64("other").alias("h"), "other")).alias("p")), "near-pivots")
+    # a node's first pivot in an order that all nodes share, then those that this leaves in other groups
+    first = written(_similar(_ordered(near.select("node", F.array_min("p")["other"].alias("other"))), rows), "links")
+    rooted = _rooted(nodes.select("node"), first)
+    apart = near.join(rooted, "node").select("node", "root", F.explode("p.other").alias("other")).join(rooted.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other").where("root <> other_root")
+    first = written(first.unionByName(_similar(_ordered(apart), rows)), "links")
+    rooted = _rooted(nodes, first)
     roots = hot_asked.join(rooted.select("node", "root"), "node")
-    mixed = roots.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = written(roots.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("sig").alias("sig")), "members")
+    each = roots.select("root", F.explode("keys").alias("key"))
+    mixed = each.groupBy("key", F.xxhash64("key")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    members = roots.select("node", "root", "sig", F.explode("keys").alias("key")).join(mixed, "key", "left_semi")
+    members = written(members.groupBy("node").agg(F.first("root").alias("root"), F.first("sig").alias("sig")), "members")
     # rare_pairs() finds all pairs of members: of the other values, those that have one member at most are left
     side = F.when(F.col("member").isNotNull(), 0).otherwise(F.when(F.col("root") == 0, 1).otherwise(F.col("root")))
     sided = rooted.join(members.select("node", F.lit(True).alias("member")), "node", "left").select("node", "sig", side.alias("side"))
@@ -290,7 +324,7 @@ def rare_pairs(members: DataFrame, rows: DataFrame, s: Segments = NEAR, share: f
     left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
     fits = (F.least("size", "other_size") >= share * F.greatest("size", "other_size") - slack) & (left * (1 + share) >= share * (F.col("size") + F.col("other_size")) - slack)
     apart = (F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root"))
-    return rare.join(other, "h").where(apart & fits & (_distance("sig", "other_sig", s) <= s.max_bits)).select("node", F.col("other_node").alias("other")).distinct()
+    return rare.join(other, "h").where(apart & fits & _may_match("sig", "other_sig", s, share)).select("node", F.col("other_node").alias("other")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Segments = NEAR, limit: int | None = None) -> DataFrame:

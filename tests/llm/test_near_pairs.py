@@ -129,3 +129,36 @@ def test_rare_shingles_lose_no_pair(spark):
     text = {r.node: rows[r.doc_id][1] for r in near_rows.collect()}
     got = {frozenset((r.node, r.other)) for r in simhash.rare_pairs(near_rows.dropDuplicates(["node"]).selectExpr("node", "node AS root", "sig"), near_rows, simhash.Segments(4, 20, (1,) * 12, 256)).collect()}
     assert {frozenset((a, b)) for a, b in itertools.combinations(text, 2) if near(text[a], text[b])} <= got
+
+
+def test_texts_under_the_bound_bring_few_pairs(spark):
+    """Texts of Jaccard 0.71 have like fingerprints and share rare shingles: parities turn them away, so that what is compared follows their number. The true pairs stay."""
+    rng = random.Random(13)
+    base = [f"c{i}" for i in range(300)]
+    rows = []
+    for d in range(80):
+        words = list(base)
+        for i in rng.sample(range(2, 298), 5):
+            words[i] = f"d{d}x{i}"
+        rows.append((d, " ".join(words)))
+        if d % 10 == 0:
+            rows.append((1000 + d, " ".join([*words[:150], f"edit{d}", *words[151:]])))
+    near_rows = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "doc_id AS k").mapInArrow(simhash._near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long").cache()
+    doc = {r.node: r.doc_id for r in near_rows.collect()}
+    found = {tuple(sorted((doc[r.node], doc[r.other]))) for r in simhash.rare_pairs(near_rows.selectExpr("node", "node AS root", "sig"), near_rows).collect()}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if near(x, y)}
+    assert len(want) >= 8 and want <= found
+    assert len(found) < 3 * len(rows)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = random.Random(17)
+    for n in (1, 4, 5, 30, 300, 3000):
+        one = [f"w{rng.randrange(n)}" for _ in range(n)]
+        two = [w if rng.random() < 0.97 else "other" for w in one]
+        x, y = (" ".join(t).encode() for t in (one, two))
+        (_, a), (_, b) = simhash.near_signature(x), simhash.near_signature(y)
+        first = simhash.NEAR.words + 1
+        bits = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(a[first:], b[first:], strict=True))
+        assert bits <= len(simhash.shingles(x) ^ simhash.shingles(y))
+        assert (a[first - 1], b[first - 1]) == (len(simhash.shingles(x)), len(simhash.shingles(y)))
