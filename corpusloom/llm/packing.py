@@ -12,6 +12,7 @@ doc_id) while the shard has anything else.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -34,6 +35,10 @@ DIMS = 256
 SAMPLE, SAMPLE_MAX = 64, 60_000  # sampled documents a shard, and in all
 
 
+LOOK_AHEAD = r"|\s+(?!\S)|\s+"
+_SPACE_RUN = re.compile(r"\s(?:\s|\Z)").search
+
+
 class Tokenizer:
     """ids of the tokenizers file at `path`.
 
@@ -52,6 +57,9 @@ class Tokenizer:
         self.file, self.added = file, [t.content for t in special.values()]
         ranks = {bytes(byte_of[c] for c in t): i for t, i in file.get_vocab(with_added_tokens=False).items() if i not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # without the look-ahead, which is slow and tells apart only white space that other white space or the end follows
+        short = public_tokenizers.PATTERN.removesuffix(LOOK_AHEAD)
+        self.plain = self.encoding if short == public_tokenizers.PATTERN else tiktoken.Encoding("plain", pat_str=short + r"|\s", mergeable_ranks=ranks, special_tokens={})
         self.blank_first = np.zeros(max(self.file.get_vocab().values()) + 1, bool)
         self.blank_first[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
@@ -62,7 +70,8 @@ class Tokenizer:
     def ids(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        encoding = self.encoding if _SPACE_RUN(text) else self.plain
+        return np.array(encoding.encode_ordinary(text), np.uint32)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -230,7 +239,7 @@ def _directions(terms: int) -> np.ndarray:
 def vector(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The document's terms, weighted by idf and a damped count, projected and of length one."""
     t, c = np.unique(ids[:-1], return_counts=True)
-    v = (idf[t] * c * (K1 + 1) / (c + K1)).astype(np.float32) @ _directions(len(idf))[t] if len(t) else np.zeros(DIMS, np.float32)
+    v = (idf[t] * c * (K1 + 1) / (c + K1)).astype(np.float32) @ _directions(len(idf)).take(t, axis=0) if len(t) else np.zeros(DIMS, np.float32)
     return v / max(1e-9, float(np.linalg.norm(v)))
 
 

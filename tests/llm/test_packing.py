@@ -133,3 +133,12 @@ def test_fill_passes_over_copies():
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8)], "doc_id long, text string, row_key int, `row` int, ids int, shard int")
     check(packing.pack(df).collect(), whole([(1, "a b c")]))
+
+
+def test_texts_without_runs_of_white_space_have_the_same_ids():
+    tok = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    alphabet, rng = ["a", "B", "é", "日", "1", "½", "'s", "'ll", "'", "_", "?!", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\U0001f600", "\u200b", "e\u0301"], np.random.RandomState(4)
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.randint(0, 12, 4000)]
+    assert 500 < sum(packing._SPACE_RUN(t) is None for t in texts) < 3500
+    assert tok.plain is not tok.encoding
+    assert [tok.ids(t).tolist() for t in texts] == [tok.file.encode(t, add_special_tokens=False).ids for t in texts]
