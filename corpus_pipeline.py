@@ -42,5 +42,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet and read again."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs = common.settled(name, stage, spark, docs, sf_dir)
     return docs

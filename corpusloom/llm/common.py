@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import zstandard
@@ -11,26 +13,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ..plans.ordering import reliable as checkpointed  # noqa: F401: the small tables of iterative jobs
-from ..plans.ordering import shared_dir
+from ..plans.ordering import reliable, shared_dir
+
+#: Scratch paths taken in the settled() that is running.
+_taken: ContextVar[list[str] | None] = ContextVar("taken", default=None)
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the application ends."""
+    """A new path in the shared folder, which goes when the application ends, or with the settled() it is taken in."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    if (taken := _taken.get()) is not None:
+        taken.append(path)
     return path
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the frames that are made and executed within go when their execution ends, not when the driver collects its garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The small tables of iterative jobs."""
+    with freed_shuffles(df.sparkSession):
+        return reliable(df.select("*"))
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder; a lost executor costs nothing that is written."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(name: str, make: Callable[..., DataFrame], *args, **options) -> DataFrame:
+    """make(...), written; the scratch tables that were written on the way to it go at once.
+
+    What else make() hands out must not be read from these.
+    """
+    taken: list[str] = []
+    outer = _taken.set(taken)
+    try:
+        df = make(*args, **options)
+    finally:
+        _taken.reset(outer)
+    out = written(df, name)
+    for path in taken:
+        fs, at = _at(df.sparkSession, path)
+        fs.delete(at, True)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, so that Python workers hold a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, freed_shuffles
 
 
 def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "p").cast("decimal(38,0)"))).first()
-    return tuple(r)
+    with freed_shuffles(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "p").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

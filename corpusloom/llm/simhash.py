@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, texts_of, unpacked, written
+from .common import free_name, settled, small_batches, texts_of, unpacked, written
 from .connected import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -272,7 +272,7 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     limit = NEAR_LIMIT + 4 * (nodes.count() >> s.bits) if limit is None else limit
     hot = hot_values(nodes, s, limit)
     if hot.isEmpty():
-        return components(_similar(_close(cold_pairs(nodes, s, hot), nodes, s), rows), "node", "other")
+        return components(settled("links", _similar, _close(cold_pairs(nodes, s, hot), nodes, s), rows), "node", "other")
     # the hot values first, with whole signatures, as they are few: what they link need not be compared again
     seeds = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "sig")) for i in range(PIVOTS)]
     hot_table = table(nodes, s, "sig").join(hot, "key", "left_semi")
@@ -282,10 +282,10 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     near = hot_asked.select("node", "sig", F.explode("keys").alias("key")).join(pivots, "key").where((F.col("node") != F.col("other")) & _may_match("sig", "other_sig", s))
     near = written(near.groupBy("node").agg(F.collect_set(F.struct(F.xxhash64("other").alias("h"), "other")).alias("p")), "near-pivots")
     # a node's first pivot in an order that all nodes share, then those that this leaves in other groups
-    first = written(_similar(_ordered(near.select("node", F.array_min("p")["other"].alias("other"))), rows), "links")
+    first = settled("links", _similar, _ordered(near.select("node", F.array_min("p")["other"].alias("other"))), rows)
     rooted = _rooted(nodes.select("node"), first)
     apart = near.join(rooted, "node").select("node", "root", F.explode("p.other").alias("other")).join(rooted.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other").where("root <> other_root")
-    first = written(first.unionByName(_similar(_ordered(apart), rows)), "links")
+    first = first.unionByName(settled("links", _similar, _ordered(apart), rows))
     rooted = _rooted(nodes, first)
     roots = hot_asked.join(rooted.select("node", "root"), "node")
     each = roots.select("root", F.explode("keys").alias("key"))
@@ -295,8 +295,9 @@ def near_links(rows: DataFrame, s: Segments = NEAR, limit: int | None = None) ->
     # rare_pairs() finds all pairs of members: of the other values, those that have one member at most are left
     side = F.when(F.col("member").isNotNull(), 0).otherwise(F.when(F.col("root") == 0, 1).otherwise(F.col("root")))
     sided = rooted.join(members.select("node", F.lit(True).alias("member")), "node", "left").select("node", "sig", side.alias("side"))
-    rest = _close(cold_pairs(sided, s, hot, "side"), nodes, s).unionByName(rare_pairs(members, rows, s)).distinct()
-    return components(first.unionByName(_similar(rest, rows)), "node", "other")
+    rare = settled("rare-pairs", rare_pairs, members, rows, s)
+    rest = _close(cold_pairs(sided, s, hot, "side"), nodes, s).unionByName(rare).distinct()
+    return components(first.unionByName(settled("links", _similar, rest, rows)), "node", "other")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,10 +338,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
     small_batches(docs.sparkSession)
     key = free_name(docs, "text_hash")
     named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.xxhash64(text_col))
-    rows = written(named.select(F.col(id_col).cast("long"), text_col, key).mapInArrow(_near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long"), "near")
-    comp = near_links(rows, s, limit)
-    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    kept = firsts.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias(id_col), F.col("first.row_key").alias(key)).distinct()
+
+    def first_rows() -> DataFrame:
+        rows = written(named.select(F.col(id_col).cast("long"), text_col, key).mapInArrow(_near_rows, "doc_id long, node long, sig array<long>, z binary, row_key long"), "near")
+        comp = near_links(rows, s, limit)
+        firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+        kept = firsts.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        return kept.select(F.col("first.doc_id").alias(id_col), F.col("first.row_key").alias(key)).distinct()
+
+    kept = settled("kept", first_rows)
     one = named.join(kept, [id_col, key], "left_semi").groupBy(id_col, key).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return one.select("row.*").unionAll(docs.where(F.col(id_col).isNull()))

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, packed, scratch, small_batches, texts_of, unpacked, written
+from .common import free_name, freed_shuffles, packed, scratch, settled, small_batches, texts_of, unpacked, written
 
 WINDOW, GRAM = 50, 12
 BATCHES, FAN_IN = 3, 4  # batches of a table that is given at once; runs of a level
@@ -193,7 +193,8 @@ class FingerprintIndex:
         """A run: one row for each span, sorted by minimizer. A span that a document repeats needs one entry."""
         run = f"run-{uuid.uuid4().hex}"
         one = df.groupBy("m", "h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "a", "b")).alias("s")).select("s.doc_id", "s.text_key", "m", "h1", "h2", "s.a", "s.b")
-        one.sortWithinPartitions("m").write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+        with freed_shuffles(self.spark):
+            one.sortWithinPartitions("m").write.option("compression", "zstd").parquet(f"{self.path}/{run}")
         entry = (run, level, replaces, last_id)
         self.spark.createDataFrame([entry], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         self.log.append(entry)
@@ -243,7 +244,7 @@ def _kept(words: list[bytes], ranges: list[dict] | None, window: int) -> list[by
 
 def _with_ranges(docs: DataFrame, window: int, **options) -> DataFrame:
     """docs, its text packed, and as the last column the ranges (whatever the names of docs)."""
-    found = repeated_windows(docs.select("doc_id", "text"), window=window, **options)
+    found = settled("ranges", repeated_windows, docs.select("doc_id", "text"), window=window, **options)
     key, ranges, found_id, found_key = (free_name(docs, n) for n in ("text_key", "ranges", "found_id", "found_key"))
     keyed = packed(docs.withColumn(key, F.xxhash64("text")), "text")
     found = found.select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key), F.col("ranges").alias(ranges))
