@@ -56,22 +56,24 @@ class Tokenizer:
         special = file.get_added_tokens_decoder()
         self.file, self.added = file, [t.content for t in special.values()]
         ranks = {bytes(byte_of[c] for c in t): i for t, i in file.get_vocab(with_added_tokens=False).items() if i not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # none of the added tokens is ever allowed; but without any, encode_to_numpy() stops at each character to look for one
+        added = {t.content: i for i, t in special.items()}
+        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         # without the look-ahead, which is slow and tells apart only white space that other white space or the end follows
         short = public_tokenizers.PATTERN.removesuffix(LOOK_AHEAD)
-        self.plain = self.encoding if short == public_tokenizers.PATTERN else tiktoken.Encoding("plain", pat_str=short + r"|\s", mergeable_ranks=ranks, special_tokens={})
+        self.plain = self.encoding if short == public_tokenizers.PATTERN else tiktoken.Encoding("plain", pat_str=short + r"|\s", mergeable_ranks=ranks, special_tokens=added)
         self.blank_first = np.zeros(max(self.file.get_vocab().values()) + 1, bool)
         self.blank_first[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
     def numbers(self, text: str) -> np.ndarray:
-        """ids of a text without added tokens."""
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        """ids of a text without added tokens, in which neither white space nor the end follows white space."""
+        return self.plain.encode_to_numpy(text, disallowed_special=())
 
     def ids(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
         encoding = self.encoding if _SPACE_RUN(text) else self.plain
-        return np.array(encoding.encode_ordinary(text), np.uint32)
+        return encoding.encode_to_numpy(text, disallowed_special=())
 
 
 def _byte_alphabet() -> dict[str, int]:

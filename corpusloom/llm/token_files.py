@@ -11,7 +11,6 @@ of their ids: what a lost executor leaves is in no list. The list also says wher
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -82,46 +81,59 @@ class _File(WriterCommitMessage):
     ids: int
 
 
-_ODD_SPACE = re.compile(r"\s\s|\s\Z").search
+# white space as Python's \s has it: that of Arrow's patterns is ASCII's, without the vertical tab
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = rf"{_SPACE}(?:{_SPACE}|\z)"
+_BLANK = 0x20
 
 
 def batch_ids(tok: Tokenizer, texts: list[str]) -> list[np.ndarray]:
     """tok.ids() of each text, with each different word of the texts looked at once.
 
     The file cuts a text before each blank that follows something else than white space, so that a blank and a word have the
-    same ids anywhere, and of these only the first begins with a blank. Texts with other white space or added tokens go through the tokenizer whole.
+    same ids anywhere, and no other of their ids begins with a blank. Words keep the blank before them, so that the
+    different ones of a dictionary stand as one text. Texts with other white space or added tokens go through the tokenizer whole.
     """
     out: list = [None] * len(texts)
     plain = []
+    odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD_SPACE).to_pylist()
     for i, t in enumerate(texts):
-        if not t or _ODD_SPACE(t) or any(a in t for a in tok.added):
+        if not t or odd[i] or any(a in t for a in tok.added):
             out[i] = tok.ids(t)
         else:
             plain.append(i)
     if not plain:
         return out
-    pieces = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-    begins = pieces.offsets.to_numpy()
-    words, firsts = pieces.values, begins[:-1]
-    later = np.ones(len(words), bool)
-    later[firsts] = False
+    _, offsets, data = pa.array([texts[i] for i in plain], pa.large_string()).buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(plain) + 1)
+    raw = np.frombuffer(data, np.uint8, bounds[-1])
+    begins = raw == _BLANK
+    begins[bounds[:-1]] = True
+    at = np.append(np.flatnonzero(begins), bounds[-1])
+    words, later = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data), raw[at[:-1]] == _BLANK
     named = words.filter(pa.array(later)).dictionary_encode()
-    known = tok.numbers(" " + " ".join(named.dictionary.to_pylist())) if len(named) else np.zeros(0, np.uint32)
+    known = tok.numbers(_in_a_row(named.dictionary)) if len(named) else np.zeros(0, np.uint32)
     starts = np.flatnonzero(tok.blank_first[known])
-    alone = [tok.numbers(w) for w in words.take(pa.array(firsts)).to_pylist()]
+    alone = [tok.numbers(w) for w in words.filter(pa.array(~later)).to_pylist()]
     pool = np.concatenate([known, *alone])
     sizes = np.concatenate([np.diff(starts, append=len(known)), [len(x) for x in alone]]).astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     which = np.empty(len(words), np.int64)
-    which[later], which[firsts] = named.indices.to_numpy(), len(named.dictionary) + np.arange(len(plain))
+    which[later], which[~later] = named.indices.to_numpy(), len(named.dictionary) + np.arange(len(alone))
     n = sizes[which]
     until = np.cumsum(n)
     ids = pool[np.repeat(starts[which] - (until - n), n) + np.arange(until[-1])]
-    for i, x in zip(plain, np.split(ids, until[begins[1:-1] - 1]), strict=True):
+    for i, x in zip(plain, np.split(ids, until[np.searchsorted(at, bounds[1:-1]) - 1]), strict=True):
         out[i] = x
     return out
 
 
+def _in_a_row(words: pa.LargeStringArray) -> str:
+    _, offsets, data = words.buffers()
+    first, last = np.frombuffer(offsets, np.int64)[[words.offset, words.offset + len(words)]].tolist()
+    return str(data[first:last], "utf-8")
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, block_ids: int):
         self.path, self.block_ids = path, block_ids

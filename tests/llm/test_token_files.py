@@ -1,7 +1,10 @@
 """Token files against the tokenizers library, and the coder's round trip."""
 
 import json
+import re
 import struct
+import sys
+import time
 import uuid
 import zlib
 from pathlib import Path
@@ -9,6 +12,8 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +99,33 @@ def test_words_of_any_white_space(texts):
     assert [x.tolist() for x in token_files.batch_ids(tok, texts)] == [tok.file.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_white_space_is_that_of_python():
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    got = pc.match_substring_regex(pa.array(every, pa.large_string()), token_files._ODD_SPACE).to_pylist()
+    assert [c for c, odd in zip(every, got, strict=True) if odd] == [c for c in every if re.match(r"\s", c)]
+    texts = ["a\n\u2003b", "a\x1c b", "a\u3000", "a\x0b\x0b", "a\n", "a\nb c", "\na", "", "\x00 \x00"]
+    assert pc.match_substring_regex(pa.array(texts), token_files._ODD_SPACE).to_pylist() == [True] * 5 + [False] * 4
+
+
+def test_words_cost_less_than_texts():
+    """No look at each character for an added token, no Python string a word: at most four fifths of the time that whole texts take by encode_ordinary()."""
+    tok = token_files.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encoding.special_tokens_set == tok.plain.special_tokens_set == set(tok.added)
+    for text in ("a <|endoftext|> b", "<|endoftext|>"):
+        assert tok.numbers(text).tolist() == tok.plain.encode_ordinary(text)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1000").fetchall()]
+
+    def seconds(f):
+        def once():
+            began = time.process_time()
+            f()
+            return time.process_time() - began
+
+        return min(once() for _ in range(5))
+
+    assert seconds(lambda: token_files.batch_ids(tok, texts)) < 0.8 * seconds(lambda: [np.array(tok.plain.encode_ordinary(t), np.uint32) for t in texts])
+
+
 def test_damage_is_seen_and_blocks_stand_alone(spark):
     at = folder(spark)
     token_files.stored(spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string").coalesce(1), at, block_ids=700).count()
