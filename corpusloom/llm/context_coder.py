@@ -100,20 +100,12 @@ class Model:
         if self.owner is None:
             self.owner = np.repeat(np.arange(self.none, dtype=np.int32), self.freq[:-1])
         a, b = self.orders
-        both = self.mass[0] + self.mass[1]
-        # the two named ids in order; if they are one, its mass is that of both
+        # order 0 alone is left when the named ids' masses are taken out, that of the lower id first; within a mass, its id begins
+        low, high = np.minimum(a.named, b.named), np.maximum(a.named, b.named)
         first = self.mass[0] + (a.named > b.named) * (self.mass[1] - self.mass[0])
-        first += self.agree * (both - first)
-        low, high = np.minimum(a.named, b.named).astype(np.int64), np.maximum(a.named, b.named).astype(np.int64)
-        low_at, high_at = (self.zero * self.below.take(x, mode="clip") for x in (low, high))
-        past_low, past_high = at - first, at - both
-        before_low = at < low_at
-        in_low = ~before_low & (past_low < low_at + self.zero * self.freq.take(low, mode="clip"))
-        after_high = past_high >= high_at + self.zero * self.freq.take(high, mode="clip")
-        in_high = ~in_low & ~after_high & (past_low >= high_at)
-        rest = at - ~before_low * first - after_high * (both - first)
-        other = self.owner.take((rest / self.zero).astype(np.int64), mode="clip")
-        return other + in_low * (low - other) + in_high * (high - other)
+        for named, mass in ((low, first), (high, self.mass[0] + self.mass[1] - first)):
+            at = np.minimum(at, np.maximum(at - mass, self.zero * self.below.take(named, mode="clip")))
+        return self.owner.take((at / self.zero).astype(np.int64), mode="clip")
 
     def learn(self, came: np.ndarray) -> None:
         m, narrow = len(came), came.astype(np.int32)
@@ -196,38 +188,31 @@ def encode(ids: np.ndarray, lanes: int = LANES) -> bytes:
     return head + words.T[np.arange(steps + 2) < used[:, None]].astype("<u4").tobytes()
 
 
-def _quotient(point: np.ndarray, unit: np.ndarray, bits: int) -> np.ndarray:
-    """point // unit, at most 2 ** bits - 1. The quotient of doubles is at most one off."""
-    q = np.minimum(point / unit, float((1 << bits) - 1)).astype(np.int64)
-    left = (point - q.view(np.uint64) * unit).view(np.int64)
-    q += (left >= unit.view(np.int64)) & (q < (1 << bits) - 1)
-    q -= left < 0
-    return q.astype(np.int32)
-
-
 def decode(raw: bytes) -> np.ndarray:
     n, alphabet, lanes = (int(x) for x in np.frombuffer(raw, "<u4", 3))
     used = np.frombuffer(raw, "<u4", lanes, 12).astype(np.int64)
-    words = np.append(np.frombuffer(raw, "<u4", offset=12 + 4 * lanes), np.uint32(0)).astype(np.uint64)
+    # each lane's words and the 32 zeros that its coder left out
+    until = np.cumsum(used)
+    words = np.insert(np.frombuffer(raw, "<u4", offset=12 + 4 * lanes), until, 0).astype(np.uint64)
     steps, active = _steps(n, lanes)
-    end = np.cumsum(used)
-    place = end - used
+    place = until - used + np.arange(lanes)
 
     def read(at: np.ndarray) -> np.ndarray:
-        got = np.where(place[at] < end[at], words[np.minimum(place[at], len(words) - 1)], np.uint64(0))
-        place[at] += 1
-        return got
+        next_word = place[at]
+        place[at] = next_word + 1
+        return words.take(next_word, mode="clip")
 
     lane = np.arange(lanes)
     point = read(lane) << WORD
     point |= read(lane)
     wide = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     model, out, first = Model(alphabet, lanes), np.zeros(n, np.int32), lane * steps
+    last = np.uint64((1 << model.whole_bits) - 1)
     for t in range(steps):
         m = int(active[t])
         model.predict(m)
         unit = wide[:m] >> np.uint64(model.whole_bits)
-        came = model.find(_quotient(point[:m], unit, model.whole_bits))
+        came = model.find(np.minimum(point[:m] // unit, last).astype(np.int32))
         at, size = model.interval(came)
         point[:m] -= unit * at.astype(np.uint64)
         wide[:m] = unit * size.astype(np.uint64)

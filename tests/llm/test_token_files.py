@@ -42,6 +42,21 @@ def test_coder_on_other_shapes():
         context_coder.encode(np.array([1 << 19]))
 
 
+def test_ends_of_intervals_are_found():
+    """Every id by the first and last point of its interval, whichever ids the orders name."""
+    rnd = np.random.RandomState(5)
+    model = context_coder.Model(9, 400)
+    for _ in range(60):
+        model.predict(400)
+        for i in range(9):
+            low, wide = model.interval(np.full(400, i))
+            for at in (low, low + wide - 1):
+                assert (model.find(at[wide > 0]) == i).all()
+        came = np.minimum(rnd.geometric(0.4, 400) - 1, 8)
+        model.interval(came)
+        model.learn(came)
+
+
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
