@@ -16,6 +16,8 @@ from .tables import first_of_key, keep_ids, spk2utt
 ILLEGAL = ["<s>", "</s>", "#0"]
 #: White space that a transcript may not hold besides tab, line feed and space.
 WHITE = r"[\r\x0B\x0C\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: What stands between the symbols of a transcript. A vertical tab does not; it is a fault of its own.
+BETWEEN = r"[ \t\n\f\r]+"
 #: Positive numbers.
 COUNTED = ("utt2num_frames", "utt2dur", "reco2dur")
 
@@ -78,7 +80,7 @@ def out_of_order(df: DataFrame, key: str, order: str, name: str, block: int = 10
 
 def text_faults(df: DataFrame, key: str, text: str) -> DataFrame:
     """Transcripts with symbols or white space that they may not hold."""
-    bad = F.arrays_overlap(fields(F.col(text)), F.array(*map(F.lit, ILLEGAL)))
+    bad = F.arrays_overlap(F.split(F.col(text), BETWEEN), F.array(*map(F.lit, ILLEGAL)))
     return _found("text: illegal symbol", df.where(bad), F.col(key)).unionByName(_found("text: illegal white space", df.where(F.col(text).rlike(WHITE)), F.col(key)))
 
 
